@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logvigil.functions.exprs import round6
-from logvigil.operators import (features, metrics, response, rules, validation, windows)
+from logvigil.operators import (features, iforest, metrics, response, rules, validation,
+                                windows)
 from logvigil.plans import adapters as A
 from logvigil.schemas import API_CREDENTIALS, DETECTOR_KNOWN_USERS, WEBSITE_USERS
 
@@ -432,9 +433,83 @@ def q_idle_sessions(spark, sf):
     return response.idle_sessions(_events(spark, sf), "user_id")
 
 
+# -------------------------------------------------- anomaly detection (§2.7)
+FOREST_TREES = 10
+FOREST_PSI = 64
+FOREST_SEED = 42
+WEB_CONTAMINATION = 0.1
+API_CONTAMINATION = 0.15
+BASE_CONTAMINATION = 0.2
+
+
+def _web_forest(spark, sf, contamination=None):
+    feats = _web_feats(spark, sf)
+    model = iforest.fit(feats, features.WEB_FEATURES, trees=FOREST_TREES, psi=FOREST_PSI,
+                        seed=FOREST_SEED, contamination=contamination)
+    return feats, model
+
+
+@query
+def q_scaled_features(spark, sf):
+    scaled = iforest.scale(_web_feats(spark, sf), features.WEB_FEATURES)
+    return scaled.select("seq", *[round6(c).alias(c) for c in features.WEB_FEATURES])
+
+
+@query
+def q_iforest_scores(spark, sf):
+    feats, model = _web_forest(spark, sf)
+    return iforest.score(feats, model).select("seq", "score")
+
+
+@query
+def q_contamination_threshold(spark, sf):
+    scores = _web(spark, sf).select((-F.col("response_time") / 10.0).alias("score"))
+    thr = iforest.exact_quantile(scores, "score", WEB_CONTAMINATION)
+    return spark.createDataFrame([(thr,)], "threshold double")
+
+
+@query
+def q_iforest_flags(spark, sf):
+    feats, model = _web_forest(spark, sf, WEB_CONTAMINATION)
+    return iforest.predict(feats, model).select("seq", "score", "is_anomaly")
+
+
+@query
+def q_batch_iforest(spark, sf):
+    api = windows.count_batches(_api(spark, sf).drop("batch_id"))
+    feats = features.api_features(api)
+    return iforest.fit_score_batches(feats, features.API_FEATURES, trees=100, psi=256,
+                                     contamination=API_CONTAMINATION, seed=FOREST_SEED)
+
+
+def _hybrid(spark, sf):
+    feats, model = _web_forest(spark, sf, WEB_CONTAMINATION)
+    flagged = iforest.predict(feats, model, out="forest_anomaly")
+    return rules.hybrid_anomalies(flagged)
+
+
+@query
+def q_hybrid_anomalies(spark, sf):
+    return _hybrid(spark, sf).select("seq", "forest_anomaly", F.col("rule_anomaly"), "is_anomaly")
+
+
+@query
+def q_base_detector(spark, sf):
+    web = _web(spark, sf).select("seq", "ts", "event_type", "user", "source_ip", "traffic_type",
+                                 "status", "response_time")
+    base = features.base_features(web)
+    feats = [c for c in base.columns if c != "seq"]
+    model = iforest.fit(base, feats, trees=100, psi=256, seed=FOREST_SEED,
+                        contamination=BASE_CONTAMINATION, scale_features=True)
+    return iforest.predict(base, model).select("seq", "score", "is_anomaly")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Hybrid detection (forest OR rules) with explained alerts."""
-    if "hybrid_alerts" in QUERIES:
-        return QUERIES["hybrid_alerts"](spark, sf)
-    return rules.alert_records(_alerts(spark, sf),
+    flagged = _hybrid(spark, sf).where("is_anomaly")
+    enriched = _web(spark, sf).select("seq", "ts", "event_type", "user", "source_ip",
+                                      "traffic_type", "status") \
+        .join(flagged.select("seq", "response_time", "is_failed_login", "user_attempts",
+                             "is_admin_action"), "seq")
+    return rules.alert_records(rules.alert_reasons(enriched),
                                detail_cols=["event_type", "user", "source_ip", "status"])

@@ -8,7 +8,10 @@ computed double is rounded exactly as the Spark query rounds it.
 
 from __future__ import annotations
 
-from logvigil.plans.catalog import NOW, TEST_MAX_RATE, TEST_MEAN_RATE, TIME_SCALE
+from logvigil.operators.features import WEB_FEATURES
+from logvigil.plans.catalog import (FOREST_PSI, FOREST_SEED, FOREST_TREES, NOW, TEST_MAX_RATE,
+                                    TEST_MEAN_RATE, TIME_SCALE, WEB_CONTAMINATION)
+from logvigil.plans.forest_sql import depth_for, forest_ctes, quantile_cte
 
 ORACLE: dict[str, str] = {}
 
@@ -572,3 +575,27 @@ s AS (SELECT user_id, ts, SUM(new_session) OVER (PARTITION BY user_id ORDER BY t
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end,
   COUNT(*) AS n_events
 FROM s GROUP BY user_id, sid""")
+
+# ------------------------------------------------------------------ §2.7
+_SCALED = ", ".join(
+    f"round(({f} - avg({f}) OVER ()) / CASE WHEN stddev_pop({f}) OVER () = 0 THEN 1.0::DOUBLE "
+    f"ELSE stddev_pop({f}) OVER () END, 6) AS {f}" for f in WEB_FEATURES)
+reg("scaled_features", with_(WEB, WEB_FEATS) + f"SELECT seq, {_SCALED} FROM web_feats")
+
+FOREST = forest_ctes("web_feats", WEB_FEATURES, FOREST_TREES,
+                     (FOREST_PSI, depth_for(FOREST_PSI)), FOREST_SEED)
+reg("iforest_scores", with_(WEB, WEB_FEATS, *FOREST) + "SELECT row_id AS seq, score FROM fscore")
+
+reg("contamination_threshold", with_(
+    WEB, "cs AS (SELECT -response_time / 10.0::DOUBLE AS score FROM web)",
+    quantile_cte("thr", "cs", "score", WEB_CONTAMINATION)) + "SELECT threshold FROM thr")
+
+reg("iforest_flags", with_(WEB, WEB_FEATS, *FOREST,
+                           quantile_cte("thr", "fscore", "score", WEB_CONTAMINATION)) + """
+SELECT f.row_id AS seq, f.score, f.score < t.threshold AS is_anomaly FROM fscore f, thr t""")
+
+reg("hybrid_anomalies", with_(WEB, WEB_FEATS, RULES, *FOREST,
+                              quantile_cte("thr", "fscore", "score", WEB_CONTAMINATION)) + """
+SELECT r.seq, f.score < t.threshold AS forest_anomaly, r.is_anomaly AS rule_anomaly,
+  (f.score < t.threshold) OR r.is_anomaly AS is_anomaly
+FROM rules r JOIN fscore f ON r.seq = f.row_id, thr t""")
