@@ -159,26 +159,33 @@ def build_forest(samples: np.ndarray, seed: int, tree_ids: tuple[int, ...],
     return Forest(feature, threshold, size, psi, max_depth)
 
 
-def path_units(forest: Forest, X: np.ndarray) -> np.ndarray:
-    """Sum over trees of the fixed-point path length of each row of X."""
+def path_units(forest: Forest, X: np.ndarray, tree_block: int = 0) -> np.ndarray:
+    """Sum over trees of the fixed-point path length of each row of X.
+
+    All trees advance together one level per step ((trees, rows) index
+    arrays); ``tree_block`` bounds that working set for very large batches."""
     n = X.shape[0]
     units = leaf_units(int(forest.size.max(initial=0)), forest.max_depth)
     total = np.zeros(n, dtype=np.int64)
-    rows = np.arange(n)
-    for t in range(forest.trees):
-        feat, thr = forest.feature[t], forest.threshold[t]
-        idx = np.ones(n, dtype=np.int64)
-        depth = np.zeros(n, dtype=np.int64)
+    block = tree_block or max(1, min(forest.trees, 4_000_000 // max(n, 1)))
+    cols = np.arange(n)[None, :]
+    for t0 in range(0, forest.trees, block):
+        feat = forest.feature[t0:t0 + block]
+        thr = forest.threshold[t0:t0 + block]
+        size = forest.size[t0:t0 + block]
+        tt = np.arange(feat.shape[0])[:, None]
+        idx = np.ones((feat.shape[0], n), dtype=np.int64)
+        depth = np.zeros((feat.shape[0], n), dtype=np.int64)
         for _ in range(forest.max_depth):
-            f = feat[idx]
+            f = feat[tt, idx]
             internal = f >= 0
             if not internal.any():
                 break
-            x = X[rows, np.where(internal, f, 0)]
-            go = internal & (x > thr[idx])
+            x = X[cols, np.where(internal, f, 0)]
+            go = internal & (x > thr[tt, idx])
             idx = np.where(internal, 2 * idx + go, idx)
             depth += internal
-        total += units[depth, forest.size[t][idx]]
+        total += units[depth, size[tt, idx]].sum(axis=0)
     return total
 
 
@@ -261,14 +268,22 @@ def exact_quantile(df: DataFrame, column: str, q: float, accuracy: int = 1_000_0
     3. the values at ranks k and k + 1 are v, or are found among the few rows
        between v and the target rank (a bounded top-k on either side).
     """
-    base = df.select(F.col(column).alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    n = base.count()
+    from pyspark import StorageLevel
+    base = df.select(F.col(column).cast("double").alias("x")) \
+             .where(F.col("x").isNotNull() & ~F.isnan("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _exact_quantile(base, q, accuracy)
+    finally:
+        base.unpersist()
+
+
+def _exact_quantile(base: DataFrame, q: float, accuracy: int) -> float | None:
+    n, v = base.agg(F.count(F.lit(1)), F.percentile_approx("x", q, accuracy)).first()
     if n == 0:
         return None
     pos = q * (n - 1)
     k = math.floor(pos)
     frac = pos - k
-    v = base.agg(F.percentile_approx("x", q, accuracy)).first()[0]
     lt, le = base.agg(F.count_if(F.col("x") < v), F.count_if(F.col("x") <= v)).first()
 
     def at_rank(r: int) -> float:
@@ -288,30 +303,53 @@ def exact_quantile(df: DataFrame, column: str, q: float, accuracy: int = 1_000_0
 
 
 # --------------------------------------------------------------- M2 fit
-def sample_for_trees(df: DataFrame, features: list[str], trees: int, psi: int, seed: int,
-                     row_id: str = "seq") -> tuple[DataFrame, int, int]:
-    """Per-tree samples as rows (tree, row_id, features...), plus n and psi_eff."""
-    n = df.count()
+def sampling_rates(n: int, trees: int, psi: int) -> tuple[int, float, float]:
+    """(psi_eff, pool rate p, per-tree candidate rate q).
+
+    The pool keeps ~4·trees·psi rows; each tree then considers the pool rows
+    with ``U(seed:tree:row) < q`` (~4·psi expected) and keeps the psi smallest."""
     psi_eff = max(1, min(psi, n))
-    base = df.select(F.col(row_id).alias("row_id"), *[F.col(f).cast("double") for f in features])
     p = min(1.0, POOL_OVERSAMPLE * trees * psi_eff / n) if n else 1.0
-    pool = base.where(uniform_hash(F.concat(F.lit(f"{seed}:"), F.col("row_id").cast("string")))
-                      < F.lit(p))
-    if p < 1.0 and pool.count() < psi_eff:
-        pool = base  # short pool: fall back to ranking every row
-    spark = df.sparkSession
-    tree_ids = spark.range(trees).select(F.col("id").cast("int").alias("tree"))
-    # pool (<= ~4·trees·psi rows) paired with the tree ids: bounded, no data-size growth
-    ranked = pool.join(F.broadcast(tree_ids), how="cross").withColumn(
-        "_u", uniform_hash(F.concat(F.lit(f"{seed}:"), F.col("tree").cast("string"), F.lit(":"),
-                                    F.col("row_id").cast("string"))))
-    from pyspark.sql import Window
-    w = Window.partitionBy("tree").orderBy("_u", "row_id")
-    samp = ranked.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= psi_eff) \
-                 .drop("_u", "_rk")
+    q = 1.0 / trees if p < 1.0 else min(1.0, POOL_OVERSAMPLE * psi_eff / n) if n else 1.0
+    return psi_eff, p, q
+
+
+def sample_for_trees(df: DataFrame, features: list[str], trees: int, psi: int, seed: int,
+                     row_id: str = "seq", n: int | None = None) -> tuple[DataFrame, int, int]:
+    """Per-tree samples as rows (tree, row_id, features...), plus n and psi_eff.
+
+    Tree t's sample is the psi_eff rows with the smallest ``U(seed:t:row)``
+    among its candidates (pool row and ``U(seed:t:row) < q``).  A tree with
+    fewer candidates than psi_eff (improbable: ~4·psi are expected) is
+    re-drawn from every row, which is plain sampling without replacement."""
+    n = df.count() if n is None else n
+    psi_eff, p, q = sampling_rates(n, trees, psi)
+    base = df.select(F.col(row_id).alias("row_id"), *[F.col(f).cast("double") for f in features])
+    rid = F.col("row_id").cast("string")
+    pool = base.where(uniform_hash(F.concat(F.lit(f"{seed}:"), rid)) < F.lit(p)) if p < 1.0 else base
+
+    def ranked(src: DataFrame, rate: float, tree_list: list[int] | None) -> DataFrame:
+        tl = F.array(*[F.lit(t) for t in tree_list]) if tree_list is not None \
+            else F.sequence(F.lit(0), F.lit(trees - 1))
+        pairs = src.select(F.explode(tl).alias("tree"), "*")
+        pairs = pairs.withColumn("_u", uniform_hash(F.concat(
+            F.lit(f"{seed}:"), F.col("tree").cast("string"), F.lit(":"), rid)))
+        if rate < 1.0:
+            pairs = pairs.where(F.col("_u") < F.lit(rate))
+        from pyspark.sql import Window
+        w = Window.partitionBy("tree").orderBy("_u", "row_id")
+        return pairs.withColumn("_rk", F.row_number().over(w)).where(
+            F.col("_rk") <= psi_eff).drop("_u", "_rk")
+
+    samp = ranked(pool, q, None)
     return samp, n, psi_eff
 
 
+def _short_trees(nodes: pd.DataFrame, trees: int, psi_eff: int) -> list[int]:
+    root = nodes[nodes["node"] == 1].set_index("tree")["size"]
+    return [t for t in range(trees) if int(root.get(t, 0)) < psi_eff]
+
+
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, size long"
 
 
@@ -344,6 +382,20 @@ def fit(df: DataFrame, features: list[str], trees: int = 100, psi: int = 256, se
                              "threshold": fo.threshold[0][keep], "size": fo.size[0][keep]})
 
     nodes = samp.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
+    short = _short_trees(nodes, trees, psi_eff)
+    if short:  # exact fallback: rank every row for the few short trees
+        full = src.select(F.col(row_id).alias("row_id"),
+                          *[F.col(f).cast("double") for f in features])
+        rid = F.col("row_id").cast("string")
+        from pyspark.sql import Window
+        pairs = full.select(F.explode(F.array(*[F.lit(t) for t in short])).alias("tree"), "*") \
+            .withColumn("_u", uniform_hash(F.concat(F.lit(f"{seed}:"), F.col("tree").cast("string"),
+                                                    F.lit(":"), rid)))
+        resamp = pairs.withColumn("_rk", F.row_number().over(
+            Window.partitionBy("tree").orderBy("_u", "row_id"))).where(
+            F.col("_rk") <= psi_eff).drop("_u", "_rk")
+        redo = resamp.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
+        nodes = pd.concat([nodes[~nodes["tree"].isin(short)], redo], ignore_index=True)
     forest = forest_from_nodes(nodes, trees, depth, psi_eff)
     model = ForestModel(list(features), forest, seed, contamination, None, mean, std,
                         {"n_train": n})

@@ -39,10 +39,21 @@ def forest_ctes(source: str, features: list[str], trees: int, psi_max_depth: tup
         "fpool AS (SELECT * FROM fpool0 WHERE (SELECT COUNT(*) FROM fpool0) >= "
         "(SELECT psi_eff FROM fn) UNION ALL SELECT * FROM fx WHERE (SELECT COUNT(*) FROM fpool0)"
         " < (SELECT psi_eff FROM fn))",
-        f"fsamp AS (SELECT CAST(t.tree AS BIGINT) AS tree, p.* FROM fpool p CROSS JOIN range({trees}) t(tree) "
-        f"QUALIFY row_number() OVER (PARTITION BY t.tree ORDER BY "
+        "fq AS (SELECT CASE WHEN LEAST(1.0::DOUBLE, CAST("
+        f"{POOL_OVERSAMPLE} * {trees} * psi_eff AS DOUBLE) / n) < 1.0 THEN 1.0::DOUBLE / {trees} "
+        f"ELSE LEAST(1.0::DOUBLE, CAST({POOL_OVERSAMPLE} * psi_eff AS DOUBLE) / n) END AS q FROM fn)",
+        f"fpair AS (SELECT CAST(t.tree AS BIGINT) AS tree, p.*, "
         f"{_u(repr(f'{seed}:') + ' || CAST(t.tree AS VARCHAR) || ' + repr(':') + ' || CAST(p.row_id AS VARCHAR)')}"
-        f", p.row_id) <= (SELECT psi_eff FROM fn))",
+        f" AS u FROM fpool p CROSS JOIN range({trees}) t(tree))",
+        "fsamp0 AS (SELECT * EXCLUDE (u) FROM fpair, fq WHERE u < fq.q QUALIFY row_number() OVER "
+        "(PARTITION BY tree ORDER BY u, row_id) <= (SELECT psi_eff FROM fn))",
+        "fshort AS (SELECT CAST(t.tree AS BIGINT) AS tree FROM range(" + str(trees) + ") t(tree) "
+        "WHERE (SELECT COUNT(*) FROM fsamp0 s WHERE s.tree = t.tree) < (SELECT psi_eff FROM fn))",
+        f"fsamp AS (SELECT * EXCLUDE (q) FROM fsamp0 WHERE tree NOT IN (SELECT tree FROM fshort) "
+        f"UNION ALL SELECT * FROM (SELECT s.tree, x.* FROM fx x CROSS JOIN fshort s "
+        f"QUALIFY row_number() OVER (PARTITION BY s.tree ORDER BY "
+        f"{_u(repr(f'{seed}:') + ' || CAST(s.tree AS VARCHAR) || ' + repr(':') + ' || CAST(x.row_id AS VARCHAR)')}"
+        f", x.row_id) <= (SELECT psi_eff FROM fn)))",
         f"a0 AS (SELECT tree, row_id, {xcols}, CAST(1 AS BIGINT) AS node FROM fsamp)",
     ]
     pick_x = lambda alias: "CASE c.feat " + " ".join(
