@@ -84,3 +84,13 @@ def unknown_user_events(df: DataFrame, known: DataFrame, user: str = "user") ->
     """J3 (anti join): events whose user is not in ``known`` (NULL user kept)."""
     k = known.select(F.col(known.columns[0]).alias("_ku"))
     return df.join(k, df[user] == k["_ku"], "left_anti")
+
+
+def session_ip(requests: DataFrame, sessions: DataFrame, session_id: str = "session_id",
+               default_ip: str = "127.0.0.1") -> DataFrame:
+    """The IP of each request's session (left join on the session id);
+    requests without a known session get ``default_ip``."""
+    s = sessions.select(F.col(session_id).alias("_sid"), F.col("ip_address").alias("_sip"))
+    return (requests.join(s, requests[session_id] == s["_sid"], "left")
+            .withColumn("session_ip", F.coalesce(F.col("_sip"), F.lit(default_ip)))
+            .drop("_sid", "_sip"))

@@ -82,3 +82,20 @@ def test_api_fixture_count_batches(spark):
     out = windows.count_batches(api_df(spark).drop("batch_id"), size=30)
     assert out.count() == 30
     assert out.select(F.countDistinct("batch_id")).first()[0] == 1
+
+
+def test_session_ip_and_validation(spark):
+    from logvigil.operators import validation
+    req = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "seq long, session_id string")
+    ses = spark.createDataFrame([("a", "58.1.2.3")], "session_id string, ip_address string")
+    got = {r.seq: r.session_ip for r in validation.session_ip(req, ses).collect()}
+    assert got == {1: "58.1.2.3", 2: "127.0.0.1", 3: "127.0.0.1"}
+    body = spark.createDataFrame(
+        [(1, "POST", True, '{"name": "x", "price": 3, "stock": 1}'),
+         (2, "POST", True, '{"name": "x", "price": -3, "stock": 1}'),
+         (3, "POST", True, '{"name": "x", "price": 3}'),
+         (4, "POST", False, '{"name": "x", "price": 3, "stock": 1}'),
+         (5, "POST", True, "{not json"), (6, "GET", False, None)],
+        "seq long, method string, authenticated boolean, payload string")
+    st = {r.seq: r.validated_status for r in validation.payload_validation(body).collect()}
+    assert st == {1: 201, 2: 400, 3: 400, 4: 401, 5: 400, 6: 200}

@@ -52,12 +52,17 @@ def test_login_attempts_stream(spark, tmpdir_path):
 def test_rate_limit_state_equals_batch(spark, tmpdir_path):
     api = A.api_log(_stream(spark, tmpdir_path), time_scale=60)
     out = M.rate_limit_stream(api, max_rate=0.05, max_warnings=5)
-    # keyed state with a timeout runs no-data batches forever under a
-    # processing-time trigger; availableNow ends after the backlog
-    q = (out.writeStream.outputMode("append").format("memory").queryName("rl")
-         .trigger(availableNow=True).option("checkpointLocation", tmpdir_path + "/ck3").start())
-    q.awaitTermination(300)
-    q.stop()
+    # keyed state with a timeout keeps running no-data batches to expire
+    # state; for a finite test input only data batches are needed
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        q = (out.writeStream.outputMode("append").format("memory").queryName("rl")
+             .trigger(availableNow=True).option("checkpointLocation", tmpdir_path + "/ck3")
+             .start())
+        q.awaitTermination(300)
+        q.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
     got = spark.sql("select seq, request_count, warnings, is_blocked, reason from rl")
     exp = response.block_decisions(A.api_log(A.read_events(spark, SF0001), time_scale=60),
                                    max_rate=0.05).select(
