@@ -60,6 +60,22 @@ def categories(df: DataFrame, column: str, cap: int = ONE_HOT_CAP) -> list[str]
     return sorted(r[0] for r in vals)
 
 
+def categories_many(df: DataFrame, columns: list[str], cap: int = ONE_HOT_CAP
+                    ) -> dict[str, list[str] | None]:
+    """Category lists of several columns from one bounded distinct job
+    (a column above ``cap`` values maps to None)."""
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns
+    ])).alias("p")).select("p.c", "p.v").where(F.col("v").isNotNull()).distinct()
+    rows = pairs.limit((cap + 1) * len(columns)).collect()
+    out: dict[str, list[str] | None] = {c: [] for c in columns}
+    for r in rows:
+        out[r["c"]].append(r["v"])
+    if len(rows) == (cap + 1) * len(columns):  # truncated: settle each column alone
+        return {c: categories(df, c, cap) for c in columns}
+    return {c: (None if len(v) > cap else sorted(v)) for c, v in out.items()}
+
+
 def one_hot(df: DataFrame, column: str, prefix: str, values: list[str] | None = None,
             cap: int = ONE_HOT_CAP, keep: list[str] | None = None) -> DataFrame:
     """One 0/1 column ``{prefix}_{value}`` per category (NULL: all 0).
@@ -87,6 +103,13 @@ def base_features(web: DataFrame, event_types: list[str] | None = None,
     columns kept (after the id columns); NULL/NaN -> 0."""
     d = web.withColumns({"hour": hour("ts"), "minute": minute("ts"),
                          "day_of_week": day_of_week("ts")})
+    missing = [c for c, v in (("event_type", event_types), ("status", statuses), ("user", users))
+               if v is None]
+    if missing:
+        found = categories_many(web, missing)
+        event_types = event_types if event_types is not None else found.get("event_type")
+        statuses = statuses if statuses is not None else found.get("status")
+        users = users if users is not None else found.get("user")
     d = one_hot(d, "event_type", "event", event_types)
     d = one_hot(d, "status", "status", statuses)
     d = with_ip_last_octet(d)
@@ -144,7 +167,7 @@ def api_features(api: DataFrame, batch: str = "batch_id", roll: int = 10, err_ro
     endpoint's history baseline at batch end, and errors among the last
     ``err_roll`` rows.  Missing values are 0.
     """
-    from logvigil.operators.metrics import endpoint_rt_zscore
+    from logvigil.operators.metrics import with_endpoint_rt_zscore
 
     d = api.withColumn("status_code", F.col("status_code").cast("long"))
     d = d.withColumns({"hour": hour("ts"), "minute": minute("ts"),
@@ -153,8 +176,7 @@ def api_features(api: DataFrame, batch: str = "batch_id", roll: int = 10, err_ro
     d = windows.minute_rates(d, batch=batch, align=align)
     d = windows.rolling_response_time(d, batch=batch, rows=roll)
     d = windows.consecutive_errors(d, batch=batch, rows=err_roll)
-    z = endpoint_rt_zscore(api, history_rows, batch_size).select("seq", "endpoint_rt_zscore")
-    d = d.join(z, "seq", "left")
+    d = with_endpoint_rt_zscore(d, api, history_rows, batch_size)
     cols = [c for c in keep if c not in API_FEATURES]
     if batch not in cols:
         cols.append(batch)

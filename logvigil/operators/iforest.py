@@ -5,11 +5,15 @@ MLlib has no isolation forest, so this is the one custom algorithm:
 * **Draws are hashes**, not RNG state: ``U(tag)`` = first 32 bits of
   ``md5(tag)`` / 2^32.  A retried task, another partitioning or a SQL engine
   computes the same draws, so fits are reproducible and checkable.
-* **Sampling** (fit): a Bernoulli pool ``U(seed:row) < p`` with
-  ``p = min(1, 4 * trees * psi / n)`` cuts the data to ~4·trees·psi rows in one
-  scan; each tree then takes the ``psi`` pool rows with the smallest
-  ``U(seed:tree:row)``.  When the pool is short (or ``n`` is small) the pool is
-  every row, which is plain per-tree sampling without replacement.
+* **Sampling** (fit): one md5 per row, ``h = md5(seed:row)``, gives three
+  32-bit words: ``a`` (pool draw), ``ka`` and ``kb``.  A Bernoulli pool
+  ``a / 2^32 < p`` with ``p = min(1, 4 * trees * psi / n)`` cuts the data to
+  ~4·trees·psi rows in one scan.  Tree t ranks pool rows by
+  ``u_t = ((ka + t * kb) mod 2^32) / 2^32`` -- uniform over rows for each tree,
+  pairwise independent across trees, integer arithmetic only -- and keeps the
+  ``psi`` smallest among its candidates ``u_t < q`` (~4·psi expected); a tree
+  left short is re-drawn from every row, i.e. plain sampling without
+  replacement.
 * **Building** runs on the bounded sample only (trees x psi rows), one
   ``applyInPandas`` group per tree, with a numpy builder that grows all trees of
   a group level by level.  Node ``i`` has children ``2i`` (x <= threshold) and
@@ -314,35 +318,53 @@ def sampling_rates(n: int, trees: int, psi: int) -> tuple[int, float, float]:
     return psi_eff, p, q
 
 
+def row_words(seed: int, row_id: F.Column) -> tuple[F.Column, F.Column, F.Column]:
+    """(pool draw in [0,1), ka, kb) from md5(seed:row)."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), row_id.cast("string")))
+    word = lambda i: F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("long")
+    return word(0).cast("double") / 4294967296.0, word(1), word(2)
+
+
+def tree_draw(tree: F.Column) -> F.Column:
+    """u_t = ((ka + t * kb) mod 2^32) / 2^32 (exact in 64-bit integers)."""
+    return F.pmod(F.col("_ka") + tree.cast("long") * F.col("_kb"),
+                  F.lit(4294967296)).cast("double") / 4294967296.0
+
+
+def tree_draw_py(seed: int, tree: int, row_id) -> float:
+    h = hashlib.md5(f"{seed}:{row_id}".encode()).hexdigest()
+    ka, kb = int(h[8:16], 16), int(h[16:24], 16)
+    return ((ka + tree * kb) % 4294967296) / 4294967296.0
+
+
+def _ranked(src: DataFrame, trees: list[int] | None, n_trees: int, rate: float,
+            psi_eff: int) -> DataFrame:
+    from pyspark.sql import Window
+    tl = F.array(*[F.lit(t) for t in trees]) if trees is not None \
+        else F.sequence(F.lit(0), F.lit(n_trees - 1))
+    pairs = src.select(F.explode(tl).alias("tree"), "*").withColumn("_u", tree_draw(F.col("tree")))
+    if rate < 1.0:
+        pairs = pairs.where(F.col("_u") < F.lit(rate))
+    w = Window.partitionBy("tree").orderBy("_u", "row_id")
+    return pairs.withColumn("_rk", F.row_number().over(w)).where(
+        F.col("_rk") <= psi_eff).drop("_u", "_rk", "_ka", "_kb", "_a")
+
+
+def _with_words(df: DataFrame, features: list[str], seed: int, row_id: str) -> DataFrame:
+    a, ka, kb = row_words(seed, F.col(row_id))
+    return df.select(F.col(row_id).alias("row_id"), *[F.col(f).cast("double") for f in features],
+                     a.alias("_a"), ka.alias("_ka"), kb.alias("_kb"))
+
+
 def sample_for_trees(df: DataFrame, features: list[str], trees: int, psi: int, seed: int,
                      row_id: str = "seq", n: int | None = None) -> tuple[DataFrame, int, int]:
-    """Per-tree samples as rows (tree, row_id, features...), plus n and psi_eff.
-
-    Tree t's sample is the psi_eff rows with the smallest ``U(seed:t:row)``
-    among its candidates (pool row and ``U(seed:t:row) < q``).  A tree with
-    fewer candidates than psi_eff (improbable: ~4·psi are expected) is
-    re-drawn from every row, which is plain sampling without replacement."""
+    """Per-tree samples as rows (tree, row_id, features...), plus n and psi_eff
+    (see the module notes for the draws)."""
     n = df.count() if n is None else n
     psi_eff, p, q = sampling_rates(n, trees, psi)
-    base = df.select(F.col(row_id).alias("row_id"), *[F.col(f).cast("double") for f in features])
-    rid = F.col("row_id").cast("string")
-    pool = base.where(uniform_hash(F.concat(F.lit(f"{seed}:"), rid)) < F.lit(p)) if p < 1.0 else base
-
-    def ranked(src: DataFrame, rate: float, tree_list: list[int] | None) -> DataFrame:
-        tl = F.array(*[F.lit(t) for t in tree_list]) if tree_list is not None \
-            else F.sequence(F.lit(0), F.lit(trees - 1))
-        pairs = src.select(F.explode(tl).alias("tree"), "*")
-        pairs = pairs.withColumn("_u", uniform_hash(F.concat(
-            F.lit(f"{seed}:"), F.col("tree").cast("string"), F.lit(":"), rid)))
-        if rate < 1.0:
-            pairs = pairs.where(F.col("_u") < F.lit(rate))
-        from pyspark.sql import Window
-        w = Window.partitionBy("tree").orderBy("_u", "row_id")
-        return pairs.withColumn("_rk", F.row_number().over(w)).where(
-            F.col("_rk") <= psi_eff).drop("_u", "_rk")
-
-    samp = ranked(pool, q, None)
-    return samp, n, psi_eff
+    base = _with_words(df, features, seed, row_id)
+    pool = base.where(F.col("_a") < F.lit(p)) if p < 1.0 else base
+    return _ranked(pool, None, trees, q, psi_eff), n, psi_eff
 
 
 def _short_trees(nodes: pd.DataFrame, trees: int, psi_eff: int) -> list[int]:
@@ -360,13 +382,15 @@ def fit(df: DataFrame, features: list[str], trees: int = 100, psi: int = 256, se
     score threshold (the quantile of the training scores)."""
     src = df
     mean = std = None
-    if scale_features:
-        stats = fit_scaler(df, features).first()
-        mean = [float(stats[f"{f}__mean"]) for f in features]
+    n = None
+    if scale_features:  # row count and scaler statistics in one pass
+        stats = fit_scaler(df, features).crossJoin(df.agg(F.count(F.lit(1)).alias("__n"))).first()
+        n = int(stats["__n"])
+        mean = [float(stats[f"{f}__mean"] or 0.0) for f in features]
         std = [float(stats[f"{f}__std"]) for f in features]
         src = df.withColumns({f: (F.col(f) - F.lit(m)) / F.lit(s)
                               for f, m, s in zip(features, mean, std)})
-    samp, n, psi_eff = sample_for_trees(src, features, trees, psi, seed, row_id)
+    samp, n, psi_eff = sample_for_trees(src, features, trees, psi, seed, row_id, n=n)
     depth = max_depth_for(psi_eff)
     n_nodes = 2 ** (depth + 1)
 
@@ -384,16 +408,7 @@ def fit(df: DataFrame, features: list[str], trees: int = 100, psi: int = 256, se
     nodes = samp.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
     short = _short_trees(nodes, trees, psi_eff)
     if short:  # exact fallback: rank every row for the few short trees
-        full = src.select(F.col(row_id).alias("row_id"),
-                          *[F.col(f).cast("double") for f in features])
-        rid = F.col("row_id").cast("string")
-        from pyspark.sql import Window
-        pairs = full.select(F.explode(F.array(*[F.lit(t) for t in short])).alias("tree"), "*") \
-            .withColumn("_u", uniform_hash(F.concat(F.lit(f"{seed}:"), F.col("tree").cast("string"),
-                                                    F.lit(":"), rid)))
-        resamp = pairs.withColumn("_rk", F.row_number().over(
-            Window.partitionBy("tree").orderBy("_u", "row_id"))).where(
-            F.col("_rk") <= psi_eff).drop("_u", "_rk")
+        resamp = _ranked(_with_words(src, features, seed, row_id), short, trees, 1.0, psi_eff)
         redo = resamp.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
         nodes = pd.concat([nodes[~nodes["tree"].isin(short)], redo], ignore_index=True)
     forest = forest_from_nodes(nodes, trees, depth, psi_eff)
@@ -478,7 +493,7 @@ def fit_score_batches(df: DataFrame, features: list[str], batch: str = "batch_id
                 samples = np.broadcast_to(X, (trees, n, X.shape[1]))
             else:
                 rid = g[seq].to_numpy()
-                keys = np.array([[u_hash(f"{seed}:{t}:{r}") for r in rid] for t in tree_ids])
+                keys = np.array([[tree_draw_py(seed, t, r) for r in rid] for t in tree_ids])
                 samples = X[np.argsort(keys, axis=1, kind="stable")[:, :psi_eff]]
             fo = build_forest(np.ascontiguousarray(samples), seed, tree_ids, depth, psi_eff)
             s = score_matrix(fo, X)

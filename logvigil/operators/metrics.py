@@ -153,7 +153,8 @@ def history_tail(api: DataFrame, n: int = 1000, seq: str = "seq") -> DataFrame:
 
 
 def endpoint_baseline(api: DataFrame, window_rows: int = 1000, batch_size: int = 30,
-                      seq: str = "seq", rounded: bool = True) -> DataFrame:
+                      seq: str = "seq", rounded: bool = True, exact_mean: bool = True,
+                      present_only: bool = True) -> DataFrame:
     """A10: per (batch, endpoint in that batch) response-time mean and sample
     std over the history at batch end: rows with seq in (E - window_rows, E],
     E = the batch's last seq (seq is dense, so E = batch_size * b + batch_size - 1).
@@ -167,22 +168,34 @@ def endpoint_baseline(api: DataFrame, window_rows: int = 1000, batch_size: int =
     exploded = api.select(F.explode(F.sequence(b_lo, b_hi)).alias("batch_id"),
                           "endpoint", "response_time")
     r = round6 if rounded else (lambda c: c)
+    mean = exact_avg("response_time") if exact_mean else F.avg("response_time")
     base = exploded.groupBy("batch_id", "endpoint").agg(
-        r(exact_avg("response_time")).alias("baseline_mean"),
+        r(mean).alias("baseline_mean"),
         r(F.stddev_samp("response_time")).alias("baseline_std"),
         F.count(F.lit(1)).alias("baseline_rows"))
+    if not present_only:
+        return base
     present = api.select(F.floor(F.col(seq) / batch_size).cast("long").alias("batch_id"),
                          "endpoint")
     return base.join(present, ["batch_id", "endpoint"], "left_semi")
 
 
+def with_endpoint_rt_zscore(df: DataFrame, api: DataFrame, window_rows: int = 1000,
+                            batch_size: int = 30) -> DataFrame:
+    """Attach J1's z-score to ``df`` rows (which carry batch_id, endpoint and
+    response_time) by joining the baseline on (batch_id, endpoint)."""
+    base = endpoint_baseline(api, window_rows, batch_size, rounded=False, exact_mean=False,
+                             present_only=False)
+    return (df.join(base.drop("baseline_rows"), ["batch_id", "endpoint"], "left")
+            .withColumn("endpoint_rt_zscore", F.coalesce(
+                F.try_divide(F.col("response_time") - F.col("baseline_mean"),
+                             F.col("baseline_std")), F.lit(0.0)))
+            .drop("baseline_mean", "baseline_std"))
+
+
 def endpoint_rt_zscore(api: DataFrame, window_rows: int = 1000, batch_size: int = 30) -> DataFrame:
     """Z-score of each request against its endpoint's baseline at the end
     of its batch; no baseline, or a zero / undefined std, gives 0."""
-    base = endpoint_baseline(api, window_rows, batch_size, rounded=False)
-    return (api.select("seq", "batch_id", "endpoint", "response_time")
-            .join(base, ["batch_id", "endpoint"], "left")
-            .select("seq", "batch_id", "endpoint",
-                    F.coalesce(round6(F.try_divide(F.col("response_time") - F.col("baseline_mean"),
-                                                   F.col("baseline_std"))),
-                               F.lit(0.0)).alias("endpoint_rt_zscore")))
+    rows = api.select("seq", "batch_id", "endpoint", "response_time")
+    return with_endpoint_rt_zscore(rows, api, window_rows, batch_size).select(
+        "seq", "batch_id", "endpoint", round6("endpoint_rt_zscore").alias("endpoint_rt_zscore"))

@@ -148,5 +148,5 @@ def count_batches(df: DataFrame, size: int = 30, seq: str = "seq") -> DataFrame:
     an incomplete (still open) batch are not emitted."""
     d = df.withColumn("batch_id", F.floor(F.col(seq) / size).cast("long")) \
           .withColumn("pos_in_batch", (F.col(seq) - F.col("batch_id") * size).cast("long"))
-    sizes = d.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_n"))
-    return d.join(sizes, "batch_id").where(F.col("_n") == size).drop("_n")
+    n = F.count(F.lit(1)).over(Window.partitionBy("batch_id"))
+    return d.withColumn("_n", n).where(F.col("_n") == size).drop("_n")

@@ -17,6 +17,10 @@ def _u(tag_sql: str) -> str:
     return f"(CAST(('0x' || substr(md5({tag_sql}), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
 
 
+def _word(tag_sql: str, i: int) -> str:
+    return f"CAST(('0x' || substr(md5({tag_sql}), {1 + 8 * i}, 8)) AS BIGINT)"
+
+
 def _c(n_sql: str) -> str:
     return (f"(CASE WHEN {n_sql} <= 1 THEN 0.0::DOUBLE WHEN {n_sql} = 2 THEN 1.0::DOUBLE "
             f"ELSE 2.0::DOUBLE * (ln(CAST({n_sql} - 1 AS DOUBLE)) + {EULER_GAMMA!r}::DOUBLE) "
@@ -31,29 +35,29 @@ def forest_ctes(source: str, features: list[str], trees: int, psi_max_depth: tup
     nf = len(features)
     xs = ", ".join(f"CAST({f} AS DOUBLE) AS x{i}" for i, f in enumerate(features))
     xcols = ", ".join(f"x{i}" for i in range(nf))
+    tag = repr(f"{seed}:") + " || CAST(row_id AS VARCHAR)"
     ctes = [
-        f"fx AS (SELECT {row_id} AS row_id, {xs} FROM {source})",
+        f"fx0 AS (SELECT {row_id} AS row_id, {xs} FROM {source})",
+        f"fx AS (SELECT *, {_word(tag, 0)} / 4294967296.0::DOUBLE AS wa, {_word(tag, 1)} AS ka, "
+        f"{_word(tag, 2)} AS kb FROM fx0)",
         f"fn AS (SELECT COUNT(*) AS n, LEAST({psi}, COUNT(*)) AS psi_eff FROM fx)",
-        f"fpool0 AS (SELECT fx.* FROM fx, fn WHERE {_u(repr(f'{seed}:') + ' || CAST(row_id AS VARCHAR)')}"
-        f" < LEAST(1.0::DOUBLE, CAST({POOL_OVERSAMPLE} * {trees} * fn.psi_eff AS DOUBLE) / fn.n))",
-        "fpool AS (SELECT * FROM fpool0 WHERE (SELECT COUNT(*) FROM fpool0) >= "
-        "(SELECT psi_eff FROM fn) UNION ALL SELECT * FROM fx WHERE (SELECT COUNT(*) FROM fpool0)"
-        " < (SELECT psi_eff FROM fn))",
-        "fq AS (SELECT CASE WHEN LEAST(1.0::DOUBLE, CAST("
-        f"{POOL_OVERSAMPLE} * {trees} * psi_eff AS DOUBLE) / n) < 1.0 THEN 1.0::DOUBLE / {trees} "
+        "fp AS (SELECT LEAST(1.0::DOUBLE, CAST("
+        f"{POOL_OVERSAMPLE} * {trees} * psi_eff AS DOUBLE) / n) AS p, CASE WHEN LEAST(1.0::DOUBLE, "
+        f"CAST({POOL_OVERSAMPLE} * {trees} * psi_eff AS DOUBLE) / n) < 1.0 THEN 1.0::DOUBLE / {trees} "
         f"ELSE LEAST(1.0::DOUBLE, CAST({POOL_OVERSAMPLE} * psi_eff AS DOUBLE) / n) END AS q FROM fn)",
+        "fpool AS (SELECT fx.* FROM fx, fp WHERE fp.p >= 1.0 OR fx.wa < fp.p)",
         f"fpair AS (SELECT CAST(t.tree AS BIGINT) AS tree, p.*, "
-        f"{_u(repr(f'{seed}:') + ' || CAST(t.tree AS VARCHAR) || ' + repr(':') + ' || CAST(p.row_id AS VARCHAR)')}"
-        f" AS u FROM fpool p CROSS JOIN range({trees}) t(tree))",
-        "fsamp0 AS (SELECT * EXCLUDE (u) FROM fpair, fq WHERE u < fq.q QUALIFY row_number() OVER "
+        f"CAST((p.ka + t.tree * p.kb) % 4294967296 AS DOUBLE) / 4294967296.0::DOUBLE AS u "
+        f"FROM fpool p CROSS JOIN range({trees}) t(tree))",
+        "fsamp0 AS (SELECT * EXCLUDE (u, q) FROM fpair, fp WHERE u < fp.q QUALIFY row_number() OVER "
         "(PARTITION BY tree ORDER BY u, row_id) <= (SELECT psi_eff FROM fn))",
         "fshort AS (SELECT CAST(t.tree AS BIGINT) AS tree FROM range(" + str(trees) + ") t(tree) "
         "WHERE (SELECT COUNT(*) FROM fsamp0 s WHERE s.tree = t.tree) < (SELECT psi_eff FROM fn))",
-        f"fsamp AS (SELECT * EXCLUDE (q) FROM fsamp0 WHERE tree NOT IN (SELECT tree FROM fshort) "
-        f"UNION ALL SELECT * FROM (SELECT s.tree, x.* FROM fx x CROSS JOIN fshort s "
-        f"QUALIFY row_number() OVER (PARTITION BY s.tree ORDER BY "
-        f"{_u(repr(f'{seed}:') + ' || CAST(s.tree AS VARCHAR) || ' + repr(':') + ' || CAST(x.row_id AS VARCHAR)')}"
-        f", x.row_id) <= (SELECT psi_eff FROM fn)))",
+        "fsamp AS (SELECT * EXCLUDE (p) FROM fsamp0 WHERE tree NOT IN (SELECT tree FROM fshort) "
+        "UNION ALL SELECT * FROM (SELECT s.tree, x.* FROM fx x CROSS JOIN fshort s "
+        "QUALIFY row_number() OVER (PARTITION BY s.tree ORDER BY "
+        "CAST((x.ka + s.tree * x.kb) % 4294967296 AS DOUBLE) / 4294967296.0::DOUBLE, x.row_id) "
+        "<= (SELECT psi_eff FROM fn)))",
         f"a0 AS (SELECT tree, row_id, {xcols}, CAST(1 AS BIGINT) AS node FROM fsamp)",
     ]
     pick_x = lambda alias: "CASE c.feat " + " ".join(
@@ -88,7 +92,7 @@ def forest_ctes(source: str, features: list[str], trees: int, psi_max_depth: tup
     ctes.append(f"leafsz AS (SELECT tree, node, COUNT(*) AS sz FROM a{depth} GROUP BY tree, node)")
     ctes.append("fin AS (" + (" UNION ALL ".join(inner) if inner else
                               "SELECT 0 AS tree, 0 AS node, 0 AS feat, 0.0 AS thr WHERE false") + ")")
-    ctes.append(f"s0 AS (SELECT fx.*, CAST(t.tree AS BIGINT) AS tree, CAST(1 AS BIGINT) AS node, "
+    ctes.append(f"s0 AS (SELECT fx.row_id, {xcols}, CAST(t.tree AS BIGINT) AS tree, CAST(1 AS BIGINT) AS node, "
                 f"CAST(0 AS BIGINT) AS depth FROM fx CROSS JOIN range({trees}) t(tree))")
     for lvl in range(depth):
         ctes.append(
