@@ -126,10 +126,14 @@ def batch_summary(scored: DataFrame, batch: str = "batch_id",
 def ip_activity(api: DataFrame, patterns: DataFrame | None = None,
                 ip: str = "ip_address") -> DataFrame:
     """A8 + J7: per IP, request and error counts, last seen and the pattern
-    type the IP was first seen with (``unknown`` without a pattern source)."""
+    type the IP was first seen with (``unknown`` without a pattern source).
+
+    The pattern comes from a ``pattern_type`` column of ``api`` or, failing
+    that, from ``patterns(seq, pattern_type)`` joined on seq."""
     df = api
-    if patterns is not None:
-        df = df.join(patterns, "seq", "left")
+    if "pattern_type" in df.columns or patterns is not None:
+        if "pattern_type" not in df.columns:
+            df = df.join(patterns, "seq", "left")
         pattern = F.min_by("pattern_type", F.struct("ts", "seq"))
     else:
         pattern = F.lit(None).cast("string")

@@ -174,9 +174,30 @@ def active_sessions(starts: DataFrame, ends: DataFrame | None, now,
     return s.agg(F.count(F.lit(1)).alias("active_sessions"))
 
 
-def idle_sessions(df: DataFrame, key: str, gap: str = "30 minutes", ts: str = "ts") -> DataFrame:
-    """Activity-refreshed sessions per key: a session ends after ``gap``
-    without events (session_window; sort-based, spills, no per-key buffer)."""
+def idle_sessions(df: DataFrame, key: str, gap_s: int = 1800, ts: str = "ts",
+                  order: str = "seq", chunk_rows: int = keyed.DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """Activity-refreshed sessions per key -- a new session starts when
+    the gap to the key's previous event is >= ``gap_s``; a session ends
+    ``gap_s`` after its last event.
+
+    Gaps-and-islands on the chunked per-key helpers (``order`` must follow
+    ``ts``): lag, running sum of session starts, then a partial-aggregated
+    group by (key, session) -- no task ever holds a whole hot key."""
+    us = epoch_us(F.col(ts))
+    d = keyed.previous_value(df, key, "_prev_us", us, seq=order, chunk_rows=chunk_rows)
+    d = d.withColumn("_new", F.when(F.col("_prev_us").isNull()
+                                    | ((us - F.col("_prev_us")) >= F.lit(gap_s * 1_000_000)), 1)
+                     .otherwise(0).cast("long"))
+    d = keyed.running_sums(d, key, {"_sid": F.col("_new")}, seq=order, chunk_rows=chunk_rows)
+    return d.groupBy(key, "_sid").agg(
+        F.min(ts).alias("session_start"),
+        F.timestamp_add("SECOND", F.lit(gap_s), F.max(ts)).alias("session_end"),
+        F.count(F.lit(1)).alias("n_events")).drop("_sid")
+
+
+def idle_sessions_window(df: DataFrame, key: str, gap: str = "30 minutes", ts: str = "ts") -> DataFrame:
+    """R11 with Spark's ``session_window`` (sort-based; what the streaming
+    form uses).  Same sessions as :func:`idle_sessions`."""
     t = F.col(ts).cast("timestamp")
     w = F.session_window(t, gap)
     return (df.groupBy(key, w.alias("s")).agg(F.count(F.lit(1)).alias("n_events"))

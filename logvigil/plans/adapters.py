@@ -58,27 +58,48 @@ def _base(events: DataFrame, time_scale: int) -> DataFrame:
             .select(F.col("event_id").alias("seq"),
                     F.expr(f"event_id div {BATCH_SIZE}").alias("batch_id"),
                     "user_id", "event_type", "value", "props",
+                    F.col("ts").alias("raw_ts"),
                     scaled_ts("ts", time_scale).alias("ts"))
             .withColumn("k", _k())
             .withColumn("ip", F.concat(F.lit("10.0.0."), (F.col("user_id") % 32).cast("string"))))
 
 
+def _api_cols() -> dict[str, F.Column]:
+    status = (F.when(F.col("event_type") == "error",
+                     F.when(F.col("k") < 50, 401).when(F.col("k") < 75, 403).otherwise(500))
+              .when(F.col("k") >= 98, 503).when(F.col("k") >= 95, 404).otherwise(200))
+    return {
+        "endpoint": _mapped("event_type", API_ENDPOINT_BY_EVENT),
+        "method": F.when(F.col("event_type").isin("view", "click"), "GET").otherwise("POST"),
+        "status_code": status.cast("long"),
+        "response_time": F.col("value") * 10,
+        "payload": F.col("props"),
+        "ip_address": F.col("ip"),
+    }
+
+
+def _web_cols() -> dict[str, F.Column]:
+    user = F.element_at(F.array(*[F.lit(u) for u in WEB_USER_BY_MOD5]),
+                        (F.col("user_id") % 5 + 1).cast("int"))
+    status = (F.when(F.col("event_type") == "error", "failed")
+              .when((F.col("event_type") == "purchase") & (user != "admin"), "unauthorized")
+              .otherwise("success"))
+    return {
+        "event_type": _mapped("event_type", WEB_EVENT_BY_EVENT),
+        "user": user,
+        "source_ip": F.col("ip"),
+        "traffic_type": F.when(F.col("k") < 50, "test").otherwise("real"),
+        "status": status,
+        "response_time": F.col("value") / 100,
+    }
+
+
 def api_log(events: DataFrame, time_scale: int = 1) -> DataFrame:
     """API request log: seq, batch_id, ts, endpoint, method, status_code,
     response_time (ms), payload, ip_address, user_id, k."""
     b = _base(events, time_scale)
-    status = (F.when(F.col("event_type") == "error",
-                     F.when(F.col("k") < 50, 401).when(F.col("k") < 75, 403).otherwise(500))
-              .when(F.col("k") >= 98, 503).when(F.col("k") >= 95, 404).otherwise(200))
-    return b.select(
-        "seq", "batch_id", "ts",
-        _mapped("event_type", API_ENDPOINT_BY_EVENT).alias("endpoint"),
-        F.when(F.col("event_type").isin("view", "click"), "GET").otherwise("POST").alias("method"),
-        status.cast("long").alias("status_code"),
-        (F.col("value") * 10).alias("response_time"),
-        F.col("props").alias("payload"),
-        F.col("ip").alias("ip_address"),
-        "user_id", "k")
+    return b.select("seq", "batch_id", "ts", *[c.alias(n) for n, c in _api_cols().items()],
+                    "user_id", "k")
 
 
 def web_log(events: DataFrame, time_scale: int = 60) -> DataFrame:
@@ -89,26 +110,32 @@ def web_log(events: DataFrame, time_scale: int = 60) -> DataFrame:
     per-second rules (rapid requests, request rates) see realistic traffic.
     """
     b = _base(events, time_scale)
-    user = F.element_at(F.array(*[F.lit(u) for u in WEB_USER_BY_MOD5]),
-                        (F.col("user_id") % 5 + 1).cast("int"))
-    etype = _mapped("event_type", WEB_EVENT_BY_EVENT)
-    status = (F.when(F.col("event_type") == "error", "failed")
-              .when((F.col("event_type") == "purchase") & (user != "admin"), "unauthorized")
-              .otherwise("success"))
-    return b.select(
-        "seq", "batch_id", "ts",
-        etype.alias("event_type"),
-        user.alias("user"),
-        F.col("ip").alias("source_ip"),
-        F.when(F.col("k") < 50, "test").otherwise("real").alias("traffic_type"),
-        status.alias("status"),
-        (F.col("value") / 100).alias("response_time"),
-        "user_id", "k")
+    return b.select("seq", "batch_id", "ts", *[c.alias(n) for n, c in _web_cols().items()],
+                    "user_id", "k")
+
+
+API_SIDE = ["api_ts", "endpoint", "status_code", "api_response_time"]
+
+
+def web_with_api(events: DataFrame, time_scale: int = 60) -> DataFrame:
+    """The web log plus the API view of the same events row (``api_ts``
+    unscaled, ``endpoint``, ``status_code``, ``api_response_time`` in ms), from
+    one scan: rules computed on the web form and metrics on the API form then
+    need no self-join on seq."""
+    b = _base(events, time_scale)
+    api = _api_cols()
+    return b.select("seq", "batch_id", "ts", *[c.alias(n) for n, c in _web_cols().items()],
+                    "user_id", "k", F.col("raw_ts").alias("api_ts"), api["endpoint"].alias("endpoint"),
+                    api["status_code"].alias("status_code"),
+                    api["response_time"].alias("api_response_time"))
+
+
+def pattern_type() -> F.Column:
+    """The traffic generator's user pattern of an events row."""
+    m = F.col("user_id") % 10
+    return F.when(m == 8, "bot").when(m == 9, "attacker").otherwise("normal_user")
 
 
 def ip_patterns(events: DataFrame) -> DataFrame:
     """Per-request user pattern of the traffic generator (normal_user/bot/attacker)."""
-    m = F.col("user_id") % 10
-    return events.select(
-        F.col("event_id").alias("seq"),
-        F.when(m == 8, "bot").when(m == 9, "attacker").otherwise("normal_user").alias("pattern_type"))
+    return events.select(F.col("event_id").alias("seq"), pattern_type().alias("pattern_type"))

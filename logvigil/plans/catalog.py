@@ -52,12 +52,19 @@ def _web_feats(spark, sf):
     return features.web_features(_web(spark, sf), batch="batch_id")
 
 
+RAW_WEB = ("seq", "ts", "event_type", "user", "source_ip", "traffic_type", "status")
+
+
 def _rule_scored_api(spark, sf):
     """API rows with is_anomaly from the web rules of the same event and a
-    score derived from the response time (oracle-checkable stand-in)."""
-    flags = rules.rule_anomalies(_web_feats(spark, sf)).select("seq", "is_anomaly")
-    return (_api(spark, sf).join(flags, "seq")
-            .withColumn("anomaly_score", -F.col("response_time") / ANOMALY_SCORE_DIVISOR))
+    score derived from the response time (oracle-checkable stand-in).  Both
+    forms come from one scan, carried through the feature windows."""
+    both = A.web_with_api(_events(spark, sf), TIME_SCALE)
+    feats = features.web_features(both, keep=("seq", *A.API_SIDE))
+    return rules.rule_anomalies(feats).select(
+        "seq", "batch_id", F.col("api_ts").alias("ts"), "endpoint", "status_code",
+        F.col("api_response_time").alias("response_time"), "is_anomaly",
+        (-F.col("api_response_time") / ANOMALY_SCORE_DIVISOR).alias("anomaly_score"))
 
 
 def _decisions(spark, sf, max_rate=TEST_MAX_RATE):
@@ -69,9 +76,9 @@ def _limits(spark, sf):
 
 
 def _risk(spark, sf):
-    api = _api(spark, sf, TIME_SCALE)
+    api = _api(spark, sf, TIME_SCALE).withColumn("pattern_type", A.pattern_type())
     blocks = response.block_list(response.block_decisions(api, max_rate=TEST_MAX_RATE))
-    act = metrics.ip_activity(api, A.ip_patterns(_events(spark, sf)))
+    act = metrics.ip_activity(api)
     return response.blocked_ip_risk(blocks, act)
 
 
@@ -184,8 +191,8 @@ def q_auth_validation(spark, sf):
 
 @query
 def q_anomalous_rows(spark, sf):
-    flags = rules.rule_anomalies(_web_feats(spark, sf)).where("is_anomaly").select("seq")
-    return _web(spark, sf).join(flags, "seq", "left_semi").select(
+    feats = features.web_features(_web(spark, sf), keep=RAW_WEB)
+    return rules.rule_anomalies(feats).where("is_anomaly").select(
         "seq", "ts", "event_type", "user", "source_ip", "status", "response_time")
 
 
@@ -255,7 +262,8 @@ def q_traffic_totals(spark, sf):
 
 @query
 def q_ip_activity(spark, sf):
-    return metrics.ip_activity(_api(spark, sf, TIME_SCALE), A.ip_patterns(_events(spark, sf)))
+    return metrics.ip_activity(_api(spark, sf, TIME_SCALE).withColumn("pattern_type",
+                                                                      A.pattern_type()))
 
 
 @query
@@ -347,12 +355,8 @@ def q_rule_anomalies(spark, sf):
 
 
 def _alerts(spark, sf):
-    flagged = rules.rule_anomalies(_web_feats(spark, sf)).where("is_anomaly")
-    enriched = _web(spark, sf).select("seq", "ts", "event_type", "user", "source_ip",
-                                      "traffic_type", "status") \
-        .join(flagged.select("seq", "response_time", "is_failed_login", "user_attempts",
-                             "is_admin_action"), "seq")
-    return rules.alert_reasons(enriched)
+    feats = features.web_features(_web(spark, sf), keep=RAW_WEB)
+    return rules.alert_reasons(rules.rule_anomalies(feats).where("is_anomaly"))
 
 
 @query
@@ -430,7 +434,7 @@ def q_active_sessions(spark, sf):
 
 @query
 def q_idle_sessions(spark, sf):
-    return response.idle_sessions(_events(spark, sf), "user_id")
+    return response.idle_sessions(_events(spark, sf), "user_id", order="event_id")
 
 
 # -------------------------------------------------- anomaly detection (§2.7)
@@ -482,8 +486,10 @@ def q_batch_iforest(spark, sf):
                                      contamination=API_CONTAMINATION, seed=FOREST_SEED)
 
 
-def _hybrid(spark, sf):
-    feats, model = _web_forest(spark, sf, WEB_CONTAMINATION)
+def _hybrid(spark, sf, keep=("seq",)):
+    feats = features.web_features(_web(spark, sf), keep=keep)
+    model = iforest.fit(feats, features.WEB_FEATURES, trees=FOREST_TREES, psi=FOREST_PSI,
+                        seed=FOREST_SEED, contamination=WEB_CONTAMINATION)
     flagged = iforest.predict(feats, model, out="forest_anomaly")
     return rules.hybrid_anomalies(flagged)
 
@@ -506,10 +512,6 @@ def q_base_detector(spark, sf):
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Hybrid detection (forest OR rules) with explained alerts."""
-    flagged = _hybrid(spark, sf).where("is_anomaly")
-    enriched = _web(spark, sf).select("seq", "ts", "event_type", "user", "source_ip",
-                                      "traffic_type", "status") \
-        .join(flagged.select("seq", "response_time", "is_failed_login", "user_attempts",
-                             "is_admin_action"), "seq")
-    return rules.alert_records(rules.alert_reasons(enriched),
+    flagged = _hybrid(spark, sf, keep=RAW_WEB).where("is_anomaly")
+    return rules.alert_records(rules.alert_reasons(flagged),
                                detail_cols=["event_type", "user", "source_ip", "status"])

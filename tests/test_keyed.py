@@ -46,3 +46,12 @@ def test_key_counts_and_first(spark):
         "first_t", F.first("t").over(w.orderBy("seq")))
     assert sorted(got.select("seq", "n", "first_t").collect()) == sorted(
         exp.select("seq", "n", "first_t").collect())
+
+
+def test_idle_sessions_chunked_equals_session_window(spark):
+    from logvigil.operators import response
+    from conftest import SF0001
+    ev = spark.read.parquet(f"{SF0001}/events.parquet")
+    a = response.idle_sessions(ev, "user_id", order="event_id", chunk_rows=97)
+    b = response.idle_sessions_window(ev, "user_id")
+    assert sorted(a.collect()) == sorted(b.collect())

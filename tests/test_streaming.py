@@ -99,5 +99,6 @@ def test_monitor_alerts_and_session_expiry(spark, tmpdir_path):
     s.processAllAvailable()
     s.stop()
     n = spark.sql("select count(*) from sess").first()[0]
-    total = response.idle_sessions(A.read_events(spark, SF0001), "user_id").count()
+    total = response.idle_sessions(A.read_events(spark, SF0001), "user_id",
+                                   order="event_id").count()
     assert 0 < n <= total
