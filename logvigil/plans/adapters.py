@@ -130,6 +130,13 @@ def web_with_api(events: DataFrame, time_scale: int = 60) -> DataFrame:
                     api["response_time"].alias("api_response_time"))
 
 
+def events_where(events: DataFrame, mapping: dict, value: str) -> DataFrame:
+    """Restrict events to those whose mapped column equals ``value``, stated on
+    the raw ``event_type`` so the predicate reaches the parquet scan."""
+    raw = [k for k, v in mapping.items() if v == value]
+    return events.where(F.col("event_type").isin(*raw))
+
+
 def pattern_type() -> F.Column:
     """The traffic generator's user pattern of an events row."""
     m = F.col("user_id") % 10

@@ -153,7 +153,8 @@ def q_client_ip_traffic(spark, sf):
 
 @query
 def q_admin_authorization(spark, sf):
-    web = _web(spark, sf).where(F.col("event_type") == "admin_action")
+    ev = A.events_where(_events(spark, sf), A.WEB_EVENT_BY_EVENT, "admin_action")
+    web = A.web_log(ev, TIME_SCALE).where(F.col("event_type") == "admin_action")
     return validation.admin_authorization(web).select("seq", "user", "auth_status", "http_status")
 
 
@@ -175,7 +176,8 @@ def auth_payload(k: F.Column) -> F.Column:
 
 @query
 def q_payload_validation(spark, sf):
-    api = (_api(spark, sf).where(F.col("endpoint") == "/api/products")
+    ev = A.events_where(_events(spark, sf), A.API_ENDPOINT_BY_EVENT, "/api/products")
+    api = (A.api_log(ev).where(F.col("endpoint") == "/api/products")
            .withColumns({"payload": product_payload(F.col("k")),
                          "authenticated": F.col("k") % 2 == 0}))
     return validation.payload_validation(api).select("seq", "method", "validated_status")
@@ -183,7 +185,8 @@ def q_payload_validation(spark, sf):
 
 @query
 def q_auth_validation(spark, sf):
-    api = _api(spark, sf).where(F.col("endpoint") == "/api/auth") \
+    ev = A.events_where(_events(spark, sf), A.API_ENDPOINT_BY_EVENT, "/api/auth")
+    api = A.api_log(ev).where(F.col("endpoint") == "/api/auth") \
         .withColumn("payload", auth_payload(F.col("k")))
     creds = spark.createDataFrame(API_CREDENTIALS, "username string, password string")
     return validation.auth_validation(api, creds).select("seq", "username", "auth_status_code")
