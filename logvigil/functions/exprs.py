@@ -108,3 +108,12 @@ def uniform_hash(tag: Column) -> Column:
     Recomputing a lost partition gives the same draw, unlike ``rand()``.
     """
     return F.conv(F.substring(F.md5(tag), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def exact_avg_bounded(c, micro: float = 1e6) -> Column:
+    """Mean over a group of bounded size (e.g. a 1000-row history) via an
+    exact 64-bit sum of values in micro-units: as deterministic as
+    :func:`exact_avg` at long-arithmetic speed.  Only for bounded groups --
+    the long sum would overflow on unbounded ones."""
+    return F.try_divide(F.sum(F.round(col(c) * micro, 0).cast("long")).cast("double"),
+                        F.count(col(c))) / micro

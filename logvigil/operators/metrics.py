@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvigil.functions.exprs import exact_avg, round_dp, flag, is_error, pct_1dp, round6
+from logvigil.functions.exprs import exact_avg, exact_avg_bounded, round_dp, flag, is_error, pct_1dp, round6
 from logvigil.schemas import (ENDPOINT_INITIAL_RT, ENDPOINT_INITIAL_STATUS,
                               ENDPOINT_METHODS, ENDPOINT_PATHS)
 
@@ -172,7 +172,7 @@ def endpoint_baseline(api: DataFrame, window_rows: int = 1000, batch_size: int =
     exploded = api.select(F.explode(F.sequence(b_lo, b_hi)).alias("batch_id"),
                           "endpoint", "response_time")
     r = round6 if rounded else (lambda c: c)
-    mean = exact_avg("response_time") if exact_mean else F.avg("response_time")
+    mean = exact_avg_bounded("response_time") if exact_mean else F.avg("response_time")
     base = exploded.groupBy("batch_id", "endpoint").agg(
         r(mean).alias("baseline_mean"),
         r(F.stddev_samp("response_time")).alias("baseline_std"),

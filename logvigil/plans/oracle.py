@@ -189,7 +189,7 @@ reg("web_features", with_(WEB, WEB_FEATS) + "SELECT * FROM web_feats")
 
 API_BASELINE = """pairs AS (SELECT DISTINCT batch_id, endpoint FROM api),
 baseline AS (
-  SELECT p.batch_id, p.endpoint, CAST(SUM(CAST(a.response_time AS DECIMAL(38,9))) AS DOUBLE) / COUNT(a.response_time) AS baseline_mean,
+  SELECT p.batch_id, p.endpoint, CAST(SUM(CAST(round(a.response_time * 1e6) AS BIGINT)) AS DOUBLE) / COUNT(a.response_time) / 1e6 AS baseline_mean,
     stddev_samp(a.response_time) AS baseline_std, COUNT(*) AS baseline_rows
   FROM pairs p JOIN api a ON a.endpoint = p.endpoint
     AND a.seq > p.batch_id * 30 + 29 - 1000 AND a.seq <= p.batch_id * 30 + 29
