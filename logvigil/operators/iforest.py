@@ -6,9 +6,10 @@ MLlib has no isolation forest, so this is the one custom algorithm:
   ``md5(tag)`` / 2^32.  A retried task, another partitioning or a SQL engine
   computes the same draws, so fits are reproducible and checkable.
 * **Sampling** (fit): one md5 per row, ``h = md5(seed:row)``, gives three
-  32-bit words: ``a`` (pool draw), ``ka`` and ``kb``.  A Bernoulli pool
-  ``a / 2^32 < p`` with ``p = min(1, 4 * trees * psi / n)`` cuts the data to
-  ~4·trees·psi rows in one scan.  Tree t ranks pool rows by
+  32-bit words: ``a`` (pool draw), ``ka`` and ``kb``.  The pool is the
+  K = 4·trees·psi rows with the smallest ``a`` -- a distributed top-K (each
+  task keeps K rows), so no row count and no full shuffle are needed.
+  Tree t ranks pool rows by
   ``u_t = ((ka + t * kb) mod 2^32) / 2^32`` -- uniform over rows for each tree,
   pairwise independent across trees, integer arithmetic only -- and keeps the
   ``psi`` smallest among its candidates ``u_t < q`` (~4·psi expected); a tree
@@ -43,6 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logvigil.functions.exprs import uniform_hash
+from logvigil.functions.partitioning import groups_partitions, spread
 
 EULER_GAMMA = 0.5772156649015329
 FIXED_POINT = 4294967296  # 2^32 path-length units per unit of depth
@@ -307,17 +309,6 @@ def _exact_quantile(base: DataFrame, q: float, accuracy: int) -> float | None:
 
 
 # --------------------------------------------------------------- M2 fit
-def sampling_rates(n: int, trees: int, psi: int) -> tuple[int, float, float]:
-    """(psi_eff, pool rate p, per-tree candidate rate q).
-
-    The pool keeps ~4·trees·psi rows; each tree then considers the pool rows
-    with ``U(seed:tree:row) < q`` (~4·psi expected) and keeps the psi smallest."""
-    psi_eff = max(1, min(psi, n))
-    p = min(1.0, POOL_OVERSAMPLE * trees * psi_eff / n) if n else 1.0
-    q = 1.0 / trees if p < 1.0 else min(1.0, POOL_OVERSAMPLE * psi_eff / n) if n else 1.0
-    return psi_eff, p, q
-
-
 def row_words(seed: int, row_id: F.Column) -> tuple[F.Column, F.Column, F.Column]:
     """(pool draw in [0,1), ka, kb) from md5(seed:row)."""
     h = F.md5(F.concat(F.lit(f"{seed}:"), row_id.cast("string")))
@@ -357,14 +348,22 @@ def _with_words(df: DataFrame, features: list[str], seed: int, row_id: str) -> D
 
 
 def sample_for_trees(df: DataFrame, features: list[str], trees: int, psi: int, seed: int,
-                     row_id: str = "seq", n: int | None = None) -> tuple[DataFrame, int, int]:
-    """Per-tree samples as rows (tree, row_id, features...), plus n and psi_eff
-    (see the module notes for the draws)."""
-    n = df.count() if n is None else n
-    psi_eff, p, q = sampling_rates(n, trees, psi)
+                     row_id: str = "seq") -> DataFrame:
+    """Per-tree samples as rows (tree, row_id, features..., _pn) where _pn is
+    the pool size (see the module notes for the draws)."""
+    k = POOL_OVERSAMPLE * trees * psi
     base = _with_words(df, features, seed, row_id)
-    pool = base.where(F.col("_a") < F.lit(p)) if p < 1.0 else base
-    return _ranked(pool, None, trees, q, psi_eff), n, psi_eff
+    pool = base.orderBy("_a", "row_id").limit(k)
+    # pool size as a column: a one-row aggregate of the bounded pool
+    pool = pool.crossJoin(F.broadcast(pool.agg(F.count(F.lit(1)).alias("_pn"))))
+    psi_e = F.least(F.lit(psi).cast("long"), F.col("_pn"))
+    q = F.least(F.lit(1.0), (F.lit(POOL_OVERSAMPLE) * psi_e).cast("double") / F.col("_pn"))
+    from pyspark.sql import Window
+    pairs = pool.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "*") \
+        .withColumn("_u", tree_draw(F.col("tree"))).where(F.col("_u") < q)
+    w = Window.partitionBy("tree").orderBy("_u", "row_id")
+    return pairs.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= psi_e) \
+        .drop("_u", "_rk", "_ka", "_kb", "_a")
 
 
 def _short_trees(nodes: pd.DataFrame, trees: int, psi_eff: int) -> list[int]:
@@ -382,38 +381,42 @@ def fit(df: DataFrame, features: list[str], trees: int = 100, psi: int = 256, se
     score threshold (the quantile of the training scores)."""
     src = df
     mean = std = None
-    n = None
-    if scale_features:  # row count and scaler statistics in one pass
-        stats = fit_scaler(df, features).crossJoin(df.agg(F.count(F.lit(1)).alias("__n"))).first()
-        n = int(stats["__n"])
+    if scale_features:
+        stats = fit_scaler(df, features).first()
         mean = [float(stats[f"{f}__mean"] or 0.0) for f in features]
         std = [float(stats[f"{f}__std"]) for f in features]
         src = df.withColumns({f: (F.col(f) - F.lit(m)) / F.lit(s)
                               for f, m, s in zip(features, mean, std)})
-    samp, n, psi_eff = sample_for_trees(src, features, trees, psi, seed, row_id, n=n)
-    depth = max_depth_for(psi_eff)
-    n_nodes = 2 ** (depth + 1)
+    samp = sample_for_trees(src, features, trees, psi, seed, row_id)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id")
         t = int(pdf["tree"].iloc[0])
+        psi_eff = int(min(psi, pdf["_pn"].iloc[0]))
+        depth = max_depth_for(psi_eff)
+        n_nodes = 2 ** (depth + 1)
         X = pdf[features].to_numpy(dtype=np.float64)[None, :, :]
         fo = build_forest(X, seed, (t,), depth, psi_eff)
         nodes = np.arange(n_nodes)
         keep = (fo.size[0] > 0) | (fo.feature[0] >= 0)
         return pd.DataFrame({"tree": t, "node": nodes[keep].astype(np.int32),
                              "feature": fo.feature[0][keep].astype(np.int32),
-                             "threshold": fo.threshold[0][keep], "size": fo.size[0][keep]})
-
-    nodes = samp.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
+                             "threshold": fo.threshold[0][keep], "size": fo.size[0][keep],
+                             "psi": psi_eff})
+
+    grow_schema = NODE_SCHEMA + ", psi long"
+    nodes = samp.groupBy("tree").applyInPandas(grow, grow_schema).toPandas()
+    if nodes.empty:
+        raise ValueError("cannot fit a forest on an empty frame")
+    psi_eff = int(nodes["psi"].iloc[0])
+    depth = max_depth_for(psi_eff)
     short = _short_trees(nodes, trees, psi_eff)
     if short:  # exact fallback: rank every row for the few short trees
-        resamp = _ranked(_with_words(src, features, seed, row_id), short, trees, 1.0, psi_eff)
-        redo = resamp.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
+        resamp = _ranked(_with_words(src, features, seed, row_id), short, trees, 1.0, psi_eff) \
+            .withColumn("_pn", F.lit(psi_eff).cast("long"))
+        redo = resamp.groupBy("tree").applyInPandas(grow, grow_schema).toPandas()
         nodes = pd.concat([nodes[~nodes["tree"].isin(short)], redo], ignore_index=True)
     forest = forest_from_nodes(nodes, trees, depth, psi_eff)
-    model = ForestModel(list(features), forest, seed, contamination, None, mean, std,
-                        {"n_train": n})
+    model = ForestModel(list(features), forest, seed, contamination, None, mean, std, {})
     if contamination is not None:
         scored = score(df, model, row_id=row_id)
         model.offset = exact_quantile(scored, "score", contamination)
@@ -447,7 +450,7 @@ def score(df: DataFrame, model: ForestModel, out: str = "score", row_id: str = "
         X = np.column_stack([c.to_numpy(dtype=np.float64, na_value=0.0) for c in cols])
         return pd.Series(score_matrix(m.forest, m.transform_matrix(X)))
 
-    return df.withColumn(out, _score(*[F.col(f).cast("double") for f in model.features]))
+    return spread(df).withColumn(out, _score(*[F.col(f).cast("double") for f in model.features]))
 
 
 def predict(df: DataFrame, model: ForestModel, out: str = "is_anomaly",
@@ -505,6 +508,7 @@ def fit_score_batches(df: DataFrame, features: list[str], batch: str = "batch_id
         return pd.concat(outs, ignore_index=True)
 
     schema = f"{seq} long, {batch} long, score double, is_anomaly boolean"
+    d = d.repartition(groups_partitions(d), "_grp")
     return d.groupBy("_grp").applyInPandas(per_group, schema)
 
 

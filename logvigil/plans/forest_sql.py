@@ -40,12 +40,10 @@ def forest_ctes(source: str, features: list[str], trees: int, psi_max_depth: tup
         f"fx0 AS (SELECT {row_id} AS row_id, {xs} FROM {source})",
         f"fx AS (SELECT *, {_word(tag, 0)} / 4294967296.0::DOUBLE AS wa, {_word(tag, 1)} AS ka, "
         f"{_word(tag, 2)} AS kb FROM fx0)",
-        f"fn AS (SELECT COUNT(*) AS n, LEAST({psi}, COUNT(*)) AS psi_eff FROM fx)",
-        "fp AS (SELECT LEAST(1.0::DOUBLE, CAST("
-        f"{POOL_OVERSAMPLE} * {trees} * psi_eff AS DOUBLE) / n) AS p, CASE WHEN LEAST(1.0::DOUBLE, "
-        f"CAST({POOL_OVERSAMPLE} * {trees} * psi_eff AS DOUBLE) / n) < 1.0 THEN 1.0::DOUBLE / {trees} "
-        f"ELSE LEAST(1.0::DOUBLE, CAST({POOL_OVERSAMPLE} * psi_eff AS DOUBLE) / n) END AS q FROM fn)",
-        "fpool AS (SELECT fx.* FROM fx, fp WHERE fp.p >= 1.0 OR fx.wa < fp.p)",
+        f"fpool AS (SELECT * FROM fx ORDER BY wa, row_id LIMIT {POOL_OVERSAMPLE * trees * psi})",
+        f"fn AS (SELECT COUNT(*) AS n, LEAST({psi}, COUNT(*)) AS psi_eff FROM fpool)",
+        f"fp AS (SELECT 0 AS p, LEAST(1.0::DOUBLE, CAST({POOL_OVERSAMPLE} * psi_eff AS DOUBLE) / n) "
+        f"AS q FROM fn)",
         f"fpair AS (SELECT CAST(t.tree AS BIGINT) AS tree, p.*, "
         f"CAST((p.ka + t.tree * p.kb) % 4294967296 AS DOUBLE) / 4294967296.0::DOUBLE AS u "
         f"FROM fpool p CROSS JOIN range({trees}) t(tree))",
