@@ -35,7 +35,6 @@ import json
 import math
 import os
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -70,27 +69,38 @@ def max_depth_for(psi: int) -> int:
     return int(math.ceil(math.log2(max(psi, 2))))
 
 
-@lru_cache(maxsize=32)
+_DRAWS: dict = {}
+_UNITS: dict = {}
+
+
 def draw_tables(seed: int, tree_ids: tuple[int, ...], n_nodes: int) -> tuple[np.ndarray, np.ndarray]:
     """Feature and threshold draws per (tree, node): ``U(f:seed:tree:node)``
-    and ``U(s:seed:tree:node)`` for node 1 .. n_nodes - 1."""
+    and ``U(s:seed:tree:node)`` for node 1 .. n_nodes - 1 (cached per worker)."""
+    key = (seed, tree_ids, n_nodes)
+    if key in _DRAWS:
+        return _DRAWS[key]
     uf = np.zeros((len(tree_ids), n_nodes))
     us = np.zeros((len(tree_ids), n_nodes))
     for i, t in enumerate(tree_ids):
         for node in range(1, n_nodes):
             uf[i, node] = u_hash(f"f:{seed}:{t}:{node}")
             us[i, node] = u_hash(f"s:{seed}:{t}:{node}")
+    if len(_DRAWS) > 64:
+        _DRAWS.clear()
+    _DRAWS[key] = (uf, us)
     return uf, us
 
 
-@lru_cache(maxsize=32)
 def leaf_units(max_size: int, max_depth: int) -> np.ndarray:
     """Fixed-point path length ``depth * 2^32 + floor(c(size) * 2^32)`` as a
-    table [depth, size]."""
+    table [depth, size] (cached per worker)."""
+    if (max_size, max_depth) in _UNITS:
+        return _UNITS[(max_size, max_depth)]
     out = np.zeros((max_depth + 1, max_size + 1), dtype=np.int64)
     for d in range(max_depth + 1):
         for s in range(max_size + 1):
             out[d, s] = d * FIXED_POINT + math.floor(c_factor(s) * FIXED_POINT)
+    _UNITS[(max_size, max_depth)] = out
     return out
 
 
@@ -442,13 +452,18 @@ def score(df: DataFrame, model: ForestModel, out: str = "score", row_id: str = "
     columns cross to Python, in Arrow batches; the forest travels once per
     executor as a broadcast variable."""
     spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(model)
+    fo = model.forest
+    # plain arrays only: broadcast values are pickled by reference-free pickle
+    bc = spark.sparkContext.broadcast((fo.feature, fo.threshold, fo.size, fo.psi, fo.max_depth,
+                                       model.scale_mean, model.scale_std))
 
     @F.pandas_udf(T.DoubleType())
     def _score(*cols: pd.Series) -> pd.Series:
-        m = bc.value
+        feature, threshold, size, psi, depth, mean, std = bc.value
         X = np.column_stack([c.to_numpy(dtype=np.float64, na_value=0.0) for c in cols])
-        return pd.Series(score_matrix(m.forest, m.transform_matrix(X)))
+        if mean is not None:
+            X = (X - np.asarray(mean)) / np.asarray(std)
+        return pd.Series(score_matrix(Forest(feature, threshold, size, psi, depth), X))
 
     return spread(df).withColumn(out, _score(*[F.col(f).cast("double") for f in model.features]))
 

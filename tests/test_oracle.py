@@ -33,3 +33,24 @@ def test_query_matches_oracle(spark, con, name):
         return
     odf = con.sql(SQL[name]).df()
     assert compare(sdf, odf) == []
+
+
+def test_python_workers_need_no_install(tmp_path):
+    """The driver may run from any folder: UDF code must reach the Python
+    workers by value (no logvigil on their path)."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false')"
+        ".config('spark.ui.showConsoleProgress', 'false').getOrCreate()\n"
+        "import __spark_entry__ as E\n"
+        "print('ROWS', E.entry(s).count(), E.queries()['batch_iforest'](s, "
+        f"{SF0001!r}).count(), flush=True)\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-u", "-c", code], cwd=tmp_path, env=env,
+                         capture_output=True, text=True, timeout=600)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
