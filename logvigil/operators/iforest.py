@@ -263,11 +263,11 @@ def fit_scaler(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def transform_scaler(df: DataFrame, stats: DataFrame, features: list[str]) -> DataFrame:
-    """M1 transform: ``(x - mean) / std``.  ``stats`` is exactly one row, so the
-    broadcast join is one row per task, no pairing."""
-    j = df.join(F.broadcast(stats), how="cross")
-    return j.withColumns({f: (F.col(f) - F.col(f"{f}__mean")) / F.col(f"{f}__std")
-                          for f in features}).drop(*stats.columns)
+    """M1 transform: ``(x - mean) / std`` with the fitted statistics (one row,
+    2 numbers per feature) inlined as literals -- a projection, no join."""
+    row = stats.first()
+    return df.withColumns({f: (F.col(f) - F.lit(row[f"{f}__mean"])) / F.lit(row[f"{f}__std"])
+                           for f in features})
 
 
 def scale(df: DataFrame, features: list[str]) -> DataFrame:
@@ -364,8 +364,9 @@ def sample_for_trees(df: DataFrame, features: list[str], trees: int, psi: int, s
     k = POOL_OVERSAMPLE * trees * psi
     base = _with_words(df, features, seed, row_id)
     pool = base.orderBy("_a", "row_id").limit(k)
-    # pool size as a column: a one-row aggregate of the bounded pool
-    pool = pool.crossJoin(F.broadcast(pool.agg(F.count(F.lit(1)).alias("_pn"))))
+    from pyspark.sql import Window
+    # pool size as a column; the top-K already sits in one partition of <= K rows
+    pool = pool.withColumn("_pn", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
     psi_e = F.least(F.lit(psi).cast("long"), F.col("_pn"))
     q = F.least(F.lit(1.0), (F.lit(POOL_OVERSAMPLE) * psi_e).cast("double") / F.col("_pn"))
     from pyspark.sql import Window

@@ -129,15 +129,22 @@ def rate_limit_view(api: DataFrame, now, ip: str = "ip_address",
 def security_summary(risk: DataFrame, limits: DataFrame, recent_s: int = RECENT_S) -> DataFrame:
     """Dashboard counters.  ``tracked_ips`` is every IP with rate-limit
     state (the reference labels it 'rate limited')."""
-    r = risk.agg(F.count_if(F.col("risk_level") == "high").alias("high_risk_count"),
-                 F.count_if(F.col("risk_level") == "medium").alias("medium_risk_count"))
-    lim = limits.agg(
-        F.count(F.lit(1)).alias("tracked_ips"),
-        F.count_if(F.col("last_activity_ago_s") < recent_s).alias("recent_active_ips"),
-        F.coalesce(F.sum("warnings"), F.lit(0)).cast("long").alias("suspicious_auth_count"),
-        F.count_if(F.col("warnings") > 0).alias("failed_login_ips"))
-    # two one-row aggregates side by side (each is exactly one row)
-    return r.crossJoin(lim)
+    cols = ["high_risk_count", "medium_risk_count", "tracked_ips", "recent_active_ips",
+            "suspicious_auth_count", "failed_login_ips"]
+    zero = F.lit(0).cast("long")
+    r = risk.select(
+        (F.col("risk_level") == "high").cast("long").alias("high_risk_count"),
+        (F.col("risk_level") == "medium").cast("long").alias("medium_risk_count"),
+        *[zero.alias(c) for c in cols[2:]])
+    lim = limits.select(
+        *[zero.alias(c) for c in cols[:2]],
+        F.lit(1).cast("long").alias("tracked_ips"),
+        (F.col("last_activity_ago_s") < recent_s).cast("long").alias("recent_active_ips"),
+        F.coalesce(F.col("warnings"), zero).cast("long").alias("suspicious_auth_count"),
+        (F.col("warnings") > 0).cast("long").alias("failed_login_ips"))
+    # one global aggregate over both inputs: exactly one row, no join
+    return r.unionByName(lim).agg(*[F.coalesce(F.sum(c), zero).cast("long").alias(c)
+                                    for c in cols])
 
 
 def rate_over_threshold(limits: DataFrame, now, threshold: float = 50.0) -> DataFrame:
