@@ -55,3 +55,26 @@ def test_idle_sessions_chunked_equals_session_window(spark):
     a = response.idle_sessions(ev, "user_id", order="event_id", chunk_rows=97)
     b = response.idle_sessions_window(ev, "user_id")
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(keys=st.lists(st.sampled_from(["a", "a", "a", "b", "c", None]), min_size=1, max_size=60),
+       gaps=st.lists(st.integers(min_value=1, max_value=4), min_size=60, max_size=60),
+       chunk=st.integers(min_value=1, max_value=25))
+def test_chunked_windows_property(spark, keys, gaps, chunk):
+    seqs, s = [], 0
+    for g in gaps[:len(keys)]:
+        s += g
+        seqs.append(s)
+    df = spark.createDataFrame([(q, k, q * 3 % 11) for q, k in zip(seqs, keys)],
+                               "seq long, k string, v long")
+    got = keyed.running_sums(df, "k", {"c": F.col("v")}, chunk_rows=chunk)
+    got = keyed.previous_value(got, "k", "p", F.col("v"), chunk_rows=chunk)
+    w = Window.partitionBy("k").orderBy("seq")
+    exp = df.withColumn("c", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
+            .withColumn("p", F.lag("v").over(w))
+    assert sorted(got.select("seq", "c", "p").collect()) == sorted(exp.select("seq", "c", "p").collect())
