@@ -59,8 +59,10 @@ def read_log_array(spark: SparkSession, path: str, record: T.StructType = API_LO
 def with_dense_seq(df: DataFrame, order_cols: list[str], name: str = "seq") -> DataFrame:
     """Dense arrival number 0..n-1 in ``order_cols`` order, without pulling
     all rows into one task: a range-partitioned sort, then per-partition
-    offsets (zipWithIndex)."""
-    ordered = df.orderBy(*order_cols)
+    offsets (zipWithIndex).  A hash of the whole row breaks ties, so a
+    recomputed partition numbers its rows the same way (only identical rows
+    can still tie, and they are interchangeable)."""
+    ordered = df.orderBy(*order_cols, F.xxhash64(*df.columns))
     schema = T.StructType([*ordered.schema.fields, T.StructField(name, T.LongType(), False)])
     rdd = ordered.rdd.zipWithIndex().map(lambda p: (*p[0], p[1]))
     return df.sparkSession.createDataFrame(rdd, schema)
