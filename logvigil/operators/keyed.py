@@ -33,21 +33,34 @@ def _join_back(df: DataFrame, small: DataFrame, key: str) -> DataFrame:
 
 
 def running_sums(df: DataFrame, key: str, sums: dict[str, Column], seq: str = "seq",
-                 chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                 chunk_rows: int = DEFAULT_CHUNK_ROWS,
+                 firsts: dict[str, Column] | None = None) -> DataFrame:
     """Add, per output name, the running sum of a numeric expression over the
-    rows of the same ``key`` up to and including the current row (by ``seq``)."""
+    rows of the same ``key`` up to and including the current row (by ``seq``).
+
+    ``firsts`` adds, per name, the expression's value on the key's first row;
+    it travels in the same small per-(key, chunk) table as the offsets, so no
+    extra join (and no shuffle of the large side by the bare key) is needed."""
+    firsts = firsts or {}
     d = _with_chunk(df, seq, chunk_rows)
     w = Window.partitionBy(key, _CH).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     for name, expr in sums.items():
         d = d.withColumn(f"_v_{name}", expr).withColumn(f"_l_{name}", F.sum(f"_v_{name}").over(w))
-    tot = d.groupBy(key, _CH).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    for name, expr in firsts.items():
+        d = d.withColumn(f"_fv_{name}", expr)
+    tot = d.groupBy(key, _CH).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
+                                  *[F.min_by(f"_fv_{n}", F.col(seq)).alias(f"_ft_{n}")
+                                    for n in firsts])
     prev = Window.partitionBy(key).orderBy(_CH).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(key).orderBy(_CH).rowsBetween(Window.unboundedPreceding, 0)
     off = tot.select(key, _CH, *[F.coalesce(F.sum(f"_t_{n}").over(prev), F.lit(0)).alias(f"_o_{n}")
-                                 for n in sums])
+                                 for n in sums],
+                     *[F.first(f"_ft_{n}").over(upto).alias(n) for n in firsts])
     out = _join_back(d, off, key)
     for n in sums:
         out = out.withColumn(n, F.col(f"_l_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0)))
-    return out.drop(_CH, *[f"_{p}_{n}" for n in sums for p in ("v", "l", "o")])
+    return out.drop(_CH, *[f"_{p}_{n}" for n in sums for p in ("v", "l", "o")],
+                    *[f"_fv_{n}" for n in firsts])
 
 
 def running_max(df: DataFrame, key: str, name: str, expr: Column, seq: str = "seq",
@@ -78,20 +91,29 @@ def previous_value(df: DataFrame, key: str, name: str, expr: Column, seq: str =
             .drop(_CH, "_v", "_lag", "_rn", "_o"))
 
 
-def key_first(df: DataFrame, key: str, name: str, expr: Column, seq: str = "seq") -> DataFrame:
-    """Attach the value of ``expr`` on the key's first row (by seq) to every row:
-    a partial-aggregated ``min_by`` per key joined back (small side broadcast
-    by AQE when the key count allows)."""
-    first = df.groupBy(key).agg(F.min_by(expr, F.col(seq)).alias(name))
-    return df.join(first, df[key].eqNullSafe(first[key]), "left").drop(first[key])
+def key_first(df: DataFrame, key: str, name: str, expr: Column, seq: str = "seq",
+              chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """Attach the value of ``expr`` on the key's first row (by seq) to every row.
+
+    First per (key, chunk), then the earliest chunk's value per key over the
+    small chunk table, joined back on (key, chunk): the large side is never
+    shuffled by the bare key."""
+    d = _with_chunk(df, seq, chunk_rows).withColumn("_fv", expr)
+    per = d.groupBy(key, _CH).agg(F.min_by("_fv", F.col(seq)).alias("_ft"))
+    w = Window.partitionBy(key).orderBy(_CH).rowsBetween(Window.unboundedPreceding, 0)
+    small = per.select(key, _CH, F.first("_ft").over(w).alias(name))
+    return _join_back(d, small, key).drop(_CH, "_fv")
 
 
-def key_counts(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> DataFrame:
-    """Per-row group aggregates (``count(..) over (partition by keys)``) as a
-    partial aggregate joined back -- no task ever holds a whole group."""
-    g = df.groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()])
-    cond = [df[k].eqNullSafe(g[k]) for k in keys]
-    out = df.join(g, cond, "left")
-    for k in keys:
-        out = out.drop(g[k])
-    return out
+def key_totals(df: DataFrame, key: str, sums: dict[str, Column], seq: str = "seq",
+               chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """Per-row group totals (``sum(x) over (partition by key)``) for additive
+    expressions: partial sums per (key, chunk), the key total over the small
+    chunk table, joined back on (key, chunk) -- no task holds a whole key."""
+    d = _with_chunk(df, seq, chunk_rows)
+    for n, e in sums.items():
+        d = d.withColumn(f"_v_{n}", e)
+    per = d.groupBy(key, _CH).agg(*[F.sum(f"_v_{n}").alias(f"_p_{n}") for n in sums])
+    w = Window.partitionBy(key)
+    small = per.select(key, _CH, *[F.sum(f"_p_{n}").over(w).alias(n) for n in sums])
+    return _join_back(d, small, key).drop(_CH, *[f"_v_{n}" for n in sums])

@@ -49,8 +49,7 @@ def rate_state(api: DataFrame, ip: str = "ip_address", auth_endpoint: str = "/ap
     d = api.withColumn("is_auth_failure", F.coalesce(auth401, F.lit(False)))
     d = keyed.running_sums(d, ip, {"request_count": F.lit(1).cast("long"),
                                    "warnings": flag(F.col("is_auth_failure"))},
-                           seq=seq, chunk_rows=chunk_rows)
-    d = keyed.key_first(d, ip, "first_request", F.col("ts"), seq=seq)
+                           seq=seq, chunk_rows=chunk_rows, firsts={"first_request": F.col("ts")})
     elapsed = epoch_us(F.col("ts")) - epoch_us(F.col("first_request"))
     return d.withColumn("request_rate", _rate(F.col("request_count"), elapsed))
 

@@ -41,10 +41,9 @@ def attempt_counts(web: DataFrame, batch: str | None = "batch_id",
                              F.when(F.col("_failed"), F.count(F.lit(1)).over(wuf)).otherwise(0))
                  .drop("_failed"))
     d = web.withColumn("_failed", F.coalesce(failed, F.lit(False)))
-    d = keyed.key_counts(d, [ip], {"ip_attempts": F.count(F.lit(1)),
-                                   "_ipf": F.count_if("_failed")})
-    d = keyed.key_counts(d, [user], {"user_attempts": F.count(F.lit(1)),
-                                     "_uf": F.count_if("_failed")})
+    one = F.lit(1).cast("long")
+    d = keyed.key_totals(d, ip, {"ip_attempts": one, "_ipf": F.col("_failed").cast("long")})
+    d = keyed.key_totals(d, user, {"user_attempts": one, "_uf": F.col("_failed").cast("long")})
     return (d.withColumn("ip_failed_attempts", F.when(F.col("_failed"), F.col("_ipf")).otherwise(0))
              .withColumn("user_failed_attempts", F.when(F.col("_failed"), F.col("_uf")).otherwise(0))
              .drop("_failed", "_ipf", "_uf"))
@@ -116,8 +115,7 @@ def running_request_rate(api: DataFrame, ip: str = "ip_address", seq: str = "seq
     """Running request count per IP and the mean rate since the IP's first
     request (count / elapsed seconds; 0 when no time has passed)."""
     d = keyed.running_sums(api, ip, {"request_count": F.lit(1).cast("long")}, seq=seq,
-                           chunk_rows=chunk_rows)
-    d = keyed.key_first(d, ip, "first_request", F.col("ts"), seq=seq)
+                           chunk_rows=chunk_rows, firsts={"first_request": F.col("ts")})
     elapsed_us = epoch_us(F.col("ts")) - epoch_us(F.col("first_request"))
     return d.withColumn("request_rate", F.when(
         elapsed_us > 0, F.col("request_count") / (elapsed_us.cast("double") / 1e6)).otherwise(0.0))

@@ -37,10 +37,10 @@ def test_previous_value_and_running_max(spark):
         exp.select("seq", "prev", "mx").collect())
 
 
-def test_key_counts_and_first(spark):
+def test_key_totals_and_first(spark):
     df = _data(spark)
-    got = keyed.key_counts(df, ["k"], {"n": F.count(F.lit(1))})
-    got = keyed.key_first(got, "k", "first_t", F.col("t"))
+    got = keyed.key_totals(df, "k", {"n": F.lit(1).cast("long")}, chunk_rows=17)
+    got = keyed.key_first(got, "k", "first_t", F.col("t"), chunk_rows=17)
     w = Window.partitionBy("k")
     exp = df.withColumn("n", F.count(F.lit(1)).over(w)).withColumn(
         "first_t", F.first("t").over(w.orderBy("seq")))
@@ -78,3 +78,12 @@ def test_chunked_windows_property(spark, keys, gaps, chunk):
     exp = df.withColumn("c", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
             .withColumn("p", F.lag("v").over(w))
     assert sorted(got.select("seq", "c", "p").collect()) == sorted(exp.select("seq", "c", "p").collect())
+
+
+def test_running_sums_firsts(spark):
+    df = _data(spark)
+    got = keyed.running_sums(df, "k", {"c": F.lit(1).cast("long")}, chunk_rows=13,
+                             firsts={"ft": F.col("t")})
+    w = Window.partitionBy("k").orderBy("seq")
+    exp = df.withColumn("ft", F.first("t").over(w))
+    assert sorted(got.select("seq", "ft").collect()) == sorted(exp.select("seq", "ft").collect())
