@@ -434,6 +434,25 @@ def fit(df: DataFrame, features: list[str], trees: int = 100, psi: int = 256, se
     return model
 
 
+def fit_predict(df: DataFrame, features: list[str], contamination: float, trees: int = 100,
+                psi: int = 256, seed: int = 42, scale_features: bool = False, row_id: str = "seq",
+                out: str = "is_anomaly", score_col: str = "score") -> tuple[ForestModel, DataFrame]:
+    """M2-M5 in one go: fit, score every row once, threshold, flag.
+
+    The scored frame is checkpointed to the shared folder named by
+    ``spark.checkpoint.dir`` (set locally only when unset), so the threshold
+    passes and the flags read the scores instead of re-running the Python
+    scoring stage, and a lost executor re-reads files rather than re-scoring."""
+    from logvigil.session import ensure_checkpoint_dir
+    model = fit(df, features, trees=trees, psi=psi, seed=seed, contamination=None,
+                scale_features=scale_features, row_id=row_id)
+    model.contamination = contamination
+    ensure_checkpoint_dir(df.sparkSession)
+    scored = score(df, model, out=score_col, row_id=row_id).checkpoint(eager=True)
+    model.offset = exact_quantile(scored, score_col, contamination)
+    return model, scored.withColumn(out, F.col(score_col) < F.lit(model.offset))
+
+
 def forest_from_nodes(nodes: pd.DataFrame, trees: int, depth: int, psi: int) -> Forest:
     n_nodes = 2 ** (depth + 1)
     feature = np.full((trees, n_nodes), -1, dtype=np.int64)

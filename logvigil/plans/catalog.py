@@ -477,8 +477,10 @@ def q_contamination_threshold(spark, sf):
 
 @query
 def q_iforest_flags(spark, sf):
-    feats, model = _web_forest(spark, sf, WEB_CONTAMINATION)
-    return iforest.predict(feats, model).select("seq", "score", "is_anomaly")
+    _, flagged = iforest.fit_predict(_web_feats(spark, sf), features.WEB_FEATURES,
+                                     WEB_CONTAMINATION, trees=FOREST_TREES, psi=FOREST_PSI,
+                                     seed=FOREST_SEED)
+    return flagged.select("seq", "score", "is_anomaly")
 
 
 @query
@@ -491,9 +493,9 @@ def q_batch_iforest(spark, sf):
 
 def _hybrid(spark, sf, keep=("seq",)):
     feats = features.web_features(_web(spark, sf), keep=keep)
-    model = iforest.fit(feats, features.WEB_FEATURES, trees=FOREST_TREES, psi=FOREST_PSI,
-                        seed=FOREST_SEED, contamination=WEB_CONTAMINATION)
-    flagged = iforest.predict(feats, model, out="forest_anomaly")
+    _, flagged = iforest.fit_predict(feats, features.WEB_FEATURES, WEB_CONTAMINATION,
+                                     trees=FOREST_TREES, psi=FOREST_PSI, seed=FOREST_SEED,
+                                     out="forest_anomaly")
     return rules.hybrid_anomalies(flagged)
 
 
@@ -508,9 +510,9 @@ def q_base_detector(spark, sf):
                                  "status", "response_time")
     base = features.base_features(web)
     feats = [c for c in base.columns if c != "seq"]
-    model = iforest.fit(base, feats, trees=100, psi=256, seed=FOREST_SEED,
-                        contamination=BASE_CONTAMINATION, scale_features=True)
-    return iforest.predict(base, model).select("seq", "score", "is_anomaly")
+    _, flagged = iforest.fit_predict(base, feats, BASE_CONTAMINATION, trees=100, psi=256,
+                                     seed=FOREST_SEED, scale_features=True)
+    return flagged.select("seq", "score", "is_anomaly")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
