@@ -94,3 +94,12 @@ def test_batch_forests(spark):
     per = out.groupby("batch_id").is_anomaly.sum()
     assert (per == 5).all()  # 0.15 quantile of 30 distinct scores flags 5 rows
     assert out.loc[out.seq == 17, "is_anomaly"].item()
+
+
+def test_fit_predict_equals_fit_then_predict(spark):
+    df = _frame(spark)
+    m1 = iforest.fit(df, FEATS, trees=20, psi=64, seed=9, contamination=0.1)
+    a = iforest.predict(df, m1).orderBy("seq").select("score", "is_anomaly").collect()
+    m2, flagged = iforest.fit_predict(df, FEATS, 0.1, trees=20, psi=64, seed=9)
+    b = flagged.orderBy("seq").select("score", "is_anomaly").collect()
+    assert m1.offset == m2.offset and a == b
