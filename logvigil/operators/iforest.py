@@ -276,46 +276,61 @@ def scale(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- M4 quantile
-def exact_quantile(df: DataFrame, column: str, q: float, accuracy: int = 1_000_000) -> float | None:
+FETCH_LIMIT = 100_000
+SKETCH_ACCURACY = 10_000
+
+
+def exact_quantile(df: DataFrame, column: str, q: float, accuracy: int = SKETCH_ACCURACY,
+                   fetch_limit: int = FETCH_LIMIT) -> float | None:
     """Exact linear-interpolation quantile of a column, without collecting it.
 
-    1. one pass: count, and an approximate quantile v (rank error <= n/accuracy);
-    2. one pass: how many values are < v and <= v -- the exact rank span of v;
-    3. the values at ranks k and k + 1 are v, or are found among the few rows
-       between v and the target rank (a bounded top-k on either side).
-    """
+    Iterative selection: a coarse ``percentile_approx`` sketch (small per-task
+    summaries, cheap to merge) brackets the target rank, exact counts confirm
+    the bracket, and the rows are narrowed to it; each round keeps ~6/accuracy
+    of the candidates.  Once at most ``fetch_limit`` candidates remain, a
+    bounded top-k gives the exact values at ranks k and k + 1.  Only the one
+    column is persisted while this runs."""
     from pyspark import StorageLevel
     base = df.select(F.col(column).cast("double").alias("x")) \
              .where(F.col("x").isNotNull() & ~F.isnan("x")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _exact_quantile(base, q, accuracy)
+        n = base.count()
+        if n == 0:
+            return None
+        pos = q * (n - 1)
+        k = math.floor(pos)
+        frac = pos - k
+        a, b = _values_at_ranks(base, k, min(k + 1, n - 1), n, accuracy, fetch_limit)
+        return a + (b - a) * frac if frac > 0 else a
     finally:
         base.unpersist()
 
 
-def _exact_quantile(base: DataFrame, q: float, accuracy: int) -> float | None:
-    n, v = base.agg(F.count(F.lit(1)), F.percentile_approx("x", q, accuracy)).first()
-    if n == 0:
-        return None
-    pos = q * (n - 1)
-    k = math.floor(pos)
-    frac = pos - k
-    lt, le = base.agg(F.count_if(F.col("x") < v), F.count_if(F.col("x") <= v)).first()
-
-    def at_rank(r: int) -> float:
-        if lt <= r < le:
-            return float(v)
-        if r < lt:
-            rows = base.where(F.col("x") < v).orderBy(F.col("x").desc()).limit(lt - r).collect()
-        else:
-            rows = base.where(F.col("x") > v).orderBy(F.col("x").asc()).limit(r - le + 1).collect()
-        return float(rows[-1][0])
-
-    a = at_rank(k)
-    if frac == 0:
-        return a
-    b = at_rank(min(k + 1, n - 1))
-    return a + (b - a) * frac
+def _values_at_ranks(base: DataFrame, r1: int, r2: int, n: int, accuracy: int,
+                     fetch_limit: int) -> tuple[float, float]:
+    """Exact values at 0-based ranks r1 <= r2 (adjacent) of column x."""
+    cur, offset, m = base, 0, n
+    margin = 3.0 / accuracy
+    while m > fetch_limit:
+        q_lo = max(0.0, (r1 - offset) / (m - 1) - margin)
+        q_hi = min(1.0, (r2 - offset) / (m - 1) + margin)
+        lo, hi = cur.agg(F.percentile_approx("x", [q_lo, q_hi], accuracy)).first()[0]
+        below, upto = cur.agg(F.count_if(F.col("x") < lo), F.count_if(F.col("x") <= hi)).first()
+        if not (below <= r1 - offset and r2 - offset < upto):
+            margin *= 4  # sketch missed (should not happen): widen and retry
+            if margin > 1:
+                break
+            continue
+        if lo == hi:  # both ranks sit in one run of equal values
+            return float(lo), float(lo)
+        if upto - below >= m:  # no progress: the top-k fetch copes
+            break
+        cur = cur.where((F.col("x") >= lo) & (F.col("x") <= hi))
+        offset += below
+        m = upto - below
+    need = r2 - offset + 1
+    rows = cur.orderBy("x").limit(need).collect()
+    return float(rows[r1 - offset][0]), float(rows[r2 - offset][0])
 
 
 # --------------------------------------------------------------- M2 fit

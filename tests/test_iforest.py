@@ -83,8 +83,11 @@ def test_exact_quantile_matches_numpy(spark):
     v = np.round(rng.normal(size=5000), 3)
     df = spark.createDataFrame(pd.DataFrame({"x": v}))
     for q in (0.0, 0.1, 0.15, 0.5, 0.999, 1.0):
-        got = iforest.exact_quantile(df, "x", q, accuracy=50)  # force the rank search
+        # tiny sketch and fetch limit force several narrowing rounds
+        got = iforest.exact_quantile(df, "x", q, accuracy=50, fetch_limit=40)
         assert got == pytest.approx(float(np.quantile(v, q)), abs=1e-12)
+    ties = spark.createDataFrame(pd.DataFrame({"x": np.repeat([1.0, 2.0, 3.0], 700)}))
+    assert iforest.exact_quantile(ties, "x", 0.5, accuracy=20, fetch_limit=10) == 2.0
 
 
 def test_batch_forests(spark):
