@@ -203,3 +203,19 @@ def endpoint_rt_zscore(api: DataFrame, window_rows: int = 1000, batch_size: int
     rows = api.select("seq", "batch_id", "endpoint", "response_time")
     return with_endpoint_rt_zscore(rows, api, window_rows, batch_size).select(
         "seq", "batch_id", "endpoint", round6("endpoint_rt_zscore").alias("endpoint_rt_zscore"))
+
+
+def collapse_pairs(api: DataFrame, seq: str = "seq") -> DataFrame:
+    """§2.13 row 21 option: the variant logs each request twice (handler and
+    feed callback), so rows with the same second, endpoint, method and status
+    are one request.  The handler's copy has no payload, so the payload is not
+    a key: the non-null one is kept.  Keeps the first seq, the server (min) and
+    client (max) response time and how many rows were merged; a plain
+    group-by with map-side partial aggregation."""
+    keys = ["ts", "endpoint", "method", "status_code"]
+    extra = [F.max("payload").alias("payload")] if "payload" in api.columns else []
+    return api.groupBy(*keys).agg(
+        F.min(seq).alias(seq),
+        F.min("response_time").alias("server_response_time"),
+        F.max("response_time").alias("response_time"),
+        F.count(F.lit(1)).alias("logged_rows"), *extra)

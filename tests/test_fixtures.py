@@ -99,3 +99,11 @@ def test_session_ip_and_validation(spark):
         "seq long, method string, authenticated boolean, payload string")
     st = {r.seq: r.validated_status for r in validation.payload_validation(body).collect()}
     assert st == {1: 201, 2: 400, 3: 400, 4: 401, 5: 400, 6: 200}
+
+
+def test_collapse_double_logged_pairs(spark):
+    api = api_df(spark)
+    c = metrics.collapse_pairs(api)
+    assert c.count() == 18 and c.agg(F.min("logged_rows")).first()[0] == 2
+    auth = c.where("endpoint = '/api/auth'").first()
+    assert (auth.server_response_time, auth.response_time) == (1.03, 2083.35)
