@@ -187,14 +187,22 @@ def endpoint_baseline(api: DataFrame, window_rows: int = 1000, batch_size: int =
 def with_endpoint_rt_zscore(df: DataFrame, api: DataFrame, window_rows: int = 1000,
                             batch_size: int = 30) -> DataFrame:
     """Attach J1's z-score to ``df`` rows (which carry batch_id, endpoint and
-    response_time) by joining the baseline on (batch_id, endpoint)."""
+    response_time).
+
+    The baseline is packed per batch into an endpoint -> (mean, std) map
+    (bounded: at most the endpoints of a ``window_rows`` history), so the join
+    is on batch_id alone; a ``df`` already hash-partitioned by batch_id (the
+    feature windows) is not shuffled again -- only the small side moves."""
     base = endpoint_baseline(api, window_rows, batch_size, rounded=False, exact_mean=False,
                              present_only=False)
-    return (df.join(base.drop("baseline_rows"), ["batch_id", "endpoint"], "left")
+    per_batch = base.groupBy("batch_id").agg(F.map_from_entries(F.collect_list(F.struct(
+        "endpoint", F.struct("baseline_mean", "baseline_std")))).alias("_bl"))
+    b = F.col("_bl").getItem(F.col("endpoint"))
+    return (df.join(per_batch, "batch_id", "left")
             .withColumn("endpoint_rt_zscore", F.coalesce(
-                F.try_divide(F.col("response_time") - F.col("baseline_mean"),
-                             F.col("baseline_std")), F.lit(0.0)))
-            .drop("baseline_mean", "baseline_std"))
+                F.try_divide(F.col("response_time") - b["baseline_mean"], b["baseline_std"]),
+                F.lit(0.0)))
+            .drop("_bl"))
 
 
 def endpoint_rt_zscore(api: DataFrame, window_rows: int = 1000, batch_size: int = 30) -> DataFrame:
