@@ -197,7 +197,7 @@ def with_endpoint_rt_zscore(df: DataFrame, api: DataFrame, window_rows: int = 10
                              present_only=False)
     per_batch = base.groupBy("batch_id").agg(F.map_from_entries(F.collect_list(F.struct(
         "endpoint", F.struct("baseline_mean", "baseline_std")))).alias("_bl"))
-    b = F.col("_bl").getItem(F.col("endpoint"))
+    b = F.col("_bl")[F.col("endpoint")]
     return (df.join(per_batch, "batch_id", "left")
             .withColumn("endpoint_rt_zscore", F.coalesce(
                 F.try_divide(F.col("response_time") - b["baseline_mean"], b["baseline_std"]),
