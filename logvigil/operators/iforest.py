@@ -582,7 +582,6 @@ def save_model(spark: SparkSession, model: ForestModel, path: str) -> None:
 
 def load_model(spark: SparkSession, path: str) -> ForestModel | None:
     """Load a saved model; None unless both parts exist."""
-    from py4j.protocol import Py4JJavaError  # noqa: F401
     try:
         params = json.loads(spark.read.parquet(os.path.join(path, "params")).first()[0])
         nodes = spark.read.parquet(os.path.join(path, "nodes")).toPandas()

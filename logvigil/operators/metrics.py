@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvigil.functions.exprs import exact_avg, exact_avg_bounded, round_dp, flag, is_error, pct_1dp, round6
+from logvigil.functions.exprs import exact_avg, exact_avg_bounded, is_error, pct_1dp, round6, round_dp
 from logvigil.schemas import (ENDPOINT_INITIAL_RT, ENDPOINT_INITIAL_STATUS,
                               ENDPOINT_METHODS, ENDPOINT_PATHS)
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logvigil.functions.exprs import epoch_us, flag, is_error, minute, round6
+from logvigil.functions.exprs import epoch_us, flag, is_error, minute
 from logvigil.operators import keyed
 
 US = 1_000_000
