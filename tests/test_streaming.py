@@ -119,3 +119,33 @@ def test_monitor_with_stored_model(spark, tmpdir_path):
     assert alerts.count() > 0
     # replaying an epoch rewrites its folder: no duplicate alerts per seq
     assert alerts.groupBy("seq").count().where("count > 1").count() == 0
+
+
+def test_tail_log_reads_new_files_once(spark, tmpdir_path):
+    """A folder of JSON-lines logs as a checkpointed stream; a second run
+    of the same query over the same checkpoint reads only the new file."""
+    import json
+
+    from logvigil.schemas import WEB_LOG_RAW
+    src = os.path.join(tmpdir_path, "logs")
+    os.makedirs(src)
+
+    def drop(name, n):
+        with open(os.path.join(src, name), "w") as f:
+            for i in range(n):
+                f.write(json.dumps({"timestamp": "2025-02-05 15:20:0%d" % (i % 10),
+                                    "event_type": "login", "user": "u", "status": "failed"}) + "\n")
+
+    out = os.path.join(tmpdir_path, "out")
+
+    def run():
+        q = (M.tail_log(spark, src, WEB_LOG_RAW, fmt="json").writeStream.format("parquet")
+             .option("path", out).option("checkpointLocation", tmpdir_path + "/ck8")
+             .trigger(availableNow=True).start())
+        q.awaitTermination(120)
+        return spark.read.parquet(out).count()
+
+    drop("a.json", 5)
+    assert run() == 5
+    drop("b.json", 3)
+    assert run() == 8  # only the new file was read on the second run
