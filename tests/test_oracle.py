@@ -54,3 +54,16 @@ def test_python_workers_need_no_install(tmp_path):
     out = subprocess.run([sys.executable, "-u", "-c", code], cwd=tmp_path, env=env,
                          capture_output=True, text=True, timeout=600)
     assert "ROWS" in out.stdout, out.stderr[-2000:]
+
+
+@pytest.mark.parametrize("name", ["calendar_features", "running_request_rate", "idle_sessions",
+                                  "rate_limit_view", "login_attempts"])
+def test_time_queries_independent_of_session_zone(spark, con, name):
+    """Naive timestamps: results must not depend on the session time zone."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        sdf = E.queries()[name](spark, SF0001).toPandas()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert compare(sdf, con.sql(SQL[name]).df()) == []
