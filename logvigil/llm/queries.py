@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvigil.llm import decontaminate, packing, sharding
+from logvigil.llm import decontaminate, packing, sharding, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -38,3 +38,8 @@ def op10_packing(spark, sf_dir):
     import public_tokenizers
     return packing.pack_documents(read(spark, sf_dir, "documents"),
                                   public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
