@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvigil.llm import decontaminate, packing, sharding, suffix_dedup
+from logvigil.llm import decontaminate, jaccard_join, packing, sharding, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -43,3 +43,8 @@ def op10_packing(spark, sf_dir):
 @query
 def op1_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(read(spark, sf_dir, "documents")).drop("class_id")
