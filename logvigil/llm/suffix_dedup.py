@@ -42,6 +42,7 @@ GRAM = 20
 CELL_BYTES = 4 << 20
 HOT_CELLS = 4096
 CHUNK = 1 << 20
+SINGLE = 0xFFFF  # in place of a gram's offset: a window dealt by its own bytes
 NO_KEY = np.iinfo(np.int64).max
 
 
@@ -188,12 +189,12 @@ def remove_repeats(df: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM,
             one = ranges(first[h], count[h])
             first = np.concatenate([first[~h], one])
             count = np.concatenate([count[~h], np.ones(len(one), np.int64)])
-            pos = np.concatenate([pos[~h], one])
+            pos = np.concatenate([pos[~h], one + SINGLE])
             g = np.concatenate([g[~h], np.zeros(len(one), np.uint64)])
         order = np.argsort(first, kind="stable")
         first, count, pos, g = first[order], count[order], pos[order], g[order]
         content = span_hashes(buf, first, first + count + (threshold - 1))
-        g = np.where(g == 0, content, g)
+        g = np.where(pos - first == SINGLE, content, g)
         row = np.searchsorted(off, first, "right") - 1
         k = keys[row]
         # runs with the same content are one entry with several places
@@ -210,17 +211,18 @@ def remove_repeats(df: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM,
             ei = e[i]
             p = ranges(ei, places[i])
             size = count[ei] + (threshold - 1)
-            out.append((cell, b, _blob(g[ei]), _blob(content[ei]), _blob(least[i]),
+            out.append((cell, b, _blob(least[i]),
                         _blob(count[ei].astype(np.uint16)),
                         _blob((pos[ei] - first[ei]).astype(np.uint16)),
-                        _blob(buf[ranges(first[ei], size)]), _blob(places[i].astype(np.uint32)),
+                        pa.compress(_blob(buf[ranges(first[ei], size)]), "zstd", asbytes=True),
+                        _blob(places[i].astype(np.uint32)),
                         _blob(row[p].astype(np.uint32)),
                         _blob((first[p] - off[row[p]]).astype(np.uint32)),
                         _blob(is_least[p])))
         return _table(out, RUN_COLS)
 
     def refine(t: pa.Table) -> pa.Table:
-        return _table(_refine_bucket(t, threshold, cells), CUT_COLS)
+        return _table(_refine_bucket(t, threshold, gram, cells), CUT_COLS)
 
     cuts = x.groupBy("cell").cogroup(found.groupBy("cell")).applyInArrow(runs, _schema(RUN_COLS)) \
         .groupBy("bucket").applyInArrow(refine, _schema(CUT_COLS))
@@ -259,7 +261,7 @@ def remove_repeats(df: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM,
 GRAM_COLS = [("cell", "int"), ("bucket", "int"), ("grams", "binary"), ("several", "binary")]
 SHARED_COLS = [("cell", "int"), ("grams", "binary"), ("hot", "binary")]
 RUN_COLS = [("cell", "int"), ("bucket", "int"), *[(n, "binary") for n in (
-    "gram", "content", "least", "count", "anchor", "bytes", "places", "rows", "starts", "is_least")]]
+    "least", "count", "anchor", "bytes", "places", "rows", "starts", "is_least")]]
 CUT_COLS = [("cell", "int"), ("rows", "binary"), ("starts", "binary"), ("ends", "binary")]
 OUT_COLS = [("k", "long"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"),
             ("kept_sha256", "string"), ("kept", "binary"), ("spans", "array<long>")]
@@ -305,17 +307,26 @@ def radix_groups(blob: np.ndarray, start: np.ndarray, group: np.ndarray,
         at = here + 8
 
 
-def _refine_bucket(t: pa.Table, threshold: int, cells: int) -> list[tuple]:
+def _refine_bucket(t: pa.Table, threshold: int, gram_size: int, cells: int) -> list[tuple]:
     def col(name, kind):
         return np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
 
-    gram, content, least = col("gram", np.uint64), col("content", np.uint64), col("least", np.int64)
+    least, places = col("least", np.int64), col("places", np.uint32).astype(np.int64)
     count, anchor = col("count", np.uint16).astype(np.int64), col("anchor", np.uint16).astype(np.int64)
-    blob, places = col("bytes", np.uint8), col("places", np.uint32).astype(np.int64)
-    if not len(gram):
+    if not len(least):
         return []
     size = count + threshold - 1
     begin = np.cumsum(size) - size
+    entries = np.array([len(v) // 8 for v in t.column("least").to_pylist()])
+    last = np.cumsum(entries)
+    blob = np.frombuffer(b"".join(
+        pa.decompress(v, int(size[j - n:j].sum()), "zstd", asbytes=True)
+        for v, n, j in zip(t.column("bytes").to_pylist(), entries, last)), np.uint8)
+    # the grams and contents are not shuffled but hashed anew
+    content = span_hashes(blob, begin, begin + size)
+    single = anchor == SINGLE
+    anchor[single] = 0
+    gram = np.where(single, content, gram_hashes(blob, gram_size)[begin + anchor])
     # one representative per content
     order = np.lexsort((least, content, gram))
     new = np.append(True, (gram[order][1:] != gram[order][:-1])
@@ -360,8 +371,7 @@ def _refine_bucket(t: pa.Table, threshold: int, cells: int) -> list[tuple]:
     entry = np.repeat(np.arange(len(gram)), places)
     rows, starts = col("rows", np.uint32).astype(np.int64), col("starts", np.uint32).astype(np.int64)
     mine = col("is_least", np.uint8).astype(bool) & (least[entry] == rep_least[rep_no[entry]])
-    cell_of_entry = np.repeat(t.column("cell").to_numpy(),
-                              [len(v) // 8 for v in t.column("gram").to_pylist()])
+    cell_of_entry = np.repeat(t.column("cell").to_numpy(), entries)
     full = np.flatnonzero(~mine)
     some = np.flatnonzero(mine & (part_count[rep_no[entry]] > 0))
     n = part_count[rep_no[entry[some]]]
