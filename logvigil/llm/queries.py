@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvigil.llm import decontaminate, jaccard_join, packing, sharding, suffix_dedup
+from logvigil.llm import (decontaminate, jaccard_join, language_id, packing, quality_rules,
+                          sharding, suffix_dedup)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -48,3 +49,15 @@ def op1_suffix_dedup(spark, sf_dir):
 @query
 def op9_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents")).drop("class_id")
+
+
+@query
+def op4_quality_rules(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.fit(docs, read(spark, sf_dir, "labels")))
+
+
+@query
+def op7_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", language_id.in_fold("doc_id"))
+    return language_id.fit_predict(docs, keep=("doc_id", "held_out"))
