@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logvigil.llm import (decontaminate, jaccard_join, language_id, packing, quality_rules,
-                          sharding, suffix_dedup)
+                          secret_scan, sharding, suffix_dedup)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -61,3 +61,8 @@ def op4_quality_rules(spark, sf_dir):
 def op7_language_id(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").withColumn("held_out", language_id.in_fold("doc_id"))
     return language_id.fit_predict(docs, keep=("doc_id", "held_out"))
+
+
+@query
+def op2_secret_scan(spark, sf_dir):
+    return secret_scan.digest(secret_scan.find_secrets(read(spark, sf_dir, "documents")))
