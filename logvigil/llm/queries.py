@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvigil.llm import (decontaminate, jaccard_join, language_id, packing, quality_rules,
-                          secret_scan, sharding, suffix_dedup)
+from logvigil.llm import (decontaminate, html_extract, jaccard_join, language_id, packing,
+                          quality_rules, secret_scan, sharding, suffix_dedup, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -66,3 +66,17 @@ def op7_language_id(spark, sf_dir):
 @query
 def op2_secret_scan(spark, sf_dir):
     return secret_scan.digest(secret_scan.find_secrets(read(spark, sf_dir, "documents")))
+
+
+@query
+def op3_html_extract(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    return html_extract.extract_pages(pages, html_extract.fit(pages))
+
+
+@query
+def op6_url_filter(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    labelled = url_filter.numbered_labels(pages, read(spark, sf_dir, "labels"))
+    return url_filter.filter_urls(labelled, good="_good").select(
+        "page_id", "host", "path", "rule", "verdict", "template")
