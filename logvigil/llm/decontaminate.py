@@ -199,20 +199,57 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     """One row per document: key, n_words, n_hit, spans (first word, end word,
     ... of the hit runs), items (ids with an occurring window, sorted)."""
     docs = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("text"))
+    parts = [_scan(docs, items, width) for items in
+             _blocks(benchmark, item, item_text, block_bytes)]
+    if len(parts) == 1:
+        return parts[0].drop("th").withColumnRenamed("k", key)
+    return _unite(parts).withColumnRenamed("k", key)
+
+
+def _blocks(benchmark: DataFrame, item: str, item_text: str, block_bytes: int):
+    """The benchmark's (id, text) rows, in lists of about block_bytes of text;
+    each is collected alone."""
     bench = benchmark.select(F.col(item).cast("string").alias("item"),
                              F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t")) \
         .where(F.col("item").isNotNull())
     size = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = int(size // block_bytes) + 1
-    parts = []
-    for i in range(blocks):  # each block is collected alone: about block_bytes of text
+    for i in range(blocks):
         part = bench if blocks == 1 else bench.where(
             F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == i)
-        items = [(r[0], r[1]) for r in part.toLocalIterator()]
-        parts.append(_scan(docs, items, width))
-    if blocks == 1:
-        return parts[0].drop("th").withColumnRenamed("k", key)
-    return _unite(parts).withColumnRenamed("k", key)
+        yield [(r[0], r[1]) for r in part.toLocalIterator()]
+
+
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
+                      item_text: str = "text", width: int = WIDTH,
+                      block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of df (all columns) in which no window occurs: one pass over
+    the documents for each block, without a shuffle."""
+    spark = df.sparkSession
+    out = df.withColumn("_words", F.col(text).cast("string"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
+    for items in _blocks(benchmark, item, item_text, block_bytes):
+        shared = spark.sparkContext.broadcast(items)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            searchers, _ = build_searchers(shared.value, width)
+            for batch in batches:
+                for a, b, buf, off in slices(batch, "_words"):
+                    s, e, firsts = word_spans(buf, off, WORD_BYTES)
+                    h = span_hashes(buf, s, e, fold=True)
+                    doc = doc_of(firsts)
+
+                    def text_at(i, j, buf=buf, s=s, e=e):
+                        return b" ".join(fold_ascii(buf[s[x]:e[x]].tobytes()) for x in range(i, j))
+
+                    ok = np.ones(b - a, bool)
+                    for sr in searchers:
+                        first, _ = sr.find(h, firsts, text_at)
+                        ok[doc[first]] = False
+                    yield batch.slice(a, b - a).filter(pa.array(ok))
+
+        out = out.mapInArrow(clean, schema)
+    return out.drop("_words")
 
 
 def _unite(parts: list[DataFrame]) -> DataFrame:

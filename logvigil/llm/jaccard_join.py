@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logvigil.llm.graph import components
@@ -91,7 +91,7 @@ def _ordered(u: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, float]:
 
 # ------------------------------------------------------------ classes, sketch
 def _signatures(src: DataFrame, width: int) -> DataFrame:
-    """Rows (k, n, c) of documents and, from each task, its part of the sketch
+    """Rows (k, th, n, c) of documents and, from each task, its part of the sketch
     (slice, part, at, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +106,8 @@ def _signatures(src: DataFrame, width: int) -> DataFrame:
             if pending:
                 low = (np.concatenate(pending) & np.uint64(SKETCH - 1)).astype(np.int64)
                 sketch += np.bincount(low, minlength=SKETCH)
-            yield _sig_batch(batch.num_rows, k=batch.column("k"), n=pa.array(n), c=pa.array(c))
+            yield _sig_batch(batch.num_rows, k=batch.column("k"), th=batch.column("th"),
+                             n=pa.array(n), c=pa.array(c))
         rows = []
         step = SKETCH // SKETCH_SLICES
         for s in range(SKETCH_SLICES):
@@ -120,10 +121,11 @@ def _signatures(src: DataFrame, width: int) -> DataFrame:
                              at=pa.array([r[1] for r in rows], pa.binary()),
                              counts=pa.array([r[2] for r in rows], pa.binary()))
 
-    return src.mapInArrow(run, "k long, n long, c long, slice int, part long, at binary, counts binary")
+    return src.mapInArrow(run, "k long, th long, n long, c long, slice int, part long, at binary, "
+                               "counts binary")
 
 
-_SIG_KINDS = {"k": pa.int64(), "n": pa.int64(), "c": pa.int64(), "slice": pa.int32(),
+_SIG_KINDS = {"k": pa.int64(), "th": pa.int64(), "n": pa.int64(), "c": pa.int64(), "slice": pa.int32(),
               "part": pa.int64(), "at": pa.binary(), "counts": pa.binary()}
 
 
@@ -270,13 +272,14 @@ def _fits(n1, p1, n2, p2, percent: int):
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH,
                        percent: int = PERCENT) -> DataFrame:
-    """One row per document: key, n_shingles, class_id, component_id."""
+    """One row per document: key, n_shingles, component_id, and class_id and
+    text_hash (of the set and of the text)."""
     spark = df.sparkSession
     sc = spark.sparkContext
     src = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("text"))
     texts = src.select("text")
-    sig = durable(_signatures(src, width))
-    docs = sig.where("n is not null").select("k", "n", "c")
+    sig = durable(_signatures(src.withColumn("th", F.xxhash64("text")), width))
+    docs = sig.where("n is not null").select("k", "th", "n", "c")
     sketch = sc.broadcast(_sum_sketch(sig.where("slice is not null")).tobytes())
 
     # elements that two groups hold, or two classes of one group
@@ -313,10 +316,31 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
         .join(comp.withColumnRenamed("node", "c"), "c", "left") \
         .withColumn("comp", F.coalesce("comp", "c"))
     low = cls.groupBy("comp").agg(F.min("low").alias("component_id"))
-    cls = cls.join(low, "comp").select(F.col("c").alias("class"), "component_id")
+    cls = cls.join(low, "comp").select(F.col("c").alias("class"), "comp", "component_id")
     return docs.join(cls, (docs.c == cls["class"]) & (docs.n > 0), "left").select(
         F.col("k").alias(key), F.col("n").alias("n_shingles"), F.col("c").alias("class_id"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("k")).alias("component_id"))
+        F.col("th").alias("text_hash"), F.col("comp"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("k")).alias("component_id"))
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH,
+             percent: int = PERCENT) -> DataFrame:
+    """The rows of df (all columns) without near copies: of each component one
+    row of the smallest key (of the least text hash, if that is repeated)
+    stays; rows without shingles all stay."""
+    found = jaccard_components(df, key, text, width, percent)
+    first = found.where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct(
+        F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("text_hash").alias("th")))
+        .alias("w")).select("w.k", "w.th")
+    names = df.columns
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
+                     F.col(key).cast("long").alias("k"), F.xxhash64(F.col(text).cast("string")).alias("th"),
+                     F.coalesce(F.col(text), F.lit("")).rlike("[^\\x20\\x09-\\x0D]").alias("worded"))
+    mine = rows.where("worded").alias("l").join(
+        first.alias("r"), F.col("l.k").eqNullSafe(F.col("r.k")) & (F.col("l.th") == F.col("r.th")),
+        "left_semi")
+    once = mine.withColumn("n", F.row_number().over(Window.partitionBy("k", "th").orderBy("k"))) \
+        .where("n <= 1")
+    return once.select("row.*").unionByName(rows.where("not worded").select("row.*"))
 
 
 def brute_force(docs: list[tuple], width: int = WIDTH, percent: int = PERCENT) -> list[tuple]:

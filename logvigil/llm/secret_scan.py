@@ -62,6 +62,7 @@ ASSIGN_RE = re.compile("(?:%s)[\"']?\x20*[:=]\x20*[\"']?(%s)" % (
     "|".join(map(_either_case, ASSIGN_WORDS)), ASSIGN_VALUE))
 ACCESS_RE = re.compile(ACCESS)
 HEX_RE = re.compile("[0-9a-f]{%d,}" % MIN_HEX)
+RUN_RE = re.compile("[A-Za-z0-9+/_=-]{%d,}+" % MIN_RUN)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -212,18 +213,23 @@ def thresholds(null: dict[int, int], cand: dict[int, int], fdr: float = FDR) ->
     return out
 
 
+def _limits(found: DataFrame, fdr: float) -> list[int]:
+    """Thresholds from a scan's codes; what is collected has at most a row for
+    each length class and score bin."""
+    def counts(column) -> dict[int, int]:
+        return {r[0]: r[1] for r in found.select(F.explode(column)).groupBy("col").count().collect()}
+
+    codes = F.filter(F.transform("cand", lambda x, i: F.when(i % 3 == 2, x)), lambda x: x.isNotNull())
+    return thresholds(counts(F.col("nulls")), counts(codes), fdr)
+
+
 def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text",
                  fdr: float = FDR) -> DataFrame:
     """Per document: key, base (array of struct start, kind, end) and spans
     (the same with the accepted random runs), both by start, then kind.  The
     scan's small result is checkpointed; texts are read once."""
     found = durable(_scan(df, key, text))
-
-    def counts(column) -> dict[int, int]:  # at most length classes x score bins rows
-        return {r[0]: r[1] for r in found.select(F.explode(column)).groupBy("col").count().collect()}
-
-    codes = F.filter(F.transform("cand", lambda x, i: F.when(i % 3 == 2, x)), lambda x: x.isNotNull())
-    limit = thresholds(counts(F.col("nulls")), counts(codes), fdr)
+    limit = _limits(found, fdr)
     least = F.array(*[F.lit(c * SCORE_BINS + x) for c, x in enumerate(limit)])
 
     def triples(column, kind=None):
@@ -266,6 +272,43 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
                         joined(F.col("spans")).alias("spans"))
 
 
+def redact(df: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]",
+           fdr: float = FDR) -> DataFrame:
+    """The rows of df (all columns) with every span replaced by the mark: a
+    first pass sets the thresholds, a second one writes; nothing is shuffled.
+    A null text stays null."""
+    limit = _limits(_scan(df, key, text).select("cand", "nulls").transform(durable), fdr)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for t in b.column(text).to_pylist():
+                if t:
+                    spans = base_spans(t)
+                    where = [(s, e) for s, _, e in spans] + [
+                        (s, e) for s, e, code in random_runs(t, spans)
+                        if code % SCORE_BINS >= limit[code // SCORE_BINS]]
+                    t = redact_text(t, where, mark) if where else t
+                texts.append(t)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(texts, pa.string()) if n == text else b.column(n) for n in b.schema.names],
+                names=b.schema.names)
+
+    return df.mapInArrow(write, schema)
+
+
+def random_runs(text: str, spans) -> list[tuple[int, int, int]]:
+    """(start, end, code) of the candidate runs of one text."""
+    out = []
+    for m in RUN_RE.finditer(text):
+        run = m[0]
+        if not is_word(run) and not any(x < m.end() and m.start() < z for x, _, z in spans):
+            out.append((m.start(), m.end(), length_class(len(run)) * SCORE_BINS
+                        + score_bin(randomness(run))))
+    return out
+
+
 def redact_text(text: str, spans: list[tuple[int, int]], mark: str) -> str:
     """The text with the (united) spans replaced by the mark."""
     out, at = [], 0
