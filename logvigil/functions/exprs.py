@@ -17,20 +17,11 @@ def epoch_us(ts) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr(EPOCH), col(ts))
 
 
-def from_epoch_us(us: Column) -> Column:
-    return F.timestamp_add("MICROSECOND", us, F.expr(EPOCH))
-
-
 def parse_ts(c, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     """Tolerant timestamp parse: malformed text becomes NULL (the reference raises)."""
     return F.try_to_timestamp(col(c), F.lit(fmt)).cast("timestamp_ntz")
 
 
-def safe_div(num, den) -> Column:
-    """``num / den`` with NULL for a zero or NULL denominator (ANSI-safe)."""
-    return F.try_divide(col(num), col(den))
-
-
 def round_dp(c, places: int) -> Column:
     """Round half away from zero at ``places`` decimals via ``round(x*10^p)/10^p``.
 
@@ -100,20 +91,3 @@ def pct_1dp(part, whole) -> Column:
     rounded division and rounding it to an integer is unambiguous.
     """
     return F.round(F.try_divide(col(part).cast("double") * 1000.0, col(whole)), 0) / 10.0
-
-
-def uniform_hash(tag: Column) -> Column:
-    """Deterministic draw in [0, 1) from the first 32 bits of md5(tag).
-
-    Recomputing a lost partition gives the same draw, unlike ``rand()``.
-    """
-    return F.conv(F.substring(F.md5(tag), 1, 8), 16, 10).cast("double") / 4294967296.0
-
-
-def exact_avg_bounded(c, micro: float = 1e6) -> Column:
-    """Mean over a group of bounded size (e.g. a 1000-row history) via an
-    exact 64-bit sum of values in micro-units: as deterministic as
-    :func:`exact_avg` at long-arithmetic speed.  Only for bounded groups --
-    the long sum would overflow on unbounded ones."""
-    return F.try_divide(F.sum(F.round(col(c) * micro, 0).cast("long")).cast("double"),
-                        F.count(col(c))) / micro

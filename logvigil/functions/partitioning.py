@@ -5,18 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give a CPU-heavy stage (forest scoring, per-batch fits) at least one
-    task per core.  A frame that already has that many partitions -- any
-    real-size scan -- is returned unchanged, so nothing is shuffled at scale;
-    a narrow one (one small file) is round-robin repartitioned to the core
-    count (a fixed-number repartition AQE does not coalesce back)."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want)
-
-
 def groups_partitions(df: DataFrame) -> int:
     """Partition count for a keyed CPU-heavy stage: the session's shuffle
     partitions, but never fewer than the cores."""

@@ -5,16 +5,15 @@ MLlib has no isolation forest, so this is the one custom algorithm:
 * **Draws are hashes**, not RNG state: ``U(tag)`` = first 32 bits of
   ``md5(tag)`` / 2^32.  A retried task, another partitioning or a SQL engine
   computes the same draws, so fits are reproducible and checkable.
-* **Sampling** (fit): one md5 per row, ``h = md5(seed:row)``, gives three
-  32-bit words: ``a`` (pool draw), ``ka`` and ``kb``.  The pool is the
-  K = 4·trees·psi rows with the smallest ``a`` -- a distributed top-K (each
-  task keeps K rows), so no row count and no full shuffle are needed.
-  Tree t ranks pool rows by
-  ``u_t = ((ka + t * kb) mod 2^32) / 2^32`` -- uniform over rows for each tree,
-  pairwise independent across trees, integer arithmetic only -- and keeps the
-  ``psi`` smallest among its candidates ``u_t < q`` (~4·psi expected); a tree
-  left short is re-drawn from every row, i.e. plain sampling without
-  replacement.
+* **Sampling** (fit): one md5 per row, ``h = md5(seed:row)``, gives two 32-bit
+  words ``ka`` and ``kb``; tree t draws ``(ka + t * kb) mod 2^32`` for the row --
+  uniform over rows for each tree, pairwise independent across trees, integer
+  arithmetic only -- and takes the ``psi`` rows of the smallest draws.  Rows are
+  counted once; the scan keeps, per row, only the trees whose draw lies below a
+  bound that lets about 4·psi rows of each tree through, so what is exploded,
+  shuffled and ranked has trees x 4·psi rows whatever the table's size.  A tree
+  left short is drawn again with a wider bound: the result is always the exact
+  sample without replacement.
 * **Building** runs on the bounded sample only (trees x psi rows), one
   ``applyInPandas`` group per tree, with a numpy builder that grows all trees of
   a group level by level.  Node ``i`` has children ``2i`` (x <= threshold) and
@@ -42,17 +41,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logvigil.functions.exprs import uniform_hash
-from logvigil.functions.partitioning import groups_partitions, spread
+from logvigil.functions.partitioning import groups_partitions
 
 EULER_GAMMA = 0.5772156649015329
 FIXED_POINT = 4294967296  # 2^32 path-length units per unit of depth
-POOL_OVERSAMPLE = 4
+DRAW_RANGE = 4294967296   # draws are 32-bit words
+OVERSAMPLE = 4            # rows a tree lets through, in units of psi
+QUANTILE_BINS = 1024
 
 
 # ------------------------------------------------------------- draws, c(n)
 def u_hash(tag: str) -> float:
-    """Python twin of :func:`logvigil.functions.exprs.uniform_hash`."""
+    """First 32 bits of md5(tag), as a number in [0, 1)."""
     return int(hashlib.md5(tag.encode()).hexdigest()[:8], 16) / 4294967296.0
 
 
@@ -122,12 +122,16 @@ class Forest:
 
 
 def build_forest(samples: np.ndarray, seed: int, tree_ids: tuple[int, ...],
-                 max_depth: int, psi: int) -> Forest:
+                 max_depth: int, psi: int, with_nodes: bool = False):
     """Grow one tree per sample.  ``samples`` is (trees, m, features); all trees
-    grow together, level by level, with grouped numpy reductions."""
+    grow together, level by level, with grouped numpy reductions.  Samples may
+    hold several rounds of ``tree_ids`` (one batch after the other).  With
+    ``with_nodes`` the result is (forest, leaf of each sample row)."""
     n_trees, m, n_feat = samples.shape
     n_nodes = 2 ** (max_depth + 1)
     uf, us = draw_tables(seed, tree_ids, n_nodes)
+    if n_trees > len(tree_ids):
+        uf, us = (np.tile(x, (n_trees // len(tree_ids), 1)) for x in (uf, us))
     feature = np.full((n_trees, n_nodes), -1, dtype=np.int64)
     threshold = np.zeros((n_trees, n_nodes))
     size = np.zeros((n_trees, n_nodes), dtype=np.int64)
@@ -172,7 +176,8 @@ def build_forest(samples: np.ndarray, seed: int, tree_ids: tuple[int, ...],
         right = flat[r, chosen[gg]] > thr[gg]
         nflat[r] = 2 * nflat[r] + right
         node = nflat.reshape(n_trees, m)
-    return Forest(feature, threshold, size, psi, max_depth)
+    forest = Forest(feature, threshold, size, psi, max_depth)
+    return (forest, node) if with_nodes else forest
 
 
 def path_units(forest: Forest, X: np.ndarray, tree_block: int = 0) -> np.ndarray:
@@ -276,125 +281,91 @@ def scale(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- M4 quantile
-FETCH_LIMIT = 100_000
-SKETCH_ACCURACY = 10_000
-
-
-def exact_quantile(df: DataFrame, column: str, q: float, accuracy: int = SKETCH_ACCURACY,
-                   fetch_limit: int = FETCH_LIMIT) -> float | None:
-    """Exact linear-interpolation quantile of a column, without collecting it.
-
-    Iterative selection: a coarse ``percentile_approx`` sketch (small per-task
-    summaries, cheap to merge) brackets the target rank, exact counts confirm
-    the bracket, and the rows are narrowed to it; each round keeps ~6/accuracy
-    of the candidates.  Once at most ``fetch_limit`` candidates remain, a
-    bounded top-k gives the exact values at ranks k and k + 1.  Only the one
-    column is persisted while this runs."""
+def exact_quantile(df: DataFrame, column: str, q: float, bins: int = QUANTILE_BINS) -> float | None:
+    """Exact linear-interpolation quantile of a column, from counts alone.
+
+    Histogram refinement: rows are counted in ``bins`` equal bins between the
+    smallest and largest value (partial aggregates; at most ``bins`` rows reach
+    the driver), the bin that holds the rank becomes the next range, from its
+    own smallest to its own largest value, until one value is left.  Ties end
+    in one bin, so they need no rows.  Nulls and NaN are left out."""
     from pyspark import StorageLevel
     base = df.select(F.col(column).cast("double").alias("x")) \
              .where(F.col("x").isNotNull() & ~F.isnan("x")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = base.count()
+        n, lo, hi = base.agg(F.count("x"), F.min("x"), F.max("x")).first()
         if n == 0:
             return None
         pos = q * (n - 1)
         k = math.floor(pos)
         frac = pos - k
-        a, b = _values_at_ranks(base, k, min(k + 1, n - 1), n, accuracy, fetch_limit)
-        return a + (b - a) * frac if frac > 0 else a
+        a, upto = _value_at_rank(base, k, lo, hi, n, bins)
+        if frac == 0 or k + 1 < upto:
+            return a
+        b = base.where(F.col("x") > a).agg(F.min("x")).first()[0]
+        return a + (b - a) * frac
     finally:
         base.unpersist()
 
 
-def _values_at_ranks(base: DataFrame, r1: int, r2: int, n: int, accuracy: int,
-                     fetch_limit: int) -> tuple[float, float]:
-    """Exact values at 0-based ranks r1 <= r2 (adjacent) of column x."""
-    cur, offset, m = base, 0, n
-    margin = 3.0 / accuracy
-    while m > fetch_limit:
-        q_lo = max(0.0, (r1 - offset) / (m - 1) - margin)
-        q_hi = min(1.0, (r2 - offset) / (m - 1) + margin)
-        lo, hi = cur.agg(F.percentile_approx("x", [q_lo, q_hi], accuracy)).first()[0]
-        below, upto = cur.agg(F.count_if(F.col("x") < lo), F.count_if(F.col("x") <= hi)).first()
-        if not (below <= r1 - offset and r2 - offset < upto):
-            margin *= 4  # sketch missed (should not happen): widen and retry
-            if margin > 1:
+def _value_at_rank(base: DataFrame, rank: int, lo: float, hi: float, n: int,
+                   bins: int) -> tuple[float, int]:
+    """(value at a 0-based rank of column x, rows up to that value)."""
+    below = 0
+    while lo < hi:
+        # both ends land in different bins; halves keep a huge range finite
+        half = 1.0 if math.isfinite(hi - lo) else 0.5
+        share = (F.col("x") * half - lo * half) / (hi * half - lo * half)
+        which = F.least(F.floor(share * bins), F.lit(bins - 1))
+        rows = base.where((F.col("x") >= lo) & (F.col("x") <= hi)).groupBy(which.alias("b")).agg(
+            F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        for r in sorted(rows, key=lambda r: r["lo"]):
+            if below + r["n"] > rank:
+                lo, hi, n = r["lo"], r["hi"], r["n"]
                 break
-            continue
-        if lo == hi:  # both ranks sit in one run of equal values
-            return float(lo), float(lo)
-        if upto - below >= m:  # no progress: the top-k fetch copes
-            break
-        cur = cur.where((F.col("x") >= lo) & (F.col("x") <= hi))
-        offset += below
-        m = upto - below
-    need = r2 - offset + 1
-    rows = cur.orderBy("x").limit(need).collect()
-    return float(rows[r1 - offset][0]), float(rows[r2 - offset][0])
+            below += r["n"]
+    return float(lo), below + n
 
 
 # --------------------------------------------------------------- M2 fit
-def row_words(seed: int, row_id: F.Column) -> tuple[F.Column, F.Column, F.Column]:
-    """(pool draw in [0,1), ka, kb) from md5(seed:row)."""
+def row_words(seed: int, row_id: F.Column) -> tuple[F.Column, F.Column]:
+    """(ka, kb) from md5(seed:row)."""
     h = F.md5(F.concat(F.lit(f"{seed}:"), row_id.cast("string")))
     word = lambda i: F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("long")
-    return word(0).cast("double") / 4294967296.0, word(1), word(2)
+    return word(1), word(2)
 
 
 def tree_draw(tree: F.Column) -> F.Column:
-    """u_t = ((ka + t * kb) mod 2^32) / 2^32 (exact in 64-bit integers)."""
-    return F.pmod(F.col("_ka") + tree.cast("long") * F.col("_kb"),
-                  F.lit(4294967296)).cast("double") / 4294967296.0
+    """(ka + t * kb) mod 2^32 (exact in 64-bit integers)."""
+    return F.pmod(F.col("_ka") + tree.cast("long") * F.col("_kb"), F.lit(DRAW_RANGE))
 
 
-def tree_draw_py(seed: int, tree: int, row_id) -> float:
+def tree_draw_py(seed: int, tree: int, row_id) -> int:
     h = hashlib.md5(f"{seed}:{row_id}".encode()).hexdigest()
     ka, kb = int(h[8:16], 16), int(h[16:24], 16)
-    return ((ka + tree * kb) % 4294967296) / 4294967296.0
+    return (ka + tree * kb) % DRAW_RANGE
 
 
-def _ranked(src: DataFrame, trees: list[int] | None, n_trees: int, rate: float,
-            psi_eff: int) -> DataFrame:
-    from pyspark.sql import Window
-    tl = F.array(*[F.lit(t) for t in trees]) if trees is not None \
-        else F.sequence(F.lit(0), F.lit(n_trees - 1))
-    pairs = src.select(F.explode(tl).alias("tree"), "*").withColumn("_u", tree_draw(F.col("tree")))
-    if rate < 1.0:
-        pairs = pairs.where(F.col("_u") < F.lit(rate))
-    w = Window.partitionBy("tree").orderBy("_u", "row_id")
-    return pairs.withColumn("_rk", F.row_number().over(w)).where(
-        F.col("_rk") <= psi_eff).drop("_u", "_rk", "_ka", "_kb", "_a")
-
-
-def _with_words(df: DataFrame, features: list[str], seed: int, row_id: str) -> DataFrame:
-    a, ka, kb = row_words(seed, F.col(row_id))
-    return df.select(F.col(row_id).alias("row_id"), *[F.col(f).cast("double") for f in features],
-                     a.alias("_a"), ka.alias("_ka"), kb.alias("_kb"))
-
-
-def sample_for_trees(df: DataFrame, features: list[str], trees: int, psi: int, seed: int,
-                     row_id: str = "seq") -> DataFrame:
-    """Per-tree samples as rows (tree, row_id, features..., _pn) where _pn is
-    the pool size (see the module notes for the draws)."""
-    k = POOL_OVERSAMPLE * trees * psi
-    base = _with_words(df, features, seed, row_id)
-    pool = base.orderBy("_a", "row_id").limit(k)
-    from pyspark.sql import Window
-    # pool size as a column; the top-K already sits in one partition of <= K rows
-    pool = pool.withColumn("_pn", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
-    psi_e = F.least(F.lit(psi).cast("long"), F.col("_pn"))
-    q = F.least(F.lit(1.0), (F.lit(POOL_OVERSAMPLE) * psi_e).cast("double") / F.col("_pn"))
+def sample_for_trees(df: DataFrame, features: list[str], trees: list[int], psi: int, bound: int,
+                     seed: int, row_id: str = "seq") -> DataFrame:
+    """Per-tree samples as rows (tree, row_id, features...): the psi rows of the
+    smallest draws among those below ``bound``."""
     from pyspark.sql import Window
-    pairs = pool.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "*") \
-        .withColumn("_u", tree_draw(F.col("tree"))).where(F.col("_u") < q)
+    ka, kb = row_words(seed, F.col(row_id))
+    base = df.select(F.col(row_id).alias("row_id"), *[F.col(f).cast("double") for f in features],
+                     ka.alias("_ka"), kb.alias("_kb"))
+    every = F.sequence(F.lit(trees[0]), F.lit(trees[-1])) \
+        if trees == list(range(trees[0], trees[-1] + 1)) else F.array(*map(F.lit, trees))
+    mine = F.filter(every, lambda t: tree_draw(t) < F.lit(bound))
+    pairs = base.select("*", F.explode(mine).alias("tree")).withColumn("_u", tree_draw(F.col("tree")))
     w = Window.partitionBy("tree").orderBy("_u", "row_id")
-    return pairs.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= psi_e) \
-        .drop("_u", "_rk", "_ka", "_kb", "_a")
+    return pairs.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= psi) \
+        .drop("_u", "_rk", "_ka", "_kb")
 
 
-def _short_trees(nodes: pd.DataFrame, trees: int, psi_eff: int) -> list[int]:
+def _short_trees(nodes: pd.DataFrame, trees: list[int], psi: int) -> list[int]:
     root = nodes[nodes["node"] == 1].set_index("tree")["size"]
-    return [t for t in range(trees) if int(root.get(t, 0)) < psi_eff]
+    return [t for t in trees if int(root.get(t, 0)) < psi]
 
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, size long"
@@ -413,34 +384,31 @@ def fit(df: DataFrame, features: list[str], trees: int = 100, psi: int = 256, se
         std = [float(stats[f"{f}__std"]) for f in features]
         src = df.withColumns({f: (F.col(f) - F.lit(m)) / F.lit(s)
                               for f, m, s in zip(features, mean, std)})
-    samp = sample_for_trees(src, features, trees, psi, seed, row_id)
+    n = src.count()
+    if n == 0:
+        raise ValueError("cannot fit a forest on an empty frame")
+    psi_eff = min(psi, n)
+    depth = max_depth_for(psi_eff)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])
-        psi_eff = int(min(psi, pdf["_pn"].iloc[0]))
-        depth = max_depth_for(psi_eff)
-        n_nodes = 2 ** (depth + 1)
-        X = pdf[features].to_numpy(dtype=np.float64)[None, :, :]
+        X = pdf.sort_values("row_id")[features].to_numpy(dtype=np.float64)[None, :, :]
         fo = build_forest(X, seed, (t,), depth, psi_eff)
-        nodes = np.arange(n_nodes)
+        node = np.arange(2 ** (depth + 1))
         keep = (fo.size[0] > 0) | (fo.feature[0] >= 0)
-        return pd.DataFrame({"tree": t, "node": nodes[keep].astype(np.int32),
+        return pd.DataFrame({"tree": t, "node": node[keep].astype(np.int32),
                              "feature": fo.feature[0][keep].astype(np.int32),
-                             "threshold": fo.threshold[0][keep], "size": fo.size[0][keep],
-                             "psi": psi_eff})
-
-    grow_schema = NODE_SCHEMA + ", psi long"
-    nodes = samp.groupBy("tree").applyInPandas(grow, grow_schema).toPandas()
-    if nodes.empty:
-        raise ValueError("cannot fit a forest on an empty frame")
-    psi_eff = int(nodes["psi"].iloc[0])
-    depth = max_depth_for(psi_eff)
-    short = _short_trees(nodes, trees, psi_eff)
-    if short:  # exact fallback: rank every row for the few short trees
-        resamp = _ranked(_with_words(src, features, seed, row_id), short, trees, 1.0, psi_eff) \
-            .withColumn("_pn", F.lit(psi_eff).cast("long"))
-        redo = resamp.groupBy("tree").applyInPandas(grow, grow_schema).toPandas()
-        nodes = pd.concat([nodes[~nodes["tree"].isin(short)], redo], ignore_index=True)
+                             "threshold": fo.threshold[0][keep], "size": fo.size[0][keep]})
+
+    done, todo = [], list(range(trees))
+    bound = min(DRAW_RANGE, OVERSAMPLE * psi_eff * DRAW_RANGE // n + 1)
+    while todo:
+        samp = sample_for_trees(src, features, todo, psi_eff, bound, seed, row_id)
+        nodes = samp.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
+        short = _short_trees(nodes, todo, psi_eff) if bound < DRAW_RANGE else []
+        done.append(nodes[~nodes["tree"].isin(short)])
+        todo, bound = short, min(DRAW_RANGE, bound * 8)
+    nodes = pd.concat(done, ignore_index=True)
     forest = forest_from_nodes(nodes, trees, depth, psi_eff)
     model = ForestModel(list(features), forest, seed, contamination, None, mean, std, {})
     if contamination is not None:
@@ -500,7 +468,7 @@ def score(df: DataFrame, model: ForestModel, out: str = "score", row_id: str = "
             X = (X - np.asarray(mean)) / np.asarray(std)
         return pd.Series(score_matrix(Forest(feature, threshold, size, psi, depth), X))
 
-    return spread(df).withColumn(out, _score(*[F.col(f).cast("double") for f in model.features]))
+    return df.withColumn(out, _score(*[F.col(f).cast("double") for f in model.features]))
 
 
 def predict(df: DataFrame, model: ForestModel, out: str = "is_anomaly",
@@ -516,46 +484,67 @@ def predict(df: DataFrame, model: ForestModel, out: str = "is_anomaly",
 BATCH_GROUP = 64
 
 
+def score_stacked(X: np.ndarray, trees: int, seed: int) -> np.ndarray:
+    """Scores of (batches, rows, features): each batch's forest is fitted on all
+    of its rows and scores them; all batches' trees grow in one pass, and a
+    row's path ends at the leaf it was grown into."""
+    batches, n, n_feat = X.shape
+    depth = max_depth_for(n)
+    samples = np.repeat(X, trees, axis=0)
+    fo, node = build_forest(samples, seed, tuple(range(trees)), depth, n, with_nodes=True)
+    level = np.floor(np.log2(node)).astype(np.int64)
+    tree = np.arange(batches * trees)[:, None]
+    units = leaf_units(n, depth)[level, fo.size[tree, node]]
+    total = units.reshape(batches, trees, n).sum(axis=1)
+    return scores_from_units(total.reshape(-1), trees, n).reshape(batches, n)
+
+
+def _score_batch(X: np.ndarray, rid: np.ndarray, trees: int, psi: int, seed: int) -> np.ndarray:
+    """One batch of more rows than psi: sampled trees, then scored."""
+    keys = np.array([[tree_draw_py(seed, t, r) for r in rid] for t in range(trees)])
+    samples = X[np.argsort(keys, axis=1, kind="stable")[:, :psi]]
+    fo = build_forest(np.ascontiguousarray(samples), seed, tuple(range(trees)),
+                      max_depth_for(psi), psi)
+    return score_matrix(fo, X)
+
+
 def fit_score_batches(df: DataFrame, features: list[str], batch: str = "batch_id",
                       trees: int = 100, psi: int = 256, contamination: float = 0.15,
-                      seed: int = 42, scale_features: bool = True,
+                      seed: int = 42, scale_features: bool = False,
                       seq: str = "seq") -> DataFrame:
-    """M6: for every batch, scale, fit a forest on the batch, score it and
-    flag scores below the batch's contamination quantile.
+    """M6: for every batch, fit a forest on the batch, score it and flag scores
+    below the batch's contamination quantile.  Isolation splits do not depend
+    on a feature's scale, so scaling (M1, per batch) is an option only.
 
     Groups of ``BATCH_GROUP`` consecutive batches go to one ``applyInPandas``
-    call (bounded: BATCH_GROUP x batch size rows); inside, every batch is
-    fitted with all its trees grown together."""
+    call (bounded: BATCH_GROUP x batch size rows); inside, the batches of one
+    size are fitted together."""
     cols = [seq, batch, *features]
     d = df.select(*[F.col(c) for c in cols]).withColumn(
         "_grp", F.floor(F.col(batch) / BATCH_GROUP))
-    tree_ids = tuple(range(trees))
 
     def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        outs = []
-        for _, g in pdf.groupby(batch, sort=False):
-            g = g.sort_values(seq)
-            X = g[features].to_numpy(dtype=np.float64, na_value=0.0)
-            if scale_features:
-                sd = X.std(axis=0)
-                X = (X - X.mean(axis=0)) / np.where(sd == 0, 1.0, sd)
-            n = len(g)
-            psi_eff = max(1, min(psi, n))
-            depth = max_depth_for(psi_eff)
-            if psi_eff == n:
-                samples = np.broadcast_to(X, (trees, n, X.shape[1]))
+        pdf = pdf.sort_values([batch, seq], ignore_index=True)
+        X = pdf[features].to_numpy(dtype=np.float64, na_value=0.0)
+        ids = pdf[batch].to_numpy()
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        size = np.diff(np.r_[first, len(ids)])
+        if scale_features:
+            for a, n in zip(first, size):
+                sd = X[a:a + n].std(axis=0)
+                X[a:a + n] = (X[a:a + n] - X[a:a + n].mean(axis=0)) / np.where(sd == 0, 1.0, sd)
+        score, flag = np.zeros(len(pdf)), np.zeros(len(pdf), bool)
+        for n in np.unique(size):
+            starts = first[size == n]
+            at = starts[:, None] + np.arange(n)[None, :]
+            if n <= psi:
+                s = score_stacked(X[at], trees, seed)
             else:
-                rid = g[seq].to_numpy()
-                keys = np.array([[tree_draw_py(seed, t, r) for r in rid] for t in tree_ids])
-                samples = X[np.argsort(keys, axis=1, kind="stable")[:, :psi_eff]]
-            fo = build_forest(np.ascontiguousarray(samples), seed, tree_ids, depth, psi_eff)
-            s = score_matrix(fo, X)
-            thr = linear_quantile(s, contamination)
-            outs.append(pd.DataFrame({seq: g[seq].to_numpy(), batch: g[batch].to_numpy(),
-                                      "score": s, "is_anomaly": s < thr}))
-        if not outs:
-            return pd.DataFrame({seq: [], batch: [], "score": [], "is_anomaly": []})
-        return pd.concat(outs, ignore_index=True)
+                rid = pdf[seq].to_numpy()
+                s = np.stack([_score_batch(X[i], rid[i], trees, psi, seed) for i in at])
+            thr = np.array([linear_quantile(r, contamination) for r in s])
+            score[at], flag[at] = s, s < thr[:, None]
+        return pd.DataFrame({seq: pdf[seq], batch: pdf[batch], "score": score, "is_anomaly": flag})
 
     schema = f"{seq} long, {batch} long, score double, is_anomaly boolean"
     d = d.repartition(groups_partitions(d), "_grp")
@@ -563,6 +552,9 @@ def fit_score_batches(df: DataFrame, features: list[str], batch: str = "batch_id
 
 
 # ------------------------------------------------------------ S5 persistence
+MISSING_PATH = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def save_model(spark: SparkSession, model: ForestModel, path: str) -> None:
     """Node table and a one-row parameter table, both parquet."""
     fo = model.forest
@@ -582,11 +574,14 @@ def save_model(spark: SparkSession, model: ForestModel, path: str) -> None:
 
 def load_model(spark: SparkSession, path: str) -> ForestModel | None:
     """Load a saved model; None unless both parts exist."""
+    from pyspark.errors import AnalysisException
     try:
         params = json.loads(spark.read.parquet(os.path.join(path, "params")).first()[0])
         nodes = spark.read.parquet(os.path.join(path, "nodes")).toPandas()
-    except Exception:  # noqa: BLE001 - a missing part means no model
-        return None
+    except AnalysisException as e:
+        if e.getCondition() not in MISSING_PATH:
+            raise
+        return None  # a missing part means no model
     forest = forest_from_nodes(nodes, params["trees"], params["max_depth"], params["psi"])
     return ForestModel(params["features"], forest, params["seed"], params["contamination"],
                        params["offset"], params["scale_mean"], params["scale_std"])

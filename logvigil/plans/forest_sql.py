@@ -1,6 +1,6 @@
 """DuckDB formulation of the isolation forest (oracle for M2-M5, M8).
 
-Generated SQL: the same hash draws, pool, per-tree ranking, level-by-level
+Generated SQL: the same hash draws, per-tree ranking, level-by-level
 splits and fixed-point path lengths as :mod:`logvigil.operators.iforest`,
 written as chained CTEs (one group-by and one join per tree level), then
 every row walks every tree with one join per level.
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from logvigil.operators.iforest import EULER_GAMMA, FIXED_POINT, POOL_OVERSAMPLE
+from logvigil.operators.iforest import EULER_GAMMA, FIXED_POINT
 
 
 def _u(tag_sql: str) -> str:
@@ -38,24 +38,11 @@ def forest_ctes(source: str, features: list[str], trees: int, psi_max_depth: tup
     tag = repr(f"{seed}:") + " || CAST(row_id AS VARCHAR)"
     ctes = [
         f"fx0 AS (SELECT {row_id} AS row_id, {xs} FROM {source})",
-        f"fx AS (SELECT *, {_word(tag, 0)} / 4294967296.0::DOUBLE AS wa, {_word(tag, 1)} AS ka, "
-        f"{_word(tag, 2)} AS kb FROM fx0)",
-        f"fpool AS (SELECT * FROM fx ORDER BY wa, row_id LIMIT {POOL_OVERSAMPLE * trees * psi})",
-        f"fn AS (SELECT COUNT(*) AS n, LEAST({psi}, COUNT(*)) AS psi_eff FROM fpool)",
-        f"fp AS (SELECT 0 AS p, LEAST(1.0::DOUBLE, CAST({POOL_OVERSAMPLE} * psi_eff AS DOUBLE) / n) "
-        f"AS q FROM fn)",
-        f"fpair AS (SELECT CAST(t.tree AS BIGINT) AS tree, p.*, "
-        f"CAST((p.ka + t.tree * p.kb) % 4294967296 AS DOUBLE) / 4294967296.0::DOUBLE AS u "
-        f"FROM fpool p CROSS JOIN range({trees}) t(tree))",
-        "fsamp0 AS (SELECT * EXCLUDE (u, q) FROM fpair, fp WHERE u < fp.q QUALIFY row_number() OVER "
-        "(PARTITION BY tree ORDER BY u, row_id) <= (SELECT psi_eff FROM fn))",
-        "fshort AS (SELECT CAST(t.tree AS BIGINT) AS tree FROM range(" + str(trees) + ") t(tree) "
-        "WHERE (SELECT COUNT(*) FROM fsamp0 s WHERE s.tree = t.tree) < (SELECT psi_eff FROM fn))",
-        "fsamp AS (SELECT * EXCLUDE (p) FROM fsamp0 WHERE tree NOT IN (SELECT tree FROM fshort) "
-        "UNION ALL SELECT * FROM (SELECT s.tree, x.* FROM fx x CROSS JOIN fshort s "
-        "QUALIFY row_number() OVER (PARTITION BY s.tree ORDER BY "
-        "CAST((x.ka + s.tree * x.kb) % 4294967296 AS DOUBLE) / 4294967296.0::DOUBLE, x.row_id) "
-        "<= (SELECT psi_eff FROM fn)))",
+        f"fx AS (SELECT *, {_word(tag, 1)} AS ka, {_word(tag, 2)} AS kb FROM fx0)",
+        f"fn AS (SELECT LEAST({psi}, COUNT(*)) AS psi_eff FROM fx)",
+        f"fsamp AS (SELECT CAST(t.tree AS BIGINT) AS tree, p.* FROM fx p CROSS JOIN "
+        f"range({trees}) t(tree) QUALIFY row_number() OVER (PARTITION BY t.tree ORDER BY "
+        f"(p.ka + t.tree * p.kb) % 4294967296, row_id) <= (SELECT psi_eff FROM fn))",
         f"a0 AS (SELECT tree, row_id, {xcols}, CAST(1 AS BIGINT) AS node FROM fsamp)",
     ]
     pick_x = lambda alias: "CASE c.feat " + " ".join(
@@ -111,6 +98,57 @@ def forest_ctes(source: str, features: list[str], trees: int, psi_max_depth: tup
     return ctes
 
 
+def batch_forest_ctes(source: str, features: list[str], trees: int, rows: int, seed: int,
+                      contamination: float, batch: str = "batch_id", row_id: str = "seq") -> list[str]:
+    """CTEs ending in ``bflag(row_id, batch, score, is_anomaly)``: a forest per
+    batch of ``rows`` rows, each tree grown on all of them.  The draws depend
+    on tree and node only; a row's path ends at the leaf it was grown into."""
+    depth, nf = depth_for(rows), len(features)
+    xcols = ", ".join(f"x{i}" for i in range(nf))
+    xs = ", ".join(f"CAST({f} AS DOUBLE) AS x{i}" for i, f in enumerate(features))
+    ctes = [f"b0 AS (SELECT {row_id} AS row_id, {batch} AS g, CAST(t.tree AS BIGINT) AS tree, {xs}, "
+            f"CAST(1 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth FROM {source} "
+            f"CROSS JOIN range({trees}) t(tree))"]
+    draws = ", ".join(
+        f"{_u(repr(f'{k}:{seed}:') + ' || CAST(tree AS VARCHAR) || ' + repr(':') + ' || CAST(node AS VARCHAR)')} AS u{k}"
+        for k in "fs")
+    for lvl in range(depth):
+        agg = ", ".join(f"min(x{i}) AS mn{i}, max(x{i}) AS mx{i}" for i in range(nf))
+        cum = ", ".join(" + ".join(f"CAST(mx{j} > mn{j} AS INTEGER)" for j in range(i + 1)) + f" AS k{i}"
+                        for i in range(nf))
+        pick = "CAST(floor(uf * k%d) AS BIGINT) + 1" % (nf - 1)
+        feat = "CASE " + " ".join(f"WHEN mx{i} > mn{i} AND k{i} = {pick} THEN {i}"
+                                  for i in range(nf)) + " END"
+        thr = "CASE feat " + " ".join(f"WHEN {i} THEN mn{i} + us * (mx{i} - mn{i})"
+                                      for i in range(nf)) + " END"
+        mine = "CASE c.feat " + " ".join(f"WHEN {i} THEN a.x{i}" for i in range(nf)) + " END"
+        ctes += [
+            f"bs{lvl} AS (SELECT g, tree, node, COUNT(*) AS sz, {agg} FROM b{lvl} "
+            f"WHERE node >= {2 ** lvl} GROUP BY g, tree, node)",
+            f"bk{lvl} AS (SELECT *, {cum}, {draws} FROM bs{lvl})",
+            f"bf{lvl} AS (SELECT *, {feat} AS feat FROM bk{lvl} WHERE sz > 1 AND k{nf - 1} > 0)",
+            f"bt{lvl} AS (SELECT g, tree, node, feat, {thr} AS thr FROM bf{lvl})",
+            f"b{lvl + 1} AS (SELECT a.row_id, a.g, a.tree, {', '.join(f'a.x{i}' for i in range(nf))}, "
+            f"CASE WHEN c.feat IS NULL THEN a.node ELSE 2 * a.node + CAST(({mine}) > c.thr AS BIGINT) "
+            f"END AS node, a.depth + CASE WHEN c.feat IS NULL THEN 0 ELSE 1 END AS depth "
+            f"FROM b{lvl} a LEFT JOIN bt{lvl} c ON a.g = c.g AND a.tree = c.tree AND a.node = c.node)"]
+    ctes += [
+        f"bl AS (SELECT g, tree, node, COUNT(*) AS sz FROM b{depth} GROUP BY g, tree, node)",
+        f"bu AS (SELECT a.row_id, a.g, CAST(SUM(a.depth * {FIXED_POINT} + CAST(floor({_c('l.sz')} * "
+        f"{float(FIXED_POINT)!r}::DOUBLE) AS BIGINT)) AS BIGINT) AS units FROM b{depth} a JOIN bl l "
+        f"ON a.g = l.g AND a.tree = l.tree AND a.node = l.node GROUP BY a.row_id, a.g)",
+        f"bscore AS (SELECT row_id, g, -pow(2.0::DOUBLE, -(((CAST(units AS DOUBLE) / "
+        f"{float(FIXED_POINT)!r}::DOUBLE) / {trees}) / {_c(str(rows))})) AS score FROM bu)",
+        f"brank AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score) - 1 AS rk, "
+        f"{contamination!r}::DOUBLE * (COUNT(*) OVER (PARTITION BY g) - 1) AS pos FROM bscore)",
+        "bthr AS (SELECT a.g, CASE WHEN a.pos - a.rk > 0 THEN a.score + (b.score - a.score) * "
+        "(a.pos - a.rk) ELSE a.score END AS thr FROM brank a JOIN brank b ON a.g = b.g AND b.rk = "
+        "LEAST(a.rk + 1, " + str(rows - 1) + ") WHERE a.rk = CAST(floor(a.pos) AS BIGINT))",
+        "bflag AS (SELECT s.row_id, s.g AS batch, s.score, s.score < t.thr AS is_anomaly "
+        "FROM bscore s JOIN bthr t USING (g))"]
+    return ctes
+
+
 def quantile_cte(name: str, source: str, column: str, q: float) -> str:
     """Linear-interpolation quantile ``a + (b - a) * frac`` as one-row CTE ``name``."""
     return (f"{name}_r AS (SELECT {column} AS v, row_number() OVER (ORDER BY {column}) - 1 AS rk, "

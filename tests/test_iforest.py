@@ -83,11 +83,44 @@ def test_exact_quantile_matches_numpy(spark):
     v = np.round(rng.normal(size=5000), 3)
     df = spark.createDataFrame(pd.DataFrame({"x": v}))
     for q in (0.0, 0.1, 0.15, 0.5, 0.999, 1.0):
-        # tiny sketch and fetch limit force several narrowing rounds
-        got = iforest.exact_quantile(df, "x", q, accuracy=50, fetch_limit=40)
+        got = iforest.exact_quantile(df, "x", q, bins=7)  # several narrowing rounds
         assert got == pytest.approx(float(np.quantile(v, q)), abs=1e-12)
     ties = spark.createDataFrame(pd.DataFrame({"x": np.repeat([1.0, 2.0, 3.0], 700)}))
-    assert iforest.exact_quantile(ties, "x", 0.5, accuracy=20, fetch_limit=10) == 2.0
+    assert iforest.exact_quantile(ties, "x", 0.5, bins=4) == 2.0
+    # two heavy values on either side of the rank: bins come back, never rows
+    two = spark.createDataFrame(pd.DataFrame({"x": np.repeat([0.0, 1.0], 500)}))
+    assert iforest.exact_quantile(two, "x", 0.5, bins=4) == 0.5
+    wild = [-1.7e308, -1.0, 0.0, 5e-324, 1e-300, 2.0, 1.7e308, float("nan")]
+    df = spark.createDataFrame([(x,) for x in wild] + [(None,)], "x double")
+    assert [iforest.exact_quantile(df, "x", i / 6, bins=3) for i in range(7)] == wild[:-1]
+    assert iforest.exact_quantile(df.where("false"), "x", 0.5) is None
+
+
+def test_sample_is_the_smallest_draws_whatever_the_bound(spark):
+    df = _frame(spark)
+    n = df.count()
+    for bound in (iforest.DRAW_RANGE, iforest.DRAW_RANGE // 3):
+        got = {}
+        for r in iforest.sample_for_trees(df, FEATS, [0, 3, 4], 20, bound, 9).collect():
+            got.setdefault(r.tree, set()).add(r.row_id)
+        for t, rows in got.items():
+            draws = sorted((iforest.tree_draw_py(9, t, i), i) for i in range(n))
+            assert rows == {i for _, i in draws[:20]}
+    plan = iforest.sample_for_trees(df, FEATS, [0, 1], 20, 1 << 30, 9)._jdf.queryExecution().toString()
+    assert "TakeOrdered" not in plan and "SinglePartition" not in plan
+    # a bound too narrow is widened until every tree has its sample
+    small = iforest.fit(df, FEATS, trees=12, psi=1, seed=3)
+    assert (small.forest.size[:, 1] == 1).all()
+
+
+def test_stacked_batches_equal_single_fits(spark):
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(5, 30, 4)).round(1)
+    got = iforest.score_stacked(X, 20, 42)
+    for x, s in zip(X, got):
+        fo = iforest.build_forest(np.repeat(x[None], 20, axis=0), 42, tuple(range(20)),
+                                  iforest.max_depth_for(30), 30)
+        assert np.array_equal(iforest.score_matrix(fo, x), s)
 
 
 def test_batch_forests(spark):
