@@ -15,8 +15,6 @@ from logvigil.functions.exprs import (day_of_week, flag, hour, ip_last_octet, is
 from logvigil.operators import windows
 from logvigil.schemas import DETECTOR_KNOWN_USERS
 
-ONE_HOT_CAP = 1000
-
 # Web feature vector, in the detector's fixed order.
 WEB_FEATURES = [
     "hour", "minute",
@@ -49,47 +47,40 @@ def with_ip_last_octet(df: DataFrame, ip: str = "source_ip") -> DataFrame:
     return df.withColumn("ip_last_octet", ip_last_octet(ip))
 
 
-def categories(df: DataFrame, column: str, cap: int = ONE_HOT_CAP) -> list[str] | None:
-    """Distinct non-null values of ``column`` (sorted), or None above ``cap``.
-
-    A single aggregate whose result is bounded by ``cap + 1`` rows."""
-    vals = (df.select(column).where(F.col(column).isNotNull()).distinct()
-              .limit(cap + 1).collect())
-    if len(vals) > cap:
-        return None
-    return sorted(r[0] for r in vals)
+def categories(df: DataFrame, column: str) -> list[str]:
+    """Distinct non-null values of ``column``, sorted (the columns of a wide
+    one-hot; for a column of unbounded values use the long form)."""
+    return categories_many(df, [column])[column]
 
 
-def categories_many(df: DataFrame, columns: list[str], cap: int = ONE_HOT_CAP
-                    ) -> dict[str, list[str] | None]:
-    """Category lists of several columns from one bounded distinct job
-    (a column above ``cap`` values maps to None)."""
+def categories_many(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    """Category lists of several columns from one distinct job."""
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns
     ])).alias("p")).select("p.c", "p.v").where(F.col("v").isNotNull()).distinct()
-    rows = pairs.limit((cap + 1) * len(columns)).collect()
-    out: dict[str, list[str] | None] = {c: [] for c in columns}
-    for r in rows:
+    out: dict[str, list[str]] = {c: [] for c in columns}
+    for r in pairs.collect():
         out[r["c"]].append(r["v"])
-    if len(rows) == (cap + 1) * len(columns):  # truncated: settle each column alone
-        return {c: categories(df, c, cap) for c in columns}
-    return {c: (None if len(v) > cap else sorted(v)) for c, v in out.items()}
+    return {c: sorted(v) for c, v in out.items()}
 
 
-def one_hot(df: DataFrame, column: str, prefix: str, values: list[str] | None = None,
-            cap: int = ONE_HOT_CAP, keep: list[str] | None = None) -> DataFrame:
-    """One 0/1 column ``{prefix}_{value}`` per category (NULL: all 0).
-
-    ``values`` fixes the category list (required for a stable schema in
-    streaming); otherwise it is read with one bounded ``distinct``.  Above
-    ``cap`` categories the result is the long form (keep..., column, value=1).
-    """
+def one_hot(df: DataFrame, column: str, prefix: str, values: list[str] | None = None) -> DataFrame:
+    """P6, wide form: one 0/1 column ``{prefix}_{value}`` per category (NULL:
+    all 0).  ``values`` fixes the category list (required for a stable schema
+    in streaming); otherwise it is read with one ``distinct``."""
     if values is None:
-        values = categories(df, column, cap)
-    if values is None:
-        return df.select(*(keep or []), F.lit(f"{prefix}").alias("prefix"),
-                         F.col(column).alias("category"), F.lit(1).cast("long").alias("value"))
-    return df.withColumns({f"{prefix}_{v}": flag(F.col(column) == v) for v in values})
+        values = categories(df, column)
+    named = [flag(F.col(column) == v).alias(f"{prefix}_{v}") for v in values]
+    return df.select("*", *named)
+
+
+def one_hot_long(df: DataFrame, column: str, prefix: str,
+                 id_cols: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """P6, long form, for a column of any number of values: one row (id
+    columns, prefix, category, value = 1) per non-null value."""
+    return df.where(F.col(column).isNotNull()).select(
+        *id_cols, F.lit(prefix).alias("prefix"), F.col(column).cast("string").alias("category"),
+        F.lit(1).cast("long").alias("value"))
 
 
 RAW_WEB_COLUMNS = ["ts", "event_type", "user", "source_ip", "status"]
@@ -176,7 +167,7 @@ def api_features(api: DataFrame, batch: str = "batch_id", roll: int = 10, err_ro
     d = windows.minute_rates(d, batch=batch, align=align)
     d = windows.rolling_response_time(d, batch=batch, rows=roll)
     d = windows.consecutive_errors(d, batch=batch, rows=err_roll)
-    d = with_endpoint_rt_zscore(d, api, history_rows, batch_size)
+    d = with_endpoint_rt_zscore(d, api, history_rows, batch_size, batch)
     cols = [c for c in keep if c not in API_FEATURES]
     if batch not in cols:
         cols.append(batch)

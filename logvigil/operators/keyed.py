@@ -4,9 +4,11 @@ A plain ``Window.partitionBy(ip).orderBy(seq)`` puts every row of one IP into
 one task; if one IP holds a third of 100 TB that task never finishes.  Here the
 order axis is cut into chunks of ``chunk_rows`` sequence numbers, windows run
 per (key, chunk) -- bounded by ``chunk_rows`` rows -- and each chunk gets an
-offset (sum / max / last value of all earlier chunks of its key) from a small
+offset (sum / max / last value of all earlier chunks of its key) from a
 per-(key, chunk) table.  The chunk table's window is partitioned by key but
-holds one row per chunk, so even a hot key is a few thousand rows there.
+holds one row per chunk, so even a hot key is a few thousand rows there.  The
+table is small for hot keys; with mostly cold keys (a few rows per key and
+chunk) it comes near the log's own size, and larger chunks are the remedy.
 
 Both joins back are on (key, chunk) and the large side is already partitioned
 that way by its window, so AQE either broadcasts the small table (runtime size
@@ -34,32 +36,40 @@ def _join_back(df: DataFrame, small: DataFrame, key: str) -> DataFrame:
 
 def running_sums(df: DataFrame, key: str, sums: dict[str, Column], seq: str = "seq",
                  chunk_rows: int = DEFAULT_CHUNK_ROWS,
-                 firsts: dict[str, Column] | None = None) -> DataFrame:
+                 firsts: dict[str, Column] | None = None,
+                 maxes: dict[str, Column] | None = None) -> DataFrame:
     """Add, per output name, the running sum of a numeric expression over the
     rows of the same ``key`` up to and including the current row (by ``seq``).
 
-    ``firsts`` adds, per name, the expression's value on the key's first row;
-    it travels in the same small per-(key, chunk) table as the offsets, so no
-    extra join (and no shuffle of the large side by the bare key) is needed."""
-    firsts = firsts or {}
+    ``firsts`` adds, per name, the expression's value on the key's first row,
+    ``maxes`` its running maximum (NULLs ignored); both travel in the same small
+    per-(key, chunk) table as the offsets, so there is one join (and no shuffle
+    of the large side by the bare key)."""
+    firsts, maxes = firsts or {}, maxes or {}
     d = _with_chunk(df, seq, chunk_rows)
     w = Window.partitionBy(key, _CH).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     for name, expr in sums.items():
         d = d.withColumn(f"_v_{name}", expr).withColumn(f"_l_{name}", F.sum(f"_v_{name}").over(w))
     for name, expr in firsts.items():
         d = d.withColumn(f"_fv_{name}", expr)
+    for name, expr in maxes.items():
+        d = d.withColumn(f"_v_{name}", expr).withColumn(f"_l_{name}", F.max(f"_v_{name}").over(w))
     tot = d.groupBy(key, _CH).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
+                                  *[F.max(f"_v_{n}").alias(f"_t_{n}") for n in maxes],
                                   *[F.min_by(f"_fv_{n}", F.col(seq)).alias(f"_ft_{n}")
                                     for n in firsts])
     prev = Window.partitionBy(key).orderBy(_CH).rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(key).orderBy(_CH).rowsBetween(Window.unboundedPreceding, 0)
     off = tot.select(key, _CH, *[F.coalesce(F.sum(f"_t_{n}").over(prev), F.lit(0)).alias(f"_o_{n}")
                                  for n in sums],
+                     *[F.max(f"_t_{n}").over(prev).alias(f"_o_{n}") for n in maxes],
                      *[F.first(f"_ft_{n}").over(upto).alias(n) for n in firsts])
     out = _join_back(d, off, key)
     for n in sums:
         out = out.withColumn(n, F.col(f"_l_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0)))
-    return out.drop(_CH, *[f"_{p}_{n}" for n in sums for p in ("v", "l", "o")],
+    for n in maxes:
+        out = out.withColumn(n, F.greatest(f"_l_{n}", f"_o_{n}"))
+    return out.drop(_CH, *[f"_{p}_{n}" for n in [*sums, *maxes] for p in ("v", "l", "o")],
                     *[f"_fv_{n}" for n in firsts])
 
 
@@ -91,20 +101,6 @@ def previous_value(df: DataFrame, key: str, name: str, expr: Column, seq: str =
             .drop(_CH, "_v", "_lag", "_rn", "_o"))
 
 
-def key_first(df: DataFrame, key: str, name: str, expr: Column, seq: str = "seq",
-              chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """Attach the value of ``expr`` on the key's first row (by seq) to every row.
-
-    First per (key, chunk), then the earliest chunk's value per key over the
-    small chunk table, joined back on (key, chunk): the large side is never
-    shuffled by the bare key."""
-    d = _with_chunk(df, seq, chunk_rows).withColumn("_fv", expr)
-    per = d.groupBy(key, _CH).agg(F.min_by("_fv", F.col(seq)).alias("_ft"))
-    w = Window.partitionBy(key).orderBy(_CH).rowsBetween(Window.unboundedPreceding, 0)
-    small = per.select(key, _CH, F.first("_ft").over(w).alias(name))
-    return _join_back(d, small, key).drop(_CH, "_fv")
-
-
 def key_totals(df: DataFrame, key: str, sums: dict[str, Column], seq: str = "seq",
                chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Per-row group totals (``sum(x) over (partition by key)``) for additive

@@ -2,7 +2,7 @@
 
 Every aggregate is a ``groupBy().agg()`` whose partial (map-side) aggregation
 runs before the shuffle, so a hot key costs one small partial row per task.
-Dimension tables joined here (the five endpoints) are fixed-size and broadcast.
+Dimension tables are the caller's; adaptive execution broadcasts the small ones.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvigil.functions.exprs import exact_avg, exact_avg_bounded, is_error, pct_1dp, round6, round_dp
+from logvigil.functions.exprs import exact_avg, is_error, pct_1dp, round6, round_dp
 from logvigil.schemas import (ENDPOINT_INITIAL_RT, ENDPOINT_INITIAL_STATUS,
                               ENDPOINT_METHODS, ENDPOINT_PATHS)
 
@@ -27,12 +27,11 @@ def endpoint_counters(api: DataFrame, endpoints: DataFrame | None = None) -> Dat
     """A5: requests and errors (status >= 400) per endpoint.
 
     With ``endpoints`` given, events on unknown endpoints are ignored (semi join
-    against the broadcast dimension) as the live counters do.
+    against the dimension, which AQE broadcasts if it is small) as the live counters do.
     """
     df = api
     if endpoints is not None:
-        df = df.join(F.broadcast(endpoints.select(F.col("path").alias("endpoint"))),
-                     "endpoint", "left_semi")
+        df = df.join(endpoints.select(F.col("path").alias("endpoint")), "endpoint", "left_semi")
     return df.groupBy("endpoint").agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if(is_error()).alias("errors"))
@@ -47,7 +46,7 @@ def success_rate(requests="requests", errors="errors") -> F.Column:
 def endpoint_status(api: DataFrame, endpoints: DataFrame) -> DataFrame:
     """J2 + A6 + T2: one row per known endpoint with counters, success rate and
     the last status / response time (initial values when never called)."""
-    known = F.broadcast(endpoints.select(F.col("path").alias("endpoint")))
+    known = endpoints.select(F.col("path").alias("endpoint"))
     agg = (api.join(known, "endpoint", "left_semi")
            .groupBy("endpoint").agg(
                F.count(F.lit(1)).alias("requests"),
@@ -157,26 +156,41 @@ def history_tail(api: DataFrame, n: int = 1000, seq: str = "seq") -> DataFrame:
 
 
 def endpoint_baseline(api: DataFrame, window_rows: int = 1000, batch_size: int = 30,
-                      seq: str = "seq", rounded: bool = True, exact_mean: bool = True,
-                      present_only: bool = True) -> DataFrame:
+                      seq: str = "seq", rounded: bool = True, present_only: bool = True) -> DataFrame:
     """A10: per (batch, endpoint in that batch) response-time mean and sample
     std over the history at batch end: rows with seq in (E - window_rows, E],
     E = the batch's last seq (seq is dense, so E = batch_size * b + batch_size - 1).
 
-    Each row is replicated to the <= window_rows / batch_size + 2 batches whose
-    history contains it and aggregated there: linear work, and the partial
-    aggregate merges the replicas map-side before the shuffle.
+    Rows are first summed per (batch, endpoint, last ``window_rows mod
+    batch_size`` rows of the batch or not): a history is a whole number of
+    batches and those last rows of one more.  Only these sums are replicated to
+    the <= window_rows / batch_size + 2 batches whose history contains them.
+    The sums are exact decimals of 1e-6 units and their squares, so mean and
+    std do not depend on the order of summation.
     """
-    b_lo = F.floor(F.col(seq) / batch_size).cast("long")
-    b_hi = F.floor((F.col(seq) + (window_rows - batch_size)) / batch_size).cast("long")
-    exploded = api.select(F.explode(F.sequence(b_lo, b_hi)).alias("batch_id"),
-                          "endpoint", "response_time")
+    edge = window_rows % batch_size
+    pos = F.col(seq) % batch_size
+    unit = F.round(F.col("response_time") * 1_000_000).cast("decimal(18,0)")
+    part = api.select(F.floor(F.col(seq) / batch_size).cast("long").alias("_b"), "endpoint",
+                      (pos >= batch_size - edge).alias("_late"), unit.alias("_x"), "response_time") \
+        .groupBy("_b", "endpoint", "_late").agg(
+            F.count(F.lit(1)).alias("_rows"), F.count("_x").alias("_n"), F.sum("_x").alias("_s"),
+            F.sum((F.col("_x") * F.col("_x")).cast("decimal(38,0)")).alias("_q"))
+    # the late rows are seen one batch longer
+    last = F.col("_b") + window_rows // batch_size - F.when(F.col("_late"), 0).otherwise(1)
+    spread = part.select(F.explode(F.sequence(F.col("_b"), last)).alias("batch_id"), "endpoint",
+                         "_rows", "_n", "_s", "_q")
     r = round6 if rounded else (lambda c: c)
-    mean = exact_avg_bounded("response_time") if exact_mean else F.avg("response_time")
-    base = exploded.groupBy("batch_id", "endpoint").agg(
-        r(mean).alias("baseline_mean"),
-        r(F.stddev_samp("response_time")).alias("baseline_std"),
-        F.count(F.lit(1)).alias("baseline_rows"))
+    n, s, q = F.sum("_n"), F.sum("_s"), F.sum("_q")
+    base = spread.groupBy("batch_id", "endpoint").agg(
+        n.alias("_n"), s.alias("_s"), q.alias("_q"), F.sum("_rows").alias("baseline_rows"))
+    n, s, q = F.col("_n"), F.col("_s"), F.col("_q")
+    square = (q * n.cast("decimal(10,0)")).cast("decimal(38,0)") - (s.cast("decimal(19,0)")
+                                                                    * s.cast("decimal(19,0)"))
+    var = F.when(n > 1, square.cast("double") / (n * (n - 1)).cast("double"))
+    base = base.select("batch_id", "endpoint",
+                       r(s.cast("double") / n / 1e6).alias("baseline_mean"),
+                       r(F.sqrt(var) / 1e6).alias("baseline_std"), "baseline_rows")
     if not present_only:
         return base
     present = api.select(F.floor(F.col(seq) / batch_size).cast("long").alias("batch_id"),
@@ -185,20 +199,21 @@ def endpoint_baseline(api: DataFrame, window_rows: int = 1000, batch_size: int =
 
 
 def with_endpoint_rt_zscore(df: DataFrame, api: DataFrame, window_rows: int = 1000,
-                            batch_size: int = 30) -> DataFrame:
-    """Attach J1's z-score to ``df`` rows (which carry batch_id, endpoint and
+                            batch_size: int = 30, batch: str = "batch_id") -> DataFrame:
+    """Attach J1's z-score to ``df`` rows (which carry the batch, endpoint and
     response_time).
 
     The baseline is packed per batch into an endpoint -> (mean, std) map
     (bounded: at most the endpoints of a ``window_rows`` history), so the join
-    is on batch_id alone; a ``df`` already hash-partitioned by batch_id (the
-    feature windows) is not shuffled again -- only the small side moves."""
-    base = endpoint_baseline(api, window_rows, batch_size, rounded=False, exact_mean=False,
-                             present_only=False)
-    per_batch = base.groupBy("batch_id").agg(F.map_from_entries(F.collect_list(F.struct(
-        "endpoint", F.struct("baseline_mean", "baseline_std")))).alias("_bl"))
+    is on the batch alone; a ``df`` already hash-partitioned by it (the feature
+    windows) is not shuffled again -- only the small side moves.  Rows without
+    an endpoint have no baseline and score 0."""
+    base = endpoint_baseline(api, window_rows, batch_size, rounded=False, present_only=False)
+    per_batch = base.where(F.col("endpoint").isNotNull()).groupBy(F.col("batch_id").alias(batch)).agg(
+        F.map_from_entries(F.collect_list(F.struct(
+            "endpoint", F.struct("baseline_mean", "baseline_std")))).alias("_bl"))
     b = F.col("_bl")[F.col("endpoint")]
-    return (df.join(per_batch, "batch_id", "left")
+    return (df.join(per_batch, batch, "left")
             .withColumn("endpoint_rt_zscore", F.coalesce(
                 F.try_divide(F.col("response_time") - b["baseline_mean"], b["baseline_std"]),
                 F.lit(0.0)))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logvigil.functions.exprs import epoch_us, flag, round6
@@ -74,9 +74,14 @@ def rate_breaches(api: DataFrame, max_rate: float = MAX_RATE, **kw) -> DataFrame
     return block_decisions(api, max_rate=max_rate, **kw).where("rate_blocked")
 
 
-def auth_lockouts(api: DataFrame, max_warnings: int = MAX_WARNINGS, **kw) -> DataFrame:
-    """R2: failed auth requests at or past the warning limit."""
-    return block_decisions(api, max_warnings=max_warnings, **kw).where("auth_blocked")
+def auth_lockouts(api: DataFrame, max_warnings: int = MAX_WARNINGS, ip: str = "ip_address",
+                  auth_endpoint: str = "/api/auth", seq: str = "seq",
+                  chunk_rows: int = keyed.DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """R2: failed auth requests at or past the warning limit.  Only failed
+    auth requests are read on: nothing else counts."""
+    bad = api.where((F.col("endpoint") == auth_endpoint) & (F.col("status_code") == 401))
+    d = keyed.running_sums(bad, ip, {"warnings": F.lit(1).cast("long")}, seq=seq, chunk_rows=chunk_rows)
+    return d.where(F.col("warnings") >= max_warnings)
 
 
 def block_list(decisions: DataFrame, ip: str = "ip_address", seq: str = "seq") -> DataFrame:
@@ -186,16 +191,27 @@ def idle_sessions(df: DataFrame, key: str, gap_s: int = 1800, ts: str = "ts",
     the gap to the key's previous event is >= ``gap_s``; a session ends
     ``gap_s`` after its last event.
 
-    Gaps-and-islands on the chunked per-key helpers (``order`` must follow
-    ``ts``): lag, running sum of session starts, then a partial-aggregated
-    group by (key, session) -- no task ever holds a whole hot key."""
-    us = epoch_us(F.col(ts))
-    d = keyed.previous_value(df, key, "_prev_us", us, seq=order, chunk_rows=chunk_rows)
-    d = d.withColumn("_new", F.when(F.col("_prev_us").isNull()
-                                    | ((us - F.col("_prev_us")) >= F.lit(gap_s * 1_000_000)), 1)
-                     .otherwise(0).cast("long"))
-    d = keyed.running_sums(d, key, {"_sid": F.col("_new")}, seq=order, chunk_rows=chunk_rows)
-    return d.groupBy(key, "_sid").agg(
+    Gaps-and-islands on chunks of each key (``order`` must follow ``ts``; see
+    :mod:`logvigil.operators.keyed`): session starts are numbered within a
+    chunk, and one row per (key, chunk) -- its first and last time and its
+    starts -- gives each chunk's offset and whether its first row opens a
+    session.  One window, one join, then a partial-aggregated group by."""
+    us, gap = epoch_us(F.col(ts)), F.lit(gap_s * 1_000_000)
+    d = df.select(key, ts, us.alias("_us"), F.col(order).alias("_o"),
+                  F.floor(F.col(order) / F.lit(chunk_rows)).cast("long").alias("_chunk"))
+    w = Window.partitionBy(key, "_chunk").orderBy("_o")
+    d = d.withColumn("_new", flag((F.col("_us") - F.lag("_us").over(w)) >= gap))
+    d = d.withColumn("_sid", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    per = d.groupBy(key, "_chunk").agg(F.min_by("_us", "_o").alias("_first"),
+                                       F.max_by("_us", "_o").alias("_last"),
+                                       F.sum("_new").alias("_starts"))
+    c = Window.partitionBy(key).orderBy("_chunk")
+    opens = F.coalesce(((F.col("_first") - F.lag("_last").over(c)) >= gap).cast("long"), F.lit(1))
+    per = per.withColumn("_opens", opens)
+    per = per.select(F.col(key).alias("_key"), F.col("_chunk").alias("_c"), (F.sum(
+        F.col("_starts") + F.col("_opens")).over(c) - F.col("_starts")).alias("_offset"))
+    d = d.join(per, d[key].eqNullSafe(per["_key"]) & (d["_chunk"] == per["_c"]))
+    return d.groupBy(key, (F.col("_offset") + F.col("_sid")).alias("_sid")).agg(
         F.min(ts).alias("session_start"),
         F.timestamp_add("SECOND", F.lit(gap_s), F.max(ts)).alias("session_end"),
         F.count(F.lit(1)).alias("n_events")).drop("_sid")

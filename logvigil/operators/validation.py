@@ -26,6 +26,13 @@ def client_ip_traffic(df: DataFrame, test_flag: str = "is_test_traffic",
         "traffic_type": F.when(test, "test").otherwise("real")})
 
 
+def client_ip_header(df: DataFrame, header: str = "simulated_ip", remote: str = "remote_addr",
+                     out: str = "api_client_ip") -> DataFrame:
+    """P16, the API application's rule: the header's address if there is one,
+    else the remote address, for any traffic."""
+    return df.withColumn(out, F.coalesce(F.col(header), F.col(remote)))
+
+
 def admin_authorization(df: DataFrame, user: str = "user", admin: str = "admin") -> DataFrame:
     """An admin action by anyone but the admin is 'unauthorized' (HTTP 403),
     otherwise 'success' (200)."""
@@ -38,15 +45,21 @@ def admin_authorization(df: DataFrame, user: str = "user", admin: str = "admin")
 def payload_validation(df: DataFrame, payload: str = "payload", method: str = "method",
                        authenticated: str = "authenticated") -> DataFrame:
     """Product request status -- GET 200; POST: 401 when not
-    authenticated, 400 when a field is missing / not a number / negative, else 201.
-    Malformed JSON counts as a missing body (400)."""
+    authenticated, 400 when a field is absent or price or stock is negative,
+    else 201.  A field is absent only if its key is: ``{"name": null, ...}``
+    has one.  No or malformed JSON, or a price or stock that is no number, is
+    400."""
     body = F.from_json(F.col(payload), PRODUCT_BODY)
+    keys = F.json_object_keys(F.col(payload))
     price = body["price"].try_cast("double")
     stock = body["stock"].try_cast("double")
-    missing = body.isNull() | body["name"].isNull() | price.isNull() | stock.isNull()
+    absent = F.lit(False)
+    for name in PRODUCT_BODY.names:
+        absent = absent | ~F.coalesce(F.array_contains(keys, name), F.lit(False))
+    bad = absent | body.isNull() | price.isNull() | stock.isNull()
     status = (F.when(F.col(method) != "POST", 200)
               .when(~F.coalesce(F.col(authenticated), F.lit(False)), 401)
-              .when(missing, 400)
+              .when(bad, 400)
               .when((price < 0) | (stock < 0), 400)
               .otherwise(201))
     return df.withColumn("validated_status", status.cast("long"))
@@ -59,8 +72,8 @@ def auth_validation(df: DataFrame, credentials: DataFrame, payload: str = "paylo
     The credential table is joined (AQE broadcasts it when it is small)."""
     body = F.from_json(F.col(payload), AUTH_BODY)
     d = df.withColumns({"username": body["username"], "_pw": body["password"]})
-    creds = credentials.select(F.col("username").alias("_cu"), F.col("password").alias("_cp"),
-                               F.lit(True).alias("_match"))
+    creds = credentials.select(F.col("username").alias("_cu"), F.col("password").alias("_cp")) \
+                       .distinct().withColumn("_match", F.lit(True))
     j = d.join(creds, (d["username"] == creds["_cu"]) & (d["_pw"] == creds["_cp"]), "left")
     status = (F.when(F.col("username").isNull() | F.col("_pw").isNull(), 400)
               .when(F.col("_match"), 200).otherwise(401))
@@ -91,6 +104,8 @@ def session_ip(requests: DataFrame, sessions: DataFrame, session_id: str = "sess
     """The IP of each request's session (left join on the session id);
     requests without a known session get ``default_ip``."""
     s = sessions.select(F.col(session_id).alias("_sid"), F.col("ip_address").alias("_sip"))
-    return (requests.join(s, requests[session_id] == s["_sid"], "left")
-            .withColumn("session_ip", F.coalesce(F.col("_sip"), F.lit(default_ip)))
-            .drop("_sid", "_sip"))
+    known = requests[session_id].isNotNull()
+    # requests without a session id match nothing and do not meet in one task
+    j = requests.where(known).join(s, requests[session_id] == s["_sid"], "left")
+    j = j.withColumn("session_ip", F.coalesce(F.col("_sip"), F.lit(default_ip))).drop("_sid", "_sip")
+    return j.unionByName(requests.where(~known).withColumn("session_ip", F.lit(default_ip)))

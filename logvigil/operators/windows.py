@@ -18,28 +18,21 @@ from logvigil.operators import keyed
 US = 1_000_000
 
 
-def _scoped(*cols, batch: str | None):
-    return [batch, *cols] if batch else list(cols)
-
-
 def attempt_counts(web: DataFrame, batch: str | None = "batch_id",
                    ip: str = "source_ip", user: str = "user") -> DataFrame:
     """W1 + W2: rows per IP / per user, and failed rows per IP / per user, the
     failed counts only on failed rows (0 elsewhere)."""
     failed = F.col("status") == "failed"
     if batch:
-        wi = Window.partitionBy(batch, ip)
-        wu = Window.partitionBy(batch, user)
-        wif = Window.partitionBy(batch, ip, "_failed")
-        wuf = Window.partitionBy(batch, user, "_failed")
+        # failed rows are summed over the same windows: one sort per key
+        wi, wu = Window.partitionBy(batch, ip), Window.partitionBy(batch, user)
         d = web.repartition(batch).withColumn("_failed", F.coalesce(failed, F.lit(False)))
-        return (d.withColumn("ip_attempts", F.count(F.lit(1)).over(wi))
-                 .withColumn("ip_failed_attempts",
-                             F.when(F.col("_failed"), F.count(F.lit(1)).over(wif)).otherwise(0))
-                 .withColumn("user_attempts", F.count(F.lit(1)).over(wu))
-                 .withColumn("user_failed_attempts",
-                             F.when(F.col("_failed"), F.count(F.lit(1)).over(wuf)).otherwise(0))
-                 .drop("_failed"))
+        n = F.col("_failed").cast("long")
+        d = d.withColumns({"ip_attempts": F.count(F.lit(1)).over(wi), "_ipf": F.sum(n).over(wi)})
+        d = d.withColumns({"user_attempts": F.count(F.lit(1)).over(wu), "_uf": F.sum(n).over(wu)})
+        return (d.withColumn("ip_failed_attempts", F.when(F.col("_failed"), F.col("_ipf")).otherwise(0))
+                 .withColumn("user_failed_attempts", F.when(F.col("_failed"), F.col("_uf")).otherwise(0))
+                 .drop("_failed", "_ipf", "_uf"))
     d = web.withColumn("_failed", F.coalesce(failed, F.lit(False)))
     one = F.lit(1).cast("long")
     d = keyed.key_totals(d, ip, {"ip_attempts": one, "_ipf": F.col("_failed").cast("long")})
@@ -133,18 +126,29 @@ def login_attempts(web: DataFrame, ip: str = "source_ip", seq: str = "seq",
     """W11 + W13: running login count per IP and the time of the IP's latest
     login so far; ``attempts`` is that count, or 1 when the IP has none yet."""
     is_login = F.col("event_type") == "login"
-    d = keyed.running_sums(web, ip, {"login_count": flag(is_login)}, seq=seq,
-                           chunk_rows=chunk_rows)
-    d = keyed.running_max(d, ip, "last_attempt", F.when(is_login, F.col("ts")), seq=seq,
-                          chunk_rows=chunk_rows)
+    d = keyed.running_sums(web, ip, {"login_count": flag(is_login)}, seq=seq, chunk_rows=chunk_rows,
+                           maxes={"last_attempt": F.when(is_login, F.col("ts"))})
     return d.withColumn("attempts", F.when(F.col("login_count") > 0, F.col("login_count"))
                         .otherwise(F.lit(1).cast("long")))
 
 
-def count_batches(df: DataFrame, size: int = 30, seq: str = "seq") -> DataFrame:
+def count_batches(df: DataFrame, size: int = 30, seq: str = "seq",
+                  chunk_rows: int = 1_000_000) -> DataFrame:
     """Tumbling count batches of ``size`` rows by arrival order; rows of
-    an incomplete (still open) batch are not emitted."""
-    d = df.withColumn("batch_id", F.floor(F.col(seq) / size).cast("long")) \
-          .withColumn("pos_in_batch", (F.col(seq) - F.col("batch_id") * size).cast("long"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("batch_id"))
-    return d.withColumn("_n", n).where(F.col("_n") == size).drop("_n")
+    an incomplete (still open) batch are not emitted.
+
+    Rows are counted, not read off ``seq``, which may have gaps: a row's rank is
+    the rows of earlier chunks of ``seq`` (from one row per chunk) plus its
+    rank within its chunk, so no task numbers the whole log."""
+    d = df.withColumn("_chunk", F.floor(F.col(seq) / F.lit(chunk_rows)).cast("long"))
+    per = d.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    every = Window.partitionBy(F.lit(0))  # over the chunk table only
+    per = per.select("_chunk", (F.sum("_n").over(every.orderBy("_chunk")) - F.col("_n")).alias("_before"),
+                     F.sum("_n").over(every).alias("_total"))
+    own = F.row_number().over(Window.partitionBy("_chunk").orderBy(seq)) - 1
+    d = d.withColumn("_own", own).join(per, "_chunk").withColumn("_r", F.col("_before") + F.col("_own"))
+    whole = F.floor(F.col("_total") / size) * size
+    return (d.where(F.col("_r") < whole)
+             .withColumn("batch_id", F.floor(F.col("_r") / size).cast("long"))
+             .withColumn("pos_in_batch", (F.col("_r") % size).cast("long"))
+             .drop("_chunk", "_own", "_before", "_total", "_r"))

@@ -43,30 +43,6 @@ def envelope(record: T.StructType) -> T.StructType:
     return T.StructType([T.StructField("logs", T.ArrayType(record), True)])
 
 
-# Typed forms after parsing (what operators consume).
-API_LOG = T.StructType([
-    T.StructField("seq", T.LongType(), False),
-    T.StructField("ts", T.TimestampNTZType(), True),
-    T.StructField("endpoint", T.StringType(), True),
-    T.StructField("method", T.StringType(), True),
-    T.StructField("status_code", T.LongType(), True),
-    T.StructField("response_time", T.DoubleType(), True),
-    T.StructField("payload", T.StringType(), True),
-    T.StructField("ip_address", T.StringType(), True),
-])
-
-WEB_LOG = T.StructType([
-    T.StructField("seq", T.LongType(), False),
-    T.StructField("ts", T.TimestampNTZType(), True),
-    T.StructField("event_type", T.StringType(), True),
-    T.StructField("user", T.StringType(), True),
-    T.StructField("source_ip", T.StringType(), True),
-    T.StructField("traffic_type", T.StringType(), True),
-    T.StructField("status", T.StringType(), True),
-    T.StructField("response_time", T.DoubleType(), True),
-    T.StructField("attempts", T.LongType(), True),
-])
-
 # Fixed values of the monitored application.
 # Endpoint dimension: the five API paths, their methods, initial last status
 # 200 and initial last response time 0.

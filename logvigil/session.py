@@ -39,18 +39,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting names a shared folder and is used as is.  Only
-    when it is unset (local tests) do we create one, under ``fallback`` or a
+    On a cluster that setting must name a shared folder; unset, it is an error
+    there.  On a local master (tests) one is created, under ``fallback`` or a
     fresh temporary folder.
     """
     current = spark.conf.get(_CHECKPOINT_KEY, None)
     if not current:
+        if not fallback and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = fallback or tempfile.mkdtemp(prefix="logvigil-ckpt-")
         spark.conf.set(_CHECKPOINT_KEY, current)
     spark.sparkContext.setCheckpointDir(current)
     return current
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts and small durable state tables."""
-    return ensure_checkpoint_dir(spark)

@@ -37,15 +37,23 @@ def test_previous_value_and_running_max(spark):
         exp.select("seq", "prev", "mx").collect())
 
 
-def test_key_totals_and_first(spark):
+def test_key_totals(spark):
     df = _data(spark)
     got = keyed.key_totals(df, "k", {"n": F.lit(1).cast("long")}, chunk_rows=17)
-    got = keyed.key_first(got, "k", "first_t", F.col("t"), chunk_rows=17)
-    w = Window.partitionBy("k")
-    exp = df.withColumn("n", F.count(F.lit(1)).over(w)).withColumn(
-        "first_t", F.first("t").over(w.orderBy("seq")))
-    assert sorted(got.select("seq", "n", "first_t").collect()) == sorted(
-        exp.select("seq", "n", "first_t").collect())
+    exp = df.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k")))
+    assert sorted(got.select("seq", "n").collect()) == sorted(exp.select("seq", "n").collect())
+
+
+def test_running_sums_firsts_and_maxes_in_one_table(spark):
+    df = _data(spark)
+    hit = F.when(F.col("f"), F.col("t"))
+    got = keyed.running_sums(df, "k", {"n": F.lit(1).cast("long")}, chunk_rows=13,
+                             firsts={"first_t": F.col("t")}, maxes={"mx": hit})
+    w = Window.partitionBy("k").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    exp = df.withColumns({"n": F.count(F.lit(1)).over(w), "first_t": F.first("t").over(w),
+                          "mx": F.max(hit).over(w)})
+    cols = ["seq", "n", "first_t", "mx"]
+    assert sorted(got.select(*cols).collect()) == sorted(exp.select(*cols).collect())
 
 
 def test_idle_sessions_chunked_equals_session_window(spark):
