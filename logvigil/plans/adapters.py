@@ -65,7 +65,12 @@ def _base(events: DataFrame, time_scale: int) -> DataFrame:
 
 
 def _api_cols() -> dict[str, F.Column]:
-    status = (F.when(F.col("event_type") == "error",
+    # two addresses apart from the rest: one mostly refused, one nearly free of errors
+    host = F.col("user_id") % 32
+    bad_login = (F.col("event_type") == "error") & (F.col("k") < 50)
+    status = (F.when((host == 7) & (F.col("k") >= 40), 403)
+              .when((host == 5) & ~bad_login, 200)
+              .when(F.col("event_type") == "error",
                      F.when(F.col("k") < 50, 401).when(F.col("k") < 75, 403).otherwise(500))
               .when(F.col("k") >= 98, 503).when(F.col("k") >= 95, 404).otherwise(200))
     return {
@@ -141,8 +146,3 @@ def pattern_type() -> F.Column:
     """The traffic generator's user pattern of an events row."""
     m = F.col("user_id") % 10
     return F.when(m == 8, "bot").when(m == 9, "attacker").otherwise("normal_user")
-
-
-def ip_patterns(events: DataFrame) -> DataFrame:
-    """Per-request user pattern of the traffic generator (normal_user/bot/attacker)."""
-    return events.select(F.col("event_id").alias("seq"), pattern_type().alias("pattern_type"))

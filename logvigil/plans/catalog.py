@@ -3,28 +3,30 @@ operator of SURVEY §2, each over the whole ``events`` table.
 
 Query parameters that are not the reference's defaults are chosen so that the
 rule actually selects some rows of the test table (see adapters): the rate
-limit is 0.05 requests/s instead of 100 and the "now" of the as-of views is
-six hours into the (time-compressed) log.
+limit is 0.05 requests/s instead of 100.  The "now" of the as-of views is the
+end of the (time-compressed) log, so they cover every row.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvigil.functions.exprs import round6
+from logvigil.functions.exprs import parse_ts, round6
 from logvigil.operators import (features, iforest, metrics, response, rules, validation,
                                 windows)
 from logvigil.plans import adapters as A
 from logvigil.schemas import API_CREDENTIALS, DETECTOR_KNOWN_USERS, WEBSITE_USERS
+from logvigil.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 # Fixed query parameters.
 TIME_SCALE = 60
-NOW = "2024-01-01 06:00:00"
+NOW = "2024-01-01 12:00:00"
 TEST_MAX_RATE = 0.05
 TEST_MEAN_RATE = 0.0072
 ANOMALY_SCORE_DIVISOR = 10000.0
@@ -83,6 +85,15 @@ def _risk(spark, sf):
 
 
 # ----------------------------------------------------- projections (§2.2)
+@query
+def q_parse_timestamp(spark, sf):
+    """P1 on the producers' text form; every 17th text is malformed."""
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    raw = _events(spark, sf).select(F.col("event_id").alias("seq"), F.when(
+        F.col("event_id") % 17 == 0, F.concat(F.lit("x"), text)).otherwise(text).alias("timestamp"))
+    return raw.select("seq", parse_ts("timestamp").alias("ts"))
+
+
 @query
 def q_calendar_features(spark, sf):
     return features.calendar_features(_api(spark, sf)).select(
@@ -148,7 +159,8 @@ def q_client_ip_traffic(spark, sf):
         "forwarded_for": F.when(F.col("k") % 10 == 9, F.lit(None).cast("string"))
                           .otherwise(F.concat(F.lit("10.1.0."), F.col("k").cast("string"))),
         "remote_addr": F.col("source_ip")})
-    return validation.client_ip_traffic(web).select("seq", "client_ip", "traffic_type")
+    both = validation.client_ip_header(validation.client_ip_traffic(web), header="forwarded_for")
+    return both.select("seq", "client_ip", "traffic_type", "api_client_ip")
 
 
 @query
@@ -161,7 +173,8 @@ def q_admin_authorization(spark, sf):
 def product_payload(k: F.Column) -> F.Column:
     name = F.concat(F.lit('{"name": "item'), k.cast("string"), F.lit('", "price": '),
                     (k - 10).cast("string"))
-    return F.when(k % 11 == 0, F.concat(name, F.lit("}"))).otherwise(
+    unnamed = F.concat(F.lit('{"name": null, "price": '), k.cast("string"), F.lit(', "stock": 1}'))
+    return F.when(k % 11 == 0, F.concat(name, F.lit("}"))).when(k % 13 == 0, unnamed).otherwise(
         F.concat(name, F.lit(', "stock": '), (k % 7 - 1).cast("string"), F.lit("}")))
 
 
@@ -178,8 +191,9 @@ def auth_payload(k: F.Column) -> F.Column:
 def q_payload_validation(spark, sf):
     ev = A.events_where(_events(spark, sf), A.API_ENDPOINT_BY_EVENT, "/api/products")
     api = (A.api_log(ev).where(F.col("endpoint") == "/api/products")
-           .withColumns({"payload": product_payload(F.col("k")),
-                         "authenticated": F.col("k") % 2 == 0}))
+           .withColumns({"method": F.when(F.col("k") % 4 == 0, "GET").otherwise("POST"),
+                         "payload": product_payload(F.col("k")),
+                         "authenticated": F.col("k") % 5 != 0}))
     return validation.payload_validation(api).select("seq", "method", "validated_status")
 
 
@@ -227,6 +241,17 @@ def q_unknown_user_events(spark, sf):
     return validation.unknown_user_events(_web(spark, sf), known).select("seq", "user", "event_type")
 
 
+@query
+def q_session_ip(spark, sf):
+    """Sessions of two users in three; every tenth request has none."""
+    api = _api(spark, sf)
+    user = F.concat(F.lit("s"), F.col("user_id").cast("string"))
+    sessions = api.where(F.col("user_id") % 3 != 0).select(
+        user.alias("session_id"), "ip_address").distinct()
+    requests = api.select("seq", F.when(F.col("k") % 10 != 0, user).alias("session_id"))
+    return validation.session_ip(requests, sessions)
+
+
 @query
 def q_blocked_ip_risk(spark, sf):
     return _risk(spark, sf)
@@ -441,8 +466,9 @@ def q_idle_sessions(spark, sf):
 
 
 # -------------------------------------------------- anomaly detection (§2.7)
-FOREST_TREES = 10
-FOREST_PSI = 64
+FOREST_TREES = 100
+FOREST_PSI = 100
+BASE_PSI = 256
 FOREST_SEED = 42
 WEB_CONTAMINATION = 0.1
 API_CONTAMINATION = 0.15
@@ -483,10 +509,21 @@ def q_iforest_flags(spark, sf):
     return flagged.select("seq", "score", "is_anomaly")
 
 
+@query
+def q_stored_model(spark, sf):
+    """M7 + S5: a saved and reloaded forest scores the log."""
+    feats, model = _web_forest(spark, sf, WEB_CONTAMINATION)
+    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    iforest.save_model(spark, model, path)
+    return iforest.predict(feats, iforest.load_model(spark, path)).select("seq", "score", "is_anomaly")
+
+
 @query
 def q_batch_iforest(spark, sf):
+    """M6 on the report form of the features (6 places), as any engine prints
+    them, so equal features give equal splits everywhere."""
     api = windows.count_batches(_api(spark, sf).drop("batch_id"))
-    feats = features.api_features(api)
+    feats = features.round_features(features.api_features(api), features.API_FEATURES[1:])
     return iforest.fit_score_batches(feats, features.API_FEATURES, trees=100, psi=256,
                                      contamination=API_CONTAMINATION, seed=FOREST_SEED)
 
@@ -510,8 +547,8 @@ def q_base_detector(spark, sf):
                                  "status", "response_time")
     base = features.base_features(web)
     feats = [c for c in base.columns if c != "seq"]
-    _, flagged = iforest.fit_predict(base, feats, BASE_CONTAMINATION, trees=100, psi=256,
-                                     seed=FOREST_SEED, scale_features=True)
+    _, flagged = iforest.fit_predict(base, feats, BASE_CONTAMINATION, trees=FOREST_TREES,
+                                     psi=BASE_PSI, seed=FOREST_SEED)
     return flagged.select("seq", "score", "is_anomaly")
 
 

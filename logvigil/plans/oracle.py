@@ -8,10 +8,12 @@ computed double is rounded exactly as the Spark query rounds it.
 
 from __future__ import annotations
 
-from logvigil.operators.features import WEB_FEATURES
-from logvigil.plans.catalog import (FOREST_PSI, FOREST_SEED, FOREST_TREES, NOW, TEST_MAX_RATE,
-                                    TEST_MEAN_RATE, TIME_SCALE, WEB_CONTAMINATION)
-from logvigil.plans.forest_sql import depth_for, forest_ctes, quantile_cte
+from logvigil.operators.features import API_FEATURES, WEB_FEATURES
+from logvigil.plans.adapters import BATCH_SIZE
+from logvigil.plans.catalog import (API_CONTAMINATION, BASE_CONTAMINATION, BASE_PSI, FOREST_PSI,
+                                    FOREST_SEED, FOREST_TREES, NOW, TEST_MAX_RATE, TEST_MEAN_RATE,
+                                    TIME_SCALE, WEB_CONTAMINATION)
+from logvigil.plans.forest_sql import (batch_forest_ctes, depth_for, forest_ctes, quantile_cte)
 
 ORACLE: dict[str, str] = {}
 
@@ -32,7 +34,9 @@ def api_cte(scale: int = 1, name: str = "api") -> str:
       WHEN 'purchase' THEN '/api/orders' WHEN 'signup' THEN '/api/users'
       WHEN 'error' THEN '/api/auth' END AS endpoint,
     CASE WHEN event_type IN ('view', 'click') THEN 'GET' ELSE 'POST' END AS method,
-    CAST(CASE WHEN event_type = 'error' THEN
+    CAST(CASE WHEN user_id % 32 = 7 AND k >= 40 THEN 403
+         WHEN user_id % 32 = 5 AND NOT (event_type = 'error' AND k < 50) THEN 200
+         WHEN event_type = 'error' THEN
            CASE WHEN k < 50 THEN 401 WHEN k < 75 THEN 403 ELSE 500 END
          WHEN k >= 98 THEN 503 WHEN k >= 95 THEN 404 ELSE 200 END AS BIGINT) AS status_code,
     value * 10 AS response_time, props AS payload,
@@ -165,7 +169,10 @@ reg("one_hot_event_type", _onehot("event_type", "event", EVENT_TYPES))
 reg("one_hot_status", _onehot("status", "status", STATUSES))
 reg("one_hot_user", _onehot('"user"', "user", USERS))
 
-reg("base_features", with_(WEB) + "SELECT seq, COALESCE(response_time, 0) AS response_time, "
+BASE_FEATURES = ["response_time", "hour", "minute", "day_of_week",
+                 *[f"event_{v}" for v in EVENT_TYPES], *[f"status_{v}" for v in STATUSES],
+                 "ip_last_octet", *[f"user_{v}" for v in USERS]]
+BASE_SELECT = ("SELECT seq, COALESCE(response_time, 0) AS response_time, "
     "hour(ts) AS hour, minute(ts) AS minute, isodow(ts) - 1 AS day_of_week, "
     + ", ".join(f"CAST(COALESCE(event_type = '{v}', false) AS BIGINT) AS event_{v}"
                 for v in EVENT_TYPES) + ", "
@@ -174,6 +181,7 @@ reg("base_features", with_(WEB) + "SELECT seq, COALESCE(response_time, 0) AS res
     + "COALESCE(TRY_CAST(string_split(source_ip, '.')[-1] AS BIGINT), 0) AS ip_last_octet, "
     + ", ".join(f"CAST(COALESCE(\"user\" = '{v}', false) AS BIGINT) AS user_{v}"
                 for v in USERS) + " FROM web")
+reg("base_features", with_(WEB) + BASE_SELECT)
 
 reg("web_flags", with_(WEB) + """
 SELECT seq, CAST(COALESCE(response_time, 0) > 1.0 AS BIGINT) AS high_response_time,
@@ -212,20 +220,23 @@ API_FEATS = """api_feats AS (
   WINDOW w10 AS (PARTITION BY a.batch_id ORDER BY a.seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW),
          w3 AS (PARTITION BY a.batch_id ORDER BY a.seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))"""
 
-reg("api_features", with_(API, API_BASELINE, API_FEATS) + """
+API_SELECT = """
 SELECT seq, batch_id, response_time, status_code, hour, minute, is_peak_hour, is_weekend,
   request_rate, round(error_rate, 6) AS error_rate, round(COALESCE(ma, 0), 6) AS rt_moving_avg,
   round(COALESCE(ms, 0), 6) AS rt_moving_std,
   round(COALESCE((response_time - ma) / NULLIF(ms, 0), 0), 6) AS rt_zscore,
   round(COALESCE(ez, 0), 6) AS endpoint_rt_zscore, consecutive_errors
-FROM api_feats""")
+FROM api_feats"""
+reg("api_features", with_(API, API_BASELINE, API_FEATS) + API_SELECT)
 
 reg("client_ip_traffic", with_(WEB) + """
 SELECT seq,
   CASE WHEN k < 50 THEN COALESCE(CASE WHEN k % 10 = 9 THEN NULL
                                       ELSE '10.1.0.' || CAST(k AS VARCHAR) END, 'unknown')
        ELSE source_ip END AS client_ip,
-  CASE WHEN k < 50 THEN 'test' ELSE 'real' END AS traffic_type
+  CASE WHEN k < 50 THEN 'test' ELSE 'real' END AS traffic_type,
+  COALESCE(CASE WHEN k % 10 = 9 THEN NULL ELSE '10.1.0.' || CAST(k AS VARCHAR) END, source_ip)
+    AS api_client_ip
 FROM web""")
 
 reg("admin_authorization", with_(WEB) + """
@@ -235,16 +246,18 @@ SELECT seq, "user",
 FROM web WHERE event_type = 'admin_action'""")
 
 reg("payload_validation", with_(API) + """, body AS (
-  SELECT seq, method, k % 2 = 0 AS authenticated,
+  SELECT seq, CASE WHEN k % 4 = 0 THEN 'GET' ELSE 'POST' END AS method, k % 5 <> 0 AS authenticated,
     CASE WHEN k % 11 = 0
       THEN '{"name": "item' || k || '", "price": ' || (k - 10) || '}'
+      WHEN k % 13 = 0 THEN '{"name": null, "price": ' || k || ', "stock": 1}'
       ELSE '{"name": "item' || k || '", "price": ' || (k - 10) || ', "stock": '
            || (k % 7 - 1) || '}' END AS p
   FROM api WHERE endpoint = '/api/products')
 SELECT seq, method, CAST(CASE WHEN method <> 'POST' THEN 200
     WHEN NOT authenticated THEN 401
-    WHEN json_extract_string(p, '$.name') IS NULL
-      OR TRY_CAST(json_extract_string(p, '$.price') AS DOUBLE) IS NULL
+    WHEN NOT json_exists(p, '$.name') OR NOT json_exists(p, '$.price')
+      OR NOT json_exists(p, '$.stock') THEN 400
+    WHEN TRY_CAST(json_extract_string(p, '$.price') AS DOUBLE) IS NULL
       OR TRY_CAST(json_extract_string(p, '$.stock') AS DOUBLE) IS NULL THEN 400
     WHEN TRY_CAST(json_extract_string(p, '$.price') AS DOUBLE) < 0
       OR TRY_CAST(json_extract_string(p, '$.stock') AS DOUBLE) < 0 THEN 400
@@ -474,9 +487,9 @@ reg("login_attempts", with_(WEB) + """, l AS (
 SELECT seq, source_ip, CAST(CASE WHEN n > 0 THEN n ELSE 1 END AS BIGINT) AS attempts, last_attempt
 FROM l""")
 
-reg("count_batches", with_(API) + """
-SELECT seq, batch_id, seq - batch_id * 30 AS pos_in_batch FROM api
-WHERE batch_id IN (SELECT batch_id FROM api GROUP BY batch_id HAVING COUNT(*) = 30)""")
+reg("count_batches", with_(API) + """, ranked AS (
+  SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS r, COUNT(*) OVER () AS n FROM api)
+SELECT seq, r // 30 AS batch_id, r % 30 AS pos_in_batch FROM ranked WHERE r < n // 30 * 30""")
 
 # ------------------------------------------------------------------ §2.6
 reg("recent_requests", with_(API) + """
@@ -599,3 +612,26 @@ reg("hybrid_anomalies", with_(WEB, WEB_FEATS, RULES, *FOREST,
 SELECT r.seq, f.score < t.threshold AS forest_anomaly, r.is_anomaly AS rule_anomaly,
   (f.score < t.threshold) OR r.is_anomaly AS is_anomaly
 FROM rules r JOIN fscore f ON r.seq = f.row_id, thr t""")
+
+# base features: n is at least BASE_PSI, so the depth is fixed
+reg("base_detector", with_(WEB, f"base_feats AS ({BASE_SELECT})", *forest_ctes(
+    "base_feats", BASE_FEATURES, FOREST_TREES, (BASE_PSI, depth_for(BASE_PSI)), FOREST_SEED),
+    quantile_cte("thr", "fscore", "score", BASE_CONTAMINATION)) + """
+SELECT f.row_id AS seq, f.score, f.score < t.threshold AS is_anomaly FROM fscore f, thr t""")
+
+reg("batch_iforest", with_(
+    API, API_BASELINE, API_FEATS, f"whole AS (SELECT * FROM ({API_SELECT}) x WHERE batch_id < "
+    f"(SELECT COUNT(*) // {BATCH_SIZE} FROM api))",
+    *batch_forest_ctes("whole", API_FEATURES, 100, BATCH_SIZE, FOREST_SEED, API_CONTAMINATION)) + """
+SELECT row_id AS seq, batch AS batch_id, score, is_anomaly FROM bflag""")
+
+reg("stored_model", ORACLE["iforest_flags"])
+
+reg("parse_timestamp", """
+SELECT event_id AS seq, CASE WHEN event_id % 17 <> 0 THEN date_trunc('second', ts) END AS ts
+FROM events""")
+
+reg("session_ip", with_(API) + """
+SELECT seq, CASE WHEN k % 10 <> 0 THEN 's' || user_id END AS session_id,
+  CASE WHEN k % 10 <> 0 AND user_id % 3 <> 0 THEN ip_address ELSE '127.0.0.1' END AS session_ip
+FROM api""")
