@@ -20,25 +20,50 @@ from logvigil.schemas import API_LOG_RAW, WEB_LOG_RAW, envelope
 
 log = logging.getLogger(__name__)
 
+CORRUPT = "_corrupt_record"
 
-def read_log_envelope(spark: SparkSession, path: str,
-                      record: T.StructType = WEB_LOG_RAW) -> DataFrame:
+
+def _raw_envelopes(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
+    schema = T.StructType([*envelope(record).fields, T.StructField(CORRUPT, T.StringType(), True)])
+    return (spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT).json(path)
+            .withColumn("file", F.input_file_name()))
+
+
+def corrupt_files(spark: SparkSession, path: str, record: T.StructType = WEB_LOG_RAW) -> DataFrame:
+    """S1 report: (file, head, rows_read) of the files that could not be parsed
+    in full; ``head`` is the start of their text."""
+    return _raw_envelopes(spark, path, record).where(F.col(CORRUPT).isNotNull()).select(
+        "file", F.substring(CORRUPT, 1, 80).alias("head"),
+        F.coalesce(F.size("logs"), F.lit(0)).alias("rows_read"))
+
+
+def read_log_envelope(spark: SparkSession, path: str, record: T.StructType = WEB_LOG_RAW,
+                      report: bool = True) -> DataFrame:
     """Rows of the ``logs`` array of ``{"logs": [...]}`` files.
 
-    A file without the key, or unreadable, yields no rows (logged), like the
-    reference's empty list.  ``file_pos`` is the record's position in its file.
+    A file without the key, or unreadable, yields no rows, like the reference's
+    empty list.  Unreadable files are counted and logged (``report``; one pass
+    over the files, :func:`corrupt_files` names them all).  ``file_pos`` is the
+    record's position in its file.
     """
-    schema = envelope(record)
     try:
-        raw = (spark.read.schema(schema).option("multiLine", True)
-               .option("mode", "PERMISSIVE").json(path))
+        raw = _raw_envelopes(spark, path, record)
     except AnalysisException as e:
-        log.error("cannot read logs from %s: %s", path, e)
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        log.error("cannot read logs from %s: no such path", path)
         return spark.createDataFrame([], T.StructType(
             [T.StructField("file", T.StringType()), T.StructField("file_pos", T.IntegerType()),
              *record.fields]))
-    return raw.select(F.input_file_name().alias("file"),
-                      F.posexplode("logs").alias("file_pos", "r")).select("file", "file_pos", "r.*")
+    if report:
+        bad = corrupt_files(spark, path, record)
+        n, first, rows = bad.agg(F.count("file"), F.min("file"), F.sum("rows_read")).first()
+        if n:
+            log.error("%d log file(s) under %s cannot be parsed, the first is %s; %s of their rows "
+                      "could be read", n, path, first, max(rows, 0))
+    return raw.select("file", F.posexplode("logs").alias("file_pos", "r")).select(
+        "file", "file_pos", "r.*")
 
 
 def read_log_array(spark: SparkSession, path: str, record: T.StructType = API_LOG_RAW) -> DataFrame:
@@ -58,14 +83,25 @@ def read_log_array(spark: SparkSession, path: str, record: T.StructType = API_LO
 
 def with_dense_seq(df: DataFrame, order_cols: list[str], name: str = "seq") -> DataFrame:
     """Dense arrival number 0..n-1 in ``order_cols`` order, without pulling
-    all rows into one task: a range-partitioned sort, then per-partition
-    offsets (zipWithIndex).  A hash of the whole row breaks ties, so a
-    recomputed partition numbers its rows the same way (only identical rows
-    can still tie, and they are interchangeable)."""
-    ordered = df.orderBy(*order_cols, F.xxhash64(*df.columns))
-    schema = T.StructType([*ordered.schema.fields, T.StructField(name, T.LongType(), False)])
-    rdd = ordered.rdd.zipWithIndex().map(lambda p: (*p[0], p[1]))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    all rows into one task: rows are range-partitioned into a fixed number of
+    partitions and sorted there; a row's number is its place in its partition
+    plus the rows of the partitions before (one row per partition).  A hash of
+    the whole row breaks ties, so a recomputed partition numbers its rows the
+    same way (only identical rows can still tie, and they are interchangeable)."""
+    from pyspark.sql import Window
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*order_cols, F.xxhash64(*df.columns)]
+    # a given partition count is not coalesced at run time, so the id's upper
+    # bits name the same partitions wherever the frame is read
+    d = df.repartitionByRange(n, *order).sortWithinPartitions(*order) \
+        .withColumn("_id", F.monotonically_increasing_id())
+    d = d.withColumn("_part", F.shiftright("_id", 33))
+    per = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(F.lit(0)).orderBy("_part")  # over one row per partition
+    per = per.select("_part", (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
+    place = F.col("_id") - F.shiftleft("_part", 33)
+    return d.join(per, "_part").withColumn(name, F.col("_before") + place) \
+        .drop("_id", "_part", "_before")
 
 
 def parse_api_log(raw: DataFrame, seq: str | None = None) -> DataFrame:

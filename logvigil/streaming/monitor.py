@@ -14,16 +14,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logvigil.functions.exprs import is_error
-from logvigil.operators import features, iforest, rules
+from logvigil.operators import features, iforest, metrics, rules
 from logvigil.operators.response import MAX_RATE, MAX_WARNINGS, REASON_AUTH, REASON_RATE
+from logvigil.sources.json_logs import parse_web_log, with_dense_seq
 from logvigil.sources.sinks import write_alerts
 
+EPOCH_SEQ = 1 << 40  # arrival numbers of one poll
+
 
 # ------------------------------------------------------------------ S4, S7
 def tail_log(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -90,11 +94,14 @@ RATE_OUT = T.StructType([
 
 
 def rate_limit_stream(api_stream: DataFrame, max_rate: float = MAX_RATE,
-                      max_warnings: int = MAX_WARNINGS, idle_timeout_ms: int = 3_600_000,
+                      max_warnings: int = MAX_WARNINGS, idle_timeout_ms: int | None = None,
                       auth_endpoint: str = "/api/auth", ip: str = "ip_address") -> DataFrame:
     """Q4: per-IP rate-limit state (count, first request, warnings) updated
-    request by request, with each request's decision.  State expires after
-    ``idle_timeout_ms`` without traffic (the reference never evicts)."""
+    request by request, with each request's decision.  State is kept for good,
+    as in the batch operator, unless ``idle_timeout_ms`` names a time without
+    traffic after which an IP starts anew (its lockout ends, too).  One IP's
+    rows of a micro-batch are held together; the source's trigger limit
+    (``max_files_per_trigger``) bounds them."""
     d = api_stream.select(
         F.col(ip).alias("ip_address"), "seq",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
@@ -126,70 +133,98 @@ def rate_limit_stream(api_stream: DataFrame, max_rate: float = MAX_RATE,
                             "request_count": counts, "warnings": warns, "request_rate": rate,
                             "is_blocked": auth_hit | rate_hit, "reason": reason})
         state.update((count, first_us, warnings, last_us))
-        state.setTimeoutDuration(idle_timeout_ms)
+        if idle_timeout_ms is not None:
+            state.setTimeoutDuration(idle_timeout_ms)
         yield out
 
-    return d.groupBy("ip_address").applyInPandasWithState(
-        step, RATE_OUT, RATE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    kind = GroupStateTimeout.NoTimeout if idle_timeout_ms is None \
+        else GroupStateTimeout.ProcessingTimeTimeout
+    return d.groupBy("ip_address").applyInPandasWithState(step, RATE_OUT, RATE_STATE, "append", kind)
 
 
 # --------------------------------------------------------------------- Q1
-def _latest_state(spark: SparkSession, state_path: str, epoch: int):
-    """(pending rows, next_seq) as left by the latest epoch before ``epoch``.
-    The meta table is written every epoch; the pending table only has a
-    partition when rows were left open, so it is read at the meta's epoch."""
+def _read_state(spark: SparkSession, path: str) -> DataFrame | None:
+    """A state table, or None while nothing was written; other errors are
+    raised -- a failed read is not an empty state."""
     try:
-        meta = spark.read.parquet(f"{state_path}/meta").where(F.col("epoch") < epoch)
-    except Exception:  # noqa: BLE001 - first epoch: no state yet
-        return None, 0
-    last = meta.orderBy(F.col("epoch").desc()).limit(1).collect()
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in iforest.MISSING_PATH:
+            raise
+        return None
+
+
+def _latest_state(spark: SparkSession, state_path: str, epoch: int):
+    """(carried rows, next_seq) as left by the latest epoch before ``epoch``.
+    The meta table is written every epoch, after the rows; the rows table has a
+    partition only when rows were carried, so it is read at the meta's epoch."""
+    meta = _read_state(spark, f"{state_path}/meta")
+    last = [] if meta is None else meta.where(F.col("epoch") < epoch) \
+        .orderBy(F.col("epoch").desc()).limit(1).collect()
     if not last:
         return None, 0
     e, next_seq = int(last[0]["epoch"]), int(last[0]["next_seq"])
-    try:
-        pending = spark.read.parquet(f"{state_path}/pending").where(F.col("epoch") == e).drop("epoch")
-    except Exception:  # noqa: BLE001 - never any open rows
-        pending = None
-    return pending, next_seq
+    rows = _read_state(spark, f"{state_path}/rows")
+    return (None if rows is None else rows.where(F.col("epoch") == e).drop("epoch")), next_seq
 
 
 def count_batch_processor(size: int, state_path: str, order_cols: list[str],
-                          process: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+                          process: Callable[..., None],
+                          history_rows: int = 0) -> Callable[[DataFrame, int], None]:
     """Q1: ``foreachBatch`` function that cuts the stream into count batches
-    of ``size`` rows by arrival order, hands complete batches to ``process``
-    and carries the open tail (< size rows) to the next micro-batch in a small
-    per-epoch parquet table under ``state_path``."""
-    from logvigil.sources.json_logs import with_dense_seq
+    of ``size`` rows by arrival order and hands complete batches to
+    ``process(batches, epoch)``.  The open tail (< size rows) and, with
+    ``history_rows``, the completed rows that a history of that length at the
+    next batch's end can reach are carried to the next micro-batch in a small
+    per-epoch parquet table under ``state_path``; ``process`` then gets
+    ``(batches, epoch, history)``.  A micro-batch is read once."""
+    back = -(-history_rows // size) * size
 
     def fn(batch_df: DataFrame, epoch_id: int) -> None:
         spark = batch_df.sparkSession
-        pending, next_seq = _latest_state(spark, state_path, epoch_id)
+        carried, next_seq = _latest_state(spark, state_path, epoch_id)
         new = with_dense_seq(batch_df, order_cols, "seq")
-        new = new.withColumn("seq", F.col("seq") + F.lit(next_seq))
-        rows = new if pending is None else pending.unionByName(new)
-        rows = rows.withColumn("batch_id", F.floor(F.col("seq") / size).cast("long")).persist()
+        new = new.withColumn("seq", F.col("seq") + F.lit(next_seq)).persist()
         total = next_seq + new.count()
-        complete = total // size
-        process(rows.where(F.col("batch_id") < complete), epoch_id)
-        (rows.where(F.col("batch_id") >= complete).drop("batch_id").withColumn("epoch", F.lit(epoch_id))
+        rows = new if carried is None else carried.unionByName(new)
+        rows = rows.withColumn("batch_id", F.floor(F.col("seq") / size).cast("long"))
+        before, complete = next_seq // size, total // size
+        batches = rows.where((F.col("batch_id") >= before) & (F.col("batch_id") < complete))
+        if history_rows:
+            process(batches, epoch_id, rows.where(F.col("batch_id") < before))
+        else:
+            process(batches, epoch_id)
+        (rows.where(F.col("seq") >= complete * size - back).drop("batch_id")
+         .withColumn("epoch", F.lit(epoch_id))
          .write.mode("overwrite").partitionBy("epoch").option("partitionOverwriteMode", "dynamic")
-         .parquet(f"{state_path}/pending"))
+         .parquet(f"{state_path}/rows"))
         (spark.createDataFrame([(total, epoch_id)], "next_seq long, epoch long")
          .write.mode("overwrite").partitionBy("epoch").option("partitionOverwriteMode", "dynamic")
          .parquet(f"{state_path}/meta"))
-        rows.unpersist()
+        new.unpersist()
 
     return fn
 
 
 def detect_batches_sink(out_path: str, feature_fn: Callable[[DataFrame], DataFrame],
-                        feature_names: list[str], **forest_kw) -> Callable[[DataFrame, int], None]:
-    """Q1 process step: per count batch, fit + score + flag (M6) and write the
-    batch summary rows for this epoch."""
-    def process(batches: DataFrame, epoch_id: int) -> None:
-        feats = feature_fn(batches)
-        scored = iforest.fit_score_batches(feats, feature_names, **forest_kw)
-        scored.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
+                        feature_names: list[str], **forest_kw) -> Callable[..., None]:
+    """Q1 process step: per count batch, fit + score + flag (M6); writes the
+    scored rows (``scored/epoch=..``) and each batch's summary (A4,
+    ``summary/epoch=..``).  Features are computed over history and new batches
+    together, so look-back features see the rows of earlier micro-batches."""
+    def process(batches: DataFrame, epoch_id: int, history: DataFrame | None = None) -> None:
+        rows = batches if history is None else history.unionByName(batches)
+        feats = feature_fn(rows)
+        if history is not None:
+            first = batches.agg(F.min("batch_id")).first()[0]
+            if first is None:  # no batch is complete yet
+                return
+            feats = feats.where(F.col("batch_id") >= first)
+        at = f"{out_path}/scored/epoch={epoch_id}"
+        iforest.fit_score_batches(feats, feature_names, **forest_kw).write.mode("overwrite").parquet(at)
+        scored = batches.sparkSession.read.parquet(at)
+        metrics.batch_summary(scored, score="score").write.mode("overwrite").parquet(
+            f"{out_path}/summary/epoch={epoch_id}")
     return process
 
 
@@ -199,8 +234,15 @@ def monitor_batch(model: iforest.ForestModel | None, sink_path: str | None,
                   ) -> Callable[[DataFrame, int], DataFrame]:
     """Q2: one poll of the monitor: web features over the new rows only (the
     counts restart each poll, as in the reference), forest OR rules, reasons,
-    alert records to the sink (per-epoch folder, idempotent)."""
+    alert records to the sink (per-epoch folder, idempotent).  Raw records, as
+    ``tail_log`` gives them, are parsed and numbered here: epoch times
+    ``EPOCH_SEQ`` plus the arrival number within the poll."""
     def fn(batch_df: DataFrame, epoch_id: int) -> DataFrame:
+        if "ts" not in batch_df.columns:  # raw records of a tailed log
+            batch_df = parse_web_log(batch_df)
+        if "seq" not in batch_df.columns:  # arrival order, unique over all polls
+            batch_df = with_dense_seq(batch_df, ["ts"], "seq") \
+                .withColumn("seq", F.col("seq") + F.lit(epoch_id * EPOCH_SEQ))
         feats = features.web_features(batch_df, known_users=known_users, batch=None)
         if model is not None:
             feats = iforest.predict(feats, model, out="forest_anomaly")

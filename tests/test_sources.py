@@ -4,29 +4,35 @@ import os
 from pyspark.sql import functions as F
 
 from fixtures import API_ROWS
-from logvigil.sources.json_logs import (parse_api_log, read_log_array, read_log_envelope,
-                                         with_dense_seq)
+from logvigil.sources.json_logs import (corrupt_files, parse_api_log, read_log_array,
+                                         read_log_envelope, with_dense_seq)
 from logvigil.sources.sinks import append_log
 
 
-def test_envelope_missing_key_and_corrupt(spark, tmpdir_path):
+def test_envelope_missing_key_and_corrupt(spark, tmpdir_path, caplog):
     with open(os.path.join(tmpdir_path, "a.json"), "w") as f:
         json.dump({"other": []}, f)
     with open(os.path.join(tmpdir_path, "b.json"), "w") as f:
         f.write("{not json")
-    assert read_log_envelope(spark, tmpdir_path).count() == 0
+    with open(os.path.join(tmpdir_path, "c.json"), "w") as f:
+        f.write('{"logs": [{"timestamp": "2031-05-04 08:00:00", "event_type": "login"},\n {"time')
+    with caplog.at_level("ERROR"):
+        assert read_log_envelope(spark, tmpdir_path).where("event_type is null").count() == 0
+    assert "2 log file(s)" in caplog.text
+    bad = corrupt_files(spark, tmpdir_path).collect()
+    assert sorted(os.path.basename(r.file) for r in bad) == ["b.json", "c.json"]
     assert read_log_envelope(spark, os.path.join(tmpdir_path, "nope.json")).count() == 0
 
 
 def test_array_reader_and_append(spark, tmpdir_path):
     recs = [{"timestamp": t, "endpoint": e, "method": m, "status_code": s,
-             "response_time": rt, "payload": None} for t, e, m, s, rt in API_ROWS]
+             "response_time": rt, "payload": b} for t, e, m, s, rt, b in API_ROWS]
     p = os.path.join(tmpdir_path, "api_logs.json")
     with open(p, "w") as f:
         json.dump(recs, f, indent=2)
     df = parse_api_log(read_log_array(spark, p), seq="file_pos")
     assert df.count() == 36
-    assert df.where(F.col("status_code") >= 400).count() == 10
+    assert df.where(F.col("status_code") >= 400).count() == 14
     out = os.path.join(tmpdir_path, "log")
     append_log(df, out)
     append_log(df, out)

@@ -101,7 +101,8 @@ def test_monitor_alerts_and_session_expiry(spark, tmpdir_path):
     n = spark.sql("select count(*) from sess").first()[0]
     total = response.idle_sessions(A.read_events(spark, SF0001), "user_id",
                                    order="event_id").count()
-    assert 0 < n <= total
+    # sessions whose end the watermark has passed: all but those still open
+    assert total - 15 <= n <= total and n > 0
 
 
 def test_monitor_with_stored_model(spark, tmpdir_path):
@@ -149,3 +150,74 @@ def test_tail_log_reads_new_files_once(spark, tmpdir_path):
     assert run() == 5
     drop("b.json", 3)
     assert run() == 8  # only the new file was read on the second run
+
+
+def test_ip_activity_stream_equals_batch(spark, tmpdir_path):
+    api = A.api_log(_stream(spark, tmpdir_path))
+    q = (M.live_ip_activity(api).writeStream.outputMode("complete").format("memory")
+         .queryName("ip_act").option("checkpointLocation", tmpdir_path + "/ck").start())
+    q.processAllAvailable()
+    q.stop()
+    cols = ["ip_address", "request_count", "error_count"]
+    exp = metrics.ip_activity(A.api_log(A.read_events(spark, SF0001)))
+    assert sorted(spark.sql("select * from ip_act").select(*cols).collect()) == sorted(
+        exp.select(*cols).collect())
+
+
+def test_tail_feeds_the_monitor(spark, tmpdir_path):
+    """Raw JSON lines -> tail_log -> monitor: records are parsed and numbered,
+    over several files and polls, and every failed login of an unknown user
+    raises an alert."""
+    import json
+
+    from logvigil.schemas import WEB_LOG_RAW
+    src = os.path.join(tmpdir_path, "logs")
+    os.makedirs(src)
+    for f in range(3):
+        with open(os.path.join(src, f"{f}.json"), "w") as out:
+            for i in range(6):
+                out.write(json.dumps({
+                    "timestamp": f"2031-05-04 08:{f:02d}:{9 * i:02d}", "event_type": "login",
+                    "user": "user1" if i % 2 else "stranger", "source_ip": f"10.0.{f}.{i}",
+                    "status": "success" if i % 2 else "failed", "response_time": 0.1}) + "\n")
+    web = M.tail_log(spark, src, WEB_LOG_RAW, fmt="json", max_files_per_trigger=1)
+    q = M.monitor(web, None, tmpdir_path + "/alerts", tmpdir_path + "/ck", available_now=True)
+    q.awaitTermination(300)
+    alerts = spark.read.json(tmpdir_path + "/alerts")
+    assert alerts.count() == 9 and all('"stranger"' in r.details for r in alerts.collect())
+    assert alerts.select("seq").distinct().count() == 9
+
+
+def test_batches_sink_keeps_history_and_writes_summaries(spark, tmpdir_path):
+    """Q1 with carried history: z-scores and summaries equal the batch query's
+    although the log arrives in pieces."""
+    from logvigil.operators import features, iforest
+    api = A.api_log(_stream(spark, tmpdir_path)).drop("seq", "batch_id")
+    out = tmpdir_path + "/q1"
+    seen = []
+
+    def feature_fn(rows):
+        feats = features.api_features(rows)
+        seen.append(feats.select("seq", "endpoint_rt_zscore").collect())
+        return feats
+
+    names = ["response_time", "status_code"]
+    sink = M.detect_batches_sink(out, feature_fn, names, trees=10)
+    fn = M.count_batch_processor(30, tmpdir_path + "/state", ["ts", "user_id"], sink, history_rows=1000)
+    q = (api.writeStream.foreachBatch(fn).option("checkpointLocation", tmpdir_path + "/ck")
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    whole = windows.count_batches(A.api_log(A.read_events(spark, SF0001)).drop("batch_id"))
+    feats = features.api_features(whole).cache()
+    last = {}
+    for rows in seen:  # a row's score is the one of the poll that completed its batch
+        for r in rows:
+            last.setdefault(r.seq, r.endpoint_rt_zscore)
+    want = {r.seq: r.endpoint_rt_zscore for r in feats.select("seq", "endpoint_rt_zscore").collect()}
+    assert len(want) == 990 and all(abs(last[k] - v) < 1e-9 for k, v in want.items())
+    exp = iforest.fit_score_batches(feats, names, trees=10)
+    got = spark.read.parquet(out + "/scored").drop("epoch")
+    assert sorted(got.collect()) == sorted(exp.select(*got.columns).collect())
+    summary = spark.read.parquet(out + "/summary").drop("epoch")
+    expected = metrics.batch_summary(exp, score="score")
+    assert sorted(summary.collect()) == sorted(expected.select(*summary.columns).collect())
