@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logvigil.llm.linear import (SLOT_BITS, Ftrl, char_families, code_points, family_means, softmax,
-                                 sparse_rows, temperature)
-from logvigil.llm.textkit import slices, text_buffer
+                                 sparse_texts, temperature)
+from logvigil.llm.textkit import slices
 
 UNKNOWN = "und"
 SAMPLE_ROWS = 2400
@@ -63,8 +63,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     langs = sorted(there)
     if not drawn:
         return None
-    buf, off = text_buffer(pa.array([r["text"] for r in drawn], pa.string()))
-    docs = sparse_rows(char_families(buf, off))
+    docs = sparse_texts([r["text"] for r in drawn], char_families)
     y = np.array([langs.index(r["lang"]) for r in drawn])
     rng = np.random.default_rng(7)
     order = rng.permutation(len(docs))

@@ -8,8 +8,10 @@ and scoring needs no per-document sets.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
-from logvigil.llm.textkit import SPACE_WORDS, doc_of, span_hashes, windows, word_spans
+from logvigil.llm.textkit import (SPACE_WORDS, doc_of, doc_slices, span_hashes, text_buffer, windows,
+                                  word_spans)
 
 #: hash slots of all families together
 SLOT_BITS = 18
@@ -88,6 +90,16 @@ def sparse_rows(families: list) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def sparse_texts(texts: list[str], families) -> list[tuple[np.ndarray, np.ndarray]]:
+    """sparse_rows of a list of texts, worked on in slices."""
+    out = []
+    buf, off = text_buffer(pa.array(texts, pa.string()))
+    for a, b in doc_slices(off, 1 << 18):
+        rows = sparse_rows(families(buf[off[a]:off[b]], off[a:b + 1] - off[a]))
+        out += [(u, v.astype(np.float32)) for u, v in rows]
+    return out
+
+
 class Ftrl:
     """Follow-the-regularised-leader for a softmax over ``classes`` with an
     elastic net; weights follow from the running sums z and q."""

@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logvigil.llm.language_id import SAMPLE_TEXT_BYTES, balanced_sample
-from logvigil.llm.linear import (SLOT_BITS, Ftrl, family_means, platt, sparse_rows,
+from logvigil.llm.linear import (SLOT_BITS, Ftrl, family_means, platt, sparse_texts,
                                  word_and_char_families)
 from logvigil.llm.textkit import (SPACE_WORDS, byte_class, covered, doc_of, mix, per_doc, slices,
-                                  span_hashes, text_buffer, windows, word_spans)
+                                  span_hashes, windows, word_spans)
 
 SYMBOLS = byte_class(b"#*$%&|<>")
 SAMPLE_ROWS = 4000
@@ -92,8 +92,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     y = np.array([r["y"] for r in rows])
     if len(set(y.tolist())) < 2:
         return None
-    buf, off = text_buffer(pa.array([r["text"] for r in rows], pa.string()))
-    x = sparse_rows(word_and_char_families(buf, off))
+    x = sparse_texts([r["text"] for r in rows], word_and_char_families)
+    del rows
     rng = np.random.default_rng(11)
     order = rng.permutation(len(x))
     held, train = order[:len(order) // 5], order[len(order) // 5:]
