@@ -88,12 +88,16 @@ RAW_WEB_COLUMNS = ["ts", "event_type", "user", "source_ip", "status"]
 
 def base_features(web: DataFrame, event_types: list[str] | None = None,
                   statuses: list[str] | None = None, users: list[str] | None = None,
-                  id_cols: tuple[str, ...] = ("seq",)) -> DataFrame:
+                  id_cols: tuple[str, ...] = ("seq",), one_hot_columns: bool = True) -> DataFrame:
     """P7/P8 (generic detector preprocessing): calendar, one-hot event type,
     status and user, last IP octet; raw text columns dropped, the numeric
-    columns kept (after the id columns); NULL/NaN -> 0."""
+    columns kept (after the id columns); NULL/NaN -> 0.  Without
+    ``one_hot_columns`` only the plain numbers are features, as where 0/1 flags
+    do not count as numeric."""
     d = web.withColumns({"hour": hour("ts"), "minute": minute("ts"),
                          "day_of_week": day_of_week("ts")})
+    if not one_hot_columns:
+        event_types, statuses, users = [], [], []
     missing = [c for c, v in (("event_type", event_types), ("status", statuses), ("user", users))
                if v is None]
     if missing:

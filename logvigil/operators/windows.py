@@ -58,15 +58,18 @@ def rapid_requests(web: DataFrame, batch: str | None = None, ip: str = "source_i
 
 
 def minute_rates(api: DataFrame, batch: str = "batch_id", align: str = "value",
-                 seq: str = "seq") -> DataFrame:
-    """W3 + W4: requests and error share per minute-of-hour within the batch.
+                 seq: str = "seq", calendar: bool = False) -> DataFrame:
+    """W3 + W4: requests and error share per minute-of-hour within the batch;
+    with ``calendar`` per minute of time, so that one hour's 12:05 and the
+    next one's 13:05 are apart.
 
     ``align="value"`` gives each row its own minute's numbers.  ``"positional"``
     reproduces the reference, which assigns minute m's numbers to the m-th row
     of the batch (0 when no row has that minute).
     """
     if align == "value":
-        w = Window.partitionBy(batch, minute("ts"))
+        at = F.date_trunc("minute", "ts") if calendar else minute("ts")
+        w = Window.partitionBy(batch, at)
         return (api.withColumn("request_rate", F.count(F.lit(1)).over(w))
                    .withColumn("error_rate", F.avg(is_error().cast("double")).over(w)))
     per_min = api.groupBy(batch, minute("ts").alias("_pos")).agg(

@@ -148,3 +148,17 @@ def test_collapse_double_logged_pairs(spark):
     auth = c.where("endpoint = '/api/auth'").orderBy("seq").first()
     assert (auth.server_response_time, auth.response_time, auth.payload) == (140.0, 2400.0, '{"n": 4}')
     assert c.where("method = 'GET' AND payload IS NOT NULL").count() == 0
+
+
+def test_calendar_minutes_and_plain_numbers(spark):
+    from logvigil.operators import features
+    api = spark.sql("""SELECT id AS seq, 0L AS batch_id, 200L AS status_code,
+        timestamp_ntz'2031-05-04 08:05:00' + make_interval(0, 0, 0, 0, CAST(id % 2 AS INT), 0, 0) AS ts
+        FROM range(6)""")
+    assert {r.request_rate for r in windows.minute_rates(api).collect()} == {6}
+    assert {r.request_rate for r in windows.minute_rates(api, calendar=True).collect()} == {3}
+    web = parse_web_log(spark.createDataFrame([(0, "2031-05-04 08:00:00", "login", "u", "10.0.0.9", "ok")],
+                        "seq long, timestamp string, event_type string, user string, source_ip string, "
+                        "status string")).drop("timestamp")
+    plain = features.base_features(web, one_hot_columns=False)
+    assert plain.columns == ["seq", "hour", "minute", "day_of_week", "ip_last_octet"]
