@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logvigil.functions.exprs import epoch_us, flag, is_error, minute
+from logvigil.functions.partitioning import groups_partitions
 from logvigil.operators import keyed
 
 US = 1_000_000
@@ -26,7 +27,9 @@ def attempt_counts(web: DataFrame, batch: str | None = "batch_id",
     if batch:
         # failed rows are summed over the same windows: one sort per key
         wi, wu = Window.partitionBy(batch, ip), Window.partitionBy(batch, user)
-        d = web.repartition(batch).withColumn("_failed", F.coalesce(failed, F.lit(False)))
+        # a given partition count: CPU-heavy scoring downstream keeps its tasks
+        d = web.repartition(groups_partitions(web), batch) \
+               .withColumn("_failed", F.coalesce(failed, F.lit(False)))
         n = F.col("_failed").cast("long")
         d = d.withColumns({"ip_attempts": F.count(F.lit(1)).over(wi), "_ipf": F.sum(n).over(wi)})
         d = d.withColumns({"user_attempts": F.count(F.lit(1)).over(wu), "_uf": F.sum(n).over(wu)})
