@@ -1,5 +1,8 @@
 """DuckDB SQL of the subpackage's queries, where SQL can express them."""
 
+from logvigil.llm.url_filter import (ALPHA, DEPTH, MANY_BRANCHES, MANY_SHARE, MIN_PURITY, RULES,
+                                     Z2)
+
 ORACLE: dict[str, str] = {}
 
 _LOWER = "translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -26,3 +29,90 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """.replace("{low}", _LOWER.format(t="text"))
+
+ORACLE["op1_suffix_dedup"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS w
+        FROM d, unnest(range(0, len(h) // 2 - 49)) AS u(i) WHERE len(h) >= 100),
+low AS (SELECT w, min(doc_id) AS m FROM win GROUP BY w),
+hit AS (SELECT r, i FROM win JOIN low USING (w) WHERE m < doc_id),
+isle AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new
+         FROM hit),
+num AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM isle),
+span AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM num GROUP BY r, g),
+edge AS (SELECT r, a, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS from_ FROM span
+         UNION ALL SELECT r, len(h) // 2, coalesce((SELECT max(b) FROM span s WHERE s.r = d.r), 0) FROM d),
+kept AS (SELECT r, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) AS k
+         FROM edge JOIN d USING (r) GROUP BY r),
+cut AS (SELECT r, count(*) AS n, sum(b - a) AS gone FROM span GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN cut USING (r)
+"""
+
+ORACLE["op9_jaccard_join"] = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+                            regexp_extract_all({low}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS s
+       FROM d, unnest(range(1, greatest(len(w) - 4, 0) + 2)) AS u(i) WHERE len(w) > 0),
+size AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+pairs AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.r < b.r
+         GROUP BY a.r, b.r),
+link AS (SELECT x, y FROM pairs JOIN size p ON p.r = x JOIN size q ON q.r = y
+         WHERE 100 * c >= 85 * (p.n + q.n - c)),
+edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT r, r AS t FROM size UNION SELECT reach.r, edge.y FROM reach JOIN edge ON edge.x = reach.t),
+comp AS (SELECT reach.r, min(d.doc_id) AS c FROM reach JOIN d ON d.r = reach.t GROUP BY reach.r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles,
+       CASE WHEN n IS NULL THEN doc_id ELSE c END AS component_id
+FROM d LEFT JOIN size USING (r) LEFT JOIN comp USING (r)
+""".replace("{low}", _LOWER.format(t="text"))
+
+
+def _url_sql() -> str:
+    fits = [(v, h, p) for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))]
+    when = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN "
+            for _, h, p in fits]
+    rule = " ".join(w + f"'{h}{p}'" for w, (_, h, p) in zip(when, fits))
+    verdict = " ".join(w + f"'{v}'" for w, (v, _, _) in zip(when, fits))
+    cols = ", ".join(
+        f"CASE WHEN regexp_matches(coalesce(segs[{i}], ''), '^[0-9]+(\\.[A-Za-z]+)?$') THEN '*' "
+        f"ELSE coalesce(segs[{i}], '') END AS s{i}" for i in range(1, DEPTH + 1))
+    low = _LOWER.format(t=r"regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")
+    ctes = [
+        "lab AS (SELECT doc_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) "
+        "AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id)",
+        f"u AS (SELECT row_number() OVER () AS r, page_id, {low} AS host, coalesce(regexp_extract(url, "
+        "'(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)",
+        "v AS (SELECT u.*, good, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs FROM u "
+        r"LEFT JOIN lab ON doc_id = TRY_CAST(regexp_extract(path, '/([0-9]{1,18})(?:\.[A-Za-z]+)?/?$', 1) "
+        "AS BIGINT))",
+        f"t0 AS (SELECT r, page_id, host, path, good, {cols}, CASE WHEN len(segs) > {DEPTH} THEN '/**' "
+        "ELSE '' END AS tail, '' AS p FROM v)"]
+    for i in range(1, DEPTH + 1):
+        ctes += [
+            f"n{i} AS (SELECT host, p, s{i} AS s, count(*) AS n, count(good) AS lab, "
+            f"coalesce(sum(good), 0) AS good FROM t{i - 1} GROUP BY host, p, s{i})",
+            f"m{i} AS (SELECT *, count(*) OVER w AS kids, sum(n) OVER w AS an, sum(lab) OVER w AS al, "
+            f"sum(good) OVER w AS ag FROM n{i} WINDOW w AS (PARTITION BY host, p))",
+            f"g{i} AS (SELECT *, CASE WHEN lab = 0 OR al = lab OR ag = 0 OR ag = al THEN true ELSE "
+            f"power(good::DOUBLE / lab - (ag - good)::DOUBLE / (al - lab), 2) < {Z2} * ((ag::DOUBLE / al) * "
+            f"(1 - ag::DOUBLE / al) * (1::DOUBLE / lab + 1::DOUBLE / (al - lab))) END AS alike FROM m{i})",
+            f"t{i} AS (SELECT t.* REPLACE (CASE WHEN s = '' THEN t.p ELSE t.p || '/' || CASE WHEN s = '*' OR "
+            f"(kids > 1 AND (alike OR (kids >= {MANY_BRANCHES} AND kids > {MANY_SHARE} * an))) THEN '*' "
+            f"ELSE s END END AS p) FROM t{i - 1} t JOIN g{i} ON t.host = g{i}.host AND t.p = g{i}.p "
+            f"AND t.s{i} = g{i}.s)"]
+    ctes += [
+        f"tpl AS (SELECT *, p || tail AS template FROM t{DEPTH})",
+        "pur AS (SELECT host, template, count(good) AS l, coalesce(sum(good), 0) AS g FROM tpl "
+        "GROUP BY host, template)",
+        "pri AS (SELECT coalesce(sum(g)::DOUBLE / nullif(sum(l), 0), 1.0) AS q FROM pur)"]
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT page_id, host, path, CASE {rule} END AS rule,
+       CASE {verdict} WHEN (g + {ALPHA} * q) / (l + {ALPHA}) < {MIN_PURITY} THEN 'block' ELSE 'allow' END
+       AS verdict, template
+FROM tpl JOIN pur USING (host, template), pri
+"""
+
+
+ORACLE["op6_url_filter"] = _url_sql()
