@@ -7,11 +7,12 @@ smallest key reachable by links.
 * Documents with one set are one class; only classes are joined.
 * A set's elements are ordered by a count sketch of the whole corpus (a table
   of fixed size), the rare ones first; only the order depends on it, never the
-  result.  Linked sets share an element of their prefixes, and at places that
-  still allow the needed overlap.
+  result.  Sets of a and b elements that overlap in at least o share at least
+  ``COMMON`` (or o, if less) of the first a - o + COMMON and b - o + COMMON
+  elements; these prefixes are what is joined.
 * Classes with identical prefixes and size are one group.  Elements are kept if
-  two groups hold them (and, within a group, if it has two classes); then the
-  groups are expanded to their members.
+  two groups hold them at places and sizes that allow a link (and, within a
+  group, if it has two classes); then the groups are expanded to their members.
 * Members are verified exactly.  First each element's members are compared with
   its most central member only; the links found are contracted.  Then all
   remaining pairs of different components are compared.  Pairs inside a
@@ -29,6 +30,7 @@ class; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,10 +46,13 @@ from logvigil.llm.textkit import (SPACE_WORDS, durable, mix, slices, span_hashes
 
 WIDTH = 4
 PERCENT = 85
+COMMON = 2
+FLUSH = 1024  # documents of an Arrow batch that are worked on at a time
 SKETCH = 1 << 20
 SKETCH_SLICES = 16
 FILTER_BITS = 1 << 26
 WORD_BITS = 32768  # of a Spark bitmap
+PLACE = 1 << 32
 
 
 def shingle_sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -69,17 +74,24 @@ def shingle_sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.nd
                 yield a + d, np.zeros(0, np.uint64)
 
 
+def _some(items: Iterator) -> Iterator[list]:
+    """Lists of up to FLUSH items."""
+    while some := list(itertools.islice(items, FLUSH)):
+        yield some
+
+
 def class_of(u: np.ndarray) -> int:
     return np.uint64(xxhash.xxh3_64_intdigest(u.tobytes())).astype(np.int64).item()
 
 
 def prefix_size(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    """The longest prefix that any partner asks for (the smallest one does)."""
+    return min(n, n - -(-percent * n // 100) + COMMON)
 
 
 def _needed(a, b, percent: int):
-    """Least overlap of linked sets of sizes a and b (columns or numbers)."""
-    return F.ceil((a + b) * percent / (100 + percent) - 1e-9)
+    """Least overlap of linked sets of sizes a and b (whole-number columns)."""
+    return F.floor(((a + b) * percent + (99 + percent)) / (100 + percent))
 
 
 def _ordered(u: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, float]:
@@ -99,13 +111,12 @@ def _signatures(src: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             c = np.zeros(batch.num_rows, np.int64)
-            pending = []
-            for r, u in shingle_sets(batch, width):
-                n[r], c[r] = len(u), class_of(u)
-                pending.append(u)
-            if pending:
-                low = (np.concatenate(pending) & np.uint64(SKETCH - 1)).astype(np.int64)
-                sketch += np.bincount(low, minlength=SKETCH)
+            for some in _some(shingle_sets(batch, width)):
+                for r, u in some:
+                    n[r], c[r] = len(u), class_of(u)
+                low = np.concatenate([u for _, u in some]) & np.uint64(SKETCH - 1)
+                at, counts = np.unique(low.astype(np.int64), return_counts=True)
+                sketch[at] += counts
             yield _sig_batch(batch.num_rows, k=batch.column("k"), th=batch.column("th"),
                              n=pa.array(n), c=pa.array(c))
         rows = []
@@ -179,52 +190,68 @@ def _maybe(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 # ----------------------------------------------------------------------- scans
+def _three_each(token: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """Rows of each token's smallest, second and largest member: all that it
+    takes to tell whether one, two or more members hold it, so that a token
+    that many hold is small before it is shuffled."""
+    order = np.lexsort((member, token))
+    t, m = token[order], member[order]
+    once = np.append(True, (t[1:] != t[:-1]) | (m[1:] != m[:-1]))
+    order, t = order[once], t[once]
+    first = np.append(True, t[1:] != t[:-1])
+    last = np.append(t[1:] != t[:-1], True)
+    second = np.append(False, first[:-1]) & ~first
+    return order[first | second | last]
+
+
 def _prefixes(src: DataFrame, width: int, percent: int, sketch, wanted=None) -> DataFrame:
-    """Prefix elements.  Without ``wanted``: (token, member), the groups that
-    hold an element, and under each group's own number its classes.  With it:
-    the members' rows (token, c, n, pos, mid) of the wanted elements."""
+    """Prefix elements.  Without ``wanted``: (token, member, place), the groups
+    that hold an element, and under each group's own number its classes; place
+    is size times 2^32 plus position (-1 under a group's number).  With it: the
+    members' rows (token, c, n, pos, mid) of the wanted elements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(sketch.value, np.uint32)
         bits = np.frombuffer(wanted.value, np.uint8) if wanted is not None else None
         for batch in batches:
-            toks, size, meta, seen = [], [], [], set()
-            for _, u in shingle_sets(batch, width):
-                n = len(u)
-                if not n:
+            for some in _some(shingle_sets(batch, width)):
+                toks, size, meta, seen = [], [], [], set()
+                for _, u in some:
+                    n = len(u)
+                    c = class_of(u)
+                    if not n or c in seen:
+                        continue
+                    seen.add(c)
+                    order, mid = _ordered(u, counts)
+                    p = order[:prefix_size(n, percent)].view(np.int64)
+                    g = xxhash.xxh3_64_intdigest(p.tobytes() + n.to_bytes(8, "little"))
+                    g = np.uint64(g).astype(np.int64).item()
+                    toks.append(np.append(p, g))
+                    size.append(len(p) + 1)
+                    meta.append((c, g, n, mid))
+                if not toks:
                     continue
-                c = class_of(u)
-                if c in seen:
+                token, size = np.concatenate(toks), np.array(size)
+                c, g, n = (np.repeat(np.array([m[i] for m in meta], np.int64), size)
+                           for i in (0, 1, 2))
+                last = np.cumsum(size) - 1
+                pos = np.arange(len(token)) - np.repeat(last + 1 - size, size)
+                pos[last] = -1
+                if bits is None:
+                    member = g
+                    member[last] = c[last]
+                    i = _three_each(token, member)
+                    yield pa.RecordBatch.from_pydict({
+                        "token": pa.array(token[i]), "member": pa.array(member[i]),
+                        "place": pa.array((n * PLACE + pos)[i])})
                     continue
-                seen.add(c)
-                order, mid = _ordered(u, counts)
-                p = order[:prefix_size(n, percent)].view(np.int64)
-                g = xxhash.xxh3_64_intdigest(p.tobytes() + n.to_bytes(8, "little"))
-                g = np.uint64(g).astype(np.int64).item()
-                toks.append(np.append(p, g))
-                size.append(len(p) + 1)
-                meta.append((c, g, n, mid))
-            if not toks:
-                continue
-            token, size = np.concatenate(toks), np.array(size)
-            c, g = (np.repeat(np.array([m[i] for m in meta], np.int64), size) for i in (0, 1))
-            last = np.cumsum(size) - 1
-            if bits is None:
-                member = g.copy()
-                member[last] = c[last]
-                yield pa.RecordBatch.from_pydict({"token": pa.array(token),
-                                                  "member": pa.array(member)})
-                continue
-            n = np.repeat(np.array([m[2] for m in meta], np.int64), size)
-            pos = np.arange(len(token)) - np.repeat(last + 1 - size, size)
-            pos[last] = 0
-            mid = np.repeat(np.array([m[3] for m in meta]), size)
-            keep = np.flatnonzero(_maybe(bits, token))
-            yield pa.RecordBatch.from_pydict({
-                "token": pa.array(token[keep]), "c": pa.array(c[keep]), "n": pa.array(n[keep]),
-                "pos": pa.array(pos[keep]), "mid": pa.array(mid[keep])})
-
-    return src.mapInArrow(run, "token long, member long" if wanted is None else
+                mid = np.repeat(np.array([m[3] for m in meta]), size)
+                keep = np.flatnonzero(_maybe(bits, token))
+                yield pa.RecordBatch.from_pydict({
+                    "token": pa.array(token[keep]), "c": pa.array(c[keep]), "n": pa.array(n[keep]),
+                    "pos": pa.array(pos[keep]), "mid": pa.array(mid[keep])})
+
+    return src.mapInArrow(run, "token long, member long, place long" if wanted is None else
                           "token long, c long, n long, pos long, mid double")
 
 
@@ -234,18 +261,19 @@ def _sets(src: DataFrame, width: int, wanted) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
-            cs, sets, seen = [], [], set()
-            for _, u in shingle_sets(batch, width):
-                c = class_of(u)
-                if c not in seen and len(u) and _maybe(bits, np.array([c]))[0]:
-                    seen.add(c)
-                    cs.append(c)
-                    sets.append(u.view(np.int64))
-            if cs:
-                cut = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({
-                    "c": pa.array(cs, pa.int64()),
-                    "toks": pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(sets)))})
+            for some in _some(shingle_sets(batch, width)):
+                cs, sets, seen = [], [], set()
+                for _, u in some:
+                    c = class_of(u)
+                    if c not in seen and len(u) and _maybe(bits, np.array([c]))[0]:
+                        seen.add(c)
+                        cs.append(c)
+                        sets.append(u.view(np.int64))
+                if cs:
+                    cut = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+                    yield pa.RecordBatch.from_pydict({
+                        "c": pa.array(cs, pa.int64()),
+                        "toks": pa.ListArray.from_arrays(cut, pa.array(np.concatenate(sets)))})
 
     return src.mapInArrow(run, "c long, toks array<long>").dropDuplicates(["c"])
 
@@ -267,7 +295,16 @@ def _fits(n1, p1, n2, p2, percent: int):
     """Sizes and places in the two orders still allow the needed overlap."""
     need = _needed(n1, n2, percent)
     return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) \
-        & (p1 <= n1 - need) & (p2 <= n2 - need)
+        & (p1 < n1 - need + COMMON) & (p2 < n2 - need + COMMON)
+
+
+def _enough(shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) from rows (a, na, b, nb, pos) of a shared element each, that
+    share enough of them; a group's own number stands for all of its prefix."""
+    need = F.least(F.lit(COMMON), _needed(F.col("na"), F.col("nb"), percent))
+    return shared.groupBy("a", "b", "na", "nb").agg(F.sum(
+        F.when(F.col("pos") < 0, COMMON).otherwise(1)).alias("common")) \
+        .where(F.col("common") >= need).select("a", "b")
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH,
@@ -282,9 +319,20 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     docs = sig.where("n is not null").select("k", "th", "n", "c")
     sketch = sc.broadcast(_sum_sketch(sig.where("slice is not null")).tobytes())
 
-    # elements that two groups hold, or two classes of one group
-    held = durable(_prefixes(texts, width, percent, sketch).groupBy("token").agg(
-        F.min("member").alias("x"), F.max("member").alias("y")).where("x != y").select("token"))
+    # elements that two groups hold, or two classes of one group, and of just
+    # two, at places that fit (two rows' places are the least and the greatest)
+    held = _prefixes(texts, width, percent, sketch).repartition("token").groupBy("token").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("member").alias("x"), F.max("member").alias("y"),
+        F.min("place").alias("p"), F.max("place").alias("q")).where("x != y")
+
+    def size(c):
+        return F.shiftright(F.col(c) + 1, 32)
+
+    def at(c):
+        return F.col(c) - size(c) * PLACE
+
+    fits = _fits(size("p"), at("p"), size("q"), at("q"), percent)
+    held = durable(held.where((F.col("rows") > 2) | fits).select("token"))
     wanted = sc.broadcast(_bitmap(held, "token"))
     rows = durable(_prefixes(texts, width, percent, sketch, wanted)
                    .join(held, "token").dropDuplicates(["token", "c"]))
@@ -294,13 +342,14 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
         F.struct("c", "n", "pos"), F.struct("mid", "c")).alias("hub"))
     star = rows.join(hubs, "token").where(F.col("c") != F.col("hub.c")) \
         .where(_fits(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent)) \
-        .select(F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b"))
-    first = durable(_verify(texts, durable(star.distinct()), width, percent))
+        .select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("hub.c").alias("b"),
+                F.col("hub.n").alias("nb"), "pos")
+    first = durable(_verify(texts, durable(_enough(star, percent)), width, percent))
 
     # what is left: all pairs of different components
     comp = components(first)
-    part = durable(rows.join(comp.withColumnRenamed("node", "c"), "c", "left")
-                   .withColumn("comp", F.coalesce("comp", "c")).drop("mid"))
+    part = durable(rows.drop("mid").join(comp.withColumnRenamed("node", "c"), "c", "left")
+                   .withColumn("comp", F.coalesce("comp", "c")))
     mixed = part.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")) \
         .where("x != y").select("token")
     part = durable(part.join(mixed, "token", "left_semi"))
@@ -308,7 +357,9 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     rest = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.c") < F.col("r.c"))
                   & (F.col("l.comp") != F.col("r.comp"))
                   & _fits(F.col("l.n"), F.col("l.pos"), F.col("r.n"), F.col("r.pos"), percent)) \
-        .select(F.col("l.c").alias("a"), F.col("r.c").alias("b")).distinct()
+        .select(F.col("l.c").alias("a"), F.col("l.n").alias("na"), F.col("r.c").alias("b"),
+                F.col("r.n").alias("nb"), F.col("l.pos").alias("pos"))
+    rest = _enough(rest, percent)
     second = _verify(texts, durable(rest), width, percent)
 
     comp = components(durable(first.union(second)))
