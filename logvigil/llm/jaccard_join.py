@@ -379,18 +379,21 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", width: int
     row of the smallest key (of the least text hash, if that is repeated)
     stays; rows without shingles all stay."""
     found = jaccard_components(df, key, text, width, percent)
+    # plain equality on three columns that are never null: one shuffle of the
+    # texts serves the join and the numbering of repeated rows
+    at = ["none", "k", "th"]
+
+    def id_of(k, th):
+        return [k.isNull().alias("none"), F.coalesce(k.cast("long"), F.lit(0)).alias("k"), th.alias("th")]
+
     first = found.where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct(
-        F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("text_hash").alias("th")))
-        .alias("w")).select("w.k", "w.th")
+        *id_of(F.col(key), F.col("text_hash")))).alias("w")).select("w.*")
     names = df.columns
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
-                     F.col(key).cast("long").alias("k"), F.xxhash64(F.col(text).cast("string")).alias("th"),
+                     *id_of(F.col(key), F.xxhash64(F.col(text).cast("string"))),
                      F.coalesce(F.col(text), F.lit("")).rlike("[^\\x20\\x09-\\x0D]").alias("worded"))
-    mine = rows.where("worded").alias("l").join(
-        first.alias("r"), F.col("l.k").eqNullSafe(F.col("r.k")) & (F.col("l.th") == F.col("r.th")),
-        "left_semi")
-    once = mine.withColumn("n", F.row_number().over(Window.partitionBy("k", "th").orderBy("k"))) \
-        .where("n <= 1")
+    mine = rows.where("worded").join(first, at, "left_semi")
+    once = mine.withColumn("n", F.row_number().over(Window.partitionBy(*at).orderBy("th"))).where("n <= 1")
     return once.select("row.*").unionByName(rows.where("not worded").select("row.*"))
 
 
