@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logvigil.llm.textkit import parts
+
 SAMPLE_PAGES = 400
 SAMPLE_HTML_BYTES = 1 << 16
 
@@ -205,7 +207,7 @@ def extract_pages(pages: DataFrame, model: dict | None, key: str = "page_id", ur
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in parts(batches):
             texts = [extract(p, m) for p in b.column("_page_html").to_pylist()]
             yield pa.RecordBatch.from_pydict({
                 key: b.column(key), url: b.column(url), "text": pa.array(texts, pa.string()),

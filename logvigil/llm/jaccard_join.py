@@ -47,7 +47,7 @@ from logvigil.llm.textkit import (SPACE_WORDS, durable, mix, slices, span_hashes
 WIDTH = 4
 PERCENT = 85
 COMMON = 2
-FLUSH = 1024  # documents of an Arrow batch that are worked on at a time
+FLUSH = 256  # documents of an Arrow batch that are worked on at a time
 SKETCH = 1 << 20
 SKETCH_SLICES = 16
 FILTER_BITS = 1 << 26

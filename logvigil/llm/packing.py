@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logvigil.llm.sharding import number_rows
-from logvigil.llm.textkit import durable, worker_cache
+from logvigil.llm.textkit import durable, parts, worker_cache
 
 WINDOW = 2048
 END_ID = 1
@@ -54,11 +54,8 @@ class ByteBpe:
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.own = Tokenizer.from_file(path)
-        self.own.no_truncation()
-        self.own.no_padding()
+        self.path, self.own = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", []) if t["content"]]
@@ -69,8 +66,14 @@ class ByteBpe:
                                       mergeable_ranks=ranks, special_tokens={})
         if self.fast.encode_ordinary(self.PROBE) != self._slow(self.PROBE):
             self.fast = None
+        self.own = None  # a worker keeps one vocabulary, not two
 
     def _slow(self, text: str) -> list[int]:
+        if self.own is None:
+            from tokenizers import Tokenizer
+            self.own = Tokenizer.from_file(self.path)
+            self.own.no_truncation()
+            self.own.no_padding()
         return self.own.encode(text, add_special_tokens=False).ids
 
     def ids(self, text: str) -> np.ndarray:
@@ -94,7 +97,7 @@ def cut_pieces(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load_tokenizer(tokenizer_path)
-        for b in batches:
+        for b in parts(batches):
             cols = {c: [] for c in ("k", "start", "length", "ids_crc32", "doc_tokens", "ids")}
             for k, t in zip(b.column("k").to_pylist(), b.column("text").to_pylist()):
                 ids = np.append(tok.ids(t or ""), np.uint32(end_id)).astype("<u4")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logvigil.llm.textkit import byte_class, durable, slices, word_spans
+from logvigil.llm.textkit import byte_class, durable, parts, slices, word_spans
 
 # ---- fixed values: the base patterns and their shortest lengths
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_?key")
@@ -281,7 +281,7 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             texts = []
             for t in b.column(text).to_pylist():
                 if t:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logvigil.llm.textkit import durable
+from logvigil.llm.textkit import durable, parts
 
 ROW_OVERHEAD = 8
 
@@ -58,7 +58,7 @@ def assign_shards(df: DataFrame, shards: int, key: str = "doc_id", text: str = "
     src = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("text"))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             texts = [(t or "").encode() for t in b.column("text").to_pylist()]
             ids = mix64(b.column("k").fill_null(0).to_numpy(zero_copy_only=False))
             out = {"k": b.column("k"),

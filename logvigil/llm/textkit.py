@@ -18,7 +18,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+PART_ROWS = 512
 _LONG_WORD = 1 << 16
 _ODD = 0x9E3779B97F4A7C15
 
@@ -80,6 +81,13 @@ def doc_slices(off: np.ndarray, budget: int = SLICE_BYTES) -> Iterator[tuple[int
         a = min(b, n)
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of up to PART_ROWS rows, for work on Python strings."""
+    for b in batches:
+        for i in range(0, b.num_rows, PART_ROWS):
+            yield b.slice(i, PART_ROWS)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator:
     """(row range start, end, bytes, offsets) of a batch's text, in slices."""
     buf, off = text_buffer(batch.column(column))
@@ -161,7 +169,7 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray,
         return out
     vals = _byte_values(fold)
     size = ends - starts
-    step, i = 1 << 20, 0
+    step, i = 1 << 19, 0
     pw, ipw = _powers(step + _LONG_WORD + 1)
     while i < len(starts):
         base = int(starts[i])
