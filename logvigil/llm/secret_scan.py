@@ -10,14 +10,19 @@ chi-squared test of alphabet uniformity, a runs test about the alphabet's
 middle, a lag-1 serial-correlation test -- and Fisher's method combines their
 p-values into one score (high: random).
 
-False-discovery control, by length: runs that are plainly words (letters of one
-case, or capitalised) are the null sample.  Within each length class, all of
-the corpus's null scores are counted in a histogram; a candidate's p-value is
-the share of null runs that score at least as high, and the
-Benjamini-Hochberg step-up at level ``fdr`` over the class's candidates sets the
-class's threshold.  A length class without enough null runs uses the next
-shorter ones as well.  Candidates are the runs that are no words and do not
-overlap a base span.
+Evidence against words, per run: its probability as a uniform draw from the
+alphabet (each of the ``ALPHABETS`` counted as equally likely) over its
+probability as written text, where letters follow the corpus's own letter pairs
+and the kinds of characters follow ``STEP``.  Under the second law this ratio is
+at least 1 / p with probability at most p, whatever the corpus's size, so its
+inverse is a p-value at any depth; letter pairs the corpus has too few of lean on
+``LETTERS``.  Pairs are counted outside of the runs under test.  A run that the
+battery refuses as random (below ``LEAST_RANDOM``) has p-value 1.
+
+False-discovery control, by length: in each length class the candidates'
+p-values are counted in a histogram, and the Benjamini-Hochberg step-up at level
+``fdr`` sets the class's threshold.  Candidates are the runs that are no words
+(letters of one case, or capitalised) and do not overlap a base span.
 
 Defined results: a null text is empty; spans are in code points; repeated rows
 are scanned each; an empty table gives an empty result.
@@ -48,8 +53,9 @@ KINDS = ("assign", "access", "hex", "random")
 
 MIN_RUN = 20
 FDR = 0.01
-MIN_NULL = 200
-SCORE_BINS = 128
+LEAST_RANDOM = 0.001
+SCORE_BINS = 128           # of P_STEP each, in -log10 p
+P_STEP = 0.25
 LENGTHS = (20, 24, 28, 32, 40, 48, 64, 96, 160)
 RUN_BYTES = byte_class(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 
@@ -132,10 +138,81 @@ def randomness(run: str) -> float:
     return math.exp(-f) * (1 + f + f * f / 2) if f < 700 else 0.0  # Fisher: chi-squared, 6 degrees
 
 
-def score_bin(p: float) -> int:
-    """0 (least random) .. SCORE_BINS - 1, even steps of -log10 p."""
-    depth = -math.log10(max(p, 1e-32))
-    return min(SCORE_BINS - 1, max(0, int((32 - depth) / 32 * SCORE_BINS)))
+# ---- the law of written text
+#: kinds of characters: lower case, capital, digit, sign, further capital; a
+#: last row for a run's begin
+STEP = np.array([[.86, .05, .04, .05, 0], [.60, 0, .07, .08, .25], [.08, .07, .70, .15, 0],
+                 [.45, .15, .20, .20, 0], [.05, 0, .05, .05, .85], [.50, .25, .15, .10, 0]])
+#: a to z in Latin-script text, in thousandths
+LETTERS = np.array([85, 15, 35, 40, 130, 16, 18, 35, 75, 2, 8, 45, 27, 75, 70, 25, 3, 67, 70, 85, 35,
+                    12, 12, 2, 12, 1], float)
+LETTERS_WEIGHT, PAIR_WEIGHT = 1000, 50  # letters' worth of LETTERS, and of single letters in a pair
+APART = 0.15               # share of letters that follow no pair
+OTHER = 26                 # in place of a letter
+
+
+def _fold() -> np.ndarray:
+    table = np.full(256, OTHER, np.int64)
+    for first in b"aA":
+        table[first:first + 26] = np.arange(26)
+    return table
+
+
+def _kinds() -> np.ndarray:
+    table = np.full(256, 3, np.int64)
+    for i, chars in enumerate((b"az", b"AZ", b"09")):
+        table[chars[0]:chars[1] + 1] = i
+    return table
+
+
+FOLD, KIND_OF = _fold(), _kinds()
+
+
+def letter_pairs(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Counts of (byte before, letter), folded, of the texts in buf; characters
+    of long runs count as OTHER."""
+    x = FOLD[buf]
+    s, e, _ = word_spans(buf, off, RUN_BYTES)
+    long_run = e - s >= MIN_RUN
+    for i, j in zip(s[long_run].tolist(), e[long_run].tolist()):
+        x[i:j] = OTHER
+    before = np.empty_like(x)
+    before[1:] = x[:-1]
+    before[off[:-1][off[1:] > off[:-1]]] = OTHER
+    return np.bincount(before * 27 + x, minlength=27 * 27)
+
+
+def text_law(pairs: np.ndarray) -> np.ndarray:
+    """log P(letter | letter before, or OTHER) from letter_pairs' counts."""
+    n = np.asarray(pairs).reshape(27, 27)[:, :26].astype(float)
+    single = n.sum(0) + LETTERS_WEIGHT * LETTERS / LETTERS.sum()
+    single /= single.sum()
+    pair = (n + PAIR_WEIGHT * single) / (n.sum(1, keepdims=True) + PAIR_WEIGHT)
+    return np.log((1 - APART) * pair + APART * single)
+
+
+def p_text(run: str, law: np.ndarray) -> float:
+    """-log10 of the p-value of 'the run is written text' (0 and up)."""
+    raw = np.frombuffer(run.encode(), np.uint8)
+    kind, x = KIND_OF[raw].copy(), FOLD[raw]
+    kind[1:][(kind[1:] == 1) & (KIND_OF[raw[:-1]] == 1)] = 4
+    before, last = np.full(len(x), OTHER), np.full(len(x), 5)
+    last[1:] = kind[:-1]
+    same_word = kind[1:] != 1
+    before[1:][same_word] = x[:-1][same_word]
+    letter = x < OTHER
+    text = np.log(STEP[last, kind]).sum() + law[before[letter], x[letter]].sum() \
+        - math.log(10) * (kind == 2).sum() - math.log(5) * (kind == 3).sum()
+    drawn = -math.log(len(ALPHABETS)) - len(x) * math.log(len(alphabet_of(run)))
+    return max(0.0, (drawn - text) / math.log(10))
+
+
+def score_bin(run: str, law: np.ndarray) -> int:
+    """0 (text) .. SCORE_BINS - 1, even steps of -log10 p."""
+    depth = p_text(run, law)
+    if depth < P_STEP or randomness(run) < LEAST_RANDOM:
+        return 0
+    return min(SCORE_BINS - 1, int(depth / P_STEP))
 
 
 def length_class(n: int) -> int:
@@ -147,10 +224,28 @@ def is_word(run: str) -> bool:
 
 
 # ------------------------------------------------------------------ the scan
-def _scan(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Per document: base spans (start, kind, end triples), candidate runs
-    (start, end, code pairs) and null runs' codes; a code is length class times
-    SCORE_BINS plus score bin."""
+def learn(df: DataFrame, text: str = "text") -> np.ndarray:
+    """The law of the corpus's text; 27 x 27 counts reach the driver."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(27 * 27, np.int64)
+        for batch in batches:
+            for _, _, buf, off in slices(batch):
+                n += letter_pairs(buf, off)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "n": pa.array(n[at], pa.int64())})
+
+    rows = df.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "at int, n long") \
+        .groupBy("at").agg(F.sum("n").alias("n")).collect()
+    pairs = np.zeros(27 * 27, np.int64)
+    for r in rows:
+        pairs[r["at"]] = r["n"]
+    return text_law(pairs)
+
+
+def _scan(df: DataFrame, key: str, text: str, law: np.ndarray) -> DataFrame:
+    """Per document: base spans (start, kind, end triples) and candidate runs
+    (start, end, code triples); a code is length class times SCORE_BINS plus
+    score bin."""
     src = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,51 +258,40 @@ def _scan(df: DataFrame, key: str, text: str) -> DataFrame:
                 for d, i, j in zip(doc.tolist(), s[long_run].tolist(), e[long_run].tolist()):
                     runs[d].append((i, j))
                 raw = buf.tobytes()
-                base, cand, null = [], [], []
+                base, cand = [], []
                 for d in range(b - a):
                     lo, hi = int(off[d]), int(off[d + 1])
                     t = raw[lo:hi].decode()
                     spans = base_spans(t)
                     base.append([x for sp in spans for x in sp])
-                    mine, nulls = [], []
+                    mine = []
                     for i, j in runs[d]:
                         run = raw[i:j].decode()
-                        code = length_class(len(run)) * SCORE_BINS
                         if is_word(run):
-                            nulls.append(code + score_bin(randomness(run)))
                             continue
                         at = len(raw[lo:i].decode())
                         if not any(x < at + len(run) and at < z for x, _, z in spans):
-                            mine += [at, at + len(run), code + score_bin(randomness(run))]
+                            mine += [at, at + len(run),
+                                     length_class(len(run)) * SCORE_BINS + score_bin(run, law)]
                     cand.append(mine)
-                    null.append(nulls)
                 kind = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_pydict({
                     "k": batch.column("k").slice(a, b - a), "fixed": pa.array(base, kind),
-                    "cand": pa.array(cand, kind), "nulls": pa.array(null, kind)})
+                    "cand": pa.array(cand, kind)})
 
-    return src.mapInArrow(scan, "k long, fixed array<int>, cand array<int>, nulls array<int>")
+    return src.mapInArrow(scan, "k long, fixed array<int>, cand array<int>")
 
 
-def thresholds(null: dict[int, int], cand: dict[int, int], fdr: float = FDR) -> list[int]:
+def thresholds(cand: dict[int, int], fdr: float = FDR) -> list[int]:
     """Per length class, the lowest score bin that is accepted (SCORE_BINS:
-    none), from counts by code."""
-    def hist(counts, c):
-        return np.array([counts.get(c * SCORE_BINS + i, 0) for i in range(SCORE_BINS)])
-
+    none), from the candidates' counts by code; a bin's p-value is its largest."""
     out = []
     for c in range(len(LENGTHS)):
-        ref = hist(null, c)
-        for lower in range(c - 1, -1, -1):
-            if ref.sum() >= MIN_NULL:
-                break
-            ref = ref + hist(null, lower)
-        mine = hist(cand, c)
-        best, total, taken, above = SCORE_BINS, int(mine.sum()), 0, 0
-        for i in range(SCORE_BINS - 1, -1, -1):
-            taken, above = taken + int(mine[i]), above + int(ref[i])
-            p = (1 + above) / (1 + int(ref.sum()))
-            if mine[i] and p <= fdr * taken / total:
+        mine = [cand.get(c * SCORE_BINS + i, 0) for i in range(SCORE_BINS)]
+        best, total, taken = SCORE_BINS, sum(mine), 0
+        for i in range(SCORE_BINS - 1, 0, -1):
+            taken += mine[i]
+            if mine[i] and 10 ** (-P_STEP * i) <= fdr * taken / total:
                 best = i
         out.append(best)
     return out
@@ -216,19 +300,17 @@ def thresholds(null: dict[int, int], cand: dict[int, int], fdr: float = FDR) ->
 def _limits(found: DataFrame, fdr: float) -> list[int]:
     """Thresholds from a scan's codes; what is collected has at most a row for
     each length class and score bin."""
-    def counts(column) -> dict[int, int]:
-        return {r[0]: r[1] for r in found.select(F.explode(column)).groupBy("col").count().collect()}
-
     codes = F.filter(F.transform("cand", lambda x, i: F.when(i % 3 == 2, x)), lambda x: x.isNotNull())
-    return thresholds(counts(F.col("nulls")), counts(codes), fdr)
+    return thresholds({r[0]: r[1] for r in
+                       found.select(F.explode(codes)).groupBy("col").count().collect()}, fdr)
 
 
 def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text",
                  fdr: float = FDR) -> DataFrame:
     """Per document: key, base (array of struct start, kind, end) and spans
     (the same with the accepted random runs), both by start, then kind.  The
-    scan's small result is checkpointed; texts are read once."""
-    found = durable(_scan(df, key, text))
+    scan's small result is checkpointed; texts are read for the law and once more."""
+    found = durable(_scan(df, key, text, learn(df, text)))
     limit = _limits(found, fdr)
     least = F.array(*[F.lit(c * SCORE_BINS + x) for c, x in enumerate(limit)])
 
@@ -275,9 +357,10 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
 def redact(df: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]",
            fdr: float = FDR) -> DataFrame:
     """The rows of df (all columns) with every span replaced by the mark: a
-    first pass sets the thresholds, a second one writes; nothing is shuffled.
-    A null text stays null."""
-    limit = _limits(_scan(df, key, text).select("cand", "nulls").transform(durable), fdr)
+    first pass learns the law of the text, a second one sets the thresholds, a
+    third one writes; nothing is shuffled.  A null text stays null."""
+    law = learn(df, text)
+    limit = _limits(_scan(df, key, text, law).select("cand"), fdr)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +370,7 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "
                 if t:
                     spans = base_spans(t)
                     where = [(s, e) for s, _, e in spans] + [
-                        (s, e) for s, e, code in random_runs(t, spans)
+                        (s, e) for s, e, code in random_runs(t, spans, law)
                         if code % SCORE_BINS >= limit[code // SCORE_BINS]]
                     t = redact_text(t, where, mark) if where else t
                 texts.append(t)
@@ -298,14 +381,14 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "
     return df.mapInArrow(write, schema)
 
 
-def random_runs(text: str, spans) -> list[tuple[int, int, int]]:
+def random_runs(text: str, spans, law: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, end, code) of the candidate runs of one text."""
     out = []
     for m in RUN_RE.finditer(text):
         run = m[0]
         if not is_word(run) and not any(x < m.end() and m.start() < z for x, _, z in spans):
             out.append((m.start(), m.end(), length_class(len(run)) * SCORE_BINS
-                        + score_bin(randomness(run))))
+                        + score_bin(run, law)))
     return out
 
 

@@ -72,6 +72,28 @@ def test_empty_and_real_rows(make_docs, real_docs):
         assert (o.n_assign, o.n_access, o.n_hex, o.base_sha256) == S.brute_force(r.text)
 
 
+def test_key_in_small_corpora(make_docs):
+    """Acceptance depends on the key, not on how many long words there are."""
+    rng = random.Random(4)
+    words = "the cat sat on a mat and it ran to me".split()
+    for n in (1, 40):
+        key = "".join(rng.choices(string.ascii_letters + string.digits, k=22))
+        docs = [(i, " ".join(rng.choices(words, k=30))) for i in range(n)]
+        docs[0] = (0, docs[0][1] + " " + key)
+        at = len(docs[0][1]) - 22
+        spans = {r.doc_id: r.spans for r in S.digest(S.find_secrets(make_docs(docs))).collect()}
+        assert spans == {i: f"random:{at}:{at + 22}" if i == 0 else "" for i in range(n)}
+        out = {r.doc_id: r.text for r in S.redact(make_docs(docs)).collect()}
+        assert out[0] == docs[0][1][:at] + "[SECRET]"
+
+
+def test_text_is_not_random():
+    law = S.text_law([0] * 27 * 27)
+    for run in ("getElementByIdFromDocument", "/usr/local/lib/python3/site-packages", "=" * 40,
+                "2024-05-12_10-22-33-000", "a" * 40, "MAX_CONNECTIONS_PER_HOST"):
+        assert S.score_bin(run, law) == 0
+
+
 def test_redact():
     assert S.redact_text("a secret b", [(2, 8), (4, 9)], "#") == "a #b"
     assert S.redact_text("abc", [], "#") == "abc"
