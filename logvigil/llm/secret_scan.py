@@ -21,8 +21,8 @@ battery refuses as random (below ``LEAST_RANDOM``) has p-value 1.
 
 False-discovery control, by length: in each length class the candidates'
 p-values are counted in a histogram, and the Benjamini-Hochberg step-up at level
-``fdr`` sets the class's threshold.  Candidates are the runs that are no words
-(letters of one case, or capitalised) and do not overlap a base span.
+``fdr`` sets the class's threshold.  Candidates are all runs that do not overlap
+a base span, letters of one case among them.
 
 Defined results: a null text is empty; spans are in code points; repeated rows
 are scanned each; an empty table gives an empty result.
@@ -51,12 +51,12 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 KINDS = ("assign", "access", "hex", "random")
 # ----
 
-MIN_RUN = 20
+MIN_RUN = 16               # of lower-case letters, most random runs have p < 0.01 from here on
 FDR = 0.01
 LEAST_RANDOM = 0.001
 SCORE_BINS = 128           # of P_STEP each, in -log10 p
 P_STEP = 0.25
-LENGTHS = (20, 24, 28, 32, 40, 48, 64, 96, 160)
+LENGTHS = (16, 20, 24, 28, 32, 40, 48, 64, 96, 160)
 RUN_BYTES = byte_class(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 
 
@@ -219,10 +219,6 @@ def length_class(n: int) -> int:
     return max(i for i, low in enumerate(LENGTHS) if n >= low)
 
 
-def is_word(run: str) -> bool:
-    return run.isalpha() and (run[1:].islower() or run.isupper())
-
-
 # ------------------------------------------------------------------ the scan
 def learn(df: DataFrame, text: str = "text") -> np.ndarray:
     """The law of the corpus's text; 27 x 27 counts reach the driver."""
@@ -267,8 +263,6 @@ def _scan(df: DataFrame, key: str, text: str, law: np.ndarray) -> DataFrame:
                     mine = []
                     for i, j in runs[d]:
                         run = raw[i:j].decode()
-                        if is_word(run):
-                            continue
                         at = len(raw[lo:i].decode())
                         if not any(x < at + len(run) and at < z for x, _, z in spans):
                             mine += [at, at + len(run),
@@ -386,7 +380,7 @@ def random_runs(text: str, spans, law: np.ndarray) -> list[tuple[int, int, int]]
     out = []
     for m in RUN_RE.finditer(text):
         run = m[0]
-        if not is_word(run) and not any(x < m.end() and m.start() < z for x, _, z in spans):
+        if not any(x < m.end() and m.start() < z for x, _, z in spans):
             out.append((m.start(), m.end(), length_class(len(run)) * SCORE_BINS
                         + score_bin(run, law)))
     return out

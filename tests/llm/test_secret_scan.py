@@ -94,6 +94,22 @@ def test_text_is_not_random():
         assert S.score_bin(run, law) == 0
 
 
+def test_keys_of_one_case_and_short_keys(make_docs):
+    rng = random.Random(5)
+    kinds = [(string.ascii_lowercase, 40), (string.ascii_uppercase, 40), (string.ascii_lowercase, 64),
+             (string.ascii_uppercase + "234567", 32), (string.ascii_letters + string.digits, 16),
+             (string.ascii_letters + string.digits, 19)]
+    words = "internationalization counterrevolutionary INTERNATIONALIZATION the cat sat on a mat".split()
+    docs, want = [], {}
+    for i, (alphabet, n) in enumerate(kinds):
+        t = " ".join(rng.choices(words, k=30))
+        docs.append((i, f"{t} {''.join(rng.choices(alphabet, k=n))}."))
+        want[i] = f"random:{len(t) + 1}:{len(t) + 1 + n}"
+    docs += [(10 + i, " ".join(rng.choices(words, k=30))) for i in range(20)]
+    want |= {10 + i: "" for i in range(20)}
+    assert {r.doc_id: r.spans for r in S.digest(S.find_secrets(make_docs(docs))).collect()} == want
+
+
 def test_redact():
     assert S.redact_text("a secret b", [(2, 8), (4, 9)], "#") == "a #b"
     assert S.redact_text("abc", [], "#") == "abc"
