@@ -39,7 +39,13 @@ SAMPLE_HTML_BYTES = 1 << 16
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark q "
                    "s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|select|object|canvas|head"
+RAW = "script|style|noscript|template|textarea|title|iframe"
+#: elements whose inside is not the page's text (nor counts as tags), and the start tags that end
+#: those whose end tag is missing
+EMBEDDED = frozenset("head svg select object canvas".split())
+HEAD_TAGS = frozenset("head base link meta basefont bgsound".split())
+FLOW = frozenset("address article aside blockquote body center details div dl fieldset figure footer form "
+                 "h1 h2 h3 h4 h5 h6 header li main menu nav ol p pre section table ul".split())
 FURNITURE = frozenset("nav footer aside form dialog menu button fieldset".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 FURNITURE_NAMES = frozenset(
@@ -57,6 +63,7 @@ TOKEN = re.compile(
     r"|</?[A-Za-z][^<>]*>", re.S | re.I)
 ATTR = re.compile(r"(class|id|role|hidden|aria-label)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?",
                   re.I)
+NO_ELEMENT = ("", "", False, False, False)
 NAME_PARTS = re.compile(r"[A-Za-z]+")
 
 
@@ -83,14 +90,16 @@ def parse(page: str) -> list[tuple]:
     """Items in page order: ("tag", name) and ("text", context, text, in
     article, in furniture); a text item is one block's words."""
     items: list[tuple] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, context, furniture, article
+    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, context, furniture, article, embedded
     parts: list[str] = []
 
     def flush() -> None:
         text = " ".join(htmllib.unescape("".join(parts)).split())
         parts.clear()
-        if text:
-            top = stack[-1] if stack else ("", "", False, False)
+        if text and stack and stack[-1][0] == "head":
+            stack.pop()
+        top = stack[-1] if stack else NO_ELEMENT
+        if text and not top[4]:
             items.append(("text", top[1], text, top[3], top[2]))
 
     at = 0
@@ -103,15 +112,28 @@ def parse(page: str) -> list[tuple]:
                 parts.append(" ")
             continue
         tag = tag.lower()
+        if stack and stack[-1][4] and not m["end"]:
+            first_open = next(i for i, x in enumerate(stack) if x[4])
+            if stack[first_open][0] == "head" and tag not in HEAD_TAGS \
+                    or stack[first_open][0] in ("svg", "select") and tag in FLOW \
+                    and not any(x[0] == "foreignobject" for x in stack[first_open:]):
+                flush()
+                del stack[first_open:]
+        counts = not (stack and stack[-1][4])
         if tag in INLINE:
-            items.append(("tag", tag))
+            if counts:
+                items.append(("tag", tag))
             continue
         if tag == "br":
             parts.append(" ")
-            items.append(("tag", tag))
+            if counts:
+                items.append(("tag", tag))
             continue
         flush()
-        items.append(("tag", tag))
+        if tag in EMBEDDED:
+            counts = False
+        if counts:
+            items.append(("tag", tag))
         if m["end"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
@@ -123,12 +145,13 @@ def parse(page: str) -> list[tuple]:
         if tag == "p" and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
             stack.pop()  # their end tags are optional
         first, named = _names(m["attrs"])
-        top = stack[-1] if stack else ("", "", False, False)
+        top = stack[-1] if stack else NO_ELEMENT
         article = top[3] or tag in ("article", "main")
         # a header belongs to the article if it stands in one
         out = top[2] or tag in FURNITURE or named and tag not in ("article", "main", "body", "html") \
             or tag == "header" and not top[3]
-        stack.append((tag, f"{tag}.{first}" if first else tag, out, article))
+        stack.append((tag, f"{tag}.{first}" if first else tag, out, article,
+                      top[4] or tag in EMBEDDED))
     parts.append(page[at:])
     flush()
     return items

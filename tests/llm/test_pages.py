@@ -44,6 +44,18 @@ def test_hand_made_page():
     assert H.extract(PAGE, None) == want
 
 
+def test_optional_and_missing_end_tags():
+    body = "<article><h1>Big</h1><p>One two three</p>%s<p>four five</p></article>"
+    for head in ("<head><meta charset=u><title>t</title><link rel=a><body>", "<head><title>t</title></head>",
+                 "<head><title>t</title>"):
+        page = f"<html>{head}{body % ''}"
+        assert H.extract(page, None) == "Big One two three four five"
+    for mid in ('<svg class="i" />', '<svg><path d="M0"/><text>no</text></svg>', "<svg><path>", "<canvas/>",
+                "<select><option>no<option>no", "<object data=x><p>no</p></object>", '<svg viewBox="0 0"/><svg/>'):
+        assert H.extract("<html><head></head>" + body % mid, None) == "Big One two three four five"
+    assert H.extract("<head><title>t</title>plain words", None) == "plain words"
+
+
 def test_best_region():
     rng = random.Random(3)
     for _ in range(200):
