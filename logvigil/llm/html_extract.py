@@ -53,44 +53,56 @@ FURNITURE_NAMES = frozenset(
     "cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices "
     "popup promo related replies share sharing sidebar social sponsor sponsored subscribe toolbar "
     "widget".split())
+SITE_WORDS = frozenset("site main global primary secondary top bottom".split())
+APART = frozenset("nav aside footer menu dialog".split())  # an article in one is a teaser or the like
 # ----
 
+NO, LOOSE, FIRM = 0, 1, 2  # furniture: not, by a name or the like, by an element of APART
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>" + RAW + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[!?/][^>]*>"
     r"|</?[A-Za-z][^<>]*>", re.S | re.I)
-ATTR = re.compile(r"(class|id|role|hidden|aria-label)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?",
-                  re.I)
-NO_ELEMENT = ("", "", False, False, False)
+ATTR = re.compile(r"([^\s\"'>/=][^\s>/=]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NO_ELEMENT = ("", "", NO, False, False)
 NAME_PARTS = re.compile(r"[A-Za-z]+")
 
 
+def _named(token: str) -> bool:
+    """Whether a class or id names furniture: by its first word ('ad-slot', not
+    'has-sidebar' or 'page-header-fixed'), which a word of SITE_WORDS may precede."""
+    words = NAME_PARTS.findall(token)
+    return bool(words) and (words[0] in FURNITURE_NAMES or len(words) == 2 and words[0] in SITE_WORDS
+                            and words[1] in FURNITURE_NAMES)
+
+
 def _names(attrs: str) -> tuple[str, bool]:
     """(first class, whether the attributes name page furniture)."""
-    first, out = "", False
+    own: dict[str, str] = {}
     for m in ATTR.finditer(attrs):
-        name = m[1].lower()
-        value = next((v for v in m.groups()[1:] if v is not None), "")
-        if name == "hidden":
-            out = True
-        elif name == "role":
-            out |= value.strip().lower() in FURNITURE_ROLES
-        elif name in ("class", "id"):
-            words = value.lower().split()
-            if name == "class" and words:
-                first = words[0]
-            # a name counts by its words, so 'ad-slot' does and 'header-less' text of 'address' not
-            out |= any(p in FURNITURE_NAMES for w in words for p in NAME_PARTS.findall(w))
-    return first, out
+        own.setdefault(m[1].lower(), next((v for v in m.groups()[1:] if v is not None), ""))
+    words = own.get("class", "").lower().split()
+    out = "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true" \
+        or own.get("role", "").strip().lower() in FURNITURE_ROLES \
+        or any(map(_named, words + own.get("id", "").lower().split()))
+    return words[0] if words else "", out
 
 
 def parse(page: str) -> list[tuple]:
     """Items in page order: ("tag", name) and ("text", context, text, in
-    article, in furniture); a text item is one block's words."""
+    article, in furniture); a text item is one block's words.  What is said of
+    the elements around it does not make a main furniture; nor an article, if
+    all of the page's articles would be."""
+    items = _parse(page, False)
+    inside = [it[4] for it in items if it[0] == "text" and it[3]]
+    return _parse(page, True) if all(inside) and "<article" in page.lower() else items
+
+
+def _parse(page: str, keep_articles: bool) -> list[tuple]:
     items: list[tuple] = []
-    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, context, furniture, article, embedded
+    stack: list[tuple[str, str, int, bool, bool]] = []  # tag, context, furniture, article, embedded
     parts: list[str] = []
 
     def flush() -> None:
@@ -100,7 +112,7 @@ def parse(page: str) -> list[tuple]:
             stack.pop()
         top = stack[-1] if stack else NO_ELEMENT
         if text and not top[4]:
-            items.append(("text", top[1], text, top[3], top[2]))
+            items.append(("text", top[1], text, top[3], top[2] > NO))
 
     at = 0
     for m in TOKEN.finditer(page):
@@ -147,11 +159,14 @@ def parse(page: str) -> list[tuple]:
         first, named = _names(m["attrs"])
         top = stack[-1] if stack else NO_ELEMENT
         article = top[3] or tag in ("article", "main")
+        out, embedded = top[2], top[4] or tag in EMBEDDED
+        if not top[3] and (tag == "main" or tag == "article" and keep_articles and out < FIRM):
+            out, embedded = NO, False
         # a header belongs to the article if it stands in one
-        out = top[2] or tag in FURNITURE or named and tag not in ("article", "main", "body", "html") \
-            or tag == "header" and not top[3]
-        stack.append((tag, f"{tag}.{first}" if first else tag, out, article,
-                      top[4] or tag in EMBEDDED))
+        if tag in FURNITURE or tag == "header" and not top[3] \
+                or named and tag not in ("article", "main", "body", "html"):
+            out = max(out, FIRM if tag in APART else LOOSE)
+        stack.append((tag, f"{tag}.{first}" if first else tag, out, article, embedded))
     parts.append(page[at:])
     flush()
     return items

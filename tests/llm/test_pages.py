@@ -56,6 +56,30 @@ def test_optional_and_missing_end_tags():
     assert H.extract("<head><title>t</title>plain words", None) == "plain words"
 
 
+def test_furniture_names():
+    for attrs in ('style="overflow:hidden"', 'aria-hidden="false"', 'data-id="share-1"', "data-hidden",
+                  'class="layout has-sidebar"', 'class="no-sidebar"', 'class="with-comments"',
+                  'class="page-header-fixed"', 'title=" hidden "'):
+        assert H.extract(f"<body><div {attrs}><p>One two three</p></div>", None) == "One two three", attrs
+    for attrs in ("hidden", 'aria-hidden="true"', 'class="ad-slot"', "id='share'class=x", "role=banner",
+                  'class="x site-footer"', 'title="a" hidden=""'):
+        page = f"<body><p>One two three</p><div {attrs}><p>no</p></div><p>four five"
+        assert H.extract(page, None) == "One two three four five", attrs
+
+
+def test_furniture_around_the_article():
+    for tag in ("article", "main"):
+        for wrap in ('div class="sidebar-left"', "div hidden", "form id=aspnetForm", 'div class="menu open"'):
+            end = wrap.split()[0]
+            page = f"<body><{wrap}><p>no</p><{tag}><p>One <i>two</i></p><div class=ad>no</div><p>three</{tag}></{end}>"
+            assert H.extract(page, None) == "One two three", wrap
+    assert H.extract("<object data=x><article>One two three</article>", None) == "One two three"
+    page = "<aside><article>teaser</article></aside><div class=comments><article>no no</article></div>" \
+           "<article>One two three</article>"
+    assert H.extract(page, None) == "One two three"
+    assert H.extract("<div>One two three</div><aside><article>teaser</article></aside>", None) == "One two three"
+
+
 def test_best_region():
     rng = random.Random(3)
     for _ in range(200):
