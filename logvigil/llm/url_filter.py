@@ -4,16 +4,18 @@ Explicit rules come first (host and its subdomains, path prefix, the longest
 wins).  Every other url is judged by its template:
 
 1. Urls are counted by host and path segments; purely numeric segments are
-   wildcards at once, segments below ``DEPTH`` are one tail.
-2. Level by level, the children of a node become wildcards where there are too
-   many for their rows (variable segments), and where their labelled purity
-   does not differ significantly from their siblings' (a two-proportion z
-   test); branches under one wildcard are merged.
+   wildcards at once.
+2. Level by level, as deep as paths go, the children of a node become wildcards
+   where there are too many for their rows (variable segments), and where their
+   labelled purity does not differ significantly from their siblings' (a
+   two-proportion z test); branches under one wildcard are merged.
 3. A template's purity is smoothed towards the corpus's:
    (good + ALPHA * p) / (labelled + ALPHA); below ``MIN_PURITY`` it is blocked.
 
-Counts meet in partial sums; joins are on (host, prefix, segment) and left to
-adaptive execution, which splits hot keys.
+A path that is alone under its node keeps its remaining segments and leaves the
+loop, as do paths that end; so there are as many rounds as the longest branch has
+segments that two paths share.  Counts meet in partial sums; joins are on (host,
+prefix, segment) and left to adaptive execution, which splits hot keys.
 
 Defined results: a null url or one without ``://`` has empty host and path;
 null labels are unlabelled rows; without labels every template is allowed;
@@ -32,7 +34,7 @@ from logvigil.llm.textkit import durable
 # (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DEPTH = 3
+DEPTH = 3                  # levels that the SQL writes out (oracle.py); the operator has no such limit
 MANY_BRANCHES = 8          # children of a node
 MANY_SHARE = 0.3           # children per row
 Z2 = 6.635                 # squared z of the 1 % level
@@ -59,32 +61,27 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _segments(path: Column) -> list[Column]:
-    """The first DEPTH segments ('' where there is none) and the tail mark."""
+def _segments(path: Column) -> Column:
+    """The path's segments, purely numeric ones as wildcards."""
     segs = F.filter(F.split(path, "/", -1), lambda s: s != "")
-
-    def at(i):
-        s = F.coalesce(F.get(segs, F.lit(i)), F.lit(""))
-        return F.when(s.rlike(r"^[0-9]+(\.[A-Za-z]+)?$"), F.lit("*")).otherwise(s)
-
-    return [*[at(i).alias(f"s{i + 1}") for i in range(DEPTH)],
-            F.when(F.size(segs) > DEPTH, F.lit("/**")).otherwise(F.lit("")).alias("tail")]
+    return F.transform(segs, lambda s: F.when(s.rlike(r"^[0-9]+(\.[A-Za-z]+)?$"), F.lit("*")).otherwise(s))
 
 
 def build_templates(urls: DataFrame) -> DataFrame:
-    """(host, s1.., tail) -> template, lab, good of its template; from rows
-    (host, s1.., tail, good: 1, 0 or null)."""
-    keys = ["host", *[f"s{i + 1}" for i in range(DEPTH)], "tail"]
-    tree = durable(urls.groupBy(*keys).agg(
+    """(host, segs) -> template, lab, good of its template; from rows (host,
+    segs, good: 1, 0 or null)."""
+    tree = durable(urls.groupBy("host", "segs").agg(
         F.count(F.lit(1)).alias("n"), F.count("good").alias("lab"),
         F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("good")).withColumn("p", F.lit("")))
     sums = [F.sum(c).alias(c) for c in ("n", "lab", "good")]
-    for level in range(1, DEPTH + 1):
-        s = f"s{level}"
-        node = tree.groupBy("host", "p", s).agg(*sums)
+    finished, level = [], 0
+    while (tree.agg(F.max(F.size("segs"))).first()[0] or 0) > level:
+        level += 1
+        tree = tree.withColumn("s", F.coalesce(F.get("segs", F.lit(level - 1)), F.lit("")))
+        node = tree.groupBy("host", "p", "s").agg(F.count(F.lit(1)).alias("paths"), *sums)
         all_ = node.groupBy("host", "p").agg(
-            F.count(F.lit(1)).alias("kids"), F.sum("n").alias("all_n"), F.sum("lab").alias("all_lab"),
-            F.sum("good").alias("all_good"))
+            F.count(F.lit(1)).alias("kids"), F.sum("paths").alias("all_paths"), F.sum("n").alias("all_n"),
+            F.sum("lab").alias("all_lab"), F.sum("good").alias("all_good"))
         node = node.join(all_, ["host", "p"])
         rest = F.col("all_lab") - F.col("lab")
         pool = F.col("all_good") / F.col("all_lab")
@@ -93,14 +90,22 @@ def build_templates(urls: DataFrame) -> DataFrame:
         one_sided = (F.col("all_good") == 0) | (F.col("all_good") == F.col("all_lab"))
         alike = F.when((F.col("lab") == 0) | (rest == 0) | one_sided, F.lit(True)).otherwise(gap * gap < F.lit(Z2) * var)
         variable = (F.col("kids") >= MANY_BRANCHES) & (F.col("kids") > MANY_SHARE * F.col("all_n"))
-        wild = (F.col(s) == "*") | ((F.col("kids") > 1) & (variable | alike))
-        name = F.when(F.col(s) == "", F.col("p")).otherwise(
-            F.concat("p", F.lit("/"), F.when(wild, F.lit("*")).otherwise(F.col(s))))
-        node = node.select("host", "p", s, name.alias("to"))
-        tree = durable(tree.join(node, ["host", "p", s]).withColumn("p", F.col("to")).drop("to"))
-    tree = tree.withColumn("template", F.concat("p", "tail"))
+        wild = (F.col("s") == "*") | ((F.col("kids") > 1) & (variable | alike))
+        name = F.when(F.col("s") == "", F.col("p")).otherwise(
+            F.concat("p", F.lit("/"), F.when(wild, F.lit("*")).otherwise(F.col("s"))))
+        node = node.select("host", "p", "s", name.alias("to"), (F.col("all_paths") == 1).alias("alone"))
+        below = F.slice("segs", level + 1, F.greatest(F.size("segs") - level, F.lit(0)))
+        tree = durable(tree.join(node, ["host", "p", "s"]).select(
+            "host", "segs", "n", "lab", "good",
+            F.when(F.col("alone") & (F.size("segs") > level), F.concat("to", F.lit("/"), F.array_join(below, "/")))
+            .otherwise(F.col("to")).alias("p"),
+            (F.col("alone") | (F.col("s") == "")).alias("done")))
+        finished.append(tree.where("done"))
+        tree = tree.where("not done").drop("done")
+    tree = functools.reduce(DataFrame.union, [t.select("host", "segs", F.col("p").alias("template"), "lab", "good")
+                                              for t in [*finished, tree]])
     total = tree.groupBy("host", "template").agg(F.sum("lab").alias("_lab"), F.sum("good").alias("_good"))
-    return tree.select(*keys, "template").join(total, ["host", "template"])
+    return tree.select("host", "segs", "template").join(total, ["host", "template"])
 
 
 def filter_urls(pages: DataFrame, url: str = "url", good: str | None = None, rules=RULES,
@@ -112,15 +117,13 @@ def filter_urls(pages: DataFrame, url: str = "url", good: str | None = None, rul
     label = F.col(f"`{good}`").cast("int") if good else F.lit(None).cast("int")
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), host.alias("host"),
                         path.alias("path"), label.alias("good"))
-    rows = rows.select("*", *_segments(F.col("path")))
-    tree = build_templates(rows)
-    keys = ["host", *[f"s{i + 1}" for i in range(DEPTH)], "tail"]
-    sums = tree.select(*keys, "template", "_lab", "_good")
+    rows = rows.withColumn("segs", _segments(F.col("path")))
+    sums = build_templates(rows)
     lab, ok = rows.agg(F.count("good"), F.sum("good")).first()
     prior = ok / lab if lab else 1.0
     purity = (F.col("_good") + ALPHA * prior) / (F.col("_lab") + ALPHA)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return rows.join(sums, keys).select(
+    return rows.join(sums, ["host", "segs"]).select(
         "row.*", "host", "path", "template", rule.alias("rule"),
         F.coalesce(verdict, F.when(purity < min_purity, F.lit("block")).otherwise(F.lit("allow")))
         .alias("verdict"))
@@ -154,9 +157,9 @@ def brute_force(rows: list[tuple], rules=RULES, min_purity: float = MIN_PURITY)
             host, path = re.match(r"(?s)([^/?#]*)([^?#]*)", rest).groups()
             host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
         segs = [s for s in path.split("/") if s]
-        short = ["*" if re.fullmatch(r"[0-9]+(\.[A-Za-z]+)?", s) else s for s in segs[:DEPTH]]
-        parts.append([host, path, short, "/**" if len(segs) > DEPTH else "", good, ""])
-    for level in range(DEPTH):
+        short = ["*" if re.fullmatch(r"[0-9]+(\.[A-Za-z]+)?", s) else s for s in segs]
+        parts.append([host, path, short, None, good, ""])
+    for level in range(max((len(p[2]) for p in parts), default=0)):
         node = defaultdict(lambda: [0, 0, 0])
         for p in parts:
             seg = p[2][level] if level < len(p[2]) else ""
@@ -185,18 +188,18 @@ def brute_force(rows: list[tuple], rules=RULES, min_purity: float = MIN_PURITY)
                 p[5] += "/" + ("*" if wild[p[0], p[5], seg] else seg)
     stat = defaultdict(lambda: [0, 0])
     for p in parts:
-        c = stat[p[0], p[5] + p[3]]
+        c = stat[p[0], p[5]]
         c[0] += p[4] is not None
         c[1] += p[4] or 0
     lab, good = (sum(c[i] for c in stat.values()) for i in range(2))
     prior = good / lab if lab else 1.0
     out = []
-    for host, path, _, tail, _, tpl in parts:
+    for host, path, _, _, _, tpl in parts:
         fit = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
         best = functools.reduce(lambda a, b: b if len(b[1] + b[2]) > len(a[1] + a[2]) else a, fit) \
             if fit else None
-        c = stat[host, tpl + tail]
+        c = stat[host, tpl]
         pure = (c[1] + ALPHA * prior) / (c[0] + ALPHA)
-        out.append((host, path, tpl + tail, best and best[1] + best[2],
+        out.append((host, path, tpl, best and best[1] + best[2],
                     best[0] if best else "block" if pure < min_purity else "allow"))
     return out

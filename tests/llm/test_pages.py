@@ -129,6 +129,22 @@ def test_url_tree(spark):
     assert U.filter_urls(df.where("false"), good="lab").count() == 0
 
 
+def test_deep_urls(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(400):
+        branch, page = rng.choice(["docs", "spam"]), rng.choice(["", f"{i}/", f"x{i}/y/z/"])
+        good = int(rng.random() < (0.05 if branch == "spam" else 0.95))
+        rows.append((f"http://deep.net/a/b/c/d/{branch}/{page}", good if i % 2 else None))
+        rows.append((f"http://blog.net/blog/2024/0{i % 9 + 1}/12/{branch}/s{i}", good))
+    rows += [("http://long.net/" + "/".join("abcdefghij" * 5), 1), ("http://long.net/a/b", 0)]
+    df = spark.createDataFrame([(i, u, g) for i, (u, g) in enumerate(rows)], "page_id long, url string, lab int")
+    out = U.filter_urls(df, good="lab").orderBy("page_id").collect()
+    assert [(r.host, r.path, r.template, r.rule, r.verdict) for r in out] == U.brute_force(rows)
+    for r in out[:800]:
+        assert r.verdict == ("block" if "/spam/" in r.url else "allow"), r
+
+
 def test_url_labels(spark):
     pages = spark.createDataFrame([(1, "h://a/en/5"), (2, "h://a/en/6.html?x"), (3, "h://a/5/b"), (4, None),
                                    (5, "h://a/7/")], "page_id long, url string")
