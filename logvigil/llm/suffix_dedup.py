@@ -17,6 +17,10 @@ The passes:
    windows alone in their group leave at every pass.
 3. Each group's smallest key comes back to the runs' cells as byte ranges.
 
+Rows equal in key and text are one row with a count in all passes: each task
+sends a text once and its further copies as a number, a cell adds them up, and
+the result rows are repeated at the end.
+
 A gram that more than ``hot_cells`` cells hold is not sent to one bucket: its
 runs are cut into single windows, dealt by the windows' own bytes.  Cells and
 buckets are sized by the text's bytes, so tasks stay bounded as tables grow.
@@ -29,19 +33,23 @@ same result each; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logvigil.llm.textkit import mix, ranges, span_hashes, text_buffer
+from logvigil.llm.textkit import mix, parts, ranges, span_hashes, text_buffer
 
 THRESHOLD = 50
 GRAM = 20
 CELL_BYTES = 4 << 20
 HOT_CELLS = 4096
 CHUNK = 1 << 20
+COMBINE_ROWS = 200_000     # distinct rows that a task remembers at once
+REPEAT_ROWS = 4096
 SINGLE = 0xFFFF  # in place of a gram's offset: a window dealt by its own bytes
 NO_KEY = np.iinfo(np.int64).max
 
@@ -108,11 +116,60 @@ def _blob(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
+def _combine(src: DataFrame) -> DataFrame:
+    """src (k, text, without null texts) plus th, digest and n: the first of a
+    task's equal rows with n = 1, the others as one row with n of them and a
+    null text."""
+    src = src.select("k", "text", F.xxhash64("k", "text").alias("th"),
+                     F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
+
+    def rows(k, text, th, digest, n):
+        return pa.RecordBatch.from_pydict({"k": k, "text": text, "th": th, "digest": digest, "n": n})
+
+    def extra(seen: dict) -> pa.RecordBatch:
+        more = [(*at, n) for at, n in seen.items() if n]
+        k, th, digest, n = zip(*more) if more else ((), (), (), ())
+        return rows(pa.array(k, pa.int64()), pa.nulls(len(more), pa.string()), pa.array(th, pa.int64()),
+                    pa.array(digest, pa.binary()), pa.array(n, pa.int64()))
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, int] = {}
+        for b in parts(batches):
+            first = []
+            for i, at in enumerate(zip(*(b.column(c).to_pylist() for c in ("k", "th", "digest")))):
+                if at in seen:
+                    seen[at] += 1
+                else:
+                    seen[at] = 0
+                    first.append(i)
+            if len(first) < b.num_rows:
+                b = b.take(pa.array(first, pa.int64()))
+            yield rows(*(b.column(c) for c in ("k", "text", "th", "digest")),
+                       pa.array(np.ones(b.num_rows, np.int64)))
+            if len(seen) > COMBINE_ROWS:
+                yield extra(seen)
+                seen.clear()
+        yield extra(seen)
+
+    return src.mapInArrow(combine, "k long, text string, th long, digest binary, n long")
+
+
 def _cell_rows(t: pa.Table):
-    """A cell's rows in an order that depends on their content only: keys,
-    bytes, offsets and hashes."""
-    t = t.sort_by([("th", "ascending"), ("k", "ascending")])
+    """A cell's distinct rows, with the number of each, in an order that
+    depends on their content only: keys, bytes and offsets."""
+    t = t.append_column("_more", t.column("text").is_null())
+    t = t.take(pc.sort_indices(t.select(["th", "k", "digest", "_more"]), sort_keys=[
+        (c, "ascending") for c in ("th", "k", "digest", "_more")]))
     keys = t.column("k").fill_null(int(NO_KEY)).to_numpy()
+    th, digest = t.column("th").to_numpy(), t.column("digest").to_pylist()
+    new = np.ones(len(keys), bool)
+    new[1:] = (th[1:] != th[:-1]) | (keys[1:] != keys[:-1])
+    new[1:] |= np.array([x != y for x, y in zip(digest[1:], digest)], bool)
+    first = np.flatnonzero(new)
+    n = np.add.reduceat(t.column("n").to_numpy(), first)
+    if len(first) < len(keys):
+        t, keys = t.take(pa.array(first)), keys[first]
+    t = t.select(["k", "text"]).append_column("n", pa.array(n))
     buf, off = text_buffer(t.column("text"))
     return t, keys, buf, off
 
@@ -136,8 +193,7 @@ def remove_repeats(df: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM,
                     F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // cell_bytes + 1)
-    x = src.withColumn("th", F.xxhash64("k", "text")) \
-        .withColumn("cell", F.pmod("th", F.lit(cells)).cast("int"))
+    x = _combine(src).withColumn("cell", F.pmod("th", F.lit(cells)).cast("int"))
 
     # 1. the grams of each cell, and those that more than one document holds
     def grams(t: pa.Table) -> pa.Table:
@@ -240,7 +296,7 @@ def remove_repeats(df: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM,
         gone = np.cumsum(edge[:-1]) > 0
         touched = set(col[0].tolist())
         out = []
-        for r, k in enumerate(t.column("k").to_pylist()):
+        for r, (k, n) in enumerate(zip(t.column("k").to_pylist(), t.column("n").to_pylist())):
             i, j = int(off[r]), int(off[r + 1])
             raw, spans = buf[i:j], []
             if r in touched:
@@ -249,13 +305,18 @@ def remove_repeats(df: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM,
                 spans, raw = turn.tolist(), raw[~m]
             kept = raw.tobytes()
             out.append((k, j - i, j - i - len(kept), len(spans) // 2,
-                        hashlib.sha256(kept).hexdigest(),
+                        hashlib.sha256(kept).hexdigest(), n,
                         *((kept, spans) if keep_text else (None, None))))
         return _table(out, OUT_COLS)
 
-    done = x.groupBy("cell").cogroup(cuts.groupBy("cell")).applyInArrow(apply, _schema(OUT_COLS)) \
-        .withColumnRenamed("k", key)
-    return done if keep_text else done.drop("kept", "spans")
+    done = x.groupBy("cell").cogroup(cuts.groupBy("cell")).applyInArrow(apply, _schema(OUT_COLS))
+    # each row as often as it was there, in two steps so that no array is long
+    names = [c for c, _ in OUT_COLS if c != "n" and (keep_text or c not in ("kept", "spans"))]
+    last = F.floor((F.col("n") - 1) / REPEAT_ROWS)
+    done = done.select(*names, "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_part"))
+    times = F.least(F.lit(REPEAT_ROWS).cast("long"), F.col("n") - F.col("_part") * REPEAT_ROWS)
+    return done.select(*names, F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("_one")) \
+        .drop("_one").withColumnRenamed("k", key)
 
 
 GRAM_COLS = [("cell", "int"), ("bucket", "int"), ("grams", "binary"), ("several", "binary")]
@@ -264,7 +325,7 @@ RUN_COLS = [("cell", "int"), ("bucket", "int"), *[(n, "binary") for n in (
     "least", "count", "anchor", "bytes", "places", "rows", "starts", "is_least")]]
 CUT_COLS = [("cell", "int"), ("rows", "binary"), ("starts", "binary"), ("ends", "binary")]
 OUT_COLS = [("k", "long"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"),
-            ("kept_sha256", "string"), ("kept", "binary"), ("spans", "array<long>")]
+            ("kept_sha256", "string"), ("n", "long"), ("kept", "binary"), ("spans", "array<long>")]
 
 
 def _schema(cols) -> str:

@@ -39,6 +39,21 @@ def test_synthetic(make_docs, cell, hot):
     assert rows(got) == sorted(S.brute_force(docs), key=repr)
 
 
+def test_one_row_many_times(spark, make_docs):
+    """Copies of a row travel as a number; its text once for each task."""
+    docs = [(5, "the same passage again " * 9), (None, "no key at all " * 9), (7, "the same passage again " * 9)]
+    many = [docs[0]] * 9000 + [docs[1]] * 5000 + docs + [(6, None), (6, ""), (6, None)]
+    df = make_docs(many)
+    sent = S._combine(df.selectExpr("doc_id k", "coalesce(text, '') text")).collect()
+    assert sum(r.n for r in sent) == len(many)
+    assert sum(r.text is not None for r in sent) <= 4 * df.rdd.getNumPartitions()
+    want = {r: 0 for r in S.brute_force([*docs, (6, "")])}
+    for k, text in many:
+        want[next(r for r in want if r[0] == k and r[1] == len((text or "").encode()))] += 1
+    got = S.remove_repeats(df).groupBy(*COLS).count().collect()
+    assert {tuple(r)[:-1]: r["count"] for r in got} == want
+
+
 def test_short_threshold(make_docs):
     docs = synthetic(30, 9)
     got = S.remove_repeats(make_docs(docs), threshold=12, gram=5, cell_bytes=500)
