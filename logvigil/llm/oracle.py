@@ -116,3 +116,36 @@ FROM tpl JOIN pur USING (host, template), pri
 
 
 ORACLE["op6_url_filter"] = _url_sql()
+
+# crc32 of the decimal key, bit by bit: a byte is taken in, then eight shifts (-1)
+ORACLE["op11_periodic_runs"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT *, len(w) AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+             string_split(CAST(doc_id AS VARCHAR), ''),
+             lambda c: list_prepend(ascii(c)::BIGINT, list_transform(range(8), lambda i: -1::BIGINT))))),
+             lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END),
+             4294967295) AS crc FROM d),
+p AS (SELECT *, CASE WHEN crc % 10 = 0 AND n > 0 THEN (crc // 10) % n END AS a,
+             3 + (crc // 10) % 8 AS parts FROM h),
+v AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n),
+             lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // parts) END]) END AS w
+      FROM p),
+t AS (SELECT r, i, w[i + 1] AS word FROM v, unnest(range(n)) AS u(i)),
+same AS (SELECT x.r, y.i - x.i AS q, x.i FROM t x JOIN t y ON x.r = y.r AND x.word = y.word AND x.i < y.i),
+isle AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM same),
+cand AS (SELECT r, q, min(i) AS s, count(*) + q AS len FROM isle GROUP BY r, q, g
+         HAVING count(*) >= greatest(12 - q, q)),
+runs AS (SELECT * FROM cand c WHERE NOT EXISTS (
+         SELECT 1 FROM cand o WHERE o.r = c.r AND o.q < c.q AND c.q % o.q = 0 AND o.s <= c.s
+                                    AND o.s + o.len >= c.s + c.len)),
+agg AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS all_,
+               first({'s': s, 'len': len, 'q': q} ORDER BY len DESC, s, q) AS b FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, j AS i FROM runs, unnest(range(s + q, s + len)) AS u(j)),
+kept AS (SELECT t.r, string_agg(word, ' ' ORDER BY t.i) AS txt FROM t ANTI JOIN gone USING (r, i) GROUP BY t.r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs,
+       CAST(b.s AS BIGINT) AS "start", CAST(b.len AS BIGINT) AS length, CAST(b.q AS BIGINT) AS period,
+       CAST(1000 * b.len // b.q AS BIGINT) AS exponent_milli, sha256(coalesce(all_, '')) AS runs_sha256,
+       sha256(coalesce(txt, '')) AS collapsed_sha256
+FROM v LEFT JOIN agg USING (r) LEFT JOIN kept USING (r)
+"""

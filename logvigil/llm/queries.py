@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logvigil.llm import (decontaminate, html_extract, jaccard_join, language_id, packing,
-                          quality_rules, secret_scan, sharding, suffix_dedup, url_filter)
+                          periodic_runs, quality_rules, secret_scan, sharding, suffix_dedup, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -81,3 +81,8 @@ def op6_url_filter(spark, sf_dir):
     labelled = url_filter.numbered_labels(pages, read(spark, sf_dir, "labels"))
     return url_filter.filter_urls(labelled, good="_good").select(
         "page_id", "host", "path", "rule", "verdict", "template")
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    return periodic_runs.digest(periodic_runs.word_runs(read(spark, sf_dir, "documents"), planted=True))
