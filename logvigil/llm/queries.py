@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvigil.llm import (decontaminate, html_extract, jaccard_join, language_id, packing,
-                          periodic_runs, quality_rules, secret_scan, sharding, suffix_dedup, url_filter)
+from logvigil.llm import (best_fit, decontaminate, html_extract, jaccard_join, language_id,
+                          packing, periodic_runs, quality_rules, secret_scan, sharding,
+                          suffix_dedup, url_filter, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -86,3 +87,15 @@ def op6_url_filter(spark, sf_dir):
 @query
 def op11_periodic_runs(spark, sf_dir):
     return periodic_runs.digest(periodic_runs.word_runs(read(spark, sf_dir, "documents"), planted=True))
+
+
+@query
+def op12_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_best_fit_packing(spark, sf_dir):
+    import public_tokenizers
+    return best_fit.pack_documents(read(spark, sf_dir, "documents"),
+                                   public_tokenizers.path("word_bpe_49k.json"))
