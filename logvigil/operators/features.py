@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from logvigil.functions.exprs import (day_of_week, flag, hour, ip_last_octet, is_peak_hour,
                                       is_weekend, minute, round6)
-from logvigil.operators import windows
+from logvigil.operators import arrival, history, windows
 from logvigil.schemas import DETECTOR_KNOWN_USERS
 
 # Web feature vector, in the detector's fixed order.
@@ -154,28 +154,33 @@ def web_features(web: DataFrame, known_users: list[str] | None = None, slow_s: f
 
 def api_features(api: DataFrame, batch: str = "batch_id", roll: int = 10, err_roll: int = 3,
                  history_rows: int = 1000, batch_size: int = 30, align: str = "value",
-                 keep: tuple[str, ...] = ("seq",)) -> DataFrame:
+                 keep: tuple[str, ...] = ("seq",), index: arrival.ArrivalIndex | None = None) -> DataFrame:
     """The 13-column API feature vector per row.
 
     Calendar columns, per-minute request / error rates within the batch, the
     rolling response-time window of the batch, the z-score against the
     endpoint's history baseline at batch end, and errors among the last
     ``err_roll`` rows.  Missing values are 0.
-    """
-    from logvigil.operators.metrics import with_endpoint_rt_zscore
 
+    The log is shuffled once, by chunk of batches; all windows lie within.
+    Without a batch column, or with an ``index``, batches are numbered by the
+    arrival index."""
+    from logvigil.operators import metrics
+
+    api = metrics._batched(api, batch, batch_size, "seq", index)
     d = api.withColumn("status_code", F.col("status_code").cast("long"))
     d = d.withColumns({"hour": hour("ts"), "minute": minute("ts"),
                        "is_peak_hour": is_peak_hour("ts"), "is_weekend": is_weekend("ts")})
-    d = d.repartition(batch)
-    d = windows.minute_rates(d, batch=batch, align=align)
-    d = windows.rolling_response_time(d, batch=batch, rows=roll)
-    d = windows.consecutive_errors(d, batch=batch, rows=err_roll)
-    d = with_endpoint_rt_zscore(d, api, history_rows, batch_size, batch)
+    d = history.chunked(d, batch, history_rows, batch_size)
+    by = [history.CHUNK, batch]
+    d = windows.minute_rates(d, batch=by, align=align)
+    d = windows.rolling_response_time(d, batch=by, rows=roll)
+    d = windows.consecutive_errors(d, batch=by, rows=err_roll)
+    d = metrics.with_endpoint_rt_zscore(d, batch, history_rows, batch_size)
     cols = [c for c in keep if c not in API_FEATURES]
     if batch not in cols:
         cols.append(batch)
-    out = d.select(*cols, *[F.col(c) for c in API_FEATURES])
+    out = d.where(~F.col(history.HALO)).select(*cols, *[F.col(c) for c in API_FEATURES])
     return out.na.fill(0)
 
 

@@ -7,10 +7,11 @@ Dimension tables are the caller's; adaptive execution broadcasts the small ones.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logvigil.functions.exprs import exact_avg, is_error, pct_1dp, round6, round_dp
+from logvigil.operators import arrival, history
 from logvigil.schemas import (ENDPOINT_INITIAL_RT, ENDPOINT_INITIAL_STATUS,
                               ENDPOINT_METHODS, ENDPOINT_PATHS)
 
@@ -155,77 +156,56 @@ def history_tail(api: DataFrame, n: int = 1000, seq: str = "seq") -> DataFrame:
     return api.orderBy(F.col(seq).desc()).limit(n)
 
 
+def _batched(api: DataFrame, batch: str, size: int, seq: str, index) -> DataFrame:
+    """The log with count batches: those it has (as :func:`windows.count_batches`
+    numbers them), or, without that column or with an ``index`` given, by the
+    arrival index."""
+    if index is None and batch in api.columns:
+        return api
+    return arrival.with_batches(api, size, index, seq, batch)
+
+
 def endpoint_baseline(api: DataFrame, window_rows: int = 1000, batch_size: int = 30,
-                      seq: str = "seq", rounded: bool = True, present_only: bool = True) -> DataFrame:
+                      seq: str = "seq", rounded: bool = True, batch: str = "batch_id",
+                      index: arrival.ArrivalIndex | None = None) -> DataFrame:
     """A10: per (batch, endpoint in that batch) response-time mean and sample
-    std over the history at batch end: rows with seq in (E - window_rows, E],
-    E = the batch's last seq (seq is dense, so E = batch_size * b + batch_size - 1).
-
-    Rows are first summed per (batch, endpoint, last ``window_rows mod
-    batch_size`` rows of the batch or not): a history is a whole number of
-    batches and those last rows of one more.  Only these sums are replicated to
-    the <= window_rows / batch_size + 2 batches whose history contains them.
-    The sums are exact decimals of 1e-6 units and their squares, so mean and
-    std do not depend on the order of summation.
-    """
-    edge = window_rows % batch_size
-    pos = F.col(seq) % batch_size
-    unit = F.round(F.col("response_time") * 1_000_000).cast("decimal(18,0)")
-    part = api.select(F.floor(F.col(seq) / batch_size).cast("long").alias("_b"), "endpoint",
-                      (pos >= batch_size - edge).alias("_late"), unit.alias("_x"), "response_time") \
-        .groupBy("_b", "endpoint", "_late").agg(
-            F.count(F.lit(1)).alias("_rows"), F.count("_x").alias("_n"), F.sum("_x").alias("_s"),
-            F.sum((F.col("_x") * F.col("_x")).cast("decimal(38,0)")).alias("_q"))
-    # the late rows are seen one batch longer
-    last = F.col("_b") + window_rows // batch_size - F.when(F.col("_late"), 0).otherwise(1)
-    spread = part.select(F.explode(F.sequence(F.col("_b"), last)).alias("batch_id"), "endpoint",
-                         "_rows", "_n", "_s", "_q")
+    std over the last ``window_rows`` rows at the batch's end.
+
+    Rows are first summed per (batch, endpoint); the sums of a history are the
+    difference of two prefix sums (:mod:`logvigil.operators.history`)."""
+    if index is None and batch in api.columns:
+        d = api.withColumn("_pos", F.row_number().over(Window.partitionBy(batch).orderBy(seq)) - 1)
+    else:
+        d = arrival.with_batches(api, batch_size, index, seq, batch, "_pos")
     r = round6 if rounded else (lambda c: c)
-    n, s, q = F.sum("_n"), F.sum("_s"), F.sum("_q")
-    base = spread.groupBy("batch_id", "endpoint").agg(
-        n.alias("_n"), s.alias("_s"), q.alias("_q"), F.sum("_rows").alias("baseline_rows"))
-    n, s, q = F.col("_n"), F.col("_s"), F.col("_q")
-    square = (q * n.cast("decimal(10,0)")).cast("decimal(38,0)") - (s.cast("decimal(19,0)")
-                                                                    * s.cast("decimal(19,0)"))
-    var = F.when(n > 1, square.cast("double") / (n * (n - 1)).cast("double"))
-    base = base.select("batch_id", "endpoint",
-                       r(s.cast("double") / n / 1e6).alias("baseline_mean"),
-                       r(F.sqrt(var) / 1e6).alias("baseline_std"), "baseline_rows")
-    if not present_only:
-        return base
-    present = api.select(F.floor(F.col(seq) / batch_size).cast("long").alias("batch_id"),
-                         "endpoint")
-    return base.join(present, ["batch_id", "endpoint"], "left_semi")
-
-
-def with_endpoint_rt_zscore(df: DataFrame, api: DataFrame, window_rows: int = 1000,
-                            batch_size: int = 30, batch: str = "batch_id") -> DataFrame:
-    """Attach J1's z-score to ``df`` rows (which carry the batch, endpoint and
-    response_time).
-
-    The baseline is packed per batch into an endpoint -> (mean, std) map
-    (bounded: at most the endpoints of a ``window_rows`` history), so the join
-    is on the batch alone; a ``df`` already hash-partitioned by it (the feature
-    windows) is not shuffled again -- only the small side moves.  Rows without
+    base = history.per_batch(d, "endpoint", "response_time", batch, seq, window_rows, batch_size,
+                             F.col("_pos"))
+    return base.select(batch, "endpoint", r("baseline_mean").alias("baseline_mean"),
+                       r("baseline_std").alias("baseline_std"), "baseline_rows")
+
+
+def with_endpoint_rt_zscore(d: DataFrame, batch: str = "batch_id", window_rows: int = 1000,
+                            batch_size: int = 30, seq: str = "seq") -> DataFrame:
+    """Attach J1's z-score to the rows of a chunked log
+    (:func:`history.chunked`), in place: windows only, no join.  Rows without
     an endpoint have no baseline and score 0."""
-    base = endpoint_baseline(api, window_rows, batch_size, rounded=False, present_only=False)
-    per_batch = base.where(F.col("endpoint").isNotNull()).groupBy(F.col("batch_id").alias(batch)).agg(
-        F.map_from_entries(F.collect_list(F.struct(
-            "endpoint", F.struct("baseline_mean", "baseline_std")))).alias("_bl"))
-    b = F.col("_bl")[F.col("endpoint")]
-    return (df.join(per_batch, batch, "left")
-            .withColumn("endpoint_rt_zscore", F.coalesce(
-                F.try_divide(F.col("response_time") - b["baseline_mean"], b["baseline_std"]),
-                F.lit(0.0)))
-            .drop("_bl"))
-
-
-def endpoint_rt_zscore(api: DataFrame, window_rows: int = 1000, batch_size: int = 30) -> DataFrame:
+    h = history.with_history(d, "endpoint", "response_time", batch, seq, window_rows, batch_size)
+    z = F.try_divide(F.col("response_time") - F.col("baseline_mean"), F.col("baseline_std"))
+    return h.withColumn("endpoint_rt_zscore", F.coalesce(
+        F.when(F.col("endpoint").isNotNull(), z), F.lit(0.0))) \
+        .drop("baseline_mean", "baseline_std", "baseline_rows")
+
+
+def endpoint_rt_zscore(api: DataFrame, window_rows: int = 1000, batch_size: int = 30,
+                       batch: str = "batch_id", seq: str = "seq",
+                       index: arrival.ArrivalIndex | None = None) -> DataFrame:
     """Z-score of each request against its endpoint's baseline at the end
     of its batch; no baseline, or a zero / undefined std, gives 0."""
-    rows = api.select("seq", "batch_id", "endpoint", "response_time")
-    return with_endpoint_rt_zscore(rows, api, window_rows, batch_size).select(
-        "seq", "batch_id", "endpoint", round6("endpoint_rt_zscore").alias("endpoint_rt_zscore"))
+    rows = _batched(api, batch, batch_size, seq, index).select(seq, batch, "endpoint", "response_time")
+    d = with_endpoint_rt_zscore(history.chunked(rows, batch, window_rows, batch_size), batch, window_rows,
+                                batch_size, seq)
+    return d.where(~F.col(history.HALO)).select(
+        seq, batch, "endpoint", round6("endpoint_rt_zscore").alias("endpoint_rt_zscore"))
 
 
 def collapse_pairs(api: DataFrame, seq: str = "seq") -> DataFrame:

@@ -14,11 +14,17 @@ from pyspark.sql import functions as F
 
 from logvigil.functions.exprs import epoch_us, flag, is_error, minute
 from logvigil.functions.partitioning import groups_partitions
-from logvigil.operators import keyed
+from logvigil.operators import arrival, keyed
 
 US = 1_000_000
 
 
+def _cols(batch: str | list[str]) -> list[str]:
+    """Batch-wise windows take the batch's column, or several that start with
+    what the frame is already partitioned by, such as (chunk, batch)."""
+    return [batch] if isinstance(batch, str) else list(batch)
+
+
 def attempt_counts(web: DataFrame, batch: str | None = "batch_id",
                    ip: str = "source_ip", user: str = "user") -> DataFrame:
     """W1 + W2: rows per IP / per user, and failed rows per IP / per user, the
@@ -60,7 +66,7 @@ def rapid_requests(web: DataFrame, batch: str | None = None, ip: str = "source_i
              .drop("_prev_us"))
 
 
-def minute_rates(api: DataFrame, batch: str = "batch_id", align: str = "value",
+def minute_rates(api: DataFrame, batch: str | list[str] = "batch_id", align: str = "value",
                  seq: str = "seq", calendar: bool = False) -> DataFrame:
     """W3 + W4: requests and error share per minute-of-hour within the batch;
     with ``calendar`` per minute of time, so that one hour's 12:05 and the
@@ -72,25 +78,25 @@ def minute_rates(api: DataFrame, batch: str = "batch_id", align: str = "value",
     """
     if align == "value":
         at = F.date_trunc("minute", "ts") if calendar else minute("ts")
-        w = Window.partitionBy(batch, at)
+        w = Window.partitionBy(*_cols(batch), at)
         return (api.withColumn("request_rate", F.count(F.lit(1)).over(w))
                    .withColumn("error_rate", F.avg(is_error().cast("double")).over(w)))
-    per_min = api.groupBy(batch, minute("ts").alias("_pos")).agg(
+    per_min = api.groupBy(*_cols(batch), minute("ts").alias("_pos")).agg(
         F.count(F.lit(1)).alias("request_rate"),
         F.avg(is_error().cast("double")).alias("error_rate"))
-    d = api.withColumn("_pos", F.row_number().over(Window.partitionBy(batch).orderBy(seq)) - 1)
-    return (d.join(per_min, [batch, "_pos"], "left")
+    d = api.withColumn("_pos", F.row_number().over(Window.partitionBy(*_cols(batch)).orderBy(seq)) - 1)
+    return (d.join(per_min, [*_cols(batch), "_pos"], "left")
              .withColumn("request_rate", F.coalesce("request_rate", F.lit(0)))
              .withColumn("error_rate", F.coalesce("error_rate", F.lit(0.0)))
              .drop("_pos"))
 
 
-def rolling_response_time(api: DataFrame, batch: str = "batch_id", rows: int = 10,
+def rolling_response_time(api: DataFrame, batch: str | list[str] = "batch_id", rows: int = 10,
                           seq: str = "seq") -> DataFrame:
     """W5 + W6: rolling mean / sample std of response time over the last
     ``rows`` rows of the batch (0 until the window is full) and the z-score of
     the row against them (0 when undefined)."""
-    w = Window.partitionBy(batch).orderBy(seq).rowsBetween(-(rows - 1), 0)
+    w = Window.partitionBy(*_cols(batch)).orderBy(seq).rowsBetween(-(rows - 1), 0)
     full = F.count(F.lit(1)).over(w) == rows
     d = (api.withColumn("_avg", F.when(full, F.avg("response_time").over(w)))
             .withColumn("_std", F.when(full, F.stddev_samp("response_time").over(w))))
@@ -101,10 +107,10 @@ def rolling_response_time(api: DataFrame, batch: str = "batch_id", rows: int = 1
              .drop("_avg", "_std"))
 
 
-def consecutive_errors(api: DataFrame, batch: str = "batch_id", rows: int = 3,
+def consecutive_errors(api: DataFrame, batch: str | list[str] = "batch_id", rows: int = 3,
                        seq: str = "seq") -> DataFrame:
     """Errors among the last ``rows`` rows of the batch (0 until full)."""
-    w = Window.partitionBy(batch).orderBy(seq).rowsBetween(-(rows - 1), 0)
+    w = Window.partitionBy(*_cols(batch)).orderBy(seq).rowsBetween(-(rows - 1), 0)
     return api.withColumn("consecutive_errors", F.when(
         F.count(F.lit(1)).over(w) == rows, F.sum(flag(is_error())).over(w)).otherwise(0))
 
@@ -139,22 +145,16 @@ def login_attempts(web: DataFrame, ip: str = "source_ip", seq: str = "seq",
 
 
 def count_batches(df: DataFrame, size: int = 30, seq: str = "seq",
-                  chunk_rows: int = 1_000_000) -> DataFrame:
+                  chunk_rows: int = arrival.CHUNK_ROWS,
+                  index: arrival.ArrivalIndex | None = None) -> DataFrame:
     """Tumbling count batches of ``size`` rows by arrival order; rows of
     an incomplete (still open) batch are not emitted.
 
-    Rows are counted, not read off ``seq``, which may have gaps: a row's rank is
-    the rows of earlier chunks of ``seq`` (from one row per chunk) plus its
-    rank within its chunk, so no task numbers the whole log."""
-    d = df.withColumn("_chunk", F.floor(F.col(seq) / F.lit(chunk_rows)).cast("long"))
-    per = d.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    every = Window.partitionBy(F.lit(0))  # over the chunk table only
-    per = per.select("_chunk", (F.sum("_n").over(every.orderBy("_chunk")) - F.col("_n")).alias("_before"),
-                     F.sum("_n").over(every).alias("_total"))
-    own = F.row_number().over(Window.partitionBy("_chunk").orderBy(seq)) - 1
-    d = d.withColumn("_own", own).join(per, "_chunk").withColumn("_r", F.col("_before") + F.col("_own"))
-    whole = F.floor(F.col("_total") / size) * size
-    return (d.where(F.col("_r") < whole)
+    Rows are counted, not read off ``seq``, which may have gaps: a row's rank
+    comes from the arrival index (built here unless given)."""
+    index = arrival.build(df, seq, chunk_rows) if index is None else index
+    d = arrival.number(df, index, seq, "_r")
+    return (d.where(F.col("_r") < index.rows // size * size)
              .withColumn("batch_id", F.floor(F.col("_r") / size).cast("long"))
              .withColumn("pos_in_batch", (F.col("_r") % size).cast("long"))
-             .drop("_chunk", "_own", "_before", "_total", "_r"))
+             .drop("_r"))

@@ -107,6 +107,14 @@ def api_log(events: DataFrame, time_scale: int = 1) -> DataFrame:
                     "user_id", "k")
 
 
+def with_gaps(log: DataFrame) -> DataFrame:
+    """The same rows under a sequence with gaps, as a log has them after lost or
+    late files: it starts at 1000, and after every 4500 rows 37 numbers are
+    missing.  Batch numbers are gone with it."""
+    n = F.col("seq")
+    return log.withColumn("seq", n + 1000 + 37 * F.floor(n / 4500)).drop("batch_id")
+
+
 def web_log(events: DataFrame, time_scale: int = 60) -> DataFrame:
     """Website event log: seq, batch_id, ts, event_type, user, source_ip,
     traffic_type, status, response_time (s), user_id, k.

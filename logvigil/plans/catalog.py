@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logvigil.functions.exprs import parse_ts, round6
-from logvigil.operators import (features, iforest, metrics, response, rules, validation,
+from logvigil.operators import (arrival, features, iforest, metrics, response, rules, validation,
                                 windows)
 from logvigil.plans import adapters as A
 from logvigil.schemas import API_CREDENTIALS, DETECTOR_KNOWN_USERS, WEBSITE_USERS
@@ -30,6 +30,7 @@ NOW = "2024-01-01 12:00:00"
 TEST_MAX_RATE = 0.05
 TEST_MEAN_RATE = 0.0072
 ANOMALY_SCORE_DIVISOR = 10000.0
+GAPPED_CHUNK = 10_000
 
 
 def query(fn):
@@ -364,6 +365,28 @@ def q_count_batches(spark, sf):
         "seq", "batch_id", "pos_in_batch")
 
 
+@query
+def q_gapped_count_batches(spark, sf):
+    """W12 on a log whose sequence has gaps."""
+    return windows.count_batches(A.with_gaps(_api(spark, sf)), chunk_rows=GAPPED_CHUNK).select(
+        "seq", "batch_id", "pos_in_batch")
+
+
+@query
+def q_gapped_endpoint_baseline(spark, sf):
+    """A10 on the same log: all batches are numbered by one arrival index."""
+    api = A.with_gaps(_api(spark, sf))
+    return metrics.endpoint_baseline(api, index=arrival.build(api, chunk_rows=GAPPED_CHUNK))
+
+
+@query
+def q_gapped_api_features(spark, sf):
+    """P15 + J1 on the same log."""
+    api = A.with_gaps(_api(spark, sf))
+    f = features.api_features(api, index=arrival.build(api, chunk_rows=GAPPED_CHUNK))
+    return features.round_features(f, features.API_FEATURES[1:])
+
+
 # ---------------------------------------------------- sort / limit (§2.6)
 @query
 def q_recent_requests(spark, sf):

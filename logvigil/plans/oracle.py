@@ -491,6 +491,19 @@ reg("count_batches", with_(API) + """, ranked AS (
   SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS r, COUNT(*) OVER () AS n FROM api)
 SELECT seq, r // 30 AS batch_id, r % 30 AS pos_in_batch FROM ranked WHERE r < n // 30 * 30""")
 
+# the same log under a sequence with gaps: numbered by rank, joined back by place
+GAPS = """gaps AS (SELECT *, event_id + 1000 + 37 * (event_id // 4500) AS late_seq FROM events),
+renumbered AS (SELECT late_seq, row_number() OVER (ORDER BY late_seq) - 1 AS r, COUNT(*) OVER () AS n FROM gaps)"""
+reg("gapped_count_batches", with_(GAPS) + """
+SELECT late_seq AS seq, r // 30 AS batch_id, r % 30 AS pos_in_batch FROM renumbered WHERE r < n // 30 * 30""")
+reg("gapped_endpoint_baseline", with_(GAPS, "dense AS (SELECT g.* REPLACE (r AS event_id) FROM gaps g "
+    "JOIN renumbered USING (late_seq))", API.replace("FROM events", "FROM dense"), API_BASELINE) + """
+SELECT batch_id, endpoint, round(baseline_mean, 6) AS baseline_mean,
+  round(baseline_std, 6) AS baseline_std, baseline_rows
+FROM baseline""")
+reg("gapped_api_features", with_(GAPS, API, API_BASELINE, API_FEATS) + API_SELECT.replace(
+    "SELECT seq,", "SELECT late_seq AS seq,").replace("FROM api_feats", "FROM api_feats JOIN renumbered ON r = seq"))
+
 # ------------------------------------------------------------------ §2.6
 reg("recent_requests", with_(API) + """
 SELECT seq, ts, endpoint, method, status_code, response_time FROM api
