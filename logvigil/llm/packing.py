@@ -46,8 +46,8 @@ def _byte_letters() -> dict[str, int]:
 class ByteBpe:
     """Ids of a byte-level BPE tokenizer file.  The vocabulary is run by
     tiktoken (about four times as fast as the file's own library, same ids);
-    a text that holds a special token's string goes to the file's own library,
-    as does everything if the two differ on a probe."""
+    a text that holds a special token's string, or that tiktoken refuses, goes
+    to the file's own library, as does everything if the two differ on a probe."""
 
     PROBE = " Ab  c\n\n x'll 12é日本\t—…\u00a0z\x00"
 
@@ -79,7 +79,10 @@ class ByteBpe:
     def ids(self, text: str) -> np.ndarray:
         if self.fast is None or any(t in text for t in self.special):
             return np.array(self._slow(text), "<u4")
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        except Exception:  # its pattern engine gives up on very long runs of white space
+            return np.array(self._slow(text), "<u4")
 
 
 def load_tokenizer(path: str) -> ByteBpe:

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -187,3 +188,20 @@ def test_filled_windows(make_docs):
     out = P.fill_windows(P.pack(pieces)).collect()
     assert all(len(r.ids) == 2048 for r in out)
     assert sum(r.n_tokens for r in out) == sum(r.length for r in pieces.collect())
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t", "\r\n", " \n\t ", "\x0b\x0c", "　"], ids=repr)
+def test_long_white_space_packs(run):
+    """Runs that the fast path's pattern engine refuses have the ids of the
+    file's own library."""
+    from tokenizers import Tokenizer
+    text = "start" + run * (2_000_000 // len(run)) + "end"
+    own = Tokenizer.from_file(TOK).encode(text, add_special_tokens=False).ids
+    assert P.ByteBpe(TOK).ids(text).tolist() == own
+
+
+def test_query_survives_long_white_space(make_docs):
+    docs = [(1, " " * 2_000_000), (2, "\n" * 1_000_000 + "x"), (3, "plain")]
+    out = P.pack_documents(make_docs(docs), TOK).toPandas()
+    assert out.groupby("doc_id")["length"].sum().tolist() == out.groupby("doc_id")["doc_tokens"].max().tolist()
+    assert set(out["doc_id"]) == {1, 2, 3} and len(out) > 3
