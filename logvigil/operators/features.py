@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from logvigil.functions.exprs import (day_of_week, flag, hour, ip_last_octet, is_peak_hour,
                                       is_weekend, minute, round6)
 from logvigil.operators import arrival, history, windows
+from logvigil.operators.sparse import Layout
 from logvigil.schemas import DETECTOR_KNOWN_USERS
 
 # Web feature vector, in the detector's fixed order.
@@ -115,6 +116,21 @@ def base_features(web: DataFrame, event_types: list[str] | None = None,
     return d.select(*id_cols, *numeric).na.fill(0, subset=numeric)
 
 
+#: the slots of the generic detector's sparse vector, in the wide frame's order
+BASE_LAYOUT = Layout((("response_time", False), ("hour", False), ("minute", False), ("day_of_week", False),
+                      ("event", True), ("status", True), ("ip_last_octet", False), ("user", True)))
+
+
+def sparse_base_features(web: DataFrame, id_cols: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """P6-P8, sparse form: (id columns, ``features``), the same numbers as
+    :func:`base_features` for any number of users, event types and statuses --
+    one projection, no list of categories anywhere."""
+    numbers = {"response_time": F.col("response_time"), "hour": hour("ts"), "minute": minute("ts"),
+               "day_of_week": day_of_week("ts"), "ip_last_octet": ip_last_octet("source_ip")}
+    groups = {"event": F.col("event_type"), "status": F.col("status"), "user": F.col("user")}
+    return web.select(*id_cols, BASE_LAYOUT.vector(numbers, groups).alias("features"))
+
+
 def web_flags(web: DataFrame, known_users: list[str] | None = None,
               slow_s: float = 1.0) -> DataFrame:
     """high_response_time, is_admin_action, is_failed_login,

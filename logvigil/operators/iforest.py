@@ -5,15 +5,16 @@ MLlib has no isolation forest, so this is the one custom algorithm:
 * **Draws are hashes**, not RNG state: ``U(tag)`` = first 32 bits of
   ``md5(tag)`` / 2^32.  A retried task, another partitioning or a SQL engine
   computes the same draws, so fits are reproducible and checkable.
-* **Sampling** (fit): one md5 per row, ``h = md5(seed:row)``, gives two 32-bit
-  words ``ka`` and ``kb``; tree t draws ``(ka + t * kb) mod 2^32`` for the row --
-  uniform over rows for each tree, pairwise independent across trees, integer
-  arithmetic only -- and takes the ``psi`` rows of the smallest draws.  Rows are
-  counted once; the scan keeps, per row, only the trees whose draw lies below a
-  bound that lets about 4·psi rows of each tree through, so what is exploded,
-  shuffled and ranked has trees x 4·psi rows whatever the table's size.  A tree
-  left short is drawn again with a wider bound: the result is always the exact
-  sample without replacement.
+* **Sampling** (fit) reads row ids only: one md5 per row, ``h = md5(seed:row)``,
+  gives two 32-bit words ``ka`` and ``kb``; tree t draws ``(ka + t * kb) mod 2^32``
+  for the row -- uniform over rows for each tree, pairwise independent across
+  trees, integer arithmetic only -- and takes the ``psi`` rows of the smallest
+  draws.  The scan keeps, per row, only the trees whose draw lies below a bound
+  that lets about 4·psi rows of each tree through, so one aggregate over trees x
+  4·psi ids is all that is shuffled, whatever the table's size.  A tree left
+  short is drawn again with a wider bound: the result is always the exact sample
+  without replacement.  Features are then built for the sampled rows' batches
+  alone (:class:`LogSource`), at most trees x psi of them.
 * **Building** runs on the bounded sample only (trees x psi rows), one
   ``applyInPandas`` group per tree, with a numpy builder that grows all trees of
   a group level by level.  Node ``i`` has children ``2i`` (x <= threshold) and
@@ -23,8 +24,11 @@ MLlib has no isolation forest, so this is the one custom algorithm:
   broadcast (its size is bounded by trees x 2^(depth+1) nodes).  Path lengths
   are summed as fixed-point integers (2^-32 units), so a score does not depend
   on summation order: score = -2^(-(mean path) / c(psi)), in [-1, 0).
+* **Sparse features** (:mod:`logvigil.operators.sparse`): a vector column with
+  one-hot groups of any number of categories.  Trees grow on the indices their
+  sample holds, nodes name their index, scores fill only the forest's indices.
 * **Threshold** = the ``contamination`` quantile of the training scores,
-  computed exactly by :func:`exact_quantile` without collecting the column.
+  computed exactly by :func:`exact_quantile` in two passes.
 """
 
 from __future__ import annotations
@@ -33,21 +37,29 @@ import hashlib
 import json
 import math
 import os
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logvigil.functions import files
 from logvigil.functions.partitioning import groups_partitions
+from logvigil.operators import sparse
+from logvigil.session import ensure_checkpoint_dir
 
 EULER_GAMMA = 0.5772156649015329
 FIXED_POINT = 4294967296  # 2^32 path-length units per unit of depth
 DRAW_RANGE = 4294967296   # draws are 32-bit words
 OVERSAMPLE = 4            # rows a tree lets through, in units of psi
 QUANTILE_BINS = 1024
+SKETCH_ACCURACY = 20_000
+BRACKET_ROWS = 10_000      # entries the driver takes
 
 
 # ------------------------------------------------------------- draws, c(n)
@@ -245,6 +257,10 @@ class ForestModel:
     scale_mean: list[float] | None = None
     scale_std: list[float] | None = None
     meta: dict = field(default_factory=dict)
+    #: sparse models: the (slot, category) of each of ``features``, which are
+    #: then the indices the forest splits on; ``vector`` names the column
+    indices: list[tuple[int, str]] | None = None
+    vector: str | None = None
 
     def transform_matrix(self, X: np.ndarray) -> np.ndarray:
         if self.scale_mean is None:
@@ -281,44 +297,70 @@ def scale(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- M4 quantile
-def exact_quantile(df: DataFrame, column: str, q: float, bins: int = QUANTILE_BINS) -> float | None:
-    """Exact linear-interpolation quantile of a column, from counts alone.
-
-    Histogram refinement: rows are counted in ``bins`` equal bins between the
-    smallest and largest value (partial aggregates; at most ``bins`` rows reach
-    the driver), the bin that holds the rank becomes the next range, from its
-    own smallest to its own largest value, until one value is left.  Ties end
-    in one bin, so they need no rows.  Nulls and NaN are left out."""
-    from pyspark import StorageLevel
-    base = df.select(F.col(column).cast("double").alias("x")) \
-             .where(F.col("x").isNotNull() & ~F.isnan("x")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n, lo, hi = base.agg(F.count("x"), F.min("x"), F.max("x")).first()
-        if n == 0:
-            return None
-        pos = q * (n - 1)
-        k = math.floor(pos)
-        frac = pos - k
-        a, upto = _value_at_rank(base, k, lo, hi, n, bins)
-        if frac == 0 or k + 1 < upto:
-            return a
-        b = base.where(F.col("x") > a).agg(F.min("x")).first()[0]
-        return a + (b - a) * frac
-    finally:
-        base.unpersist()
-
-
-def _value_at_rank(base: DataFrame, rank: int, lo: float, hi: float, n: int,
-                   bins: int) -> tuple[float, int]:
-    """(value at a 0-based rank of column x, rows up to that value)."""
-    below = 0
+def exact_quantile(df: DataFrame, column: str, q: float, bins: int = QUANTILE_BINS,
+                   accuracy: int = SKETCH_ACCURACY) -> float | None:
+    """Exact linear-interpolation quantile of a column, in two passes over it.
+
+    1. A mergeable quantile sketch (with count) brackets the rank: two values
+       that surely lie on either side of it, about 6 n / accuracy rows apart.
+    2. One counting pass: rows below the bracket, and the rows of each value in
+       it.  Ties are one entry, so the table is small however they lie; it is
+       checkpointed, and no copy of the column is kept.
+
+    The rank is then found in that table: in the driver if it has at most
+    ``BRACKET_ROWS`` entries, else by counting in ``bins`` bins, the one with the
+    rank becoming the next range.  Nulls and NaN are left out."""
+    spark = df.sparkSession
+    base = df.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)")
+    slack = 3.0 / accuracy
+    ends = F.percentile_approx("x", [max(0.0, q - slack), min(1.0, q + slack)], accuracy)
+    n, least, most, mid = base.agg(F.count("x"), F.min("x"), F.max("x"), ends).first()
+    if not n:
+        return None
+    pos = q * (n - 1)
+    k = math.floor(pos)
+    frac = pos - k
+    # the sketch's ends are ranks within n / accuracy; few rows need the true ends
+    lo = least if q - slack <= 0 or k < 2 else mid[0]
+    hi = most if q + slack >= 1 or k + 3 >= n else mid[1]
+    ensure_checkpoint_dir(spark)
+    while True:
+        inside = F.when((F.col("x") >= lo) & (F.col("x") <= hi), F.col("x"))
+        counts = base.groupBy(inside.alias("x")).agg(F.count(F.lit(1)).alias("n"),
+                                                     F.count_if(F.col("x") < lo).alias("below")).checkpoint()
+        first = counts.agg(F.sum("below"), F.sum(F.when(F.col("x").isNotNull(), F.col("n"))),
+                           F.count("x")).first()
+        below, held, entries = first[0], first[1] or 0, first[2]
+        if below <= k and (below + held > k + 1 or hi == most):
+            break
+        lo, hi = least, most  # never seen; the sketch's promise covers it
+    table = counts.where(F.col("x").isNotNull())
+    if entries <= BRACKET_ROWS:
+        values = sorted((r["x"], r["n"]) for r in table.collect())
+        ranks = np.cumsum([c for _, c in values]) + below
+        at = int(np.searchsorted(ranks, k, "right"))
+        a, upto = float(values[at][0]), int(ranks[at])
+        following = float(values[at + 1][0]) if at + 1 < len(values) else a
+    else:
+        a, upto = _value_at_rank(table, k, lo, hi, held, bins, below)
+        following = None
+    if frac == 0 or k + 1 < upto:
+        return a
+    b = following if following is not None else table.where(F.col("x") > a).agg(F.min("x")).first()[0]
+    return a + (b - a) * frac
+
+
+def _value_at_rank(table: DataFrame, rank: int, lo: float, hi: float, n: int, bins: int,
+                   below: int = 0) -> tuple[float, int]:
+    """(value at a 0-based rank of column x, rows up to that value), for rows
+    (x, n) of which ``below`` more lie under ``lo``."""
     while lo < hi:
         # both ends land in different bins; halves keep a huge range finite
         half = 1.0 if math.isfinite(hi - lo) else 0.5
         share = (F.col("x") * half - lo * half) / (hi * half - lo * half)
         which = F.least(F.floor(share * bins), F.lit(bins - 1))
-        rows = base.where((F.col("x") >= lo) & (F.col("x") <= hi)).groupBy(which.alias("b")).agg(
-            F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        rows = table.where((F.col("x") >= lo) & (F.col("x") <= hi)).groupBy(which.alias("b")).agg(
+            F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
         for r in sorted(rows, key=lambda r: r["lo"]):
             if below + r["n"] > rank:
                 lo, hi, n = r["lo"], r["hi"], r["n"]
@@ -346,92 +388,163 @@ def tree_draw_py(seed: int, tree: int, row_id) -> int:
     return (ka + tree * kb) % DRAW_RANGE
 
 
+@dataclass
+class LogSource:
+    """A log and how to build its features: ``build`` maps the rows of whole
+    groups (batches) to feature rows, whichever other groups there are, so a fit
+    can build those of its sample alone.  ``group`` None: row by row."""
+
+    log: DataFrame
+    build: Callable[[DataFrame], DataFrame]
+    group: str | None = None
+
+    def features(self) -> DataFrame:
+        return self.build(self.log)
+
+
+def _source(df: DataFrame | LogSource) -> LogSource:
+    return df if isinstance(df, LogSource) else LogSource(df, lambda d: d)
+
+
 def sample_for_trees(df: DataFrame, features: list[str], trees: list[int], psi: int, bound: int,
                      seed: int, row_id: str = "seq") -> DataFrame:
     """Per-tree samples as rows (tree, row_id, features...): the psi rows of the
-    smallest draws among those below ``bound``."""
-    from pyspark.sql import Window
+    smallest draws among those below ``bound``, by one aggregate per tree."""
     ka, kb = row_words(seed, F.col(row_id))
-    base = df.select(F.col(row_id).alias("row_id"), *[F.col(f).cast("double") for f in features],
-                     ka.alias("_ka"), kb.alias("_kb"))
+    base = df.select(F.col(row_id).alias("row_id"), *features, ka.alias("_ka"), kb.alias("_kb"))
     every = F.sequence(F.lit(trees[0]), F.lit(trees[-1])) \
         if trees == list(range(trees[0], trees[-1] + 1)) else F.array(*map(F.lit, trees))
     mine = F.filter(every, lambda t: tree_draw(t) < F.lit(bound))
-    pairs = base.select("*", F.explode(mine).alias("tree")).withColumn("_u", tree_draw(F.col("tree")))
-    w = Window.partitionBy("tree").orderBy("_u", "row_id")
-    return pairs.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= psi) \
-        .drop("_u", "_rk", "_ka", "_kb")
-
-
-def _short_trees(nodes: pd.DataFrame, trees: list[int], psi: int) -> list[int]:
-    root = nodes[nodes["node"] == 1].set_index("tree")["size"]
-    return [t for t in trees if int(root.get(t, 0)) < psi]
+    pairs = base.select("*", F.explode(mine).alias("tree"))
+    drawn = F.struct(tree_draw(F.col("tree")).alias("_u"), "row_id", *features)
+    # the bound lets about OVERSAMPLE x psi rows of a tree through
+    lowest = F.slice(F.array_sort(F.collect_list(drawn)), 1, psi)
+    return pairs.groupBy("tree").agg(lowest.alias("_s")).select("tree", F.explode("_s").alias("_s")) \
+        .select("tree", "_s.row_id", *[F.col(f"_s.{f}").alias(f) for f in features])
+
+
+def draw_sample(src: LogSource, trees: int, psi: int, n: int, seed: int, row_id: str) -> DataFrame:
+    """Durable (tree, row_id[, group]) rows of every tree's sample."""
+    ensure_checkpoint_dir(src.log.sparkSession)
+    extra = [src.group] if src.group and src.group != row_id else []
+    done, todo = None, list(range(trees))
+    bound = min(DRAW_RANGE, OVERSAMPLE * psi * DRAW_RANGE // n + 1)
+    while todo:
+        part = sample_for_trees(src.log, extra, todo, psi, bound, seed, row_id).checkpoint()
+        have = {r["tree"]: r["count"] for r in part.groupBy("tree").count().collect()}
+        short = [t for t in todo if have.get(t, 0) < psi] if bound < DRAW_RANGE else []
+        full = part if not short else part.where(~F.col("tree").isin(short))
+        done = full if done is None else done.unionByName(full)
+        todo, bound = short, min(DRAW_RANGE, bound * 8)
+    return done
 
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, size long"
-
-
-def fit(df: DataFrame, features: list[str], trees: int = 100, psi: int = 256, seed: int = 42,
-        contamination: float | None = None, scale_features: bool = False,
-        row_id: str = "seq") -> ForestModel:
-    """M2 (+ M1, M4): fit a forest on ``df``; with ``contamination`` also the
-    score threshold (the quantile of the training scores)."""
-    src = df
+SPARSE_NODE_SCHEMA = "tree int, node int, slot int, category string, threshold double, size long"
+
+
+def fit(df: DataFrame | LogSource, features: list[str] | str, trees: int = 100, psi: int = 256,
+        seed: int = 42, contamination: float | None = None, scale_features: bool = False,
+        row_id: str = "seq", layout: sparse.Layout | None = None) -> ForestModel:
+    """M2 (+ M1, M4): fit a forest on ``df``, a feature frame or a
+    :class:`LogSource`; with ``contamination`` also the score threshold (the
+    quantile of the training scores).  With a ``layout``, ``features`` names a
+    sparse vector column."""
+    src = _source(df)
+    if layout is not None and scale_features:
+        raise ValueError("sparse features are not scaled; splits do not depend on scale")
     mean = std = None
     if scale_features:
-        stats = fit_scaler(df, features).first()
+        stats = fit_scaler(src.features(), features).first()
         mean = [float(stats[f"{f}__mean"] or 0.0) for f in features]
         std = [float(stats[f"{f}__std"]) for f in features]
-        src = df.withColumns({f: (F.col(f) - F.lit(m)) / F.lit(s)
-                              for f, m, s in zip(features, mean, std)})
-    n = src.count()
+    n = src.log.select(row_id).count()
     if n == 0:
         raise ValueError("cannot fit a forest on an empty frame")
     psi_eff = min(psi, n)
     depth = max_depth_for(psi_eff)
 
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = int(pdf["tree"].iloc[0])
-        X = pdf.sort_values("row_id")[features].to_numpy(dtype=np.float64)[None, :, :]
-        fo = build_forest(X, seed, (t,), depth, psi_eff)
-        node = np.arange(2 ** (depth + 1))
-        keep = (fo.size[0] > 0) | (fo.feature[0] >= 0)
-        return pd.DataFrame({"tree": t, "node": node[keep].astype(np.int32),
-                             "feature": fo.feature[0][keep].astype(np.int32),
-                             "threshold": fo.threshold[0][keep], "size": fo.size[0][keep]})
-
-    done, todo = [], list(range(trees))
-    bound = min(DRAW_RANGE, OVERSAMPLE * psi_eff * DRAW_RANGE // n + 1)
-    while todo:
-        samp = sample_for_trees(src, features, todo, psi_eff, bound, seed, row_id)
-        nodes = samp.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
-        short = _short_trees(nodes, todo, psi_eff) if bound < DRAW_RANGE else []
-        done.append(nodes[~nodes["tree"].isin(short)])
-        todo, bound = short, min(DRAW_RANGE, bound * 8)
-    nodes = pd.concat(done, ignore_index=True)
-    forest = forest_from_nodes(nodes, trees, depth, psi_eff)
-    model = ForestModel(list(features), forest, seed, contamination, None, mean, std, {})
+    sample = draw_sample(src, trees, psi_eff, n, seed, row_id)
+    group = src.group or row_id
+    wanted = sample.select(F.col("row_id" if group == row_id else group).alias(group)).distinct()
+    # at most trees x psi groups, whatever the log's size
+    rows = src.build(src.log.join(F.broadcast(wanted), group, "left_semi"))
+    vector = features if layout is not None else None
+    cols = [F.col(vector)] if vector else [F.col(f).cast("double") for f in features]
+    rows = rows.select(F.col(row_id).alias("row_id"), *cols)
+    grown = F.broadcast(sample.select("tree", "row_id")).join(rows, "row_id").groupBy("tree")
+    if vector:
+        forest, indices = _grow_sparse(grown, vector, trees, depth, psi_eff, seed)
+        names = [layout.name(*i) for i in indices]
+        model = ForestModel(names, forest, seed, contamination, indices=indices, vector=vector)
+    else:
+        forest = _grow_dense(grown, features, trees, depth, psi_eff, seed, mean, std)
+        model = ForestModel(list(features), forest, seed, contamination, None, mean, std, {})
     if contamination is not None:
-        scored = score(df, model, row_id=row_id)
+        scored = score(src.features(), model, row_id=row_id)
         model.offset = exact_quantile(scored, "score", contamination)
     return model
 
 
-def fit_predict(df: DataFrame, features: list[str], contamination: float, trees: int = 100,
-                psi: int = 256, seed: int = 42, scale_features: bool = False, row_id: str = "seq",
-                out: str = "is_anomaly", score_col: str = "score") -> tuple[ForestModel, DataFrame]:
+def _nodes_of(fo: Forest, tree: int) -> pd.DataFrame:
+    node = np.arange(fo.feature.shape[1])
+    keep = (fo.size[0] > 0) | (fo.feature[0] >= 0)
+    return pd.DataFrame({"tree": tree, "node": node[keep].astype(np.int32),
+                         "feature": fo.feature[0][keep].astype(np.int32),
+                         "threshold": fo.threshold[0][keep], "size": fo.size[0][keep]})
+
+
+def _grow_dense(grown, features: list[str], trees: int, depth: int, psi: int, seed: int,
+                mean: list[float] | None, std: list[float] | None) -> Forest:
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = int(pdf["tree"].iloc[0])
+        X = pdf.sort_values("row_id")[features].to_numpy(dtype=np.float64)
+        if mean is not None:
+            X = (X - np.asarray(mean)) / np.asarray(std)
+        return _nodes_of(build_forest(X[None, :, :], seed, (t,), depth, psi), t)
+
+    return forest_from_nodes(grown.applyInPandas(grow, NODE_SCHEMA).toPandas(), trees, depth, psi)
+
+
+def _grow_sparse(grown, vector: str, trees: int, depth: int, psi: int,
+                 seed: int) -> tuple[Forest, list[tuple[int, str]]]:
+    """Grow each tree on the indices of its own sample, in feature order; the
+    node table names them, and the forest's features are those it splits on."""
+    def grow(table: pa.Table) -> pa.Table:
+        table = table.sort_by("row_id")
+        t = table.column("tree")[0].as_py()
+        X, indices = sparse.local_matrix(table.column(vector))
+        nodes = _nodes_of(build_forest(X[None, :, :], seed, (t,), depth, psi), t)
+        at = [indices[f] if f >= 0 else (-1, "") for f in nodes["feature"]]
+        return pa.table({"tree": nodes["tree"].astype("int32"), "node": nodes["node"],
+                         "slot": pa.array([i for i, _ in at], pa.int32()),
+                         "category": pa.array([c for _, c in at], pa.string()),
+                         "threshold": nodes["threshold"], "size": nodes["size"]})
+
+    nodes = grown.applyInArrow(grow, SPARSE_NODE_SCHEMA).toPandas()
+    split = nodes["slot"] >= 0
+    indices = sorted({(int(a), c) for a, c in zip(nodes["slot"][split], nodes["category"][split])})
+    number = {i: j for j, i in enumerate(indices)}
+    nodes["feature"] = [number.get((int(a), c), -1) for a, c in zip(nodes["slot"], nodes["category"])]
+    return forest_from_nodes(nodes, trees, depth, psi), indices
+
+
+def fit_predict(df: DataFrame | LogSource, features: list[str] | str, contamination: float,
+                trees: int = 100, psi: int = 256, seed: int = 42, scale_features: bool = False,
+                row_id: str = "seq", out: str = "is_anomaly", score_col: str = "score",
+                layout: sparse.Layout | None = None) -> tuple[ForestModel, DataFrame]:
     """M2-M5 in one go: fit, score every row once, threshold, flag.
 
     The scored frame is checkpointed to the shared folder named by
     ``spark.checkpoint.dir`` (set locally only when unset), so the threshold
     passes and the flags read the scores instead of re-running the Python
     scoring stage, and a lost executor re-reads files rather than re-scoring."""
-    from logvigil.session import ensure_checkpoint_dir
-    model = fit(df, features, trees=trees, psi=psi, seed=seed, contamination=None,
-                scale_features=scale_features, row_id=row_id)
+    src = _source(df)
+    model = fit(src, features, trees=trees, psi=psi, seed=seed, contamination=None,
+                scale_features=scale_features, row_id=row_id, layout=layout)
     model.contamination = contamination
-    ensure_checkpoint_dir(df.sparkSession)
-    scored = score(df, model, out=score_col, row_id=row_id).checkpoint(eager=True)
+    ensure_checkpoint_dir(src.log.sparkSession)
+    scored = score(src.features(), model, out=score_col, row_id=row_id).checkpoint(eager=True)
     model.offset = exact_quantile(scored, score_col, contamination)
     return model, scored.withColumn(out, F.col(score_col) < F.lit(model.offset))
 
@@ -456,6 +569,8 @@ def score(df: DataFrame, model: ForestModel, out: str = "score", row_id: str = "
     executor as a broadcast variable."""
     spark = df.sparkSession
     fo = model.forest
+    if model.vector is not None:
+        return df.withColumn(out, _sparse_scorer(spark, model)(F.col(model.vector)))
     # plain arrays only: broadcast values are pickled by reference-free pickle
     bc = spark.sparkContext.broadcast((fo.feature, fo.threshold, fo.size, fo.psi, fo.max_depth,
                                        model.scale_mean, model.scale_std))
@@ -471,6 +586,23 @@ def score(df: DataFrame, model: ForestModel, out: str = "score", row_id: str = "
     return df.withColumn(out, _score(*[F.col(f).cast("double") for f in model.features]))
 
 
+def _sparse_scorer(spark: SparkSession, model: ForestModel):
+    """Arrow function of a vector column; the forest and the indices it splits
+    on (bounded by its nodes) travel as a broadcast variable."""
+    fo = model.forest
+    bc = spark.sparkContext.broadcast((fo.feature, fo.threshold, fo.size, fo.psi, fo.max_depth, model.indices))
+
+    @F.arrow_udf(T.DoubleType())
+    def _score(vectors: pa.Array) -> pa.Array:
+        feature, threshold, size, psi, depth, indices = bc.value
+        forest = Forest(feature, threshold, size, psi, depth)
+        used = {i: j for j, i in enumerate(indices)}
+        parts = [score_matrix(forest, m) for _, m in sparse.filled(vectors, used)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+
+    return _score
+
+
 def predict(df: DataFrame, model: ForestModel, out: str = "is_anomaly",
             score_col: str = "score") -> DataFrame:
     """M5: anomaly iff score < threshold (strict)."""
@@ -553,38 +685,69 @@ def fit_score_batches(df: DataFrame, features: list[str], batch: str = "batch_id
 
 # ------------------------------------------------------------ S5 persistence
 MISSING_PATH = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+VERSIONS_KEPT = 5
+
 
+def save_model(spark: SparkSession, model: ForestModel, path: str, keep: int = VERSIONS_KEPT) -> str:
+    """Write a new version of the model at ``path`` and return its name.
 
-def save_model(spark: SparkSession, model: ForestModel, path: str) -> None:
-    """Node table and a one-row parameter table, both parquet."""
+    A version is a folder of its own (node table and a one-row parameter table);
+    the pointer, one more row in the ``versions`` table, is written last and in
+    one file, so a reader gets the old model or the new one, whole.  A save that
+    dies before leaves nothing a reader sees.  Versions beyond the newest
+    ``keep`` are removed, after the pointer."""
     fo = model.forest
     t, nd = np.nonzero((fo.size > 0) | (fo.feature >= 0))
     nodes = pd.DataFrame({"tree": t.astype(np.int32), "node": nd.astype(np.int32),
                           "feature": fo.feature[t, nd].astype(np.int32),
                           "threshold": fo.threshold[t, nd], "size": fo.size[t, nd]})
-    spark.createDataFrame(nodes, NODE_SCHEMA).coalesce(1).write.mode("overwrite") \
-        .parquet(os.path.join(path, "nodes"))
     params = {"features": model.features, "psi": fo.psi, "trees": fo.trees,
               "max_depth": fo.max_depth, "seed": model.seed,
               "contamination": model.contamination, "offset": model.offset,
-              "scale_mean": model.scale_mean, "scale_std": model.scale_std}
+              "scale_mean": model.scale_mean, "scale_std": model.scale_std,
+              "indices": model.indices, "vector": model.vector}
+    version = f"v-{uuid.uuid4().hex}"
+    at = os.path.join(path, version)
+    spark.createDataFrame(nodes, NODE_SCHEMA).coalesce(1).write.parquet(os.path.join(at, "nodes"))
     spark.createDataFrame([(json.dumps(params),)], "params string").coalesce(1) \
-        .write.mode("overwrite").parquet(os.path.join(path, "params"))
-
-
-def load_model(spark: SparkSession, path: str) -> ForestModel | None:
-    """Load a saved model; None unless both parts exist."""
+        .write.parquet(os.path.join(at, "params"))
+    older = model_versions(spark, path)
+    number = older[0][0] + 1 if older else 1
+    spark.createDataFrame([(number, version)], "number long, version string").coalesce(1) \
+        .write.mode("append").parquet(os.path.join(path, "versions"))
+    for _, name in older[max(keep - 1, 0):]:
+        files.remove(spark, os.path.join(path, name))
+    return version
+
+
+def model_versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, folder) of the saved versions, the newest first."""
     from pyspark.errors import AnalysisException
     try:
-        params = json.loads(spark.read.parquet(os.path.join(path, "params")).first()[0])
-        nodes = spark.read.parquet(os.path.join(path, "nodes")).toPandas()
+        rows = spark.read.schema("number long, version string").parquet(os.path.join(path, "versions")).collect()
     except AnalysisException as e:
         if e.getCondition() not in MISSING_PATH:
             raise
-        return None  # a missing part means no model
+        return []
+    return sorted(((r["number"], r["version"]) for r in rows), reverse=True)
+
+
+def load_model(spark: SparkSession, path: str, version: str | None = None) -> ForestModel | None:
+    """The newest saved version (or the named one); None if there is none."""
+    if version is None:
+        versions = model_versions(spark, path)
+        if not versions:
+            return None
+        version = versions[0][1]
+    at = os.path.join(path, version)
+    params = json.loads(spark.read.parquet(os.path.join(at, "params")).first()[0])
+    nodes = spark.read.parquet(os.path.join(at, "nodes")).toPandas()
     forest = forest_from_nodes(nodes, params["trees"], params["max_depth"], params["psi"])
+    indices = params.get("indices")
     return ForestModel(params["features"], forest, params["seed"], params["contamination"],
-                       params["offset"], params["scale_mean"], params["scale_std"])
+                       params["offset"], params["scale_mean"], params["scale_std"],
+                       indices=[(i, c) for i, c in indices] if indices is not None else None,
+                       vector=params.get("vector"))
 
 
 def fit_local_frame(spark: SparkSession, pdf: pd.DataFrame, features: list[str],

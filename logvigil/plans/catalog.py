@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logvigil.functions.exprs import parse_ts, round6
-from logvigil.operators import (arrival, features, iforest, metrics, response, rules, validation,
-                                windows)
+from logvigil.operators import (arrival, features, iforest, metrics, response, rules, sparse,
+                                validation, windows)
 from logvigil.plans import adapters as A
 from logvigil.schemas import API_CREDENTIALS, DETECTOR_KNOWN_USERS, WEBSITE_USERS
 from logvigil.session import ensure_checkpoint_dir
@@ -135,6 +135,19 @@ def q_base_features(spark, sf):
     return features.base_features(web)
 
 
+def _many_users(web):
+    """The web log with every user of the table by their own name."""
+    return web.withColumn("user", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+
+
+@query
+def q_sparse_base_features(spark, sf):
+    """P6-P8, sparse form, for all users of the table: one row per non-zero
+    feature of each event."""
+    vectors = features.sparse_base_features(_many_users(_web(spark, sf)))
+    return sparse.long_form(vectors, features.BASE_LAYOUT)
+
+
 @query
 def q_web_flags(spark, sf):
     return features.web_flags(_web(spark, sf)).select(
@@ -498,11 +511,17 @@ API_CONTAMINATION = 0.15
 BASE_CONTAMINATION = 0.2
 
 
+def _web_source(spark, sf, keep=("seq",)):
+    """The web log and its features; a batch's features need its rows only."""
+    return iforest.LogSource(_web(spark, sf), lambda log: features.web_features(
+        log, batch="batch_id", keep=keep), "batch_id")
+
+
 def _web_forest(spark, sf, contamination=None):
-    feats = _web_feats(spark, sf)
-    model = iforest.fit(feats, features.WEB_FEATURES, trees=FOREST_TREES, psi=FOREST_PSI,
+    src = _web_source(spark, sf)
+    model = iforest.fit(src, features.WEB_FEATURES, trees=FOREST_TREES, psi=FOREST_PSI,
                         seed=FOREST_SEED, contamination=contamination)
-    return feats, model
+    return src.features(), model
 
 
 @query
@@ -526,7 +545,7 @@ def q_contamination_threshold(spark, sf):
 
 @query
 def q_iforest_flags(spark, sf):
-    _, flagged = iforest.fit_predict(_web_feats(spark, sf), features.WEB_FEATURES,
+    _, flagged = iforest.fit_predict(_web_source(spark, sf), features.WEB_FEATURES,
                                      WEB_CONTAMINATION, trees=FOREST_TREES, psi=FOREST_PSI,
                                      seed=FOREST_SEED)
     return flagged.select("seq", "score", "is_anomaly")
@@ -552,8 +571,7 @@ def q_batch_iforest(spark, sf):
 
 
 def _hybrid(spark, sf, keep=("seq",)):
-    feats = features.web_features(_web(spark, sf), keep=keep)
-    _, flagged = iforest.fit_predict(feats, features.WEB_FEATURES, WEB_CONTAMINATION,
+    _, flagged = iforest.fit_predict(_web_source(spark, sf, keep), features.WEB_FEATURES, WEB_CONTAMINATION,
                                      trees=FOREST_TREES, psi=FOREST_PSI, seed=FOREST_SEED,
                                      out="forest_anomaly")
     return rules.hybrid_anomalies(flagged)
@@ -564,14 +582,16 @@ def q_hybrid_anomalies(spark, sf):
     return _hybrid(spark, sf).select("seq", "forest_anomaly", F.col("rule_anomaly"), "is_anomaly")
 
 
+def _base_source(web):
+    return iforest.LogSource(web, features.sparse_base_features)
+
+
 @query
 def q_base_detector(spark, sf):
-    web = _web(spark, sf).select("seq", "ts", "event_type", "user", "source_ip", "traffic_type",
-                                 "status", "response_time")
-    base = features.base_features(web)
-    feats = [c for c in base.columns if c != "seq"]
-    _, flagged = iforest.fit_predict(base, feats, BASE_CONTAMINATION, trees=FOREST_TREES,
-                                     psi=BASE_PSI, seed=FOREST_SEED)
+    """M9 on the sparse form of P6-P8."""
+    _, flagged = iforest.fit_predict(_base_source(_web(spark, sf)), "features", BASE_CONTAMINATION,
+                                     trees=FOREST_TREES, psi=BASE_PSI, seed=FOREST_SEED,
+                                     layout=features.BASE_LAYOUT)
     return flagged.select("seq", "score", "is_anomaly")
 
 

@@ -183,6 +183,18 @@ BASE_SELECT = ("SELECT seq, COALESCE(response_time, 0) AS response_time, "
                 for v in USERS) + " FROM web")
 reg("base_features", with_(WEB) + BASE_SELECT)
 
+reg("sparse_base_features", with_(WEB) + """, f AS (
+  SELECT seq, unnest([
+    {'feature': 'response_time', 'value': COALESCE(response_time, 0.0)::DOUBLE},
+    {'feature': 'hour', 'value': hour(ts)::DOUBLE}, {'feature': 'minute', 'value': minute(ts)::DOUBLE},
+    {'feature': 'day_of_week', 'value': (isodow(ts) - 1)::DOUBLE},
+    {'feature': 'event_' || event_type, 'value': 1.0::DOUBLE},
+    {'feature': 'status_' || status, 'value': 1.0::DOUBLE},
+    {'feature': 'ip_last_octet',
+     'value': COALESCE(TRY_CAST(string_split(source_ip, '.')[-1] AS BIGINT), 0)::DOUBLE},
+    {'feature': 'user_u' || CAST(user_id AS VARCHAR), 'value': 1.0::DOUBLE}]) AS e FROM web)
+SELECT seq, e.feature AS feature, e.value AS value FROM f WHERE e.value <> 0""")
+
 reg("web_flags", with_(WEB) + """
 SELECT seq, CAST(COALESCE(response_time, 0) > 1.0 AS BIGINT) AS high_response_time,
   CAST(event_type = 'admin_action' AS BIGINT) AS is_admin_action,
