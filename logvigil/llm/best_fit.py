@@ -17,7 +17,7 @@ then grows common, so pieces that close bins exactly stay easy to find.
    not help).  No task sees more than a bucket and the driver only counts.
 
 A white-space-delimited chunk of text has the same ids wherever it stands (the
-tokenizer drops white space, no token spans it), so ids are kept per chunk.
+tokenizer drops white space, no token spans it), so ids are kept per part of one.
 
 Defined results: a null or empty text is one piece holding the end id; repeated
 rows are packed one by one; an empty table gives an empty result; other columns
@@ -26,8 +26,11 @@ are ignored whatever their names.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,32 +44,83 @@ WINDOW = 2048
 END_ID = 0
 ROWS_PER_BUCKET = 1 << 15
 LOCAL_BITS = 22          # sequence numbers of one bucket
-CHUNKS_KEPT, CHUNK_BYTES = 1 << 18, 64
+PARTS_KEPT, PART_CHARS = 1 << 18, 64
 STAY_OPEN = 0.5
 
 
+#: characters whose lower case, composition and class need no tables: printable
+#: ASCII and Latin letters without combining marks or special casing
+PLAIN = re.compile("[\t-\r -~\u00a1-\u012f\u0131-\u017f]*")
+
+
 class WordIds(dict):
-    """Ids (little-endian uint32 bytes) of white-space-delimited chunks of UTF-8
-    text, by the tokenizer file's own library; a bounded number is kept."""
+    """Ids (little-endian uint32 bytes) of UTF-8 texts by the tokenizer file's own
+    library.
+
+    A plain text is lower-cased and split here by the file's own pattern; its
+    parts go to the library's merges alone, and their ids are kept here, a
+    bounded number in two generations so that common parts survive.  Any other
+    text is taken chunk by chunk: plain chunks in the same way, the rest, and what
+    may hold a special token, through the whole library.  Both ways must agree on
+    a probe, or all goes through the library."""
+
+    PROBE = "Don't they'LL über-Ĳsel, 12½²x «ñandú»!! ªº µ's''re Straße _a_ ſ ŉ ĸ ­ ¿Qué? ~|` ÷× ŸŽ&#x27;"
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.own = Tokenizer.from_file(path)
         self.own.no_truncation()
         self.own.no_padding()
+        self.merges = self.own.model
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        splits = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
+        self.split = regex.compile(splits[0]).findall
+        self.special = tuple(t["content"][:2] for t in spec.get("added_tokens", []))
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.letters = {b: chr(256 + i) for i, b in enumerate(hidden)}  # byte-level names
+        self.old: dict[str, bytes] = {}
+        self.other: dict[str, bytes] = {}
+        self.plain = len(splits) == 1
+        self.plain = self.plain and self.ids(self.PROBE) == self._whole(self.PROBE)
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.own.encode(chunk.decode(), add_special_tokens=False).ids
-        out = np.array(ids, "<u4").tobytes()
-        if len(chunk) <= CHUNK_BYTES:
-            if len(self) >= CHUNKS_KEPT:
+    def _whole(self, chunk: str) -> bytes:
+        return array("I", self.own.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            named = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.merges.tokenize(named)]).tobytes()
+        if len(part) <= PART_CHARS:
+            if len(self) >= PARTS_KEPT:
+                self.old = dict(self)
                 self.clear()
-            self[chunk] = out
-        return out
+            self[part] = ids
+        return ids
+
+    def _is_plain(self, text: str) -> bool:
+        return self.plain and PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
+
+    def _chunk(self, chunk: str) -> bytes:
+        if self._is_plain(chunk):
+            return b"".join(map(self.__getitem__, self.split(chunk.lower())))
+        ids = self.other.get(chunk)
+        if ids is None:
+            ids = self._whole(chunk)
+            if len(chunk) <= PART_CHARS:
+                if len(self.other) >= PARTS_KEPT:
+                    self.other.clear()
+                self.other[chunk] = ids
+        return ids
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split()))  # ASCII white space
+        if self._is_plain(text):
+            return b"".join(map(self.__getitem__, self.split(text.lower())))
+        return b"".join(self._chunk(c.decode()) for c in text.encode().split())  # ASCII white space
 
 
 def cut_pieces(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID,

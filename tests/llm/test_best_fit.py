@@ -34,6 +34,20 @@ def test_chunks_have_the_ids_of_whole_texts(own, real_docs):
         assert np.frombuffer(kept.ids(t), "<u4").tolist() == own.encode(t, add_special_tokens=False).ids
 
 
+def test_plain_way_and_bounded_cache(own, real_docs, monkeypatch):
+    import logvigil.llm.best_fit as B
+    monkeypatch.setattr(B, "PARTS_KEPT", 500)
+    kept = B.WordIds(PATH)
+    assert kept.plain
+    every = "".join(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x180)]))
+    rng = random.Random(6)
+    words = [c + "x" for c in every] + ["".join(rng.choice(every) for _ in range(rng.randrange(1, 12)))
+                                        for _ in range(20_000)]
+    for w in [*words, " ".join(words), "\t\n".join(words[:999]) + "\u3000" + "\r\x0b\x0c".join(words)]:
+        assert np.frombuffer(kept.ids(w), "<u4").tolist() == own.encode(w, add_special_tokens=False).ids, w
+    assert len(kept) <= 500 and len(kept.old) <= 500 and len(kept.other) <= 500
+
+
 def plain_sum_of_squares(lengths, window):
     """The rule, tried out bin kind by bin kind."""
     levels, squares = [], lambda ls: sum(c * c for c in np.bincount([x for x in ls if x < window]).tolist())
