@@ -382,6 +382,28 @@ def tree_draw(tree: F.Column) -> F.Column:
     return F.pmod(F.col("_ka") + tree.cast("long") * F.col("_kb"), F.lit(DRAW_RANGE))
 
 
+def trees_below(trees: list[int], bound: int):
+    """Arrow function (ka, kb) -> the trees whose draw is below ``bound``: one
+    numpy comparison per row and tree, in blocks of rows."""
+    every = np.array(trees, np.int64)
+    step = max(1, 2_000_000 // len(trees))
+
+    @F.arrow_udf("array<int>")
+    def _below(ka: pa.Array, kb: pa.Array) -> pa.Array:
+        a, b = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (ka, kb))
+        counts, hits = [], []
+        for i in range(0, len(a), step):
+            draw = (a[i:i + step, None] + every * b[i:i + step, None]) & (DRAW_RANGE - 1)
+            low = draw < bound
+            counts.append(low.sum(axis=1))
+            hits.append(every[np.nonzero(low)[1]])
+        off = np.concatenate([[0], np.cumsum(np.concatenate(counts or [np.zeros(0, np.int64)]))])
+        flat = np.concatenate(hits or [np.zeros(0, np.int64)])
+        return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int32()))
+
+    return _below
+
+
 def tree_draw_py(seed: int, tree: int, row_id) -> int:
     h = hashlib.md5(f"{seed}:{row_id}".encode()).hexdigest()
     ka, kb = int(h[8:16], 16), int(h[16:24], 16)
@@ -412,9 +434,7 @@ def sample_for_trees(df: DataFrame, features: list[str], trees: list[int], psi:
     smallest draws among those below ``bound``, by one aggregate per tree."""
     ka, kb = row_words(seed, F.col(row_id))
     base = df.select(F.col(row_id).alias("row_id"), *features, ka.alias("_ka"), kb.alias("_kb"))
-    every = F.sequence(F.lit(trees[0]), F.lit(trees[-1])) \
-        if trees == list(range(trees[0], trees[-1] + 1)) else F.array(*map(F.lit, trees))
-    mine = F.filter(every, lambda t: tree_draw(t) < F.lit(bound))
+    mine = trees_below(trees, bound)(F.col("_ka"), F.col("_kb"))
     pairs = base.select("*", F.explode(mine).alias("tree"))
     drawn = F.struct(tree_draw(F.col("tree")).alias("_u"), "row_id", *features)
     # the bound lets about OVERSAMPLE x psi rows of a tree through
@@ -466,7 +486,7 @@ def fit(df: DataFrame | LogSource, features: list[str] | str, trees: int = 100,
 
     sample = draw_sample(src, trees, psi_eff, n, seed, row_id)
     group = src.group or row_id
-    wanted = sample.select(F.col("row_id" if group == row_id else group).alias(group)).distinct()
+    wanted = sample.select(F.col("row_id" if group == row_id else group).alias(group))
     # at most trees x psi groups, whatever the log's size
     rows = src.build(src.log.join(F.broadcast(wanted), group, "left_semi"))
     vector = features if layout is not None else None
@@ -481,7 +501,8 @@ def fit(df: DataFrame | LogSource, features: list[str] | str, trees: int = 100,
         forest = _grow_dense(grown, features, trees, depth, psi_eff, seed, mean, std)
         model = ForestModel(list(features), forest, seed, contamination, None, mean, std, {})
     if contamination is not None:
-        scored = score(src.features(), model, row_id=row_id)
+        # scored once: the quantile's passes read the scores, not the scoring stage
+        scored = score(src.features(), model, row_id=row_id).select("score").checkpoint(eager=True)
         model.offset = exact_quantile(scored, "score", contamination)
     return model
 

@@ -139,3 +139,54 @@ def test_fit_predict_equals_fit_then_predict(spark):
     m2, flagged = iforest.fit_predict(df, FEATS, 0.1, trees=20, psi=64, seed=9)
     b = flagged.orderBy("seq").select("score", "is_anomaly").collect()
     assert m1.offset == m2.offset and a == b
+
+
+def test_exact_quantile_reads_the_column_twice(spark):
+    """Whatever the data: a sketch, then one counting pass; refinement works on
+    the bracket's table."""
+    rng = np.random.default_rng(8)
+    v = np.r_[rng.normal(size=3000), np.repeat([0.25], 2000), rng.exponential(size=1000) * 1e9, -np.inf, np.inf]
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(it):
+        for pdf in it:
+            reads.add(len(pdf))
+            yield pdf
+
+    df = spark.createDataFrame(pd.DataFrame({"x": v})).mapInPandas(counted, "x double")
+    for q in (0.0, 0.003, 0.5, 0.6, 0.97, 1.0):
+        reads.value = 0
+        got = iforest.exact_quantile(df, "x", q, accuracy=50)
+        want = iforest.linear_quantile(v, q)
+        assert got == pytest.approx(want) and reads.value == 2 * len(v)
+    # a bracket of many values is searched in bins, not collected
+    old, iforest.BRACKET_ROWS = iforest.BRACKET_ROWS, 5
+    try:
+        finite = v[np.isfinite(v)]
+        f = spark.createDataFrame(pd.DataFrame({"x": finite}))
+        for q in (0.1, 0.42, 0.9):
+            assert iforest.exact_quantile(f, "x", q, bins=3, accuracy=20) == pytest.approx(
+                iforest.linear_quantile(finite, q))
+    finally:
+        iforest.BRACKET_ROWS = old
+
+
+def test_model_versions_switch_whole(spark, tmpdir_path):
+    """A reader during a save has the old version until the pointer is there,
+    then the new one; a save that dies leaves the old one."""
+    path = tmpdir_path + "/model"
+    df = _frame(spark)
+    models = [iforest.fit(df, FEATS, trees=4, psi=16, seed=s, contamination=0.1) for s in range(4)]
+    assert iforest.load_model(spark, path) is None
+    names = [iforest.save_model(spark, m, path, keep=2) for m in models[:3]]
+    assert [v for _, v in iforest.model_versions(spark, path)] == names[::-1]
+    assert iforest.load_model(spark, path).seed == 2
+    assert iforest.load_model(spark, path, names[1]).seed == 1  # kept
+    from logvigil.functions import files
+    assert [n for n in files.names(spark, path) if n.startswith("v-")] == sorted(names[1:])
+    # a torn save: the new version's nodes are there, its parameters and pointer are not
+    spark.createDataFrame([(0, 1, -1, 0.0, 9)], iforest.NODE_SCHEMA).write.parquet(path + "/v-torn/nodes")
+    again = iforest.load_model(spark, path)
+    assert again.seed == 2 and again.offset == models[2].offset
+    iforest.save_model(spark, models[3], path)
+    assert iforest.load_model(spark, path).offset == models[3].offset
