@@ -14,17 +14,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logvigil.functions.exprs import is_error
 from logvigil.operators import features, iforest, metrics, rules
 from logvigil.operators.response import MAX_RATE, MAX_WARNINGS, REASON_AUTH, REASON_RATE
 from logvigil.sources.json_logs import parse_web_log, with_dense_seq
 from logvigil.sources.sinks import write_alerts
+from logvigil.streaming.state_log import StateLog
 
 EPOCH_SEQ = 1 << 40  # arrival numbers of one poll
 
@@ -84,7 +84,7 @@ def session_expiry(stream: DataFrame, key: str, gap: str = "30 minutes",
 # --------------------------------------------------------------------- Q4
 RATE_STATE = T.StructType([
     T.StructField("count", T.LongType()), T.StructField("first_us", T.LongType()),
-    T.StructField("warnings", T.LongType()), T.StructField("last_us", T.LongType())])
+    T.StructField("warnings", T.LongType())])
 
 RATE_OUT = T.StructType([
     T.StructField("ip_address", T.StringType()), T.StructField("seq", T.LongType()),
@@ -92,82 +92,104 @@ RATE_OUT = T.StructType([
     T.StructField("request_rate", T.DoubleType()), T.StructField("is_blocked", T.BooleanType()),
     T.StructField("reason", T.StringType())])
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+IDLE_TIMEOUT_MS = 24 * 3600 * 1000
+HELD_ROWS = 65_536
+_ROW = np.dtype([("seq", "<i8"), ("ts_us", "<i8"), ("fail", "?")])
+
+
+class RateLimiter(StatefulProcessor):
+    """Rate state of one IP: a value state with a time to live.
+
+    A micro-batch's rows of an IP come as an iterator of frames, in no order.  Up
+    to ``held_rows`` of them are held as packed numbers (17 bytes a row).  Beyond
+    that they go to a map state on disk, by ranges of ``held_rows`` sequence
+    numbers, and are taken back range by range: sequence numbers are unique, so
+    no more than a range is ever in memory, however hot the IP."""
+
+    def __init__(self, max_rate: float, max_warnings: int, idle_timeout_ms: int | None, held_rows: int):
+        self.max_rate, self.max_warnings = max_rate, max_warnings
+        self.ttl, self.held_rows = idle_timeout_ms, held_rows
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rate = handle.getValueState("rate", RATE_STATE, self.ttl)
+        self.waiting = handle.getMapState("waiting", "part long", "rows binary")
+
+    def _put(self, rows: np.ndarray) -> None:
+        part = rows["seq"] // self.held_rows
+        for p in np.unique(part):
+            more = rows[part == p].tobytes()
+            have = self.waiting.getValue((int(p),)) if self.waiting.containsKey((int(p),)) else None
+            self.waiting.updateValue((int(p),), ((bytes(have[0]) if have else b"") + more,))
+
+    def _ordered(self, frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        """The rows in sequence order, in bounded pieces."""
+        held, n, spilled = [], 0, False
+        for f in frames:
+            rows = np.empty(len(f), _ROW)
+            rows["seq"], rows["ts_us"], rows["fail"] = f["seq"], f["ts_us"], f["auth_fail"]
+            held.append(rows)
+            n += len(rows)
+            if n > self.held_rows:
+                for part in held:
+                    self._put(part)
+                held, n, spilled = [], 0, True
+        if not spilled:
+            yield np.sort(np.concatenate(held), order="seq") if held else np.empty(0, _ROW)
+            return
+        for part in held:
+            self._put(part)
+        for p in sorted(k[0] for k in self.waiting.keys()):
+            rows = np.frombuffer(bytes(self.waiting.getValue((p,))[0]), _ROW)
+            self.waiting.removeKey((p,))
+            yield np.sort(rows, order="seq")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        count, first_us, warnings = self.rate.get() if self.rate.exists() else (0, None, 0)
+        for r in self._ordered(rows):
+            if not len(r):
+                continue
+            first_us = int(r["ts_us"][0]) if first_us is None else first_us
+            counts = count + np.arange(1, len(r) + 1)
+            warns = warnings + np.cumsum(r["fail"])
+            el = (r["ts_us"] - first_us).astype("float64")
+            rate = np.where(el > 0, counts / (np.where(el > 0, el, 1.0) / 1e6), 0.0)
+            auth_hit = r["fail"] & (warns >= self.max_warnings)
+            rate_hit = rate > self.max_rate
+            count, warnings = int(counts[-1]), int(warns[-1])
+            yield pd.DataFrame({
+                "ip_address": key[0], "seq": r["seq"], "request_count": counts, "warnings": warns,
+                "request_rate": rate, "is_blocked": auth_hit | rate_hit,
+                "reason": np.where(auth_hit, REASON_AUTH, np.where(rate_hit, REASON_RATE, None))})
+        self.rate.update((count, first_us, warnings))
+
+    def close(self) -> None:
+        pass
+
 
 def rate_limit_stream(api_stream: DataFrame, max_rate: float = MAX_RATE,
-                      max_warnings: int = MAX_WARNINGS, idle_timeout_ms: int | None = None,
-                      auth_endpoint: str = "/api/auth", ip: str = "ip_address") -> DataFrame:
+                      max_warnings: int = MAX_WARNINGS, idle_timeout_ms: int | None = IDLE_TIMEOUT_MS,
+                      auth_endpoint: str = "/api/auth", ip: str = "ip_address",
+                      held_rows: int = HELD_ROWS) -> DataFrame:
     """Q4: per-IP rate-limit state (count, first request, warnings) updated
-    request by request, with each request's decision.  State is kept for good,
-    as in the batch operator, unless ``idle_timeout_ms`` names a time without
-    traffic after which an IP starts anew (its lockout ends, too).  One IP's
-    rows of a micro-batch are held together; the source's trigger limit
-    (``max_files_per_trigger``) bounds them."""
+    request by request, with each request's decision.
+
+    State lives on disk (the session is set to the RocksDB state store) and goes
+    after ``idle_timeout_ms`` without traffic, a day unless given, so an IP then
+    starts anew and its lockout ends; None keeps it for good, as in the batch
+    operator.  Memory is bounded by ``held_rows``, not by an IP's traffic."""
+    api_stream.sparkSession.conf.set(PROVIDER, ROCKSDB)
     d = api_stream.select(
         F.col(ip).alias("ip_address"), "seq",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
         F.coalesce((F.col("endpoint") == auth_endpoint) & (F.col("status_code") == 401),
                    F.lit(False)).alias("auth_fail"))
-
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if state.exists:
-            count, first_us, warnings, last_us = state.get
-        else:
-            count, first_us, warnings, last_us = 0, None, 0, None
-        rows = pd.concat(list(pdfs)).sort_values("seq")
-        ts_us = rows["ts_us"].to_numpy(dtype="int64")
-        fail = rows["auth_fail"].to_numpy(dtype=bool)
-        if first_us is None:
-            first_us = int(ts_us[0])
-        counts = count + np.arange(1, len(rows) + 1)
-        warns = warnings + np.cumsum(fail)
-        el = (ts_us - first_us).astype("float64")
-        rate = np.where(el > 0, counts / (np.where(el > 0, el, 1.0) / 1e6), 0.0)
-        auth_hit = fail & (warns >= max_warnings)
-        rate_hit = rate > max_rate
-        reason = np.where(auth_hit, REASON_AUTH, np.where(rate_hit, REASON_RATE, None))
-        count, warnings, last_us = int(counts[-1]), int(warns[-1]), int(ts_us[-1])
-        out = pd.DataFrame({"ip_address": key[0], "seq": rows["seq"].to_numpy(),
-                            "request_count": counts, "warnings": warns, "request_rate": rate,
-                            "is_blocked": auth_hit | rate_hit, "reason": reason})
-        state.update((count, first_us, warnings, last_us))
-        if idle_timeout_ms is not None:
-            state.setTimeoutDuration(idle_timeout_ms)
-        yield out
-
-    kind = GroupStateTimeout.NoTimeout if idle_timeout_ms is None \
-        else GroupStateTimeout.ProcessingTimeTimeout
-    return d.groupBy("ip_address").applyInPandasWithState(step, RATE_OUT, RATE_STATE, "append", kind)
+    limiter = RateLimiter(max_rate, max_warnings, idle_timeout_ms, held_rows)
+    return d.groupBy("ip_address").transformWithStateInPandas(limiter, RATE_OUT, "append", "processingTime")
 
 
 # --------------------------------------------------------------------- Q1
-def _read_state(spark: SparkSession, path: str) -> DataFrame | None:
-    """A state table, or None while nothing was written; other errors are
-    raised -- a failed read is not an empty state."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() not in iforest.MISSING_PATH:
-            raise
-        return None
-
-
-def _latest_state(spark: SparkSession, state_path: str, epoch: int):
-    """(carried rows, next_seq) as left by the latest epoch before ``epoch``.
-    The meta table is written every epoch, after the rows; the rows table has a
-    partition only when rows were carried, so it is read at the meta's epoch."""
-    meta = _read_state(spark, f"{state_path}/meta")
-    last = [] if meta is None else meta.where(F.col("epoch") < epoch) \
-        .orderBy(F.col("epoch").desc()).limit(1).collect()
-    if not last:
-        return None, 0
-    e, next_seq = int(last[0]["epoch"]), int(last[0]["next_seq"])
-    rows = _read_state(spark, f"{state_path}/rows")
-    return (None if rows is None else rows.where(F.col("epoch") == e).drop("epoch")), next_seq
-
-
 def count_batch_processor(size: int, state_path: str, order_cols: list[str],
                           process: Callable[..., None],
                           history_rows: int = 0) -> Callable[[DataFrame, int], None]:
@@ -175,14 +197,16 @@ def count_batch_processor(size: int, state_path: str, order_cols: list[str],
     of ``size`` rows by arrival order and hands complete batches to
     ``process(batches, epoch)``.  The open tail (< size rows) and, with
     ``history_rows``, the completed rows that a history of that length at the
-    next batch's end can reach are carried to the next micro-batch in a small
-    per-epoch parquet table under ``state_path``; ``process`` then gets
-    ``(batches, epoch, history)``.  A micro-batch is read once."""
+    next batch's end can reach are carried to the next micro-batch in a
+    snapshot (:class:`StateLog`); ``process`` then gets
+    ``(batches, epoch, history)``.  A micro-batch is read once, a replayed one
+    starts from the same snapshot."""
     back = -(-history_rows // size) * size
+    state = StateLog(state_path)
 
     def fn(batch_df: DataFrame, epoch_id: int) -> None:
-        spark = batch_df.sparkSession
-        carried, next_seq = _latest_state(spark, state_path, epoch_id)
+        carried, meta = state.before(batch_df.sparkSession, epoch_id)
+        next_seq = meta.get("next_seq", 0)
         new = with_dense_seq(batch_df, order_cols, "seq")
         new = new.withColumn("seq", F.col("seq") + F.lit(next_seq)).persist()
         total = next_seq + new.count()
@@ -194,13 +218,8 @@ def count_batch_processor(size: int, state_path: str, order_cols: list[str],
             process(batches, epoch_id, rows.where(F.col("batch_id") < before))
         else:
             process(batches, epoch_id)
-        (rows.where(F.col("seq") >= complete * size - back).drop("batch_id")
-         .withColumn("epoch", F.lit(epoch_id))
-         .write.mode("overwrite").partitionBy("epoch").option("partitionOverwriteMode", "dynamic")
-         .parquet(f"{state_path}/rows"))
-        (spark.createDataFrame([(total, epoch_id)], "next_seq long, epoch long")
-         .write.mode("overwrite").partitionBy("epoch").option("partitionOverwriteMode", "dynamic")
-         .parquet(f"{state_path}/meta"))
+        state.write(epoch_id, rows.where(F.col("seq") >= complete * size - back).drop("batch_id"),
+                    {"next_seq": total})
         new.unpersist()
 
     return fn
@@ -229,6 +248,9 @@ def detect_batches_sink(out_path: str, feature_fn: Callable[[DataFrame], DataFra
 
 
 # --------------------------------------------------------------------- Q2
+RAW = ("seq", "ts", "event_type", "user", "source_ip", "traffic_type", "status")
+
+
 def monitor_batch(model: iforest.ForestModel | None, sink_path: str | None,
                   attempts: int = 3, known_users: list[str] | None = None
                   ) -> Callable[[DataFrame, int], DataFrame]:
@@ -243,19 +265,19 @@ def monitor_batch(model: iforest.ForestModel | None, sink_path: str | None,
         if "seq" not in batch_df.columns:  # arrival order, unique over all polls
             batch_df = with_dense_seq(batch_df, ["ts"], "seq") \
                 .withColumn("seq", F.col("seq") + F.lit(epoch_id * EPOCH_SEQ))
-        feats = features.web_features(batch_df, known_users=known_users, batch=None)
+        # numbering and the per-poll counts read the rows more than once
+        rows = batch_df.persist()
+        feats = features.web_features(rows, known_users=known_users, batch=None, keep=RAW)
         if model is not None:
             feats = iforest.predict(feats, model, out="forest_anomaly")
         else:
             feats = feats.withColumn("forest_anomaly", F.lit(False))
         flagged = rules.hybrid_anomalies(feats, attempts=attempts).where("is_anomaly")
-        raw = batch_df.select("seq", "ts", "event_type", "user", "source_ip", "traffic_type", "status")
-        enriched = raw.join(flagged.select("seq", "response_time", "is_failed_login",
-                                           "user_attempts", "is_admin_action"), "seq")
-        alerts = rules.alert_records(rules.alert_reasons(enriched, attempts=attempts),
+        alerts = rules.alert_records(rules.alert_reasons(flagged, attempts=attempts),
                                      detail_cols=["event_type", "user", "source_ip", "status"])
         if sink_path:
             write_alerts(alerts, sink_path, epoch_id)
+        rows.unpersist()
         return alerts
     return fn
 

@@ -3,6 +3,9 @@ Structured Streaming give the batch operators' answers."""
 
 import os
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import SF0001
@@ -221,3 +224,123 @@ def test_batches_sink_keeps_history_and_writes_summaries(spark, tmpdir_path):
     summary = spark.read.parquet(out + "/summary").drop("epoch")
     expected = metrics.batch_summary(exp, score="score")
     assert sorted(summary.collect()) == sorted(expected.select(*summary.columns).collect())
+
+
+def _run_limiter(spark, src, path, **kw):
+    out = M.rate_limit_stream(A.api_log(src, time_scale=60), max_rate=0.05, max_warnings=5, **kw)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        q = (out.writeStream.outputMode("append").format("parquet").trigger(availableNow=True)
+             .option("checkpointLocation", path + "/ck").start(path + "/out"))
+        q.awaitTermination(300)
+        q.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    return spark.read.parquet(path + "/out")
+
+
+def test_hot_ip_is_taken_range_by_range(spark, tmpdir_path):
+    """Far more rows of an IP in a micro-batch than are held: they go through the
+    state store and come back in order; results equal the batch operator's."""
+    got = _run_limiter(spark, _stream(spark, tmpdir_path), tmpdir_path, held_rows=6, idle_timeout_ms=None)
+    cols = ["seq", "request_count", "warnings", "is_blocked", "reason"]
+    exp = response.block_decisions(A.api_log(A.read_events(spark, SF0001), time_scale=60), max_rate=0.05)
+    assert sorted(got.select(*cols).collect()) == sorted(exp.select(*cols).collect())
+
+
+def test_limiter_holds_no_more_than_a_range():
+    """The bound itself, on a state held in dicts."""
+    import pandas as pd
+
+    class Held(dict):
+        largest = 0
+
+        def containsKey(self, k):
+            return k in self
+
+        def getValue(self, k):
+            return (self[k],)
+
+        def updateValue(self, k, v):
+            self[k] = v[0]
+            Held.largest = max(Held.largest, len(v[0]))
+
+        def removeKey(self, k):
+            del self[k]
+
+    class One:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, v):
+            self.value = v
+
+    r = M.RateLimiter(1e9, 5, None, held_rows=100)
+    r.rate, r.waiting = One(), Held()
+    rng = np.random.default_rng(1)
+    seq = rng.permutation(5000)
+    frames = (pd.DataFrame({"seq": s, "ts_us": s * 1000, "auth_fail": s % 9 == 0}) for s in np.array_split(seq, 90))
+    out = list(r.handleInputRows(("ip",), frames, None))
+    assert max(map(len, out)) == 100 and Held.largest == 100 * 17 and not r.waiting
+    whole = pd.concat(out)
+    assert whole["seq"].tolist() == list(range(5000)) and whole["request_count"].tolist() == list(range(1, 5001))
+    assert r.rate.value == (5000, 0, 556)
+
+
+def test_idle_state_expires(spark, tmpdir_path):
+    """With a short time to live an IP starts anew in a later run."""
+    import time
+    src = os.path.join(tmpdir_path, "in")
+    events = A.read_events(spark, SF0001).where("user_id % 32 = 3")
+    events.coalesce(1).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    first = _run_limiter(spark, spark.readStream.schema(schema).parquet(src), tmpdir_path, idle_timeout_ms=2000)
+    n = events.count()
+    assert first.agg(F.max("request_count")).first()[0] == n
+    time.sleep(4)
+    events.coalesce(1).write.mode("append").parquet(src)
+    both = _run_limiter(spark, spark.readStream.schema(schema).parquet(src), tmpdir_path, idle_timeout_ms=2000)
+    assert both.count() == 2 * n and both.agg(F.max("request_count")).first()[0] == n
+
+
+def test_state_files_do_not_grow_and_replays_repeat(spark, tmpdir_path):
+    from logvigil.functions import files
+    state, seen = tmpdir_path + "/state", {}
+
+    def process(batches, epoch, history):
+        rows = sorted(map(tuple, batches.select("seq", "batch_id", "k").collect()))
+        seen.setdefault(epoch, []).append((rows, history.count()))
+
+    fn = M.count_batch_processor(10, state, ["k"], process, history_rows=25)
+    sizes = []
+    for epoch in range(8):
+        df = spark.range(epoch * 17, (epoch + 1) * 17).select(F.col("id").alias("k"))
+        fn(df, epoch)
+        if epoch in (3, 7):
+            fn(df, epoch)  # the epoch is replayed before the next one starts
+        count = 0
+        for root, _, names in os.walk(state):
+            count += sum(n.endswith(".parquet") for n in names)
+        sizes.append(count)
+        assert len(files.names(spark, state)) <= 2
+    assert max(sizes[2:]) <= max(sizes[:3])
+    assert seen[3][0] == seen[3][1] and seen[7][0] == seen[7][1]
+    flat = [r for e in sorted(seen) for r in seen[e][-1][0]]
+    assert [r[0] for r in flat] == list(range(130)) and all(r[1] == r[0] // 10 and r[2] == r[0] for r in flat)
+
+
+def test_a_snapshot_without_its_mark_does_not_count(spark, tmpdir_path):
+    from logvigil.streaming.state_log import StateLog
+    log = StateLog(tmpdir_path + "/s")
+    assert log.before(spark, 0) == (None, {})
+    log.write(0, spark.range(3).toDF("k"), {"next_seq": 3})
+    spark.range(9).toDF("k").write.parquet(log._at(1) + "/rows")  # the writer died here
+    rows, meta = log.before(spark, 2)
+    assert rows.count() == 3 and meta == {"next_seq": 3}
+    with pytest.raises(ValueError):
+        StateLog("x", keep=1)
