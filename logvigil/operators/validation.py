@@ -102,8 +102,9 @@ def unknown_user_events(df: DataFrame, known: DataFrame, user: str = "user") ->
 def session_ip(requests: DataFrame, sessions: DataFrame, session_id: str = "session_id",
                default_ip: str = "127.0.0.1") -> DataFrame:
     """The IP of each request's session (left join on the session id);
-    requests without a known session get ``default_ip``."""
-    s = sessions.select(F.col(session_id).alias("_sid"), F.col("ip_address").alias("_sip"))
+    requests without a known session get ``default_ip``.  A session listed more
+    than once counts once, with its smallest address, so requests stay as many."""
+    s = sessions.groupBy(F.col(session_id).alias("_sid")).agg(F.min("ip_address").alias("_sip"))
     known = requests[session_id].isNotNull()
     # requests without a session id match nothing and do not meet in one task
     j = requests.where(known).join(s, requests[session_id] == s["_sid"], "left")

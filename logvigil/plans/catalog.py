@@ -260,8 +260,7 @@ def q_session_ip(spark, sf):
     """Sessions of two users in three; every tenth request has none."""
     api = _api(spark, sf)
     user = F.concat(F.lit("s"), F.col("user_id").cast("string"))
-    sessions = api.where(F.col("user_id") % 3 != 0).select(
-        user.alias("session_id"), "ip_address").distinct()
+    sessions = api.where(F.col("user_id") % 3 != 0).select(user.alias("session_id"), "ip_address")
     requests = api.select("seq", F.when(F.col("k") % 10 != 0, user).alias("session_id"))
     return validation.session_ip(requests, sessions)
 

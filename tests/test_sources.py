@@ -45,3 +45,42 @@ def test_dense_seq(spark):
     s = with_dense_seq(df.repartition(5), ["t"])
     assert sorted(r.seq for r in s.collect()) == list(range(50))
     assert [r.t for r in s.orderBy("seq").collect()] == sorted(r.t for r in df.collect())
+
+
+def test_append_is_idempotent(spark, tmpdir_path):
+    from logvigil.functions import files
+    from logvigil.sources import sinks
+    path = os.path.join(tmpdir_path, "log")
+    day = lambda d, n: spark.range(n).select(F.col("id").alias("seq"), F.expr(
+        f"timestamp_ntz'2031-05-0{d} 08:00:00'").alias("ts"))
+    assert sinks.append_log(day(1, 5).unionByName(day(2, 4)), path, batch_id="001")
+    assert not sinks.append_log(day(1, 5).unionByName(day(2, 4)), path, batch_id="001")
+    assert sinks.read_log(spark, path).count() == 9
+    # an append that died after writing: not read, and replaced by its retry
+    sinks._write(day(1, 7), path, "b-2", "ts")
+    assert sinks.read_log(spark, path).count() == 9
+    assert sinks.append_log(day(1, 3), path, batch_id=2) and sinks.read_log(spark, path).count() == 12
+    for i in range(3, 9):
+        assert sinks.append_log(day(1, 2), path, batch_id=i)
+    before = sorted(map(tuple, sinks.read_log(spark, path).collect()))
+    assert sinks.compact_log(spark, path, "2031-05-01") == 7  # batch 001 holds another day, too
+    assert sorted(map(tuple, sinks.read_log(spark, path).collect())) == before
+    assert len(files.names(spark, f"{path}/date=2031-05-01")) == 2
+    assert not sinks.append_log(day(1, 2), path, batch_id=5)  # compacted, still known
+    assert sinks.compact_log(spark, path, "2031-05-01") == 0
+    assert sinks.compact_log(spark, path, "1999-01-01") == 0
+    try:
+        sinks.append_log(day(1, 1), path, batch_id="a/b")
+        raise AssertionError("accepted")
+    except ValueError:
+        pass
+
+
+def test_a_session_listed_twice_keeps_requests_single(spark):
+    from logvigil.operators import validation
+    sessions = spark.createDataFrame([("a", "1.1.1.2"), ("a", "1.1.1.1"), ("a", "1.1.1.1"), ("b", None)],
+                                     "session_id string, ip_address string")
+    requests = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c"), (5, None)],
+                                     "seq long, session_id string")
+    got = {r["seq"]: r["session_ip"] for r in validation.session_ip(requests, sessions).collect()}
+    assert got == {1: "1.1.1.1", 2: "1.1.1.1", 3: "127.0.0.1", 4: "127.0.0.1", 5: "127.0.0.1"}
