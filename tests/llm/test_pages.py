@@ -157,3 +157,75 @@ def test_url_labels(spark):
 def test_url_plan_is_native(spark):
     plan = QUERIES["op6_url_filter"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+ARTICLES = {  # markup inside an article, its text
+    '<p>One two</p><p>See <a href=a>one</a> <a href=b>two</a> <a href=c>three</a></p>': "One two See one two three",
+    "<p>One two</p><ul><li>a b<li>c d<li>e f</ul>": "One two a b c d e f",
+    "<p>Intro words here</p><ol><li><a>x</a></li><li><a>y</a></li></ol><p>end</p>": "Intro words here x y end",
+    "<h1>T</h1><table><tr><td>a</td><td><a>b</a></td></tr></table><blockquote><p>q r</p></blockquote>": "T a b q r",
+    "<header><h1>Title</h1></header><figure><img><figcaption>cap tion</figcaption></figure><p>x": "Title cap tion x",
+    "<ul><li><a>only</a><li><a>links</a></ul>": "only links",
+    "<p>A</p><nav><a>prev</a></nav><p>B</p><aside>note</aside><div class=comments><p>no no</p></div><p>C": "A B C",
+    "<dl><dt>term</dt><dd>meaning</dd></dl><pre>code  x</pre><section><h2>s</h2><p>t</p></section>":
+        "term meaning code x s t",
+}
+
+
+def test_whole_articles():
+    menu = "<nav><ul><li><a>Home</a><li><a>More</a></ul></nav><div class=ad>Buy this now</div>"
+    model = H.learn([f"{menu}<article><h1>a b</h1><p>c <b>d</b> e</p><p>f</p></article><footer>x</footer>"] * 9)
+    wraps = ("%s", "<form action=/>%s</form>", "<div class='story widget'>%s</div>", "<div><div><div>%s</div></div></div>")
+    for tag in ("article", "main"):
+        for wrap in wraps:
+            for inside, want in ARTICLES.items():
+                page = f"<body>{menu}" + wrap % f"<{tag}>{inside}</{tag}>" + "<footer>all rights</footer>"
+                for m in (None, model):
+                    assert H.extract(page, m) == want, (wrap, inside, m is None)
+
+
+def test_pages_without_an_article_element():
+    menu = "<nav><ul><li><a>Home</a></ul></nav>"
+    text = "<h1>Head</h1><div><div><p>One two three four</p></div></div><p>five six</p>"
+    model = H.learn([f"{menu}<article><h1>a b</h1><p>c d e</p></article>"] * 5)
+    for wrap in ("%s", "<form>%s</form>", "<div class='story widget'>%s</div>", "<div class=related-science>%s</div>",
+                 "<form><fieldset><div class=widget>%s</div></fieldset></form>"):
+        for m in (None, model):
+            page = f"{menu}{wrap % text}<form><p>Your mail</p></form><footer>foot</footer>"
+            assert H.extract(page, m) == "Head One two three four five six", wrap
+    page = f"{text}<div class=comments><p>{'very long comment ' * 40}</p></div>"
+    assert H.extract(page, model) == "Head One two three four five six"
+
+
+def test_malformed_markup_takes_linear_time():
+    import time
+    size = 1_000_000
+    forms = ["<script", "<b", "<a ", "<", "</", "<!--", "<!", "<a href=\"", "<a href='x\" ", "<a b='", "&#1", "&",
+             "<div>", "</x>", "<svg><g>", "<b<b \"", "'\"<i ", "<p class=a", "</script ", "<script></script", "<li>", "<form>",
+             "<svg><foreignobject>", "<div class=widget>", "<b\" '", "<textarea>", "<!-- --", "x=\"'", "<td\n"]
+    for form in forms:
+        for page in (form * (size // len(form)), form * (size // len(form)) + ">", "<div>" * 30_000 + form * 100_000,
+                     "<b" + form * (size // len(form)) + "\"'>"):
+            started = time.time()
+            H.extract(page, None)
+            assert time.time() - started < 12, form
+    started = time.time()
+    H.extract("<b" + "b" * size, None)
+    H.extract("<p>&#" + "9" * size + ";&#x" + "f" * 10_000 + ";&#" + "0" * 9_000 + "65;", None)
+    assert time.time() - started < 12
+    assert H.extract("<p>a &#0000000000000065; &#99999999999; &#0000000000000; z", None) == "a A � � z"
+
+
+def test_equal_pages_teach_once(spark):
+    page = "<article><p>a b</p></article>"
+    df = spark.createDataFrame([(1, page)] * 3000 + [(i, f"<article><p>a{i}</p></article>") for i in range(50)]
+                               + [(9, "<article>" + "<p>x</p>" * 20_000)], "page_id long, html string")
+    seen = []
+    old, H.learn = H.learn, lambda pages: seen.extend(pages)
+    try:
+        H.fit(df, sample_pages=20)
+        assert len(seen) == 20 == len(set(seen))
+        H.fit(df.where("length(html) > 70000"), sample_pages=20)
+        assert len(seen) == 21 and len(seen[-1]) == H.SAMPLE_HTML_BYTES
+    finally:
+        H.learn = old
