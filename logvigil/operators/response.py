@@ -191,27 +191,26 @@ def idle_sessions(df: DataFrame, key: str, gap_s: int = 1800, ts: str = "ts",
     the gap to the key's previous event is >= ``gap_s``; a session ends
     ``gap_s`` after its last event.
 
-    Gaps-and-islands on chunks of each key (``order`` must follow ``ts``; see
-    :mod:`logvigil.operators.keyed`): session starts are numbered within a
-    chunk, and one row per (key, chunk) -- its first and last time and its
-    starts -- gives each chunk's offset and whether its first row opens a
-    session.  One window, one join, then a partial-aggregated group by."""
+    Gaps-and-islands per key (``order`` must follow ``ts``): session starts are
+    numbered by a plain window; a hot key's within its chunks
+    (:mod:`logvigil.operators.keyed`), and one row per chunk of a hot key -- its
+    first and last time and its starts -- gives each chunk's offset and whether
+    its first row opens a session."""
     us, gap = epoch_us(F.col(ts)), F.lit(gap_s * 1_000_000)
-    d = df.select(key, ts, us.alias("_us"), F.col(order).alias("_o"),
-                  F.floor(F.col(order) / F.lit(chunk_rows)).cast("long").alias("_chunk"))
-    w = Window.partitionBy(key, "_chunk").orderBy("_o")
+    d = keyed._with_chunk(df.select(key, ts, us.alias("_us"), F.col(order).alias("_o")), key, "_o", chunk_rows)
+    by = [keyed._KEY, keyed._CH]
+    w = Window.partitionBy(*by).orderBy("_o")
     d = d.withColumn("_new", flag((F.col("_us") - F.lag("_us").over(w)) >= gap))
     d = d.withColumn("_sid", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    per = d.groupBy(key, "_chunk").agg(F.min_by("_us", "_o").alias("_first"),
-                                       F.max_by("_us", "_o").alias("_last"),
-                                       F.sum("_new").alias("_starts"))
-    c = Window.partitionBy(key).orderBy("_chunk")
+    per = d.where(keyed._HOT).groupBy(*by).agg(F.min_by("_us", "_o").alias("_first"),
+                                               F.max_by("_us", "_o").alias("_last"),
+                                               F.sum("_new").alias("_starts"))
+    c = Window.partitionBy(keyed._KEY).orderBy(keyed._CH)
     opens = F.coalesce(((F.col("_first") - F.lag("_last").over(c)) >= gap).cast("long"), F.lit(1))
     per = per.withColumn("_opens", opens)
-    per = per.select(F.col(key).alias("_key"), F.col("_chunk").alias("_c"), (F.sum(
-        F.col("_starts") + F.col("_opens")).over(c) - F.col("_starts")).alias("_offset"))
-    d = d.join(per, d[key].eqNullSafe(per["_key"]) & (d["_chunk"] == per["_c"]))
-    return d.groupBy(key, (F.col("_offset") + F.col("_sid")).alias("_sid")).agg(
+    per = per.select(*by, (F.sum(F.col("_starts") + F.col("_opens")).over(c) - F.col("_starts")).alias("_offset"))
+    d = keyed._join_back(d, per)
+    return d.groupBy(key, (F.coalesce("_offset", F.lit(1)) + F.col("_sid")).alias("_sid")).agg(
         F.min(ts).alias("session_start"),
         F.timestamp_add("SECOND", F.lit(gap_s), F.max(ts)).alias("session_end"),
         F.count(F.lit(1)).alias("n_events")).drop("_sid")

@@ -95,3 +95,28 @@ def test_running_sums_firsts(spark):
     w = Window.partitionBy("k").orderBy("seq")
     exp = df.withColumn("ft", F.first("t").over(w))
     assert sorted(got.select("seq", "ft").collect()) == sorted(exp.select("seq", "ft").collect())
+
+
+def test_only_hot_keys_are_chunked(spark):
+    """One key with most rows among a hundred thousand cold ones: the table of
+    offsets holds the hot key's chunks and nothing else."""
+    n = 200_000
+    df = spark.range(n).select(F.col("id").alias("seq"), F.when(F.col("id") % 2 == 0, F.lit("hot")).when(
+        F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id").cast("string")).alias("k"))
+    heavy = {r["_hk"] for r in keyed.heavy_hitters(df, "k", chunk_rows=10_000).collect()}
+    assert heavy == {"=hot", ""}  # the NULL key holds a fourteenth of the rows
+    d = keyed._with_chunk(df, "k", "seq", 10_000)
+    chunks = d.groupBy("_hot", "_key").agg(F.countDistinct("_chunk").alias("c"), F.max("_chunk").alias("m"))
+    per = {r["_key"]: r["c"] for r in chunks.where("_hot").collect()}
+    assert set(per) == heavy and 8 <= per["=hot"] <= 25
+    assert chunks.where("NOT _hot AND (c <> 1 OR m <> -1)").count() == 0
+    got = keyed.running_sums(df, "k", {"c": F.lit(1).cast("long")}, chunk_rows=10_000, firsts={"f": F.col("seq")})
+    w = Window.partitionBy("k").orderBy("seq")
+    exp = df.withColumns({"c": F.count(F.lit(1)).over(w), "f": F.first("seq").over(w)})
+    assert got.exceptAll(exp.select(got.columns)).count() == 0 and got.count() == n
+
+
+def test_empty_log(spark):
+    df = _data(spark).limit(0)
+    assert keyed.running_sums(df, "k", {"c": F.lit(1).cast("long")}).count() == 0
+    assert keyed.previous_value(df, "k", "p", F.col("t")).count() == 0
