@@ -413,11 +413,15 @@ def fit(pages: DataFrame, key: str = "page_id", html: str = "html",
     than ``sample_pages`` texts reach the driver; where pages are longer than
     ``SAMPLE_HTML_BYTES``, their first bytes are read."""
     h = F.col(html).cast("string")
-    long_ = F.octet_length(h) > SAMPLE_HTML_BYTES
-    drawn = pages.where(h.isNotNull()).select(long_.cast("int").alias("_long"), F.xxhash64(h, F.lit("draw")).alias("_u"),
-                                              F.substring(h, 1, SAMPLE_HTML_BYTES).alias("_h"))
-    rows = drawn.groupBy("_long", "_u").agg(F.first("_h").alias("_h")).orderBy("_long", "_u").limit(sample_pages)
-    return learn([r["_h"] for r in rows.collect()])
+    drawn = pages.where(h.isNotNull()).select(
+        (F.octet_length(h) > SAMPLE_HTML_BYTES).alias("_long"), F.xxhash64(h, F.lit("draw")).alias("_u"), h.alias("_h"))
+    # hashes first, so that only the sample's own pages are read on
+    wanted = drawn.select("_long", "_u").distinct().orderBy("_long", "_u").limit(sample_pages).collect()
+    if not wanted:
+        return None
+    rows = drawn.where(F.col("_u").isin([r["_u"] for r in wanted])) \
+        .groupBy("_long", "_u").agg(F.first(F.substring("_h", 1, SAMPLE_HTML_BYTES)).alias("_h"))
+    return learn([r["_h"] for r in rows.orderBy("_long", "_u").collect()])
 
 
 def extract_pages(pages: DataFrame, model: dict | None, key: str = "page_id", url: str = "url",
