@@ -2,10 +2,11 @@
 character 1- to 3-grams, trained by follow-the-regularised-leader with an
 elastic net, then temperature-scaled.
 
-The model is fitted on a bounded sample of labelled rows: at most about
-``sample_rows`` in all, evenly over the languages, drawn by a hash of the key,
-texts of up to ``sample_text_bytes`` (whole texts, never prefixes).  Every
-document's whole text is scored.  A feature's value is its relative count times
+The model is fitted on a bounded sample of labelled rows: at most
+``sample_rows`` different ones, evenly over the languages, drawn by a hash of key
+and text, texts beyond ``SAMPLE_TEXT_BYTES`` only where a language has too few
+others (then their beginnings are learned from).  Every document's whole text is
+scored.  A feature's value is its relative count times
 its inverse document frequency in the sample.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
@@ -16,11 +17,12 @@ result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logvigil.llm.linear import (SLOT_BITS, Ftrl, char_families, code_points, family_means, softmax,
@@ -39,16 +41,34 @@ def in_fold(key: str, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def balanced_sample(rows: DataFrame, label: str, key: str, most: int) -> tuple[list, dict]:
-    """(rows drawn, rows there are by label): about ``most`` rows in all and
-    the same number of each label, chosen by a hash of the key."""
+def balanced_sample(rows: DataFrame, label: str, most: int, key: str = "k",
+                    text: str = "text") -> tuple[list, dict]:
+    """(rows drawn, rows there are by label): at most ``most`` different rows in
+    all, the same number of each label, those of the smallest hash of key and
+    text; texts of more than ``SAMPLE_TEXT_BYTES`` come last, and only their
+    beginnings are learned from.
+
+    Equal rows are one, so a repeated row is drawn once however often it is
+    there, and hashes are drawn before any text is."""
     there = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # one row per label
     if not there:
         return [], {}
-    share = F.create_map(*[F.lit(x) for v, n in there.items()
-                           for x in (v, min(1.0, most / len(there) / n))])
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit("draw")), F.lit(1 << 20)) / float(1 << 20)
-    return rows.where(draw < share[F.col(label)]).collect(), there
+    per = -(-most // len(there))
+    d = rows.select(F.col(label), F.col(key), F.col(text), (F.octet_length(text) > SAMPLE_TEXT_BYTES).alias("_long"),
+                    F.xxhash64(key, text, F.lit("draw")).alias("_u"))
+    lowest = Window.partitionBy(label).orderBy("_long", "_u")
+    share = F.create_map(*[F.lit(x) for v, n in there.items() for x in (v, min(1.0, 4.0 * per / n))])
+    part = F.pmod(F.col("_u"), F.lit(1 << 30)) / float(1 << 30)
+    for few in (d.where(part < share[F.col(label)]), d):  # the same draw, from fewer rows if those suffice
+        few = few.withColumn("_u", F.struct(part.alias("p"), F.col("_u").alias("u")))
+        ids = few.select(label, "_long", "_u").distinct() \
+            .withColumn("_i", F.row_number().over(lowest)).where(F.col("_i") <= per).collect()
+        got = Counter(r[label] for r in ids if not r["_long"])
+        if all(got[v] >= per for v in there):
+            break
+    drawn = d.where(F.col("_u").isin([r["_u"]["u"] for r in ids])).groupBy(label, "_u").agg(
+        F.first(key).alias(key), F.first(F.substring(text, 1, SAMPLE_TEXT_BYTES)).alias(text))
+    return drawn.collect(), there
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
@@ -56,9 +76,8 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """A model of labelled rows (null labels and texts are left out)."""
     rows = labelled.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"),
                            F.col(lang).cast("string").alias("lang")) \
-        .where("k is not null and text is not null and lang is not null") \
-        .where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
-    drawn, there = balanced_sample(rows, "lang", "k", sample_rows)
+        .where("k is not null and text is not null and lang is not null")
+    drawn, there = balanced_sample(rows, "lang", sample_rows)
     drawn.sort(key=lambda r: (r["k"], r["text"]))
     langs = sorted(there)
     if not drawn:

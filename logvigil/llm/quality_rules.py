@@ -1,9 +1,10 @@
 """Document quality: plain text counts, base rules, and a hashed word and
 character n-gram logistic regression with calibrated probabilities.
 
-The model is fitted on a bounded sample of labelled rows: about
-``sample_rows``, half of each label, drawn by a hash of the key, texts of up to
-``SAMPLE_TEXT_BYTES`` (whole texts).  Sample weights restore the labels' real
+The model is fitted on a bounded sample of labelled rows: at most
+``sample_rows`` different ones, half of each label, drawn by a hash of key and
+text, texts beyond ``SAMPLE_TEXT_BYTES`` only where a label has too few others
+(then their beginnings are learned from).  Sample weights restore the labels' real
 shares when the probabilities are calibrated (Platt scaling on a held-out
 fifth).  Every document is scored in Arrow batches against a fixed threshold.
 
@@ -78,16 +79,15 @@ def text_counts(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
         quality: str = "quality", sample_rows: int = SAMPLE_ROWS) -> dict | None:
     lab = labels.select(F.col(key).alias("k"), F.col(quality).cast("int").alias("y")) \
-        .where("k is not null and y in (0, 1)")
-    there = {r[0]: r[1] for r in lab.groupBy("y").count().collect()}  # two rows
+        .where("k is not null and y in (0, 1)").distinct()
+    # keys first (with a text that tells them apart), then the texts of the drawn keys
+    keys, there = balanced_sample(lab.withColumn("text", F.lit("")), "y", sample_rows)
     if len(there) < 2:
         return None
-    drawn, _ = balanced_sample(lab, "y", "k", sample_rows)
-    spark = docs.sparkSession
-    want = spark.createDataFrame([(r["k"], r["y"]) for r in drawn], "k long, y int")
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("text")) \
-        .where("text is not null").where(F.octet_length("text") <= SAMPLE_TEXT_BYTES) \
-        .join(F.broadcast(want), "k").collect()  # at most about sample_rows rows
+    want = docs.sparkSession.createDataFrame([(r["k"], r["y"]) for r in keys], "k long, y int")
+    rows, _ = balanced_sample(
+        docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("text"))
+        .where("text is not null").join(F.broadcast(want), "k"), "y", sample_rows)
     rows.sort(key=lambda r: (r["k"], r["y"], r["text"]))
     y = np.array([r["y"] for r in rows])
     if len(set(y.tolist())) < 2:

@@ -91,3 +91,33 @@ def test_quality_odd_rows(spark, make_docs):
     none = labels.where("false")
     assert all(r.quality is None for r in Q.judge(docs, Q.fit(docs, none)).collect())
     assert Q.judge(docs.where("false"), None).count() == 0
+
+
+def test_sample_is_bounded_whatever_repeats(spark, make_docs):
+    """One repeated row, one key of many texts, texts beyond the size bound."""
+    rows = [(1, "the same text")] * 4000 + [(2, f"text {i}") for i in range(500)] + [(i, f"t {i}") for i in range(3, 90)]
+    docs = make_docs(rows)
+    d = docs.selectExpr("doc_id k", "text", "lang")
+    drawn, there = L.balanced_sample(d, "lang", 50)
+    assert len(drawn) == 50 and there == {"en": 4587} and len({(r["k"], r["text"]) for r in drawn}) == 50
+    again, _ = L.balanced_sample(d.repartition(7), "lang", 50)
+    assert {(r["k"], r["text"]) for r in again} == {(r["k"], r["text"]) for r in drawn}
+    few, _ = L.balanced_sample(d.where("k = 1"), "lang", 50)
+    assert len(few) == 1
+    labels = spark.createDataFrame([(1, 1)] * 900 + [(2, 0)] * 900 + [(3, 1)], "doc_id long, quality int")
+    seen = []
+    old, Q.sparse_texts = Q.sparse_texts, lambda texts, f: seen.append(texts) or old(texts, f)
+    try:
+        assert Q.fit(docs, labels, sample_rows=40) is not None
+    finally:
+        Q.sparse_texts = old
+    assert len(seen[0]) <= 40
+
+
+def test_only_long_texts_still_give_a_model(make_docs):
+    from pyspark.sql import functions as F
+    long_ = lambda w: (w + " ") * 30_000
+    docs = make_docs([(i, long_("the and" if i % 2 else "der und")) for i in range(12)]) \
+        .withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "en").otherwise("de"))
+    out = {r.doc_id: r.lang_pred for r in L.fit_predict(docs).collect()}
+    assert out == {i: "en" if i % 2 else "de" for i in range(12)}
