@@ -211,7 +211,7 @@ def _blocks(benchmark: DataFrame, item: str, item_text: str, block_bytes: int):
     each is collected alone."""
     bench = benchmark.select(F.col(item).cast("string").alias("item"),
                              F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t")) \
-        .where(F.col("item").isNotNull())
+        .where(F.col("item").isNotNull()).distinct()  # a repeated row is one item
     size = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = int(size // block_bytes) + 1
     for i in range(blocks):

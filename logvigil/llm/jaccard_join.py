@@ -321,7 +321,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
 
     # elements that two groups hold, or two classes of one group, and of just
     # two, at places that fit (two rows' places are the least and the greatest)
-    held = _prefixes(texts, width, percent, sketch).repartition("token").groupBy("token").agg(
+    held = _prefixes(texts, width, percent, sketch).groupBy("token").agg(
         F.count(F.lit(1)).alias("rows"), F.min("member").alias("x"), F.max("member").alias("y"),
         F.min("place").alias("p"), F.max("place").alias("q")).where("x != y")
 

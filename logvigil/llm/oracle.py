@@ -1,7 +1,6 @@
 """DuckDB SQL of the subpackage's queries, where SQL can express them."""
 
-from logvigil.llm.url_filter import (ALPHA, DEPTH, MANY_BRANCHES, MANY_SHARE, MIN_PURITY, RULES,
-                                     Z2)
+from logvigil.llm.url_filter import ALPHA, MANY_BRANCHES, MANY_SHARE, MIN_PURITY, RULES, Z2
 
 ORACLE: dict[str, str] = {}
 
@@ -70,44 +69,40 @@ FROM d LEFT JOIN size USING (r) LEFT JOIN comp USING (r)
 
 
 def _url_sql() -> str:
+    """Level by level as deep as the paths go; the tree's counts are windows over
+    the urls that have not ended."""
     fits = [(v, h, p) for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))]
     when = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN "
             for _, h, p in fits]
     rule = " ".join(w + f"'{h}{p}'" for w, (_, h, p) in zip(when, fits))
     verdict = " ".join(w + f"'{v}'" for w, (v, _, _) in zip(when, fits))
-    cols = ", ".join(
-        f"CASE WHEN regexp_matches(coalesce(segs[{i}], ''), '^[0-9]+(\\.[A-Za-z]+)?$') THEN '*' "
-        f"ELSE coalesce(segs[{i}], '') END AS s{i}" for i in range(1, DEPTH + 1))
     low = _LOWER.format(t=r"regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")
-    ctes = [
-        "lab AS (SELECT doc_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) "
-        "AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id)",
-        f"u AS (SELECT row_number() OVER () AS r, page_id, {low} AS host, coalesce(regexp_extract(url, "
-        "'(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)",
-        "v AS (SELECT u.*, good, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs FROM u "
-        r"LEFT JOIN lab ON doc_id = TRY_CAST(regexp_extract(path, '/([0-9]{1,18})(?:\.[A-Za-z]+)?/?$', 1) "
-        "AS BIGINT))",
-        f"t0 AS (SELECT r, page_id, host, path, good, {cols}, CASE WHEN len(segs) > {DEPTH} THEN '/**' "
-        "ELSE '' END AS tail, '' AS p FROM v)"]
-    for i in range(1, DEPTH + 1):
-        ctes += [
-            f"n{i} AS (SELECT host, p, s{i} AS s, count(*) AS n, count(good) AS lab, "
-            f"coalesce(sum(good), 0) AS good FROM t{i - 1} GROUP BY host, p, s{i})",
-            f"m{i} AS (SELECT *, count(*) OVER w AS kids, sum(n) OVER w AS an, sum(lab) OVER w AS al, "
-            f"sum(good) OVER w AS ag FROM n{i} WINDOW w AS (PARTITION BY host, p))",
-            f"g{i} AS (SELECT *, CASE WHEN lab = 0 OR al = lab OR ag = 0 OR ag = al THEN true ELSE "
-            f"power(good::DOUBLE / lab - (ag - good)::DOUBLE / (al - lab), 2) < {Z2} * ((ag::DOUBLE / al) * "
-            f"(1 - ag::DOUBLE / al) * (1::DOUBLE / lab + 1::DOUBLE / (al - lab))) END AS alike FROM m{i})",
-            f"t{i} AS (SELECT t.* REPLACE (CASE WHEN s = '' THEN t.p ELSE t.p || '/' || CASE WHEN s = '*' OR "
-            f"(kids > 1 AND (alike OR (kids >= {MANY_BRANCHES} AND kids > {MANY_SHARE} * an))) THEN '*' "
-            f"ELSE s END END AS p) FROM t{i - 1} t JOIN g{i} ON t.host = g{i}.host AND t.p = g{i}.p "
-            f"AND t.s{i} = g{i}.s)"]
-    ctes += [
-        f"tpl AS (SELECT *, p || tail AS template FROM t{DEPTH})",
-        "pur AS (SELECT host, template, count(good) AS l, coalesce(sum(good), 0) AS g FROM tpl "
-        "GROUP BY host, template)",
-        "pri AS (SELECT coalesce(sum(g)::DOUBLE / nullif(sum(l), 0), 1.0) AS q FROM pur)"]
-    return "WITH " + ",\n".join(ctes) + f"""
+    return f"""
+WITH RECURSIVE lab AS (
+  SELECT doc_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS good
+  FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+u AS (SELECT row_number() OVER () AS r, page_id, {low} AS host,
+             coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+v AS (SELECT u.*, good, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x:
+             CASE WHEN regexp_matches(x, '^[0-9]+(\\.[A-Za-z]+)?$') THEN '*' ELSE x END) AS segs
+      FROM u LEFT JOIN lab ON doc_id = TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})(?:\\.[A-Za-z]+)?/?$', 1)
+                                               AS BIGINT)),
+t AS (
+  SELECT r, host, segs, good, 0 AS level, '' AS p, false AS done FROM v
+  UNION ALL
+  SELECT r, host, segs, good, level + 1, CASE WHEN s = '' THEN p ELSE p || '/' || CASE WHEN s = '*' OR (kids > 1
+           AND (alike OR (kids >= {MANY_BRANCHES} AND kids > {MANY_SHARE} * an))) THEN '*' ELSE s END END, s = ''
+  FROM (SELECT *, CASE WHEN lab = 0 OR al = lab OR ag = 0 OR ag = al THEN true ELSE
+               power(gd::DOUBLE / lab - (ag - gd)::DOUBLE / (al - lab), 2) < {Z2} * ((ag::DOUBLE / al) *
+               (1 - ag::DOUBLE / al) * (1::DOUBLE / lab + 1::DOUBLE / (al - lab))) END AS alike
+        FROM (SELECT *, count(good) OVER ns AS lab, coalesce(sum(good) OVER ns, 0) AS gd, count(*) OVER np AS an,
+                     count(good) OVER np AS al, coalesce(sum(good) OVER np, 0) AS ag, max(rank) OVER np AS kids
+              FROM (SELECT *, dense_rank() OVER (PARTITION BY host, p ORDER BY s) AS rank
+                    FROM (SELECT *, coalesce(segs[level + 1], '') AS s FROM t WHERE NOT done))
+              WINDOW ns AS (PARTITION BY host, p, s), np AS (PARTITION BY host, p)))),
+tpl AS (SELECT v.*, t.p AS template FROM t JOIN v USING (r) WHERE done),
+pur AS (SELECT host, template, count(good) AS l, coalesce(sum(good), 0) AS g FROM tpl GROUP BY host, template),
+pri AS (SELECT coalesce(sum(g)::DOUBLE / nullif(sum(l), 0), 1.0) AS q FROM pur)
 SELECT page_id, host, path, CASE {rule} END AS rule,
        CASE {verdict} WHEN (g + {ALPHA} * q) / (l + {ALPHA}) < {MIN_PURITY} THEN 'block' ELSE 'allow' END
        AS verdict, template

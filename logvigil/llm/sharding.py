@@ -13,7 +13,6 @@ rows each get a slot of their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logvigil.llm.textkit import durable, parts
+from logvigil.llm.textkit import durable
 
 ROW_OVERHEAD = 8
 
@@ -55,17 +54,17 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
 def assign_shards(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
                   keep_text: bool = False) -> DataFrame:
     """Rows (key, size, text_crc32, shard, grown_shard[, text])."""
-    src = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("text"))
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    src = df.select(F.col(key).cast("long").alias("k"), (F.octet_length(t) + ROW_OVERHEAD).cast("long").alias("size"),
+                    F.crc32(t.cast("binary")).alias("text_crc32"), *([F.col(text).cast("string").alias("text")]
+                                                                     if keep_text else []))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts(batches):
-            texts = [(t or "").encode() for t in b.column("text").to_pylist()]
+        for b in batches:
             ids = mix64(b.column("k").fill_null(0).to_numpy(zero_copy_only=False))
-            out = {"k": b.column("k"),
-                   "size": pa.array([len(t) + ROW_OVERHEAD for t in texts], pa.int64()),
-                   "text_crc32": pa.array([zlib.crc32(t) for t in texts], pa.int64()),
-                   "shard": pa.array(jump_hash(ids, shards), pa.int32()),
-                   "grown_shard": pa.array(jump_hash(ids, shards + 1), pa.int32())}
+            out = {n: b.column(n) for n in ("k", "size", "text_crc32")}
+            out |= {"shard": pa.array(jump_hash(ids, shards), pa.int32()),
+                    "grown_shard": pa.array(jump_hash(ids, shards + 1), pa.int32())}
             if keep_text:
                 out["text"] = b.column("text")
             yield pa.RecordBatch.from_pydict(out)

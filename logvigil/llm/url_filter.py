@@ -5,17 +5,18 @@ wins).  Every other url is judged by its template:
 
 1. Urls are counted by host and path segments; purely numeric segments are
    wildcards at once.
-2. Level by level, as deep as paths go, the children of a node become wildcards
+2. Branching by branching, as deep as paths go, the children of a node become wildcards
    where there are too many for their rows (variable segments), and where their
    labelled purity does not differ significantly from their siblings' (a
    two-proportion z test); branches under one wildcard are merged.
 3. A template's purity is smoothed towards the corpus's:
    (good + ALPHA * p) / (labelled + ALPHA); below ``MIN_PURITY`` it is blocked.
 
-A path that is alone under its node keeps its remaining segments and leaves the
-loop, as do paths that end; so there are as many rounds as the longest branch has
-segments that two paths share.  Counts meet in partial sums; joins are on (host,
-prefix, segment) and left to adaptive execution, which splits hot keys.
+Segments that all paths under a node share (the common beginning of the least
+and the greatest of what remains of them) are taken in one step, and so is a path
+that is alone; rounds count branchings, not segments.  Counts meet in partial
+sums; joins are on (host, prefix, segment) and left to adaptive execution, which
+splits hot keys.
 
 Defined results: a null url or one without ``://`` has empty host and path;
 null labels are unlabelled rows; without labels every template is allowed;
@@ -34,7 +35,6 @@ from logvigil.llm.textkit import durable
 # (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DEPTH = 3                  # levels that the SQL writes out (oracle.py); the operator has no such limit
 MANY_BRANCHES = 8          # children of a node
 MANY_SHARE = 0.3           # children per row
 Z2 = 6.635                 # squared z of the 1 % level
@@ -67,20 +67,36 @@ def _segments(path: Column) -> Column:
     return F.transform(segs, lambda s: F.when(s.rlike(r"^[0-9]+(\.[A-Za-z]+)?$"), F.lit("*")).otherwise(s))
 
 
+def _shared(a: Column, b: Column) -> Column:
+    """How many leading entries two arrays share."""
+    differ = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+    return F.when(differ == 0, F.size(a)).otherwise(differ - 1).cast("int")
+
+
+def _under(p: Column, segs: Column) -> Column:
+    return F.concat(p, F.when(F.size(segs) > 0, F.concat(F.lit("/"), F.array_join(segs, "/"))).otherwise(F.lit("")))
+
+
 def build_templates(urls: DataFrame) -> DataFrame:
     """(host, segs) -> template, lab, good of its template; from rows (host,
     segs, good: 1, 0 or null)."""
-    tree = durable(urls.groupBy("host", "segs").agg(
-        F.count(F.lit(1)).alias("n"), F.count("good").alias("lab"),
-        F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("good")).withColumn("p", F.lit("")))
     sums = [F.sum(c).alias(c) for c in ("n", "lab", "good")]
-    finished, level = [], 0
-    while (tree.agg(F.max(F.size("segs"))).first()[0] or 0) > level:
-        level += 1
-        tree = tree.withColumn("s", F.coalesce(F.get("segs", F.lit(level - 1)), F.lit("")))
-        node = tree.groupBy("host", "p", "s").agg(F.count(F.lit(1)).alias("paths"), *sums)
+    tree = urls.groupBy("host", "segs").agg(
+        F.count(F.lit(1)).alias("n"), F.count("good").alias("lab"),
+        F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("good")) \
+        .withColumns({"p": F.lit(""), "rest": F.col("segs")})
+    cols = ["host", "segs", "n", "lab", "good", "p", "rest"]
+    finished = []
+    while True:
+        # what all paths under a node share
+        ends = tree.groupBy("host", "p").agg(_shared(F.min("rest"), F.max("rest")).alias("k"))
+        far = tree.join(ends, ["host", "p"]).select(
+            "host", "segs", "n", "lab", "good", _under(F.col("p"), F.slice("rest", F.lit(1), F.col("k"))).alias("p"),
+            F.slice("rest", F.col("k") + 1, F.size("rest")).alias("rest"))
+        far = durable(far.withColumn("s", F.coalesce(F.get("rest", F.lit(0)), F.lit(""))))
+        node = far.groupBy("host", "p", "s").agg(*sums)
         all_ = node.groupBy("host", "p").agg(
-            F.count(F.lit(1)).alias("kids"), F.sum("paths").alias("all_paths"), F.sum("n").alias("all_n"),
+            F.count(F.lit(1)).alias("kids"), F.sum("n").alias("all_n"),
             F.sum("lab").alias("all_lab"), F.sum("good").alias("all_good"))
         node = node.join(all_, ["host", "p"])
         rest = F.col("all_lab") - F.col("lab")
@@ -93,17 +109,16 @@ def build_templates(urls: DataFrame) -> DataFrame:
         wild = (F.col("s") == "*") | ((F.col("kids") > 1) & (variable | alike))
         name = F.when(F.col("s") == "", F.col("p")).otherwise(
             F.concat("p", F.lit("/"), F.when(wild, F.lit("*")).otherwise(F.col("s"))))
-        node = node.select("host", "p", "s", name.alias("to"), (F.col("all_paths") == 1).alias("alone"))
-        below = F.slice("segs", level + 1, F.greatest(F.size("segs") - level, F.lit(0)))
-        tree = durable(tree.join(node, ["host", "p", "s"]).select(
-            "host", "segs", "n", "lab", "good",
-            F.when(F.col("alone") & (F.size("segs") > level), F.concat("to", F.lit("/"), F.array_join(below, "/")))
-            .otherwise(F.col("to")).alias("p"),
-            (F.col("alone") | (F.col("s") == "")).alias("done")))
-        finished.append(tree.where("done"))
-        tree = tree.where("not done").drop("done")
+        step = far.join(node.select("host", "p", "s", name.alias("to")), ["host", "p", "s"]).select(
+            "host", "segs", "n", "lab", "good", F.col("to").alias("p"),
+            F.slice("rest", F.lit(2), F.size("rest")).alias("rest"), (F.col("s") == "").alias("done"))
+        step = durable(step)
+        finished.append(step.where("done"))
+        tree = step.where("not done").select(*cols)
+        if not tree.limit(1).count():
+            break
     tree = functools.reduce(DataFrame.union, [t.select("host", "segs", F.col("p").alias("template"), "lab", "good")
-                                              for t in [*finished, tree]])
+                                              for t in finished])
     total = tree.groupBy("host", "template").agg(F.sum("lab").alias("_lab"), F.sum("good").alias("_good"))
     return tree.select("host", "segs", "template").join(total, ["host", "template"])
 

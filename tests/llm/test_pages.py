@@ -145,6 +145,38 @@ def test_deep_urls(spark):
         assert r.verdict == ("block" if "/spam/" in r.url else "allow"), r
 
 
+def test_shared_segments_take_one_round(spark):
+    """Two urls that share 500 segments, and a chain with ends on the way."""
+    import time
+    stem = "/".join(f"s{i}" for i in range(500))
+    rows = [(f"http://a.net/{stem}/x", 1), (f"http://a.net/{stem}/y", 0), (f"http://b.net/{stem}", 1),
+            ("http://b.net/s0/s1", 1), ("http://b.net/s0/s1/s2/7/s4", 0), ("http://b.net/s0/s1/s2/8/s4", None)]
+    df = spark.createDataFrame([(i, u, g) for i, (u, g) in enumerate(rows)], "page_id long, url string, lab int")
+    started = time.time()
+    out = U.filter_urls(df, good="lab").orderBy("page_id").collect()
+    assert [(r.host, r.path, r.template, r.rule, r.verdict) for r in out] == U.brute_force(rows)
+    assert time.time() - started < 60
+
+
+def test_sql_goes_as_deep_as_the_query(spark, tmp_path):
+    import duckdb
+
+    from logvigil.llm.oracle import ORACLE
+    from tools.oracle_check import compare
+    rng = random.Random(4)
+    pages = [(i, f"http://{rng.choice(['x', 'y'])}.net/" + "/".join(rng.choices("abc", k=rng.randrange(1, 7)))
+              + rng.choice(["", f"/{i}", f"/t{i % 7}/{i}.html"])) for i in range(500)]
+    labels = [(i, int(rng.random() < (0.2 if "/b/" in pages[i][1] else 0.9)), 0) for i in range(400)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = QUERIES["op6_url_filter"](spark, str(tmp_path)).toPandas()
+    assert compare(got, con.sql(ORACLE["op6_url_filter"]).df()) == []
+    assert got["template"].str.count("/").max() > 5
+
+
 def test_url_labels(spark):
     pages = spark.createDataFrame([(1, "h://a/en/5"), (2, "h://a/en/6.html?x"), (3, "h://a/5/b"), (4, None),
                                    (5, "h://a/7/")], "page_id long, url string")

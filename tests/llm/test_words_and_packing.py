@@ -205,3 +205,11 @@ def test_query_survives_long_white_space(make_docs):
     out = P.pack_documents(make_docs(docs), TOK).toPandas()
     assert out.groupby("doc_id")["length"].sum().tolist() == out.groupby("doc_id")["doc_tokens"].max().tolist()
     assert set(out["doc_id"]) == {1, 2, 3} and len(out) > 3
+
+
+def test_repeated_benchmark_rows_are_one(spark, make_docs):
+    bench = spark.createDataFrame([("a", "one two three four")] * 5000 + [("b", "x y")], "item_id string, text string")
+    blocks = list(D._blocks(bench, "item_id", "text", 1 << 20))
+    assert [sorted(b) for b in blocks] == [[("a", "one two three four"), ("b", "x y")]]
+    out = D.digest(D.find_contamination(make_docs([(1, "one two three four five"), (2, "y x")]), bench))
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in out.collect()} == {1: (4, 1), 2: (0, 0)}
