@@ -17,6 +17,7 @@ from pyspark.sql.utils import AnalysisException
 
 from logvigil.functions.exprs import parse_ts
 from logvigil.schemas import API_LOG_RAW, WEB_LOG_RAW, envelope
+from logvigil.sources.json_ranges import read_json_records
 
 log = logging.getLogger(__name__)
 
@@ -39,14 +40,18 @@ def corrupt_files(spark: SparkSession, path: str, record: T.StructType = WEB_LOG
 
 
 def read_log_envelope(spark: SparkSession, path: str, record: T.StructType = WEB_LOG_RAW,
-                      report: bool = True) -> DataFrame:
-    """Rows of the ``logs`` array of ``{"logs": [...]}`` files.
+                      report: bool = True, range_bytes: int | None = None) -> DataFrame:
+    """Rows of the ``logs`` array of ``{"logs": [...]}`` files.  A file is one
+    task; with ``range_bytes`` a range of it is
+    (:mod:`logvigil.sources.json_ranges`; plain files that Python can open).
 
     A file without the key, or unreadable, yields no rows, like the reference's
     empty list.  Unreadable files are counted and logged (``report``; one pass
     over the files, :func:`corrupt_files` names them all).  ``file_pos`` is the
     record's position in its file.
     """
+    if range_bytes:
+        return read_json_records(spark, path, record, "logs", range_bytes)
     try:
         raw = _raw_envelopes(spark, path, record)
     except AnalysisException as e:
@@ -66,12 +71,17 @@ def read_log_envelope(spark: SparkSession, path: str, record: T.StructType = WEB
         "file", "file_pos", "r.*")
 
 
-def read_log_array(spark: SparkSession, path: str, record: T.StructType = API_LOG_RAW) -> DataFrame:
-    """Files holding a bare JSON array of records (one row per element).
+def read_log_array(spark: SparkSession, path: str, record: T.StructType = API_LOG_RAW,
+                   range_bytes: int | None = None) -> DataFrame:
+    """Files holding a bare JSON array of records (one row per element);
+    with ``range_bytes`` a range of a file is a task, as in
+    :func:`read_log_envelope`.
 
-    A multiLine JSON file is one unsplittable partition, so the increasing id
+    Otherwise a multiLine JSON file is one unsplittable partition, so the increasing id
     follows file order and the per-file position window is bounded by the
     file's own size."""
+    if range_bytes:
+        return read_json_records(spark, path, record, None, range_bytes)
     from pyspark.sql import Window
     raw = (spark.read.schema(record).option("multiLine", True).option("mode", "PERMISSIVE")
            .json(path).withColumn("file", F.input_file_name())
