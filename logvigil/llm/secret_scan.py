@@ -4,25 +4,25 @@ Base spans come from three patterns (``assign``, ``access``, ``hex``).  The
 method adds ``random`` spans: runs of at least ``MIN_RUN`` key characters that
 look drawn at random.
 
-Battery, per run: the encoding is the smallest alphabet that holds all of its
-characters; three tests ask whether the run is a random draw from it -- a
-chi-squared test of alphabet uniformity, a runs test about the alphabet's
-middle, a lag-1 serial-correlation test -- and Fisher's method combines their
-p-values into one score (high: random).
-
-Evidence against words, per run: its probability as a uniform draw from the
-alphabet (each of the ``ALPHABETS`` counted as equally likely) over its
-probability as written text, where letters follow the corpus's own letter pairs
-and the kinds of characters follow ``STEP``.  Under the second law this ratio is
-at least 1 / p with probability at most p, whatever the corpus's size, so its
-inverse is a p-value at any depth; letter pairs the corpus has too few of lean on
-``LETTERS``.  Pairs are counted outside of the runs under test.  A run that the
-battery refuses as random (below ``LEAST_RANDOM``) has p-value 1.
-
-False-discovery control, by length: in each length class the candidates'
-p-values are counted in a histogram, and the Benjamini-Hochberg step-up at level
-``fdr`` sets the class's threshold.  Candidates are all runs that do not overlap
-a base span, letters of one case among them.
+Battery, per run: the encoding is the smallest of ``ALPHABETS`` that holds all of
+its characters; four tests ask whether the run is a uniform draw from it -- a
+chi-squared test of alphabet uniformity, a runs test about the alphabet's middle,
+a lag-1 serial-correlation test, and a test of how well the run follows the
+corpus's letter pairs (a draw does as well as draws do; text does far better).
+Fisher's method combines the four p-values, on equal footing, into the score
+(high: random).  A run below ``LEAST_RANDOM`` is refused outright.
+
+Null law, per (alphabet, length class): the same battery's scores of strings that
+are text for certain -- cut out of the corpus's own consecutive words, joined by
+nothing and by a sign, one of each kind and length from every document, at a
+place told by its text.  Cells the corpus has few strings for lean on
+``PRIOR_STRINGS`` strings written by the law of the text (``STEP`` for kinds of
+characters, the letter pairs for letters).  A run's p-value is the share of null
+strings that score as high.
+
+False-discovery control, by alphabet and length: the Benjamini-Hochberg step-up at
+level ``fdr`` on the counted p-values sets each cell's threshold.  Candidates are
+all runs that do not overlap a base span, letters of one case among them.
 
 Defined results: a null text is empty; spans are in code points; repeated rows
 are scanned each; an empty table gives an empty result.
@@ -33,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logvigil.llm.textkit import byte_class, durable, parts, slices, word_spans
+from logvigil.llm.textkit import byte_class, durable, parts, slices, word_spans, worker_cache
 
 # ---- fixed values: the base patterns and their shortest lengths
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_?key")
@@ -51,11 +52,11 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 KINDS = ("assign", "access", "hex", "random")
 # ----
 
-MIN_RUN = 16               # of lower-case letters, most random runs have p < 0.01 from here on
+MIN_RUN = 16               # shorter random runs are not told from text often enough
 FDR = 0.01
-LEAST_RANDOM = 0.001
-SCORE_BINS = 128           # of P_STEP each, in -log10 p
-P_STEP = 0.25
+LEAST_RANDOM = 0.001       # a draw scores less once in a thousand times
+SCORE_BINS = 128           # in equal steps of the score's logarithm from LEAST_RANDOM to 1
+PRIOR_STRINGS = 1000       # of each cell that has candidates
 LENGTHS = (16, 20, 24, 28, 32, 40, 48, 64, 96, 160)
 RUN_BYTES = byte_class(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 
@@ -98,44 +99,69 @@ def _alphabets() -> list[str]:
 ALPHABETS = _alphabets()
 
 
+RANKS = np.array([[a.find(chr(c)) for c in range(256)] for a in ALPHABETS])
+
+
 def alphabet_of(run: str) -> str:
     chars = set(run)
     return next(a for a in ALPHABETS if chars <= set(a))
 
 
-def _two_sided(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
+def alphabets_of(rows: np.ndarray) -> np.ndarray:
+    """Number of the smallest alphabet of each row of a bytes matrix (one that
+    fits is sure)."""
+    fits = np.stack([(RANKS[a][rows] >= 0).all(axis=1) for a in range(len(ALPHABETS))])
+    return fits.argmax(axis=0)
+
 
+def _tail(z: np.ndarray) -> np.ndarray:
+    """Upper tail of the normal law."""
+    return 0.5 * np.array([math.erfc(x) for x in (z / math.sqrt(2)).tolist()], float)
 
-def chi2_upper(x: float, k: int) -> float:
+
+def chi2_upper(x, k: int) -> np.ndarray:
     """Upper tail of chi-squared with k degrees, by the cube-root normal."""
-    if k <= 0 or x <= 0:
-        return 1.0
-    z = ((x / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
-    return 0.5 * math.erfc(z / math.sqrt(2))
-
-
-def randomness(run: str) -> float:
-    """Combined p-value of 'a random draw from its alphabet' (0 to 1)."""
-    alphabet = alphabet_of(run)
-    k, n = len(alphabet), len(run)
-    x = np.array([alphabet.index(c) for c in run], float)
-    seen = np.bincount(x.astype(int), minlength=k)
-    p_uniform = chi2_upper(float(((seen - n / k) ** 2).sum() * k / n), k - 1)
-    high = x >= k / 2
-    n1, n0 = int(high.sum()), int(n - high.sum())
-    if n1 and n0:
-        runs = 1 + int((high[1:] != high[:-1]).sum())
-        mean = 1 + 2 * n1 * n0 / n
-        var = (mean - 1) * (mean - 2) / max(n - 1, 1)
-        p_runs = _two_sided((runs - mean) / math.sqrt(var)) if var > 0 else 1.0
-    else:
-        p_runs = 2.0 ** (1 - n)
-    d = x - x.mean()
-    ss = float((d * d).sum())
-    p_serial = _two_sided((float((d[1:] * d[:-1]).sum()) / ss + 1 / n) * math.sqrt(n)) if ss else 0.0
-    f = -2 * sum(math.log(max(p, 1e-300)) for p in (p_uniform, p_runs, p_serial)) / 2
-    return math.exp(-f) * (1 + f + f * f / 2) if f < 700 else 0.0  # Fisher: chi-squared, 6 degrees
+    x = np.asarray(x, float)
+    if k <= 0:
+        return np.ones_like(x)
+    z = ((np.maximum(x, 0) / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
+    return np.where(x > 0, _tail(z), 1.0)
+
+
+def three_tests(ranks: np.ndarray, k: int) -> list[np.ndarray]:
+    """p-values of uniformity, runs and serial correlation for rows of ranks in
+    an alphabet of k characters."""
+    m, n = ranks.shape
+    seen = np.bincount((np.arange(m)[:, None] * k + ranks).ravel(), minlength=m * k).reshape(m, k)
+    uniform = chi2_upper(((seen - n / k) ** 2).sum(axis=1) * k / n, k - 1)
+    high = ranks >= k / 2
+    n1 = high.sum(axis=1).astype(float)
+    n0 = n - n1
+    runs = 1 + (high[:, 1:] != high[:, :-1]).sum(axis=1)
+    mean = 1 + 2 * n1 * n0 / n
+    var = (mean - 1) * (mean - 2) / max(n - 1, 1)
+    z = (runs - mean) / np.sqrt(np.where(var > 0, var, 1.0))
+    p_runs = np.where((n1 > 0) & (n0 > 0), np.where(var > 0, 2 * _tail(np.abs(z)), 1.0), 2.0 ** max(1 - n, -1000))
+    d = ranks - ranks.mean(axis=1, keepdims=True)
+    ss = (d * d).sum(axis=1)
+    r = (d[:, 1:] * d[:, :-1]).sum(axis=1) / np.where(ss > 0, ss, 1.0) + 1 / n
+    return [uniform, p_runs, np.where(ss > 0, 2 * _tail(np.abs(r * math.sqrt(n))), 0.0)]
+
+
+def fisher(ps: list[np.ndarray]) -> np.ndarray:
+    """Fisher's combination of independent p-values."""
+    f = -sum(np.log(np.maximum(p, 1e-300)) for p in ps)
+    return np.exp(-f) * sum(f ** i / math.factorial(i) for i in range(len(ps)))
+
+
+def randomness(run: str, law: np.ndarray | None = None) -> float:
+    """Combined p-value of 'a random draw from its alphabet' (0 to 1); without a
+    law of text the pair test is left out."""
+    rows = np.frombuffer(run.encode(), np.uint8)[None, :]
+    if law is not None:
+        return float(battery(rows, law)[1][0])
+    a = ALPHABETS.index(alphabet_of(run))
+    return float(fisher(three_tests(RANKS[a][rows], len(ALPHABETS[a])))[0])
 
 
 # ---- the law of written text
@@ -191,28 +217,139 @@ def text_law(pairs: np.ndarray) -> np.ndarray:
     return np.log((1 - APART) * pair + APART * single)
 
 
-def p_text(run: str, law: np.ndarray) -> float:
-    """-log10 of the p-value of 'the run is written text' (0 and up)."""
-    raw = np.frombuffer(run.encode(), np.uint8)
-    kind, x = KIND_OF[raw].copy(), FOLD[raw]
-    kind[1:][(kind[1:] == 1) & (KIND_OF[raw[:-1]] == 1)] = 4
-    before, last = np.full(len(x), OTHER), np.full(len(x), 5)
-    last[1:] = kind[:-1]
-    same_word = kind[1:] != 1
-    before[1:][same_word] = x[:-1][same_word]
+def depths(rows: np.ndarray, law: np.ndarray, k: int) -> np.ndarray:
+    """log of each row's probability as a draw from k characters over its
+    probability as written text."""
+    kind, x = KIND_OF[rows].copy(), FOLD[rows]
+    kind[:, 1:][(kind[:, 1:] == 1) & (KIND_OF[rows[:, :-1]] == 1)] = 4
+    before, last = np.full(x.shape, OTHER), np.full(x.shape, 5)
+    last[:, 1:] = kind[:, :-1]
+    before[:, 1:] = np.where(kind[:, 1:] != 1, x[:, :-1], OTHER)
     letter = x < OTHER
-    text = np.log(STEP[last, kind]).sum() + law[before[letter], x[letter]].sum() \
-        - math.log(10) * (kind == 2).sum() - math.log(5) * (kind == 3).sum()
-    drawn = -math.log(len(ALPHABETS)) - len(x) * math.log(len(alphabet_of(run)))
-    return max(0.0, (drawn - text) / math.log(10))
+    text = np.log(np.maximum(STEP[last, kind], 1e-3)) - math.log(10) * (kind == 2) - math.log(5) * (kind == 3)
+    text = text + np.where(letter, law[before, np.where(letter, x, 0)], 0.0)
+    return -rows.shape[1] * math.log(k) - text.sum(axis=1)
+
+
+DRAWS, DRAW_LENGTH = 400, 32
+
+
+def draw_moments(law: np.ndarray) -> np.ndarray:
+    """Per alphabet, mean and variance a character of the depth of uniform draws
+    (the same draws everywhere; kept per worker)."""
+    cache = worker_cache()
+    name = ("depths of draws", hashlib.sha256(law.tobytes()).digest())
+    if name not in cache:
+        rng, out = np.random.default_rng(17), []
+        for a in ALPHABETS:
+            rows = np.frombuffer(a.encode(), np.uint8)[rng.integers(0, len(a), (DRAWS, DRAW_LENGTH))]
+            d = depths(rows, law, len(a))
+            out.append((d.mean() / DRAW_LENGTH, max(d.var(), 1e-6) / DRAW_LENGTH))
+        cache[name] = np.array(out)
+    return cache[name]
+
+
+def pair_test(rows: np.ndarray, law: np.ndarray, a: int) -> np.ndarray:
+    """p-values of 'no more like text than draws from the alphabet are'."""
+    mean, var = draw_moments(law)[a]
+    n = rows.shape[1]
+    return _tail(-(depths(rows, law, len(ALPHABETS[a])) - n * mean) / math.sqrt(n * var))
+
+
+def battery(rows: np.ndarray, law: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(alphabet, combined p-value of all four tests) of each row of a bytes
+    matrix."""
+    which, out = alphabets_of(rows), np.zeros(len(rows))
+    for a in np.unique(which):
+        at = np.flatnonzero(which == a)
+        ranks = RANKS[a][rows[at]]
+        out[at] = fisher([*three_tests(ranks, len(ALPHABETS[a])), pair_test(rows[at], law, int(a))])
+    return which, out
+
+
+def score_bins(p: np.ndarray) -> np.ndarray:
+    """0 (text) .. SCORE_BINS - 1, even steps of the score's logarithm."""
+    low = math.log(LEAST_RANDOM)
+    share = (np.log(np.maximum(p, 1e-300)) - low) / -low
+    return np.where(p < LEAST_RANDOM, 0, 1 + np.minimum(np.floor(share * (SCORE_BINS - 1)), SCORE_BINS - 2)).astype(int)
 
 
 def score_bin(run: str, law: np.ndarray) -> int:
-    """0 (text) .. SCORE_BINS - 1, even steps of -log10 p."""
-    depth = p_text(run, law)
-    if depth < P_STEP or randomness(run) < LEAST_RANDOM:
-        return 0
-    return min(SCORE_BINS - 1, int(depth / P_STEP))
+    return run_code(run, law) % SCORE_BINS
+
+
+def run_code(run: str, law: np.ndarray) -> int:
+    """Cell (length class, alphabet) times SCORE_BINS plus the score's bin."""
+    which, p = battery(np.frombuffer(run.encode(), np.uint8)[None, :], law)
+    return (length_class(len(run)) * len(ALPHABETS) + int(which[0])) * SCORE_BINS + int(score_bins(p)[0])
+
+
+CELLS = len(LENGTHS) * 10  # length classes x ALPHABETS
+
+
+def null_codes(buf: np.ndarray, off: np.ndarray, law: np.ndarray) -> list[list[int]]:
+    """Per document, the codes of the strings cut from its consecutive words: of
+    each length class one joined by nothing and one by '_', where it has enough.
+    Long runs are left out, they are under test."""
+    s, e, firsts = word_spans(buf, off, RUN_BYTES)
+    keep = e - s < MIN_RUN
+    docs: list[bytes] = []
+    plain: list[bytes] = []
+    raw = buf.tobytes()
+    for d in range(len(off) - 1):
+        at = range(int(firsts[d]), int(firsts[d + 1]))
+        words = [raw[s[i]:e[i]] for i in at if keep[i]]
+        docs.append(b"".join(words))
+        plain.append(b"_".join(words))
+    out: list[list[int]] = [[] for _ in docs]
+    for c, n in enumerate(LENGTHS):
+        rows, who = [], []
+        for d, both in enumerate(zip(docs, plain)):
+            for t in both:
+                if len(t) >= n:
+                    i = zlib.crc32(t, n) % (len(t) - n + 1)
+                    rows.append(t[i:i + n])
+                    who.append(d)
+        if rows:
+            m = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, n)
+            which, p = battery(m, law)
+            codes = (c * len(ALPHABETS) + which) * SCORE_BINS + score_bins(p)
+            for d, code in zip(who, codes.tolist()):
+                out[d].append(code)
+    return out
+
+
+def written_strings(cell: int, law: np.ndarray, most: int = PRIOR_STRINGS) -> np.ndarray:
+    """Up to ``most`` strings of a cell's length and alphabet, written by the law of
+    the text (the same ones everywhere), as a bytes matrix."""
+    c, a = divmod(cell, len(ALPHABETS))
+    n, alphabet = LENGTHS[c], ALPHABETS[a]
+    rng = np.random.default_rng(cell + 1)
+    by_kind = [np.array([ord(ch) for ch in alphabet if KIND_OF[ord(ch)] == k], np.uint8) for k in range(4)]
+    able = np.array([len(by_kind[0]) > 0, len(by_kind[1]) > 0, len(by_kind[2]) > 0, len(by_kind[3]) > 0,
+                     len(by_kind[1]) > 0], float)
+    step = STEP * able
+    step = np.where(step.sum(axis=1, keepdims=True) > 0, step, able)
+    step = np.cumsum(step / step.sum(axis=1, keepdims=True), axis=1)
+    rows = np.zeros((2 * most, n), np.uint8)
+    kind, before = np.full(len(rows), 5), np.full(len(rows), OTHER)
+    for i in range(n):
+        kind = np.minimum((rng.random(len(rows))[:, None] > step[kind]).sum(axis=1), 4)
+        follows = np.where((kind == 1) | (i == 0), OTHER, before)
+        u = rng.random(len(rows))
+        for k in range(5):
+            at = np.flatnonzero(kind == k)
+            chars = by_kind[1 if k == 4 else k]
+            if not len(at):
+                continue
+            if k in (0, 1, 4):
+                p = np.exp(law[follows[at]][:, FOLD[chars]])
+                p = np.cumsum(p / p.sum(axis=1, keepdims=True), axis=1)
+                rows[at, i] = chars[np.minimum((u[at, None] > p).sum(axis=1), len(chars) - 1)]
+            else:
+                rows[at, i] = chars[(u[at] * len(chars)).astype(int)]
+        before = FOLD[rows[:, i]]
+    return rows[alphabets_of(rows) == a][:most]
 
 
 def length_class(n: int) -> int:
@@ -239,9 +376,9 @@ def learn(df: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def _scan(df: DataFrame, key: str, text: str, law: np.ndarray) -> DataFrame:
-    """Per document: base spans (start, kind, end triples) and candidate runs
-    (start, end, code triples); a code is length class times SCORE_BINS plus
-    score bin."""
+    """Per document: base spans (start, kind, end triples), candidate runs
+    (start, end, code triples) and the codes of its null strings; a code is the
+    cell (length class, alphabet) times SCORE_BINS plus score bin."""
     src = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,38 +402,47 @@ def _scan(df: DataFrame, key: str, text: str, law: np.ndarray) -> DataFrame:
                         run = raw[i:j].decode()
                         at = len(raw[lo:i].decode())
                         if not any(x < at + len(run) and at < z for x, _, z in spans):
-                            mine += [at, at + len(run),
-                                     length_class(len(run)) * SCORE_BINS + score_bin(run, law)]
+                            mine += [at, at + len(run), run_code(run, law)]
                     cand.append(mine)
                 kind = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_pydict({
                     "k": batch.column("k").slice(a, b - a), "fixed": pa.array(base, kind),
-                    "cand": pa.array(cand, kind)})
+                    "cand": pa.array(cand, kind), "null": pa.array(null_codes(buf, off, law), kind)})
 
-    return src.mapInArrow(scan, "k long, fixed array<int>, cand array<int>")
+    return src.mapInArrow(scan, "k long, fixed array<int>, cand array<int>, null array<int>")
 
 
-def thresholds(cand: dict[int, int], fdr: float = FDR) -> list[int]:
-    """Per length class, the lowest score bin that is accepted (SCORE_BINS:
-    none), from the candidates' counts by code; a bin's p-value is its largest."""
+def thresholds(cand: dict[int, int], null: dict[int, int], fdr: float = FDR) -> list[int]:
+    """Per cell, the lowest score bin that is accepted (SCORE_BINS: none), from
+    the candidates' and the null strings' counts by code."""
     out = []
-    for c in range(len(LENGTHS)):
+    for c in range(CELLS):
         mine = [cand.get(c * SCORE_BINS + i, 0) for i in range(SCORE_BINS)]
-        best, total, taken = SCORE_BINS, sum(mine), 0
+        text = [null.get(c * SCORE_BINS + i, 0) for i in range(SCORE_BINS)]
+        best, total, among, taken, above = SCORE_BINS, sum(mine), sum(text), 0, 0
         for i in range(SCORE_BINS - 1, 0, -1):
             taken += mine[i]
-            if mine[i] and 10 ** (-P_STEP * i) <= fdr * taken / total:
+            above += text[i]
+            if mine[i] and (1 + above) / (1 + among) <= fdr * taken / total:
                 best = i
         out.append(best)
     return out
 
 
-def _limits(found: DataFrame, fdr: float) -> list[int]:
-    """Thresholds from a scan's codes; what is collected has at most a row for
-    each length class and score bin."""
+def _counts(found: DataFrame, codes) -> dict[int, int]:
+    """Counts by code: at most a row for each cell and score bin."""
+    return {r[0]: r[1] for r in found.select(F.explode(codes)).groupBy("col").count().collect()}
+
+
+def _limits(found: DataFrame, law: np.ndarray, fdr: float) -> list[int]:
+    """Thresholds from a (durable) scan's codes."""
     codes = F.filter(F.transform("cand", lambda x, i: F.when(i % 3 == 2, x)), lambda x: x.isNotNull())
-    return thresholds({r[0]: r[1] for r in
-                       found.select(F.explode(codes)).groupBy("col").count().collect()}, fdr)
+    cand, null = _counts(found, codes), _counts(found, F.col("null"))
+    for cell in sorted({c // SCORE_BINS for c in cand}):
+        which, p = battery(written_strings(cell, law), law)
+        for b in score_bins(p[which == cell % len(ALPHABETS)]).tolist():
+            null[cell * SCORE_BINS + b] = null.get(cell * SCORE_BINS + b, 0) + 1
+    return thresholds(cand, null, fdr)
 
 
 def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text",
@@ -304,8 +450,9 @@ def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text",
     """Per document: key, base (array of struct start, kind, end) and spans
     (the same with the accepted random runs), both by start, then kind.  The
     scan's small result is checkpointed; texts are read for the law and once more."""
-    found = durable(_scan(df, key, text, learn(df, text)))
-    limit = _limits(found, fdr)
+    law = learn(df, text)
+    found = durable(_scan(df, key, text, law))
+    limit = _limits(found, law, fdr)
     least = F.array(*[F.lit(c * SCORE_BINS + x) for c, x in enumerate(limit)])
 
     def triples(column, kind=None):
@@ -354,7 +501,7 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "
     first pass learns the law of the text, a second one sets the thresholds, a
     third one writes; nothing is shuffled.  A null text stays null."""
     law = learn(df, text)
-    limit = _limits(_scan(df, key, text, law).select("cand"), fdr)
+    limit = _limits(durable(_scan(df, key, text, law).select("cand", "null")), law, fdr)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,8 +528,7 @@ def random_runs(text: str, spans, law: np.ndarray) -> list[tuple[int, int, int]]
     for m in RUN_RE.finditer(text):
         run = m[0]
         if not any(x < m.end() and m.start() < z for x, _, z in spans):
-            out.append((m.start(), m.end(), length_class(len(run)) * SCORE_BINS
-                        + score_bin(run, law)))
+            out.append((m.start(), m.end(), run_code(run, law)))
     return out
 
 

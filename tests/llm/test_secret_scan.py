@@ -113,3 +113,101 @@ def test_keys_of_one_case_and_short_keys(make_docs):
 def test_redact():
     assert S.redact_text("a secret b", [(2, 8), (4, 9)], "#") == "a #b"
     assert S.redact_text("abc", [], "#") == "abc"
+
+
+def planted(spark):
+    """Real documents, of which 120 hold a key and 24 a string that only looks
+    like one: an alphabet in order, a short pattern again and again."""
+    rng = random.Random(12)
+    kinds = [(string.ascii_letters + string.digits, 20), (string.ascii_letters + string.digits, 40),
+             (string.ascii_uppercase + "234567", 32), (string.ascii_lowercase, 40),
+             (string.ascii_letters + string.digits + "+/", 44), (string.digits + string.ascii_lowercase, 36)]
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+            .select("doc_id", "text").collect()]
+    every = string.ascii_letters + string.digits
+    keys, bait = {}, {}
+    for i in range(144):
+        k, t = docs[i]
+        if i < 120:
+            alphabet, n = kinds[i % len(kinds)]
+            put = "".join(rng.choices(alphabet, k=n))
+        elif i % 2:
+            at = rng.randrange(20)
+            put = (every * 2)[at:at + 40]
+        else:
+            put = "".join(rng.choices(every, k=3)) * 14
+        docs[i] = (k, f"{t} {put} end")
+        (keys if i < 120 else bait)[k] = f"random:{len(t) + 1}:{len(t) + 1 + len(put)}"
+    return docs, keys, bait
+
+
+def verdicts(docs, keys, bait, law, limit):
+    found = other = baited = 0
+    for k, t in docs:
+        spans = {f"random:{s}:{e}" for s, e, code in S.random_runs(t, S.base_spans(t), law)
+                 if code % S.SCORE_BINS >= limit[code // S.SCORE_BINS]}
+        found += keys.get(k) in spans
+        baited += bait.get(k) in spans
+        other += len(spans - {keys.get(k), bait.get(k)})
+    return found, other, baited
+
+
+def limits(docs, law):
+    """The thresholds, counted in plain Python."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from logvigil.llm.textkit import text_buffer
+    cand = Counter(code for _, t in docs for _, _, code in S.random_runs(t, S.base_spans(t), law))
+    null = Counter(c for codes in S.null_codes(*text_buffer(pa.array([t for _, t in docs])), law) for c in codes)
+    for cell in {c // S.SCORE_BINS for c in cand}:
+        which, p = S.battery(S.written_strings(cell, law), law)
+        null.update(cell * S.SCORE_BINS + b for b in S.score_bins(p[which == cell % 10]).tolist())
+    return S.thresholds(cand, null)
+
+
+def test_the_battery_decides(spark, make_docs, monkeypatch):
+    """Recall and false discoveries on planted keys, and what is left of them
+    without the battery's tests, or without the null law."""
+    docs, keys, bait = planted(spark)
+    df = make_docs(docs).cache()
+    out = {r.doc_id: r.spans.split(",") for r in S.digest(S.find_secrets(df)).collect()}
+    found = sum(keys[k] in out[k] for k in keys)
+    assert found >= 0.95 * len(keys)
+    assert not any(bait[k] in out[k] for k in bait)
+    other = sum(s.startswith("random") and s not in (keys.get(k), bait.get(k)) for k, v in out.items() for s in v)
+    assert other <= 0.03 * found
+
+    law = S.learn(df)
+    assert verdicts(docs, keys, bait, law, limits(docs, law)) == (found, other, 0)
+    # the pair test alone takes what is neither text nor random
+    tests = S.three_tests
+    monkeypatch.setattr(S, "three_tests", lambda ranks, k: [S.np.ones(len(ranks))] * 3)
+    assert verdicts(docs, keys, bait, law, limits(docs, law))[2] >= 0.8 * len(bait)
+    # the three tests alone cannot tell short keys from text at this level
+    monkeypatch.setattr(S, "three_tests", tests)
+    monkeypatch.setattr(S, "pair_test", lambda rows, law, a: S.np.ones(len(rows)))
+    assert verdicts(docs, keys, bait, law, limits(docs, law))[0] < 0.8 * len(keys)
+
+
+def test_null_strings_and_thresholds():
+    import numpy as np
+    import pyarrow as pa
+
+    from logvigil.llm.textkit import text_buffer
+    buf, off = text_buffer(pa.array(["one two three four five six " * 3, "", "a", "w" * 50, None]))
+    law = S.text_law(S.letter_pairs(buf, off))
+    codes = S.null_codes(buf, off, law)
+    assert codes[1] == codes[2] == codes[3] == codes[4] == []  # too short, or a run under test
+    assert len(codes[0]) == 2 * sum(n <= 66 for n in S.LENGTHS) + sum(66 < n <= 83 for n in S.LENGTHS)
+    cell = 3 * 10 + 8
+    cand, null = {cell * 128 + 100: 5, cell * 128 + 2: 95}, {cell * 128 + 1: 5000}
+    limit = S.thresholds(cand, null)
+    assert limit[cell] == 2 and set(limit[:cell] + limit[cell + 1:]) == {S.SCORE_BINS}
+    assert S.thresholds(cand, {cell * 128 + 50: 5000})[cell] == 100
+    assert S.thresholds(cand, {cell * 128 + 50: 20})[cell] == S.SCORE_BINS  # too few to tell
+    for cell in (3, 28, 49):
+        rows = S.written_strings(cell, law, 50)
+        assert rows.shape[1] == S.LENGTHS[cell // 10] and (S.alphabets_of(rows) == cell % 10).all()
+        assert np.array_equal(rows, S.written_strings(cell, law, 50))
