@@ -146,15 +146,16 @@ def _sig_batch(rows: int, **cols) -> pa.RecordBatch:
 
 
 def _sum_sketch(parts: DataFrame) -> np.ndarray:
-    """Sum the tasks' sketches: groups of some hundred parts first, then each
-    slice; what comes to the driver has a fixed size."""
+    """Sum the tasks' sketches: in two steps, with as many groups in the first as
+    a group has parts, so that both stay small; what comes to the driver has a
+    fixed size."""
     step = SKETCH // SKETCH_SLICES
-    salts = parts.count() // (SKETCH_SLICES * 512) + 1
+    salts = int((parts.count() / SKETCH_SLICES) ** 0.5) + 1
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(step, np.int64)
-        for at, counts in zip(t.column("at").to_pylist(), t.column("counts").to_pylist()):
-            total[np.frombuffer(at, np.uint16)] += np.frombuffer(counts, np.uint32)
+        for at, counts in zip(t.column("at"), t.column("counts")):  # read in place
+            total[np.frombuffer(at.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.uint32)
         at = np.flatnonzero(total)
         total = np.minimum(total[at], 0xFFFFFFFF).astype(np.uint32)
         return pa.table({"slice": pa.array([t.column("slice")[0].as_py()], pa.int32()),
