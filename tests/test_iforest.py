@@ -190,3 +190,40 @@ def test_model_versions_switch_whole(spark, tmpdir_path):
     assert again.seed == 2 and again.offset == models[2].offset
     iforest.save_model(spark, models[3], path)
     assert iforest.load_model(spark, path).offset == models[3].offset
+
+
+def _stacked_by_rows(X, trees, seed):
+    """score_stacked on trees that the row-wise builder grows."""
+    batches, n, _ = X.shape
+    depth = iforest.max_depth_for(n)
+    fo, node = iforest.build_forest(np.repeat(X, trees, axis=0), seed, tuple(range(trees)), depth, n,
+                                    with_nodes=True)
+    level = np.floor(np.log2(node)).astype(np.int64)
+    units = iforest.leaf_units(n, depth)[level, fo.size[np.arange(batches * trees)[:, None], node]]
+    total = units.reshape(batches, trees, n).sum(axis=1)
+    return iforest.scores_from_units(total.reshape(-1), trees, n).reshape(batches, n)
+
+
+def test_stacked_scores_equal_the_row_wise_builder():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 3, 29, 30, 31, 54, 61, 62, 63):
+        X = rng.normal(size=(5, n, 6))
+        X[1:, :, 0] = np.round(X[1:, :, 0])
+        X[:, :, 1] = 3.0
+        X[2] = -0.0
+        X[3][rng.random((n, 6)) < .1] = np.nan
+        X[4][rng.random((n, 6)) < .1] = np.inf
+        X[4][rng.random((n, 6)) < .1] = -1e308
+        with np.errstate(all="ignore"):
+            assert np.array_equal(iforest.score_stacked(X, 9, 42), _stacked_by_rows(X, 9, 42)), n
+
+
+def test_small_batches_are_not_copied_per_tree():
+    import tracemalloc
+    X = np.random.default_rng(8).normal(size=(64, 30, 13))
+    iforest.score_stacked(X[:1], 100, 42)  # the draws are kept
+    tracemalloc.start()
+    iforest.score_stacked(X, 100, 42)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * X.nbytes / 2  # one copy of the rows per tree is twice that
